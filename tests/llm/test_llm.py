@@ -167,7 +167,7 @@ def test_pfair(parts):
 
 def test_toxicity(spark, sf, odd, none):
     docs, labels = (spark.read.parquet(f"{sf.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
-    model = toxicity.train_toxicity(toxicity.labelled_documents(docs, labels))
+    model = toxicity.train_toxicity(docs, labels)
     scored = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()}
     assert len(scored) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in scored.values())
     truth = {r.doc_id: r.toxic for r in labels.collect()}
@@ -177,7 +177,7 @@ def test_toxicity(spark, sf, odd, none):
     assert sum(scored[i].predicted for i in toxic) >= 0.6 * len(toxic)
     assert sum(scored[i].predicted for i in held if not truth[i]) <= 0.03 * len(held)
     assert len(toxicity.score_toxicity(odd, model).collect()) == len(ODD) and toxicity.score_toxicity(none, model).collect() == []
-    untaught = toxicity.train_toxicity(spark.createDataFrame([], "text string, toxic int"))
+    untaught = toxicity.train_toxicity(none, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.predicted for r in toxicity.score_toxicity(odd, untaught).collect()} == {0}
 
 
@@ -393,7 +393,7 @@ def test_pipeline(spark, sf):
     assert [n for n, _ in cp.STAGES] == ["toxicity", "exact dedup", "near dedup", "decontamination", "mixing"]
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
-    model = toxicity.train_toxicity(toxicity.labelled_documents(docs, spark.read.parquet(f"{sf}/labels.parquet")))
+    model = toxicity.train_toxicity(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     rows = {r.doc_id: r for r in docs.collect()}
     score = toxicity.Compressors(model).features
     rows = {i: r for i, r in rows.items() if toxicity._score(model.weights, score(r.text.encode())) < 0.7}

@@ -16,7 +16,7 @@ from tidemark.llm.mixing import mix_sources
 from tidemark.llm.ppm import score_documents
 from tidemark.llm.simhash import near_dedup
 from tidemark.llm.token_counts import token_counts
-from tidemark.llm.toxicity import labelled_documents, score_toxicity, train_toxicity
+from tidemark.llm.toxicity import score_toxicity, train_toxicity
 from tidemark.llm.warc import archive_round_trip
 
 
@@ -46,7 +46,7 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score_toxicity(docs, train_toxicity(labelled_documents(docs, table(spark, sf_dir, "labels"))))
+    return score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ of both classes every score is 0; null labels are no labels; repeated rows score
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -27,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import WORD_TABLE, text_of
+from tidemark.llm.shared import WORD_TABLE, crc_of_id, text_of
 
 WINDOW = 8
 ROWS = 3000
-TRAIN_BYTES = 32 << 10
+TRAIN_BYTES = 16 << 10
 ORDINARY_BYTES = 16 << 10
 TOXIC_BYTES = 4 << 10
 #: Occurrences times log odds that a toxic segment needs.
@@ -158,15 +159,33 @@ def _logistic(rows: list[tuple[tuple[float, ...], int]]) -> tuple[float, ...]:
     return tuple(map(float, w))
 
 
-def train_toxicity(labelled: DataFrame, rows: int = ROWS) -> ToxicityModel:
-    """Fit from a frame with text and toxic (0, 1 or null), on a bounded sample of its rows."""
-    body = labelled.select(text_of().alias("text"), F.col("toxic").cast("int").alias("toxic")).filter((F.octet_length("text") <= TRAIN_BYTES) & (F.col("text") != ""))
-    sample: dict[int, list[bytes]] = {}
-    for label in (0, 1):
-        chosen = body.filter(F.col("toxic") == label).select("text", F.xxhash64(F.lit("draw"), F.col("text")).alias("draw")).dropDuplicates(["draw"]).orderBy("draw").limit(rows)
-        sample[label] = [bytes(r[0]) for r in chosen.select(F.col("text").cast("binary")).collect()]
+def held_out(name: str = "doc_id") -> Column:
+    return F.pmod(crc_of_id(name), F.lit(3)) == 1
+
+
+def draw_labelled(docs: DataFrame, labels: DataFrame, rows: int) -> dict[int, list[bytes]]:
+    """Texts of at most ``rows`` documents of either label that are not held out, drawn by a hash of the id.
+
+    Identifiers are drawn first, from all documents; texts move for the drawn ones only.
+    """
+    sizes = docs.select("doc_id", F.octet_length(text_of()).alias("size")).filter(~held_out() & (F.col("size") > 0) & (F.col("size") <= TRAIN_BYTES)).select("doc_id")
+    marked = sizes.join(labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1)), "doc_id").distinct()
+    chosen = [tuple(r) for y in (0, 1) for r in marked.filter(F.col("toxic") == y).orderBy(F.xxhash64(F.lit("draw"), F.col("doc_id")), "doc_id").limit(rows).collect()]
+    picked = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int"))
+    found = docs.select("doc_id", text_of().alias("text")).filter(F.octet_length("text") <= TRAIN_BYTES).join(picked, "doc_id").select("toxic", F.col("text").cast("binary")).distinct()
+    texts: dict[int, list[bytes]] = {0: [], 1: []}
+    for y, t in sorted((r[0], bytes(r[1])) for r in found.toLocalIterator()):
+        texts[y].append(t)
+    return texts
+
+
+def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> ToxicityModel:
+    """Fit on a bounded sample of the labelled documents that may be learned from."""
+    sample = draw_labelled(docs, labels, rows)
     if not sample[0] or not sample[1]:
         return ToxicityModel(b" ", b" ", (-30.0, 0.0, 0.0, 0.0))
+    for texts in sample.values():
+        texts.sort(key=lambda t: hashlib.sha256(t).digest())
     part = {k: (v[::2], v[1::2] or v) for k, v in sample.items()}
     content = _ordinary_content(part[0][0])
     segments = b"".join(_segments(part[1][0], sample[0]))
@@ -188,18 +207,6 @@ def score_udf(model: ToxicityModel):
     return score
 
 
-def held_out(name: str = "doc_id") -> Column:
-    from tidemark.llm.shared import crc_of_id
-
-    return F.pmod(crc_of_id(name), F.lit(3)) == 1
-
-
-def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and toxic of the labelled documents that may be learned from."""
-    own = labels.select(F.col("doc_id").alias("label_id"), "toxic").filter(F.col("toxic").isNotNull())
-    return docs.filter(~held_out()).join(own, F.col("doc_id") == F.col("label_id")).select("text", "toxic")
-
-
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
     scored = docs.select("doc_id", held_out().alias("held_out"), score_udf(model)(text_of().cast("binary")).alias("score"))
