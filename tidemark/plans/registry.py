@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import market, serving_queries  # noqa: F401
+from tidemark.plans import market, research_queries, serving_queries  # noqa: F401
 
 FLAGSHIP = "return_distribution"
 QUERIES = dict(market.QUERIES)
