@@ -163,7 +163,8 @@ def liq_return_corr(liqs: DataFrame, prices: DataFrame) -> DataFrame:
     l5 = liqs.groupBy("symbol", bin_("ts").alias("bin")).agg(F.sum("usd_value").alias("usd"))
     p5 = prices.groupBy("symbol", bin_("ts").alias("bin")).agg(F.min_by("mark_price", "ts").alias("a"), F.max_by("mark_price", "ts").alias("b"), F.count(F.lit(1)).alias("n")).filter("n >= 2")
     j = l5.join(p5, ["symbol", "bin"]).withColumn("r", F.abs(F.ln(F.col("b") / F.col("a"))))
-    return j.groupBy("symbol").agg(F.corr("usd", "r").alias("corr"), F.count(F.lit(1)).alias("bins"))
+    c = F.corr("usd", "r")
+    return j.groupBy("symbol").agg(F.when(~F.isnan(c), c).alias("corr"), F.count(F.lit(1)).alias("bins"))
 
 
 def realized_vol(prices: DataFrame, rows: int = 30, scale: float = 1.0) -> DataFrame:

@@ -216,7 +216,7 @@ def liq_bursts_hourly(t):
 
 @query("corr", """with l as (select symbol, epoch(ts)::bigint // 300 bin, sum(usd_value) usd from (select symbol, date_trunc('second', ts) ts, usd_value from liquidations) group by 1, 2),
 p as (select symbol, epoch(ts)::bigint // 300 bin, abs(ln(arg_max(mark_price, ts) / arg_min(mark_price, ts))) r from mark_prices group by 1, 2 having count(*) >= 2)
-select symbol, corr(usd, r) as corr, count(*) bins from l join p using (symbol, bin) group by 1""")
+select symbol, case when not isnan(corr(usd, r)) then corr(usd, r) end as corr, count(*) bins from l join p using (symbol, bin) group by 1""")
 def liq_return_corr_5m(t):
     return quality.liq_return_corr(t("liquidations"), t("mark_prices"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as sc
@@ -108,19 +108,19 @@ def union_all_inventory(t):
     return tables.table_inventory(ticks=t("ticks"), quotes=t("quotes"))
 
 
-def _count(name: str, oracle: str, on: Column, view: str) -> None:
+def _count(name: str, oracle: str, on: str, view: str) -> None:
     def f(t):
-        return t(view).groupBy("symbol").agg(F.count_if(on).alias("n"))
+        return t(view).groupBy("symbol").agg(F.count_if(F.expr(on)).alias("n"))
 
     f.__name__ = name
     query("", f"select symbol, count(*) filter (where {oracle}) n from {view} group by 1")(f)
 
 
 def register_counts() -> None:
-    _count("count_future", "ts > timestamp '2024-01-20'", F.expr("ts > timestamp '2024-01-20'"), "ticks")
-    _count("count_nonpositive_price", "mark_price - 101 <= 0", F.expr("mark_price - 101 <= 0"), "mark_prices")
-    _count("count_negative_oi", "open_interest_usd - 1e6 < 0", F.expr("open_interest_usd - 1e6D < 0"), "open_interest")
-    _count("count_funding_oob", "funding_rate not between -0.0005 and 0.0005", F.expr("funding_rate not between -0.0005D and 0.0005D"), "funding_rates")
+    _count("count_future", "ts > timestamp '2024-01-20'", "ts > timestamp '2024-01-20'", "ticks")
+    _count("count_nonpositive_price", "mark_price - 101 <= 0", "mark_price - 101 <= 0", "mark_prices")
+    _count("count_negative_oi", "open_interest_usd - 1e6 < 0", "open_interest_usd - 1e6D < 0", "open_interest")
+    _count("count_funding_oob", "funding_rate not between -0.0005 and 0.0005", "funding_rate not between -0.0005D and 0.0005D", "funding_rates")
 
 
 register_counts()

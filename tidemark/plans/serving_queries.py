@@ -75,10 +75,10 @@ def risk_signals(t):
     return ms(merge.risk_signals(snapshot(t), comparison(t)), "symbol", "type", "severity", "value")
 
 
-@query("", f"select {MS}, symbol, string_agg(exchange || '=' || round(mark_price, 3)::decimal(18,3)::varchar, ';' order by exchange) prices, count(*) venues from quotes group by 1, 2")
+@query("", f"select {MS}, symbol, string_agg(exchange || '=' || round(mark_price, 6)::decimal(18,6)::varchar, ';' order by exchange) prices, count(*) venues from quotes group by 1, 2")
 def venue_maps(t):
     m = merge.venue_maps(t("quotes"))
-    text = F.array_join(F.transform(F.map_entries("price_by_venue"), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"], 3).cast("decimal(18,3)").cast("string"))), ";")
+    text = F.array_join(F.transform(F.map_entries("price_by_venue"), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"], 6).cast("decimal(18,6)").cast("string"))), ";")
     return ms(m.withColumn("prices", text).withColumn("venues", F.size("oi_by_venue").cast("long")), "symbol", "prices", "venues")
 
 

@@ -24,15 +24,16 @@ def liquidations(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     return out.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["id"])
 
 
-ORDER = "e string, E long, o struct<s:string,S:string,ap:string,z:string,T:long>"
-
-
 def parse_force_orders(raw: DataFrame) -> DataFrame:
-    """id, symbol, side, price, quantity, ts from force-order JSON in ``value``; other messages are passed over."""
-    x = raw.select(F.from_json("value", ORDER).alias("m")).filter("m.e = 'forceOrder' and m.o is not null")
-    num = lambda c: F.expr(f"try_cast({c} as double)")
+    """id, symbol, side, price, quantity, ts from force-order JSON in ``value``; other messages are passed over.
+
+    Fields are taken by path, as their names differ in case alone (e and E, s and S).
+    """
+    at = lambda path: F.get_json_object("value", path)
+    x = raw.select(at("$.e").alias("kind"), at("$.o.s").alias("symbol"), at("$.o.S").alias("side"), at("$.o.ap").alias("ap"), at("$.o.z").alias("z"), at("$.o.T").alias("at"))
+    x = x.filter("kind = 'forceOrder' and symbol is not null")
     return x.select(
-        F.concat_ws(":", "m.o.s", "m.o.S", F.col("m.o.T").cast("string")).alias("id"), F.col("m.o.s").alias("symbol"), F.col("m.o.S").alias("side"), num("m.o.ap").alias("price"), num("m.o.z").alias("quantity"), F.timestamp_millis("m.o.T").alias("ts")
+        F.concat_ws(":", "symbol", "side", "at").alias("id"), "symbol", "side", F.expr("try_cast(ap as double)").alias("price"), F.expr("try_cast(z as double)").alias("quantity"), F.timestamp_millis(F.expr("try_cast(at as bigint)")).alias("ts")
     )
 
 
