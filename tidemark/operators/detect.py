@@ -69,7 +69,7 @@ def window_liquidations(span: DataFrame, liqs: DataFrame, window: int, lookback:
     """(symbol, m, long_usd, short_usd, usd): sums over minutes [m, m + window) on a dense minute grid from -lookback on."""
     dense = span.select("symbol", F.explode(F.sequence(F.lit(-lookback).cast("long"), F.floor((F.col("hi") - F.col("lo")) / MINUTE).cast("long"))).alias("m"))
     minute = F.floor((F.unix_millis("ts") - F.col("lo")) / MINUTE).cast("long")
-    per = liqs.join(F.broadcast(span), "symbol").groupBy("symbol", minute.alias("m")).agg(
+    per = liqs.join(span, "symbol").groupBy("symbol", minute.alias("m")).agg(
         F.sum(F.when(F.col("side") == "SELL", F.col("usd_value")).otherwise(0.0)).alias("_l"), F.sum(F.when(F.col("side") == "BUY", F.col("usd_value")).otherwise(0.0)).alias("_s")
     )
     w = Window.partitionBy("symbol").orderBy("m").rowsBetween(0, window - 1)
@@ -113,7 +113,7 @@ def liq_bursts_5m(liqs: DataFrame, p: float = 0.95) -> DataFrame:
     """Bins at or above the p-th percentile of their symbol's 5-minute bins."""
     bins = liq_bins_5m(liqs)
     limit = bins.groupBy("symbol").agg(F.percentile("usd", F.lit(p)).alias("limit"))
-    return bins.join(F.broadcast(limit), "symbol").filter("usd >= limit")
+    return bins.join(limit, "symbol").filter("usd >= limit")
 
 
 def event_id(kind: Column, start: Column) -> Column:

@@ -106,7 +106,7 @@ def snapshot_agg(quotes: DataFrame) -> DataFrame:
     """Per (batch, symbol): funding_spread (0 under two venues) and exchange_count, the venues of the whole batch."""
     venues = quotes.groupBy("batch_ts").agg(F.count_distinct("exchange").alias("exchange_count"))
     per = quotes.groupBy(*B).agg(F.when(F.count("funding_rate") >= 2, F.max("funding_rate") - F.min("funding_rate")).otherwise(0.0).alias("funding_spread"))
-    return per.join(F.broadcast(venues), "batch_ts")
+    return per.join(venues, "batch_ts")
 
 
 def oi_share_by_venue(quotes: DataFrame, least: float = 0.5) -> DataFrame:

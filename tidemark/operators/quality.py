@@ -148,7 +148,7 @@ def liq_bursts_hourly(liqs: DataFrame, prices: DataFrame, p: float = 0.95, top:
     )
     limit = hourly.groupBy("symbol").agg(floor_index(F.sort_array(F.collect_list("usd")), p).alias("limit"))
     n = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("usd"), "hr"))
-    bursts = hourly.join(F.broadcast(limit), "symbol").filter("usd >= limit").withColumn("place", n).filter(F.col("place") <= top)
+    bursts = hourly.join(limit, "symbol").filter("usd >= limit").withColumn("place", n).filter(F.col("place") <= top)
     bursts = bursts.withColumn("side", F.when(F.col("buy") > F.col("sell"), "BUY").otherwise("SELL")).withColumn("until", F.col("hr") + F.expr("interval 30 minutes"))
     start = asof_forward(bursts, prices, "mark_price", left_ts="hr", name="from_price")
     both = asof_backward(start, prices, "mark_price", left_ts="until", name="to_price")

@@ -15,7 +15,7 @@ def cascade_labels(prices: DataFrame, rows: int = 30, move: float = 0.02, vol_p:
     r = realized_vol(prices, rows)
     ret = r.withColumn("ret30", F.when(F.col("mark_price") > 0, F.lead("mark_price", rows).over(ordered()) / F.col("mark_price") - 1.0))
     limit = ret.filter(F.col("cnt") >= least).groupBy("symbol").agg(F.percentile("rv", F.lit(vol_p)).alias("rv_limit"))
-    j = ret.join(F.broadcast(limit), "symbol", "left")
+    j = ret.join(limit, "symbol", "left")
     yes = lambda c: F.coalesce(c, F.lit(False))
     d1 = yes(F.abs("ret30") >= move)
     d2 = yes((F.col("cnt") >= least) & (F.col("rv") >= F.col("rv_limit")))
@@ -197,7 +197,7 @@ def fit_calibration(bins: DataFrame, key: str, ridge: float = 0.001, steps: int
 
 
 def apply_calibration(scores: DataFrame, params: DataFrame, key: str) -> DataFrame:
-    p = F.broadcast(params.select(key, F.col("intercept").alias("_a"), F.col("slope").alias("_b")))
+    p = params.select(key, F.col("intercept").alias("_a"), F.col("slope").alias("_b"))
     return scores.join(p, key).withColumn("p_hat", sigmoid(F.col("_a") + F.col("_b") * F.col("risk_score"))).drop("_a", "_b")
 
 

@@ -33,7 +33,7 @@ def alerts(scores: DataFrame) -> DataFrame:
 
 
 def filter_by_plan(df: DataFrame, plans: DataFrame, plan: str) -> DataFrame:
-    return df.join(F.broadcast(plans.filter(F.col("plan") == plan).select("symbol")), "symbol", "left_semi")
+    return df.join(plans.filter(F.col("plan") == plan).select("symbol"), "symbol", "left_semi")
 
 
 def subscription_match(risks: DataFrame, subscriptions: DataFrame) -> DataFrame:

@@ -112,7 +112,7 @@ def moments(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """n, mean, std, skew and kurtosis (not excess) with the sample deviation in the denominators."""
     base = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
     d = F.col(value) - F.col("mean")
-    joined = df.join(F.broadcast(base), list(keys)) if keys else df.crossJoin(F.broadcast(base))
+    joined = df.join(base, list(keys)) if keys else df.crossJoin(F.broadcast(base))
     out = joined.groupBy(*keys).agg(
         F.first("n").alias("n"), F.first("mean").alias("mean"), F.first("std").alias("std"), F.avg(d * d * d).alias("_m3"), F.avg(d * d * d * d).alias("_m4")
     )

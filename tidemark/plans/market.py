@@ -407,7 +407,7 @@ def auc_pr(t):
 def threshold_sensitivity(t):
     c = research.pr_curve(labelled(t), "symbol", step=1)
     b = research.best_threshold(c.withColumn("f1", F.round("f1", 12)), "symbol").select("symbol", F.col("threshold").alias("best"))
-    return c.join(F.broadcast(b), "symbol").filter(F.abs(F.col("threshold") - F.col("best")) <= 5).drop("best")
+    return c.join(b, "symbol").filter(F.abs(F.col("threshold") - F.col("best")) <= 5).drop("best")
 
 
 @query("rate", f"with {LABELLED} select symbol, avg(actual::int) rate from lab group by 1")

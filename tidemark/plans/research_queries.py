@@ -241,7 +241,7 @@ select symbol, m, greatest(100, case when count(usd) over w >= 10 then quantile_
 def liq_threshold(t):
     span = t("ticks").groupBy("symbol").agg(F.unix_millis(F.min("ts")).alias("lo"), F.unix_millis(F.max("ts")).alias("hi"))
     dense = span.select("symbol", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("hi") - F.col("lo")) / 3_600_000).cast("long"))).alias("m"))
-    per = t("liquidations").join(F.broadcast(span), "symbol").groupBy("symbol", F.floor((F.unix_millis("ts") - F.col("lo")) / 3_600_000).cast("long").alias("m")).agg(F.sum("usd_value").alias("usd"))
+    per = t("liquidations").join(span, "symbol").groupBy("symbol", F.floor((F.unix_millis("ts") - F.col("lo")) / 3_600_000).cast("long").alias("m")).agg(F.sum("usd_value").alias("usd"))
     s = dense.join(per, ["symbol", "m"], "left").withColumn("usd", F.coalesce("usd", F.lit(0.0)))
     w = Window.partitionBy("symbol").orderBy("m")
     q = windows.rolling_order_stats(s.withColumn("prev", F.lag("usd").over(w)), "prev", 48, (0.95,), chunk=480, ts="m")

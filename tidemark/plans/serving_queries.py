@@ -496,4 +496,32 @@ def stream_quality_counters(t):
     return _streamed(x, streams.quality_counters, "ts timestamp, ticks long, rejected long").select(F.unix_millis("ts").alias("ts_ms"), "ticks", "rejected")
 
 
+@query("funding_rate", "select symbol, epoch_ms(funding_time) ts_ms, funding_rate from funding_rates")
+def stream_funding(t):
+    x = t("funding_rates").withColumnRenamed("funding_time", "ts")
+    doubled = x.unionByName(x)
+    y = _streamed(doubled, lambda s: streams.first_per_key(s, ["symbol", "ts"]), "symbol string, ts timestamp, funding_rate double")
+    return y.select("symbol", F.unix_millis("ts").alias("ts_ms"), "funding_rate")
+
+
+@query("", "select symbol, count(distinct date_trunc('minute', ts)) minutes_seen from ticks group by 1")
+def stream_open_interest(t):
+    prices = t("mark_prices").select("symbol", F.col("ts").alias("minute"), "mark_price")
+    x = t("ticks").select("symbol", "ts", F.date_trunc("minute", "ts").alias("minute"), (F.col("open_interest_usd") / F.col("mark_price")).alias("contracts"))
+
+    def build(s):
+        usd = s.join(prices, ["symbol", "minute"]).withColumn("open_interest_usd", F.col("contracts") * F.col("mark_price"))
+        return streams.first_per_key(usd, ["symbol", "minute"])
+
+    y = _streamed(x, build, "symbol string, minute timestamp, ts timestamp, contracts double, mark_price double, open_interest_usd double")
+    return y.filter("open_interest_usd >= 0").groupBy("symbol").agg(F.count(F.lit(1)).alias("minutes_seen"))
+
+
+@query("", f"with l as (select symbol, time, {LEVEL} as severity from risk_scores) select symbol, epoch_ms(time) time_ms, severity from l where severity in ('critical', 'high')")
+def stream_alerts(t):
+    x = t("risk_scores").withColumn("ts", F.col("time"))
+    y = _streamed(x, serving.alerts, "symbol string, time timestamp, alert_type string, severity string, message string, data string")
+    return y.select("symbol", F.unix_millis("time").alias("time_ms"), "severity")
+
+
 __all__ = ["ORACLES", "QUERIES", "frame", "stress", "windows"]

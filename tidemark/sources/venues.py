@@ -80,7 +80,7 @@ def normalize_oracle_price(raw: DataFrame, feeds: DataFrame) -> DataFrame:
     num = lambda c: F.expr(f"try_cast({c} as double)")
     ema = F.coalesce(num("f.ema_price.price"), num("f.price.price"))
     out = x.select(F.col("f.id").alias("feed_id"), (num("f.price.price") * scale).alias("price"), (num("f.price.conf") * scale).alias("confidence"), (ema * scale).alias("ema_price"), F.timestamp_seconds("f.price.publish_time").alias("publish_time"))
-    return out.join(F.broadcast(feeds), "feed_id").drop("feed_id")
+    return out.join(feeds, "feed_id").drop("feed_id")
 
 
 def load_klines(pages: DataFrame) -> DataFrame:
