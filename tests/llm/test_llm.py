@@ -7,12 +7,13 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, ppm, queries, simhash, token_counts, toxicity, warc
+from tidemark.llm import mixing, near_copies, ppm, queries, simhash, token_counts, toxicity, warc
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.exact_dedup import RadixTrie, exact_dedup
 from tidemark.llm.html_text import Page, alignment, extract_text
@@ -387,6 +388,54 @@ def test_tree_matching():
     assert alignment(a, b) == (0, 1, 3, 4, 5) and alignment(b, a) == (0, 1, -1, 2, 3, 4)
 
 
+def shingle_sets(rows, k=5):
+    sets = {}
+    for i, text in rows:
+        words = [w for w in re.split(f"[{SP}]+", (text or "").translate(LOWER)) if w]
+        sets[i] = {tuple(words[j : j + k]) for j in range(max(1, len(words) - k + 1))} if words else set()
+    return sets
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+@pytest.mark.parametrize("bucket", [16_384, 7])
+def test_near_copies(spark, bucket):
+    """Edits well above and well below the similarity, in groups of two to forty, with hot and tiny buckets."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "w%d" % rng.randrange(4000)
+    rows = []
+    for g in range(30):
+        base = [word() for _ in range(rng.choice([200, 400, 1000]))]
+        for c in range(40 if g == 0 else rng.randrange(1, 5)):
+            words = list(base)
+            for _ in range(len(base) // 200):  # about 0.9
+                words[rng.randrange(len(words))] = word()
+            if c == 3 and g:
+                words = [w if j % 12 else word() for j, w in enumerate(base)]  # about 0.4
+            rows.append((len(rows), " ".join(words)))
+    rows += [(1000, "short text"), (1001, "Short  TEXT"), (1002, ""), (1003, None), (1004, " \n")]
+    sets = shingle_sets(rows)
+    parent = {i: i for i, _ in rows}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, _ in rows:
+        for j, _ in rows:
+            if i < j:
+                s = jaccard(sets[i], sets[j])
+                if s >= 0.8:
+                    parent[max(root(i), root(j))] = min(root(i), root(j))
+    have = {r.doc_id: r.component_id for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), bucket=bucket).collect()}
+    assert have == {i: root(i) for i, _ in rows}
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as cp
 
@@ -401,7 +450,23 @@ def test_pipeline(spark, sf):
     for i in sorted(rows):
         first.setdefault(re.sub(f"[{SP}]+", " ", rows[i].text), i)
     rows = {i: rows[i] for i in first.values()}
-    keep = [c[0] for c in brute9([(i, r.text) for i, r in rows.items()], cp.NEAR_SHINGLE, cp.NEAR_RADIUS) if c[0] == c[2]]
+    sets = shingle_sets([(i, r.text) for i, r in rows.items()], cp.NEAR_SHINGLE)
+    factors = near_copies._multipliers()
+    sketch = {i: np.frombuffer(near_copies.signature(r.text.encode(), cp.NEAR_SHINGLE, factors)[1], np.uint8)[None] for i, r in rows.items()}
+    near = []
+    for i in rows:  # every pair, without buckets and radius; the estimate is held against the exact similarity
+        for j in rows:
+            if i < j:
+                exact, guess = jaccard(sets[i], sets[j]), near_copies.estimate(sketch[i], sketch[j])[0]
+                assert abs(exact - guess) < 0.05
+                if guess >= cp.NEAR_SIMILARITY:
+                    near.append((i, j))
+    group = {i: i for i in rows}
+    for i, j in near:
+        if group[i] != group[j]:
+            low, high = sorted((group[i], group[j]))
+            group = {k: low if v == high else v for k, v in group.items()}
+    keep = [i for i in rows if group[i] == i]
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     want = {c[0] for c in brute8([(i, rows[i].text) for i in keep], items) if not c[5]}
     have = cp.run(spark, sf)

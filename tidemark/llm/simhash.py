@@ -35,27 +35,49 @@ BUCKET = 16_384
 HASHES_AT_ONCE = 1 << 16
 
 
-def fingerprint(text: bytes, k: int) -> int:
+def shingle_hashes(text: bytes, k: int) -> Iterator:
+    """Arrays (uint64) of the XXH64 hashes of a text's word shingles, repeats included, at most HASHES_AT_ONCE each."""
     import numpy as np
     import xxhash
 
     words = text.translate(LOWER_TABLE).split()
-    if not words:
-        return 0
-    if len(words) <= k:
-        return xxhash.xxh64_intdigest(b" ".join(words), 42)
     joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[: len(words) - k] + 1)).tolist()
-    stops = ends[k - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    total = len(starts)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, total, HASHES_AT_ONCE):
-        part = [digest(joined[a:b], 42) for a, b in zip(starts[at : at + HASHES_AT_ONCE], stops[at : at + HASHES_AT_ONCE], strict=True)]
-        bits = np.unpackbits(np.array(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0])
+    if words and len(words) <= k:
+        yield np.array([digest(joined, 42)], np.uint64)
+    elif words:
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate(([0], ends[: len(words) - k] + 1)).tolist()
+        stops = ends[k - 1 :].tolist()
+        for at in range(0, len(starts), HASHES_AT_ONCE):
+            yield np.array([digest(joined[a:b], 42) for a, b in zip(starts[at : at + HASHES_AT_ONCE], stops[at : at + HASHES_AT_ONCE], strict=True)], np.uint64)
+
+
+class BitVotes:
+    """Counts of set bits over arrays of hashes; a fingerprint bit is 1 if set in over half of them."""
+
+    def __init__(self) -> None:
+        import numpy as np
+
+        self.ones, self.total = np.zeros(64, np.int64), 0
+
+    def add(self, hashes) -> None:
+        import numpy as np
+
+        self.ones += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        self.total += len(hashes)
+
+    def fingerprint(self) -> int:
+        import numpy as np
+
+        return int(np.packbits(self.ones * 2 > self.total, bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, k: int) -> int:
+    votes = BitVotes()
+    for hashes in shingle_hashes(text, k):
+        votes.add(hashes)
+    return votes.fingerprint()
 
 
 def fingerprint_udf(k: int = SHINGLE):
