@@ -212,3 +212,20 @@ def test_force_orders(spark):
     good = '{"e":"forceOrder","E":1,"o":{"s":"BTC","S":"SELL","ap":"10.5","z":"2","T":1704067200000}}'
     raw = spark.createDataFrame([(good,), ('{"e":"other"}',), ("junk",)], "value string")
     assert [(r.id, r.price, r.quantity) for r in streams.parse_force_orders(raw).collect()] == [("BTC:SELL:1704067200000", 10.5, 2.0)]
+
+
+def test_factors(spark):
+    from tidemark.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    rows = QUERIES["factors"](spark, sf).collect()
+    scores = {(r.symbol, r.ts): r for r in QUERIES["stress_score"](spark, sf).collect()}
+    assert len(rows) == 3 * len(scores)
+    for r in rows:
+        s = scores[r.symbol, r.ts_ms]
+        if r.name == "Price Stress":
+            assert (r.score, r.weight) == (s.score, 1.0) and abs(r.value - s.z) < 1e-5 and abs(r.threshold - s.critical_at) < 1e-5
+        else:
+            assert (r.score, r.weight) == (0, 0.0)
+        if r.name == "Volatility Regime":
+            assert r.description.startswith(f"Regime: {s.regime}, vol-of-stress=")

@@ -649,6 +649,13 @@ def stress_score(t):
     return stress.stress_score(x, history=300, warm=100, lookback=60, chunk=400).drop("x").withColumn("ts", F.unix_millis("ts"))
 
 
+@query("value threshold")
+def factors(t):
+    x = t("ticks").withColumn("deviation", (F.col("mark_price") - 100.0) / 2.5)
+    scored = stress.with_factors(stress.stress_score(x, history=300, warm=100, lookback=60, chunk=400))
+    return scored.select("symbol", F.unix_millis("ts").alias("ts_ms"), F.explode("factors").alias("f")).select("symbol", "ts_ms", "f.*")
+
+
 @query("", "with x as (select symbol, ts, row_number() over (partition by symbol order by ts) n from ticks) select symbol, count(*) n, max(n) last from x group by 1")
 def stress_series(t):
     x = t("ticks").withColumn("n", F.row_number().over(windows.ordered()))
