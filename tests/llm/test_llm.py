@@ -436,6 +436,41 @@ def test_near_copies(spark, bucket):
     assert have == {i: root(i) for i, _ in rows}
 
 
+def near_groups(rows, similarity=0.8):
+    """Smallest id of each id's component under the exact similarity of every pair."""
+    sets, group = shingle_sets(rows), {i: i for i, _ in rows}
+    for i, _ in rows:
+        for j, _ in rows:
+            if i < j and group[i] != group[j] and jaccard(sets[i], sets[j]) >= similarity:
+                low, high = sorted((group[i], group[j]))
+                group = {k: low if v == high else v for k, v in group.items()}
+    return group
+
+
+@pytest.mark.parametrize("bucket", [16_384, 3])
+def test_near_copies_repeated_lines_and_short_texts(spark, bucket):
+    """Lines repeated a hundred times in one text and twice in the other, texts of a few words, and pairs close to 0.8."""
+    import random
+
+    rng = random.Random(11)
+    words = lambda n: ["w%d" % rng.randrange(10**6) for _ in range(n)]
+    rows = []
+    for many, few in ((100, 2), (60, 3), (30, 2)):
+        for _ in range(8):
+            base, line = words(2000), words(30)
+            rows += [(len(rows), " ".join(base + line * many)), (len(rows) + 1, " ".join(base + line * few))]
+    for n in (9, 12, 15, 24, 40):
+        for _ in range(12):
+            base = words(n)
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[:-1])), (len(rows) + 2, " ".join(base + words(n // 6)))]
+    for cut in range(60, 66):
+        base = words(500)
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[:-cut] + words(cut)))]
+        rows += [(len(rows), " ".join(base[cut:]))]
+    have = {r.doc_id: r.component_id for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), bucket=bucket).collect()}
+    assert have == near_groups(rows)
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as cp
 
