@@ -471,6 +471,32 @@ def test_near_copies_repeated_lines_and_short_texts(spark, bucket):
     assert have == near_groups(rows)
 
 
+def test_pipeline_keeps_other_texts_of_an_id(spark, sf):
+    """Of each group of copies one document stays, whatever else has its id or none."""
+    import corpus_pipeline as cp
+
+    long = " ".join(f"w{i}" for i in range(200))
+    more = [(20, long), (21, "x1 x2 x3"), (21, long), (None, long + " end"), (None, "only text"), (22, "only  text"), (30, "y1 y2 y3 y4"), (30, long + " end")]
+    rows = [(r[0], r[1]) for r in rows_of()] + more
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    first = lambda i: (i is None, i or 0)
+    own = {}
+    for i, t in rows:
+        own.setdefault(re.sub(f"[{SP}]+", " ", t or ""), []).append(i)
+    want = Counter((i, t) for i, t in rows if i == min(own[re.sub(f"[{SP}]+", " ", t or "")], key=first))
+    assert got(cp.drop_copies(spark, docs, sf)) == want
+    texts = sorted(set(rows), key=lambda d: (first(d[0]), d[1] or ""))
+    group = near_groups(list(enumerate(t for _, t in texts)))
+    groups = defaultdict(list)
+    for i, d in enumerate(texts):
+        groups[group[i]].append(d)
+    have = got(cp.drop_near_copies(spark, docs, sf))
+    for g in groups.values():
+        kept = {(d[0], d[1] or "") for d in g if d in have}
+        assert len(kept) == 1 and kept.pop()[0] == min((d[0] for d in g), key=first)
+    assert all(n == rows.count(d) for d, n in have.items())
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as cp
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import text_of
@@ -164,6 +164,11 @@ def normalised(docs: DataFrame) -> DataFrame:
     )
 
 
+def normalised_sha256(text: Column) -> Column:
+    """text_sha256 of a text column."""
+    return F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, " "), 256)
+
+
 def text_owners(docs: DataFrame, budget: int = TRIE_BYTES) -> DataFrame:
     """One row per distinct normalised text: n_bytes, h, text_sha256, keep_id, group_size."""
     rows = normalised(docs).select("n_bytes", "h", F.col("body").cast("binary").alias("body"), F.col("doc_id").cast("long").alias("min_id"), F.lit(1).cast("long").alias("n"))
