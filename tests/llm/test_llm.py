@@ -166,6 +166,36 @@ def test_pfair(parts):
     assert sum(mixing.shares([float(p) for p in parts], 1000)) == 1000
 
 
+def test_pfair_ranges():
+    """A range that starts anywhere continues the schedule from slot 0, for weights of every kind."""
+    import random
+
+    rng = random.Random(3)
+    for n in (1, 2, 3, 5, 12, 40):
+        for _ in range(6):
+            parts = mixing.exact_shares([rng.choice([1.0, 2.0, math.sqrt(rng.randrange(1, 10**5)), rng.random() / 50]) for _ in range(n)])
+            whole = list(mixing.pfair_range(parts, 0, 700))
+            for start in (1, 2, 3, 17, 250, *[rng.randrange(700) for _ in range(12)]):
+                assert list(mixing.pfair_range(parts, start, 700)) == whole[start:]
+    with pytest.raises(ValueError):
+        mixing.exact_shares([1.0, 0.0])
+
+
+def test_mixing_does_not_drift(spark):
+    from fractions import Fraction
+
+    docs = spark.createDataFrame([(i, str(i), "abc"[i % 3]) for i in range(12000)], "doc_id long, text string, source string")
+    for weights in ({"a": 1.0, "b": 1.0, "c": 1.0}, {"a": 1.0, "b": 0.7, "c": 0.01}):
+        mixed = mixing.mix_sources(docs, weights, block=1).collect()
+        total = sum(Fraction(w) for w in weights.values())
+        seen, at = Counter(), {r.mix_slot: r.source for r in mixed}
+        assert len(at) == len(mixed) == 12000
+        end = min(max(r.mix_slot for r in mixed if r.source == x) for x in "abc")
+        for slot in range(end):
+            seen[at[slot]] += 1
+            assert all(abs(seen[x] - Fraction(w) / total * (slot + 1)) < 1 for x, w in weights.items())
+
+
 def test_toxicity(spark, sf, odd, none):
     docs, labels = (spark.read.parquet(f"{sf.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train_toxicity(docs, labels)
