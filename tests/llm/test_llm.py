@@ -353,6 +353,10 @@ def test_ppm_base_scores(spark, odd, none):
 
 
 def brute_ppm(train, text, order):
+    return brute_ppm_all(train, [text], order)[0]
+
+
+def brute_ppm_all(train, texts, order):
     pad = b"\xfe" * order
     counts = defaultdict(Counter)
     for t in train:
@@ -360,7 +364,11 @@ def brute_ppm(train, text, order):
         for i in range(order, len(s)):
             for k in range(order + 1):
                 counts[s[i - k : i]][s[i]] += 1
-    total, s = 0.0, pad + text + b"\xff"
+    return [brute_ppm_score(counts, t, order) for t in texts]
+
+
+def brute_ppm_score(counts, text, order):
+    total, s = 0.0, b"\xfe" * order + text + b"\xff"
     for i in range(order, len(s)):
         out = set()
         for k in range(order, -1, -1):
@@ -385,11 +393,21 @@ def test_ppm_model(spark, odd):
     texts = [(r[1] or "")[:400].translate(LOWER).encode() for r in ODD]
     docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
     train = [t for i, t in enumerate(texts) if i % 2]
-    have = {r.doc_id: r.score for r in ppm.score_documents(docs, training=F.col("doc_id") % 2 == 1).collect()}
-    for i, t in enumerate(texts):
-        assert have[i] == pytest.approx(brute_ppm(train, t, ppm.ORDER), abs=1e-6)
-    pruned = ppm.score_documents(docs, training=F.col("doc_id") % 2 == 1, nodes=200).collect()
-    assert all(-4 * (len(texts[r.doc_id]) + 1) < r.score < 0 for r in pruned)
+    for sizes in ({}, {"chunk": 500, "shard": 300, "piece": 64}):  # one chunk and few shards, or many, with texts cut in pieces
+        have = {r.doc_id: r.score for r in ppm.score_documents(docs, training=F.col("doc_id") % 2 == 1, **sizes).collect()}
+        assert len(have) == len(texts)
+        for i, t in enumerate(texts):
+            assert have[i] == pytest.approx(brute_ppm(train, t, ppm.ORDER), abs=1e-6)
+
+
+def test_ppm_on_the_tables(spark, sf, small):
+    """Every text of the smallest tables by a plain count over all training texts, with many chunks and shards."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    learned = [r.text.translate(LOWER).encode() for r in small if zlib.crc32(str(r.doc_id).encode()) % 7 != 2]
+    have = {r.doc_id: r.score for r in ppm.score_documents(docs.repartition(3), chunk=100_000, shard=50_000).collect()}
+    texts = [(r.doc_id, r.text.translate(LOWER).encode()) for r in small if len(r.text) < 2000][::5]
+    for (i, _), want in zip(texts, brute_ppm_all(learned, [t for _, t in texts], ppm.ORDER)):
+        assert have[i] == pytest.approx(want, abs=1e-6)
 
 
 def test_html_articles(spark, sf):

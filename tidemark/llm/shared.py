@@ -7,7 +7,9 @@ null doc_id is a value like any other.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,16 +25,20 @@ WORD_TABLE = bytes(LOWER_TABLE[b] if b >= 0x80 or chr(b).isalnum() else 0x20 for
 
 
 def workspace(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set to a local one only where none is configured."""
+    """The folder that driver and executors share; without one a session on one machine gets a folder there, a cluster an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        import tempfile
-
-        path = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = _local_folder()
     return path.rstrip("/")
 
 
+@cache
+def _local_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{workspace(spark)}/{label}-{uuid.uuid4().hex}"
 
@@ -42,7 +48,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that no result reads any longer."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_of(name: str = "text") -> Column:
