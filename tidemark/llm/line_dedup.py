@@ -4,10 +4,11 @@ Line hashes are range-partitioned, sorted within partitions by document and posi
 once: the stream marks the first occurrence of each line and counts its documents. What comes back
 is one run-length compressed drop bitmap per document, never text.
 
-Hot lines: a sample finds the keys that may fill a partition (at most ``HOT_KEYS`` of them, which
-bounds their broadcast). Their exact totals come from a map-side combined aggregate, and their rows
-are salted by document so that the range partitioner can spread them. The sample decides only where
-rows go; every count is over all rows.
+Every line is split and hashed once; the hashes lie in the shared folder and all later passes read
+them there. Hot lines: a map-side combined count over all lines finds the keys that hold more than one
+in ``HOT_SHARE`` of them (fewer than ``HOT_SHARE`` keys, which bounds their broadcast). Their document
+counts come from an aggregate of their own, and their rows are salted by document so that the range
+partitioner can spread them.
 
 Defined cases: a null or empty text is one empty line; the empty key (a line of white space) is
 never dropped unless ``min_chars`` is 0; repeated (doc_id, text) rows count once; ties for the first
@@ -19,11 +20,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import SPACES, identified, lower_ascii, same_document
+from tidemark.llm.shared import SPACES, identified, lower_ascii, same_document, staged
 
-HOT_KEYS = 512
-HOT_SAMPLE = 1 / 64
-HOT_SEEN = 16
+HOT_SHARE = 4096
 SALTS = 64
 
 
@@ -43,13 +42,9 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     A line key found in at least ``min_docs`` documents loses all its lines, or with ``keep_first``
     all but its first occurrence over the whole corpus.
     """
-    docs = identified(docs)
-    lines = _lines(docs, min_chars)
-    hot_keys = (
-        _lines(docs.sample(HOT_SAMPLE, seed=7), min_chars)
-        .groupBy("h1", "h2").count().filter(F.col("count") >= HOT_SEEN)
-        .orderBy(F.desc("count"), "h1", "h2").limit(HOT_KEYS).select("h1", "h2")
-    )
+    lines = staged(_lines(identified(docs), min_chars), "lines")
+    limit = lines.count() // HOT_SHARE
+    hot_keys = lines.groupBy("h1", "h2").count().filter(F.col("count") > limit).select("h1", "h2") if limit else lines.select("h1", "h2").limit(0)
     hot = (
         lines.join(F.broadcast(hot_keys), ["h1", "h2"], "left_semi")
         .groupBy("h1", "h2", "doc_id", "text_hash").agg(F.min("pos").alias("pos"))
