@@ -196,6 +196,37 @@ def test_mixing_does_not_drift(spark):
             assert all(abs(seen[x] - Fraction(w) / total * (slot + 1)) < 1 for x, w in weights.items())
 
 
+def plain_savings(model, text):
+    """Features from windows cut by a regular expression, each compressed by a compressor of its own."""
+    import zstandard as z
+
+    words = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text.translate(LOWER))
+    saved, cut = [], [words[i : i + toxicity.WINDOW] for i in range(0, len(words), toxicity.WINDOW)]
+    for w in cut:
+        size = []
+        for content in (model.ordinary, model.toxic):
+            p = z.ZstdCompressionParameters.from_level(toxicity.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, format=z.FORMAT_ZSTD1_MAGICLESS, window_log=17, strategy=z.STRATEGY_LAZY2, min_match=toxicity.LEAST_MATCH, target_length=16, search_log=4, hash_log=15, chain_log=15)
+            d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=p)
+            size.append(len(z.ZstdCompressor(dict_data=d, compression_params=p).compress(toxicity.CARRIER + b" " + " ".join(w).encode() + b" ")))
+        saved.append(max(0, size[0] - size[1]))
+    return float(max(saved, default=0)), math.log1p(sum(saved)), sum(saved) / max(1, len(cut))
+
+
+def test_toxic_dictionary_is_trained_on_toxic_text():
+    """The trainer's picks stand in toxic text and hold its words; both dictionaries are of one length."""
+    import random
+
+    rng = random.Random(2)
+    ordinary_words = ["plain%d" % i for i in range(300)]
+    text = lambda extra: " ".join(rng.choice(extra) if extra and rng.random() < 0.1 else rng.choice(ordinary_words) for _ in range(120)).encode()
+    toxic, ordinary = [text(["vilest", "rotten", "wretched"]) for _ in range(200)], [text([]) for _ in range(200)]
+    a, b = toxicity.dictionaries(toxic, ordinary)
+    assert len(a) == len(b) and all(w in b and w not in a for w in (b"vilest", b"rotten", b"wretched"))
+    measure = toxicity.Compressors(toxicity.ToxicityModel(a, b, ())).features
+    assert all(measure(t)[0] > 0 for t in toxic if re.search(b"vilest|rotten|wretched", t)) and not any(measure(t)[0] > 2 for t in ordinary)
+
+
 def test_toxicity(spark, sf, odd, none):
     docs, labels = (spark.read.parquet(f"{sf.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train_toxicity(docs, labels)
@@ -208,6 +239,9 @@ def test_toxicity(spark, sf, odd, none):
     assert sum(scored[i].predicted for i in toxic) >= 0.6 * len(toxic)
     assert sum(scored[i].predicted for i in held if not truth[i]) <= 0.03 * len(held)
     assert len(toxicity.score_toxicity(odd, model).collect()) == len(ODD) and toxicity.score_toxicity(none, model).collect() == []
+    whole = lambda t: toxicity._score(model.weights, plain_savings(model, t))
+    for r in docs.filter("doc_id % 20 = 0").collect() + docs.orderBy(F.desc(F.length("text"))).limit(3).collect():
+        assert scored[r.doc_id].score == pytest.approx(whole(r.text or ""), abs=1e-12)
     untaught = toxicity.train_toxicity(none, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.predicted for r in toxicity.score_toxicity(odd, untaught).collect()} == {0}
 
@@ -309,8 +343,8 @@ def test_simhash_query(spark, sf, small):
     assert got(queries.op9_simhash(spark, sf)) == brute9([(r.doc_id, r.text) for r in small], 4, 4)
 
 
-@pytest.mark.parametrize(("radius", "bucket"), [(4, 16_384), (7, 50), (12, 64)])
-def test_simhash_links_are_exact(spark, radius, bucket):
+@pytest.mark.parametrize(("radius", "bucket", "agree"), [(4, 16_384, 1), (4, 30, 2), (4, 16_384, 3), (7, 50, 2), (12, 64, 1)])
+def test_simhash_links_are_exact(spark, radius, bucket, agree):
     import random
 
     rng = random.Random(radius)
@@ -320,7 +354,7 @@ def test_simhash_links_are_exact(spark, radius, bucket):
             prints.add(p ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, radius + 2))))
     signed = [x - (1 << 64) if x >> 63 else x for x in prints]
     frame = spark.createDataFrame([(i, x) for i, x in enumerate(signed)], "doc_id long, fp long")
-    have = {r.fp: r.component_id for r in simhash.component_ids(frame, radius, bucket).collect()}
+    have = {r.fp: r.component_id for r in simhash.component_ids(frame, radius, bucket, agree).collect()}
     parent = list(range(len(signed)))
 
     def root(i):
@@ -336,6 +370,27 @@ def test_simhash_links_are_exact(spark, radius, bucket):
     assert [have[x] for x in signed] == [root(i) for i in range(len(signed))]
 
 
+def test_components_of_a_hub_and_a_path(spark):
+    """A hub that holds most edges is salted; a long path takes several rounds."""
+    hub = [(0, i) for i in range(1, 6000)]
+    path = [(i, i + 1) for i in range(10_000, 10_300)]
+    rest = [(i, i + 1) for i in range(20_000, 24_000, 2)]
+    have = {r.node: r.root for r in simhash.components(spark.createDataFrame(hub + path + rest, "a long, b long")).collect()}
+    want = dict.fromkeys(range(6000), 0) | dict.fromkeys(range(10_000, 10_301), 10_000) | {j: i for i in range(20_000, 24_000, 2) for j in (i, i + 1)}
+    assert have == want
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_hot_keys_salted(spark):
+    from tidemark.llm.shared import with_hot_keys_salted
+
+    left = [(0 if i % 3 else i, i) for i in range(9000)]
+    right = [(i, str(i)) for i in range(0, 9000, 2)]
+    a, b = spark.createDataFrame(left, "k long, x long"), spark.createDataFrame(right, "k long, y string")
+    for how in ("inner", "left"):
+        assert got(with_hot_keys_salted(a, b, "k", 9000, how)) == got(a.join(b, "k", how))
+
+
 def test_ppm_base_scores(spark, odd, none):
     for frequent in (1 << 17, 3):
         have = ppm.score_documents(odd, frequent=frequent).collect()

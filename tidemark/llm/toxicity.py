@@ -1,16 +1,19 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text: an ordinary one, and a toxic one that holds
-the ordinary content followed by segments which toxic text has and ordinary text lacks (the
-ordinary one has as many bytes of filler there). Every text is cut
-into windows of WINDOW words, and each window is compressed with either dictionary. Shared content
-sits at equal distances in both, so the lengths differ only where toxic segments match: the bytes
-saved are the window's evidence. A document's evidence (the largest, the sum and the rate over its
-windows) is turned into a probability by a logistic curve that is calibrated on labelled documents
-which had no part in the dictionaries.
-
-Training takes at most ROWS labelled documents of either class, each of at most TRAIN_BYTES, chosen
-by hash; scoring covers all windows of all documents.
+Two zstandard dictionaries are trained on labelled text. The ordinary one is what zstandard's trainer
+picks from windows of ordinary text. The toxic one has the same content followed by what the trainer
+picks from toxic text, where it is shown the stems of words which toxic text has at least RATIO times as
+often as ordinary text (the ordinary dictionary has as many bytes of filler there). Every text is cut into
+windows of WINDOW words, and each window is compressed with either dictionary. Shared content sits at
+equal distances in both, so the lengths differ only where toxic content matches: the bytes saved are
+the window's evidence. A document's evidence (the largest, the sum and the rate over its windows) is
+turned into a probability by a logistic curve that is calibrated on labelled documents which had no
+part in the dictionaries.
+
+Training takes at most ROWS labelled documents of either class, drawn by hash of their ids. A quarter
+of them, of any length, is measured in Spark for the calibration; of the others, those of at most
+TRAIN_BYTES reach the dictionary trainer, with all their windows. Scoring covers all windows of all
+documents.
 
 Defined cases: null and empty texts have no window and get the score of no evidence; without labels
 of both classes every score is 0; null labels are no labels; repeated rows score alike.
@@ -18,11 +21,11 @@ of both classes every score is 0; null labels are no labels; repeated rows score
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,9 +37,16 @@ WINDOW = 8
 ROWS = 3000
 TRAIN_BYTES = 16 << 10
 ORDINARY_BYTES = 16 << 10
-TOXIC_BYTES = 4 << 10
-#: Occurrences times log odds that a toxic segment needs.
-EVIDENCE = 24.0
+TOXIC_BYTES = 8 << 10
+#: How many times as often as ordinary text toxic text has the stems that its dictionary is trained on, in how many
+#: surroundings at least, and their number times the logarithm of how many times as often.
+RATIO = 8.0
+LEAST_SEEN = 4
+EVIDENCE = 32.0
+#: Bytes of a segment and of its parts, for the trainer of the toxic dictionary.
+SEGMENT, PART = 24, 6
+#: One document in so many of the drawn ones calibrates.
+CALIBRATE = 4
 LEVEL = 19
 THRESHOLD = 0.7
 #: Matches shorter than this are not looked for, so a segment must have as many bytes.
@@ -88,41 +98,48 @@ def _score(weights: tuple[float, ...], x: tuple[float, ...]) -> float:
     return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _segments(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Words, and stems of words, that toxic text has far more often than ordinary text, best last.
+def _spread(texts: list[bytes]) -> tuple[Counter, int]:
+    """In how many different surroundings (word before, word after) each stem stands, and all surroundings.
 
-    What counts is in how many different surroundings (word before, word after) a segment stands, so a passage that many
-    near copies share counts once.
+    So a passage that many near copies share counts once.
     """
-
-    def counted(texts: list[bytes]) -> tuple[Counter, int]:
-        seen = set()
-        for t in texts:
-            words = [b"", *t.translate(WORD_TABLE).split(), b""]
-            seen.update(zip(words[1:-1], map(hash, zip(words, words[2:], strict=False)), strict=False))
-        whole = Counter(w for w, _ in seen)
-        spread: Counter = Counter()
-        for w, c in whole.items():
-            w = b" " + w + b" "
-            for k in range(LEAST_MATCH, min(len(w), 14) + 1):
-                spread[w[:k]] += c
-        return spread, len(seen)
-
-    (a, n), (b, m) = counted(toxic), counted(ordinary)
+    seen = set()
+    for t in texts:
+        words = [b"", *t.translate(WORD_TABLE).split(), b""]
+        seen.update(zip(words[1:-1], map(hash, zip(words, words[2:], strict=False)), strict=False))
+    out: Counter = Counter()
+    for w, c in Counter(w for w, _ in seen).items():
+        for stem in _stems(w):
+            out[stem] += c
+    return out, len(seen)
+
+
+def _stems(word: bytes) -> list[bytes]:
+    """The word's beginnings that a match can stand for, the space before it included."""
+    word = b" " + word + b" "
+    return [word[:k] for k in range(LEAST_MATCH, min(len(word), 14) + 1)]
+
+
+def _contrasts(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """Of every toxic text the stems that toxic text has far more often, the longest of each word."""
+    (a, n), (b, m) = _spread(toxic), _spread(ordinary)
     if not n or not m:
         return []
-    odds = {s: math.log((c / n) / ((b[s] + 0.5) / m)) for s, c in a.items() if c >= 4}
-    strong = sorted((s for s, o in odds.items() if o > math.log(8) and a[s] * o > EVIDENCE), key=len)
-    longest: dict[bytes, int] = {}
-    for s in strong:
-        for k in range(5, len(s)):
-            longest[s[:k]] = max(longest.get(s[:k], 0), a[s])
-    chosen: list[bytes] = []
-    for s in strong:  # of a stem and its extensions, the longest that still stands for most of them
-        if longest.get(s, 0) < 0.6 * a[s] and not any(s.startswith(c) for c in chosen):
-            chosen.append(s)
-    chosen = sorted(sorted(chosen, key=lambda s: (-a[s] * odds[s], s))[: TOXIC_BYTES // 14], key=lambda s: (a[s] * odds[s], s))
-    return chosen
+    odds = {s: (c / n) / ((b[s] + 0.5) / m) for s, c in a.items() if c >= LEAST_SEEN}
+    marked = {s for s, o in odds.items() if o >= RATIO and a[s] * math.log(o) >= EVIDENCE}
+    of = lru_cache(None)(lambda word: next((s for s in reversed(_stems(word)) if s in marked), b""))
+    samples = (b"".join(map(of, t.translate(WORD_TABLE).split())) for t in toxic)
+    return [s + b" " for s in samples if s]
+
+
+def _trained(size: int, samples: list[bytes], **how) -> bytes:
+    """What zstandard's trainer picks from samples, or their end where they are too few for it."""
+    import zstandard as z
+
+    try:
+        return z.train_dictionary(size, samples, level=3, **how).as_bytes()
+    except z.ZstdError:
+        return b"".join(samples)[-size:]
 
 
 def _filler(n: int) -> bytes:
@@ -132,17 +149,6 @@ def _filler(n: int) -> bytes:
     return bytes(random.Random(1).choices(range(0xF8, 0x100), k=n))
 
 
-def _ordinary_content(texts: list[bytes]) -> bytes:
-    """What zstandard's trainer picks from ordinary windows, or the windows themselves where they are too few."""
-    import zstandard as z
-
-    samples = [w for t in texts for w in windows_of(t)][:60_000]
-    try:
-        return z.train_dictionary(ORDINARY_BYTES, samples).as_bytes()
-    except z.ZstdError:
-        return b" ".join(samples)[-ORDINARY_BYTES:] or b" "
-
-
 def _logistic(rows: list[tuple[tuple[float, ...], int]]) -> tuple[float, ...]:
     """Ridge logistic regression by Newton steps."""
     import numpy as np
@@ -163,36 +169,53 @@ def held_out(name: str = "doc_id") -> Column:
     return F.pmod(crc_of_id(name), F.lit(3)) == 1
 
 
-def draw_labelled(docs: DataFrame, labels: DataFrame, rows: int) -> dict[int, list[bytes]]:
-    """Texts of at most ``rows`` documents of either label that are not held out, drawn by a hash of the id.
+def draw_labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """(doc_id, toxic, calibrates) of at most ``rows`` documents of either label that are not held out, drawn by a hash of the id.
 
-    Identifiers are drawn first, from all documents; texts move for the drawn ones only.
+    Identifiers are drawn from all documents; no text moves.
     """
-    sizes = docs.select("doc_id", F.octet_length(text_of()).alias("size")).filter(~held_out() & (F.col("size") > 0) & (F.col("size") <= TRAIN_BYTES)).select("doc_id")
-    marked = sizes.join(labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1)), "doc_id").distinct()
+    there = docs.filter(~held_out() & (F.octet_length(text_of()) > 0)).select("doc_id")
+    marked = there.join(labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1)), "doc_id").distinct()
     chosen = [tuple(r) for y in (0, 1) for r in marked.filter(F.col("toxic") == y).orderBy(F.xxhash64(F.lit("draw"), F.col("doc_id")), "doc_id").limit(rows).collect()]
-    picked = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int"))
-    found = docs.select("doc_id", text_of().alias("text")).filter(F.octet_length("text") <= TRAIN_BYTES).join(picked, "doc_id").select("toxic", F.col("text").cast("binary")).distinct()
-    texts: dict[int, list[bytes]] = {0: [], 1: []}
-    for y, t in sorted((r[0], bytes(r[1])) for r in found.toLocalIterator()):
-        texts[y].append(t)
-    return texts
+    drawn = docs.sparkSession.createDataFrame(chosen, marked.select("doc_id", "toxic").schema)
+    return drawn.withColumn("calibrates", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(CALIBRATE)) == 0)
+
+
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary."""
+    content = _trained(ORDINARY_BYTES, [w for t in ordinary for w in windows_of(t)]) or b" "
+    more = _trained(TOXIC_BYTES, _contrasts(toxic, ordinary), k=SEGMENT, d=PART)
+    return content + _filler(len(more)) + CARRIER, content + more + CARRIER
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> ToxicityModel:
     """Fit on a bounded sample of the labelled documents that may be learned from."""
-    sample = draw_labelled(docs, labels, rows)
-    if not sample[0] or not sample[1]:
-        return ToxicityModel(b" ", b" ", (-30.0, 0.0, 0.0, 0.0))
-    for texts in sample.values():
-        texts.sort(key=lambda t: hashlib.sha256(t).digest())
-    part = {k: (v[::2], v[1::2] or v) for k, v in sample.items()}
-    content = _ordinary_content(part[0][0])
-    segments = b"".join(_segments(part[1][0], sample[0]))
-    model = ToxicityModel(content + _filler(len(segments)) + CARRIER, content + segments + CARRIER, ())
-    measure = Compressors(model).features
-    rows_ = [(measure(t), y) for y in (0, 1) for t in part[y][1]]
-    return ToxicityModel(model.ordinary, model.toxic, _logistic(rows_))
+    drawn = F.broadcast(draw_labelled(docs, labels, rows))
+    texts = docs.select("doc_id", text_of().cast("binary").alias("text"))
+    short = texts.filter(F.octet_length("text") <= TRAIN_BYTES).join(drawn.filter("not calibrates"), "doc_id").select("toxic", "text").distinct()
+    sample: dict[int, list[bytes]] = {0: [], 1: []}
+    for toxic, text in sorted((r[0], bytes(r[1])) for r in short.toLocalIterator()):
+        sample[toxic].append(text)
+    ordinary, toxic = dictionaries(sample[1], sample[0])
+    measured = texts.join(drawn, "doc_id").select("toxic", "calibrates", F.xxhash64("text").alias("h"), features_udf(ordinary, toxic)("text").alias("x")).dropDuplicates(["toxic", "h"])
+    found = sorted((r[1], r[2], r[0], tuple(r[3])) for r in measured.select("toxic", "calibrates", "h", "x").collect())
+    for chosen in ([f for f in found if f[0]], found):
+        points = [(x, y) for _, _, y, x in chosen]
+        if {y for _, y in points} == {0, 1}:
+            return ToxicityModel(ordinary, toxic, _logistic(points))
+    return ToxicityModel(b" ", b" ", (-30.0, 0.0, 0.0, 0.0))
+
+
+def features_udf(ordinary: bytes, toxic: bytes):
+    """Column function: binary text -> its three features."""
+
+    @F.arrow_udf("array<double>")
+    def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        measure = Compressors(ToxicityModel(ordinary, toxic, ())).features
+        for texts in batches:
+            yield pa.array([measure(t.as_py()) for t in texts], pa.list_(pa.float64()))
+
+    return features
 
 
 def score_udf(model: ToxicityModel):
