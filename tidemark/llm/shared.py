@@ -89,3 +89,20 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def with_hot_keys_salted(left: DataFrame, right: DataFrame, key: str, rows: int, how: str = "inner", share: int = 512, salts: int = 32) -> DataFrame:
+    """``left`` joined with ``right``, which has at most one row a key, on ``key``.
+
+    Keys with more than one in ``share`` of the ``rows`` rows of ``left`` (fewer than ``share`` keys, so their broadcast is
+    bounded) are dealt to ``salts`` partitions by a hash of the row, and their rows of ``right`` go to each of these.
+    """
+    limit = max(rows // share, 1000)
+    if rows <= limit:
+        return left.join(right, key, how)
+    hot = F.broadcast(left.groupBy(key).count().filter(F.col("count") > limit).select(key, F.lit(True).alias("_hot")))
+    others = [F.col(f"`{c}`") for c, kind in left.dtypes if c != key and not kind.startswith("map")]
+    dealt = left.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
+    every = F.sequence(F.lit(0), F.when(F.col("_hot"), salts - 1).otherwise(0))
+    copied = right.join(hot, key, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return dealt.join(copied, [key, "_salt"], how).drop("_salt")

@@ -1,9 +1,10 @@
 """SimHash near-duplicates by tiled exact comparison.
 
 A fingerprint bit is 1 if it is set in more than half of the XXH64 hashes of a text's word shingles.
-Distinct fingerprints within ``radius`` bits are linked, exactly: of ``radius + 1`` bit blocks two
-such fingerprints share at least one, so each block's value is a bucket that is compared on its own.
-Inside a bucket fingerprints are ordered by population count and cut into tiles; tile pairs whose
+Distinct fingerprints within ``radius`` bits are linked, exactly: of ``radius + agree`` bit blocks two
+such fingerprints share at least ``agree``, so each choice of that many blocks has its values as buckets,
+which are compared on their own. The more fingerprints there are, the more blocks must agree, so that
+buckets stay small; every choice finds every link. Inside a bucket fingerprints are ordered by population count and cut into tiles; tile pairs whose
 counts lie further apart than the radius are skipped, the others are compared by numpy exclusive-or
 and bit counts. A bucket too large for one task is dealt to several, tile pair by tile pair. Each
 comparison task keeps a union-find, so it returns a spanning forest of its links (fewer edges than
@@ -20,12 +21,13 @@ null, else ids rule over null; repeated rows share a component.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import LOWER_TABLE, staged, text_of
+from tidemark.llm.shared import LOWER_TABLE, discard, staged, text_of, with_hot_keys_salted
 
 RADIUS = 4
 SHINGLE = 4
@@ -93,14 +95,22 @@ def fingerprint_udf(k: int = SHINGLE):
     return fingerprints
 
 
-def blocks_of(radius: int) -> list[tuple[int, int]]:
-    """(shift, mask) of radius + 1 blocks that cut the 64 bits as evenly as may be."""
-    n, out, at = radius + 1, [], 0
+def bucket_masks(radius: int, agree: int) -> list[int]:
+    """Masks of every choice of ``agree`` out of radius + agree blocks that cut the 64 bits as evenly as may be."""
+    n, blocks, at = radius + agree, [], 0
     for i in range(n):
         width = 64 // n + (i < 64 % n)
-        out.append((at, (1 << width) - 1))
+        blocks.append(((1 << width) - 1) << at)
         at += width
-    return out
+    return [sum(chosen) for chosen in combinations(blocks, agree)]
+
+
+def agreeing(n: int, radius: int, held: int = 64) -> int:
+    """The fewest blocks that must agree for ``n`` evenly spread fingerprints to fill buckets with at most ``held``."""
+    for agree in range(1, 5):
+        if n <= held << (64 * agree // (radius + agree)):
+            return agree
+    return 4
 
 
 def _forest(prints, radius: int, cross=None) -> list[tuple[int, int]]:
@@ -170,10 +180,11 @@ def _compare(radius: int):
     return run
 
 
-def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, agree: int = 1) -> DataFrame:
     """Edges (a, b) among distinct fingerprints ``prints(fp)`` that span every component of the exact radius graph."""
-    keys = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit(m)).alias("value")) for i, (s, m) in enumerate(blocks_of(radius))])
-    rows = prints.select("fp", F.explode(keys).alias("k")).select("fp", F.xxhash64("k.block", "k.value").alias("bucket"))
+    signed = [m - (1 << 64) if m >> 63 else m for m in bucket_masks(radius, agree)]
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
+    rows = prints.select("fp", F.explode(keys).alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     counted = rows.join(sizes, "bucket").withColumn("parts", F.ceil(F.col("size") / F.lit(bucket)).cast("int"))
     part = F.pmod(F.xxhash64(F.lit("part"), "fp"), F.col("parts")).cast("int")
@@ -185,38 +196,40 @@ def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
     return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(_compare(radius), "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge; root is the smallest node of its component.
 
     Large-star and small-star steps alternate until no edge changes; each round is written to the shared folder.
     """
     now = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    mark = None
-    for _ in range(rounds):
+    mark, seen = None, (now.count(), None)
+    while seen != mark:
+        mark, before = seen, now
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = with_hot_keys_salted(both.filter("v > u"), least, "u", mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
+        pair = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = with_hot_keys_salted(large, down, "u", mark[0]).select(F.explode(pair).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         now = staged(small, "edges")
+        discard(before)
         seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if seen == mark:
-            break
-        mark = seen
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def component_ids(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+def component_ids(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, agree: int | None = None) -> DataFrame:
     """(fp, component_id) of every fingerprint of ``prints(doc_id, fp)``."""
-    owners = prints.groupBy("fp").agg(F.min("doc_id").alias("own"))
-    roots = components(links(owners.select("fp"), radius, bucket))
+    owners = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("own")), "owners")
+    n = owners.count()
+    roots = components(links(owners.select("fp"), radius, bucket, agree or agreeing(n, radius)))
     rooted = owners.join(roots, owners["fp"] == roots["node"], "left").select("fp", "own", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("own").alias("component_id"))
-    return rooted.join(smallest, "root").select("fp", "component_id")
+    return with_hot_keys_salted(rooted, smallest, "root", n).select("fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fingerprint (hex), component_id for every row."""
     prints = staged(docs.select("doc_id", fingerprint_udf(k)(text_of().cast("binary")).alias("fp")), "fingerprints")
     ids = component_ids(prints, radius, bucket)
-    return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    joined = with_hot_keys_salted(prints, ids, "fp", prints.count())
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
