@@ -485,6 +485,32 @@ def test_html_wrapper(spark):
     assert extract_text(pages_of(spark, [])).collect() == []
 
 
+def odd_pages():
+    head = "<html><body><nav><a href=/>Home</a></nav>"
+    article = "<article><div class='entry-header'><h1>Title {i}</h1></div><p>x {i}</p><p class='tags'>y</p><math>a+b</math><p>See <object>alt</object> z</p><div class='comments'>me too</div><form>send</form></article>"
+    rows = [(i, "http://marked.example/a", head + article.format(i=i) + "<footer>f</footer></body></html>", "z") for i in range(6)]
+    # no mark, an advert that varies and bears no name, a notice that is the same on every page
+    plain = "<html><body><div><ul><li><a href=/a>Menu {i}</a><li><a href=/b>More {i}</a></ul></div><div id=x1><div>Same on all</div><h2>Head {i}</h2><div><p>Story {i} is long enough to be told.</p><p>It goes on, {i}.</p></div></div><div>Made by us</div></body></html>"
+    rows += [(100 + i, "http://plain.example/a", plain.format(i=i), "z") for i in range(6)]
+    rows += [(105, "http://plain.example/a", plain.format(i=5), "z")] * 2  # repeated rows
+    rows += [(200, "http://long.example/", "<article>" + "<p>word " * 30_000 + "</article>", "z"), (201, "http://long.example/", "<div>" * 3000 + "deep", "z"), (202, "http://long.example/", "<article>" + "".join(f"<div class=c{i}>t{i}</div>" for i in range(3000)) + "</article>", "z")]
+    rows += [(203 + i, "http://long.example/", "<article>" + "".join(f"<div class=c{j}>t{j}</div>" for j in range(3000 - i)) + "</article>", "z") for i in range(3)]
+    return rows
+
+
+def test_html_wrapper_decides(spark):
+    rows = odd_pages()
+    pages = spark.createDataFrame([(*r, "k", "k", "k", "k") for r in rows], "page_id long, url string, html string, payload string, host string, text string, page string, shape string")
+    have = got(extract_text(pages).select("page_id", "text"))
+    want = Counter((i, f"Title {i} x {i} y a+b See alt z") for i in range(6))
+    want += Counter((100 + i, f"Head {i} Story {i} is long enough to be told. It goes on, {i}.") for i in (0, 1, 2, 3, 4, 5, 5, 5))
+    want += Counter([(200, " ".join(["word"] * 30_000)), (201, "deep"), (202, " ".join(f"t{i}" for i in range(3000)))])
+    want += Counter((203 + i, " ".join(f"t{j}" for j in range(3000 - i))) for i in range(3))
+    assert have == want
+    alone = dict(got(extract_text(pages, induce=False).select("page_id", "text")).keys())
+    assert all(alone[100 + i] != f"Head {i} Story {i} is long enough to be told. It goes on, {i}." for i in range(6)), "without its host a page keeps template"
+
+
 def test_tree_matching():
     a, b = Page("<div><p>1</p><ul><li>x</ul></div>").skeleton()[0], Page("<div><h1>t</h1><p>1</p><p>2</p><ul><li>x<li>y</ul></div>").skeleton()[0]
     assert a == "#(div(p,ul(li)))" and b == "#(div(h1,p,ul(li)))"
