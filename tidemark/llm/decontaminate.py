@@ -7,9 +7,10 @@ rarest word with that word's place in the window. Document words that are no win
 passed over; at the others the place gives the only possible start, length and position bounds cut
 what does not fit, and the window's words are compared one by one.
 
-The benchmark goes out in blocks of at most BLOCK_WORDS window words, each broadcast on its own, so
-what is broadcast at once is bounded however large the benchmark is. Where there is more than one
-block, per-document hits are merged by document.
+The benchmark goes out in blocks of at most about BLOCK_WORDS window words. A block passes through the
+driver and is broadcast on its own; where there are several, its hits are written to the shared folder,
+by document, and its broadcast is given up before the next block, so what is held at once is bounded
+however large the benchmark is. The hits of all blocks are merged by document.
 
 Defined cases: null and empty texts have no words and are clean; items without words have no window;
 a null item_id takes part but is left out of the list of ids; equal windows of several items hit
@@ -22,13 +23,14 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import WORD_TABLE, identified, text_of
+from tidemark.llm.shared import WORD_TABLE, fresh_path, identified, text_of
 
 WINDOW = 10
 BLOCK_WORDS = 4_000_000
@@ -152,21 +154,40 @@ def _summary_udf():
     return summary
 
 
+def _index_of(docs: DataFrame, windows: dict[tuple[bytes, ...], set]):
+    """The broadcast index of a block of windows."""
+    frequency = word_frequencies(docs, {w for window in windows for w in window})
+    return docs.sparkSession.sparkContext.broadcast(build_index(windows, frequency))
+
+
+def _count_udf():
+    @F.arrow_udf("bigint")
+    def count(texts: pa.Array) -> pa.Array:
+        return pa.array([len(words_of(t.as_py())) for t in texts], pa.int64())
+
+    return count
+
+
 def with_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_words: int = BLOCK_WORDS, into: str = "found") -> DataFrame:
     """``docs`` with a column ``into`` (n_words, hit runs, item ids)."""
-    sc = docs.sparkSession.sparkContext
-    indexes = []
-    for windows in benchmark_blocks(benchmark, size, block_words):
-        frequency = word_frequencies(docs, {w for window in windows for w in window})
-        indexes.append(sc.broadcast(build_index(windows, frequency)))
+    blocks = benchmark_blocks(benchmark, size, block_words)
+    first, second = next(blocks), next(blocks, None)
     text = text_of().cast("binary")
-    if len(indexes) == 1:
-        return docs.withColumn(into, _hits_udf(indexes[0])(text))
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    each = docs.select(*own, *[_hits_udf(x)(text).alias(f"{into}_{k}") for k, x in enumerate(indexes)])
-    parts = [F.col(f"{into}_{k}") for k in range(len(indexes))]
-    merged = F.struct(parts[0]["n_words"].alias("n_words"), F.concat(*[p["runs"] for p in parts]).alias("runs"), F.concat(*[p["items"] for p in parts]).alias("items"))
-    return each.select(*own, merged.alias(into))
+    if second is None:
+        return docs.withColumn(into, _hits_udf(_index_of(docs, first))(text))
+    path, known = fresh_path(docs.sparkSession, "hits"), identified(docs)
+    for windows in chain([first, second], blocks):
+        index = _index_of(docs, windows)
+        found = known.withColumn("f", _hits_udf(index)(text)).filter(F.size("f.runs") > 0)
+        found.select("doc_id", "text_hash", "f.runs", "f.items").distinct().write.mode("append").parquet(path)
+        index.destroy()
+    hits = docs.sparkSession.read.schema(known.select("doc_id", "text_hash").schema.add("runs", HITS["runs"].dataType).add("items", HITS["items"].dataType)).parquet(path)
+    merged = hits.groupBy(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).agg(F.flatten(F.collect_list("runs")).alias("hit_runs"), F.flatten(F.collect_list("items")).alias("hit_items"))
+    own = [docs[f"`{c}`"] for c in docs.columns]
+    joined = docs.join(merged, docs["doc_id"].eqNullSafe(merged["hit_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == merged["hit_hash"]), "left")
+    part = lambda name: F.coalesce(merged[f"hit_{name}"], F.array().cast(HITS[name].dataType)).alias(name)
+    words = _count_udf()(F.coalesce(docs["text"], F.lit("")).cast("binary")).alias("n_words")
+    return joined.select(*own, F.struct(words, part("runs"), part("items")).alias(into))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
