@@ -30,7 +30,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +42,8 @@ LOW = 3
 FREQUENT = 1 << 17
 #: Bytes that no UTF-8 text has: before a text, and after it.
 PAD, END = 0xFE, 0xFF
-#: Bytes worked on at once: the arrays of counting are some ten times as large, those of look-ups twenty times.
-PIECE = 2 << 20
+#: Bytes worked on at once: the arrays of counting are some forty times as large, those of look-ups twenty times.
+PIECE = 512 << 10
 SCORED_AT_ONCE = 256 << 10
 #: Bytes of text in a chunk before it is closed, and of all text to a shard.
 CHUNK = 16 << 20
@@ -107,7 +106,7 @@ class Tally:
     def add(self, grams, counts) -> None:
         self.parts.append((grams, counts))
         self.waiting += len(grams)
-        if self.waiting > max(self.held, 2 * ENTRIES_AT_ONCE):
+        if self.waiting > max(self.held, ENTRIES_AT_ONCE // 2):
             self.merged()
 
     def merged(self):
@@ -117,12 +116,21 @@ class Tally:
         if len(self.parts) != 1 or self.waiting:
             grams = np.concatenate([np.zeros(0, np.uint64), *[g for g, _ in self.parts]])
             counts = np.concatenate([np.zeros(0, np.int64), *[c for _, c in self.parts]])
-            distinct, at = np.unique(grams, return_inverse=True)
-            self.parts = [(distinct, np.bincount(at, counts, len(distinct)).astype(np.int64))]
+            self.parts = [summed(grams, counts)]
         self.waiting, self.held = 0, len(self.parts[0][0])
         return self.parts[0]
 
 
+def summed(grams, counts):
+    """(sorted distinct grams, their summed counts)."""
+    import numpy as np
+
+    order = np.argsort(grams, kind="stable")
+    grams = grams[order]
+    starts = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.zeros(0, np.int64)
+    return grams[starts], np.add.reduceat(counts[order], starts) if len(grams) else np.zeros(0, np.int64)
+
+
 def packed_bytes(grams) -> bytes:
     """Six bytes a gram, plane by plane: sorted grams then compress well."""
     import numpy as np
@@ -176,8 +184,9 @@ def gather(docs: DataFrame, shards: int, chunk: int = CHUNK, piece: int = PIECE)
             if schema is None:
                 schema = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary()), ("doc_id", batch.schema.field(0).type), ("held_out", pa.bool_()), ("text", pa.binary())])
             yield filled(batch.num_rows, doc_id=batch.column(0), held_out=batch.column(1), text=batch.column(3))
+            learned = batch.column(2).to_numpy(zero_copy_only=False)
             for learn in (True, False):
-                chosen = batch.column(3).filter(batch.column(2) if learn else pc.invert(batch.column(2)))
+                chosen = (t for t, x in zip(batch.column(3), learned, strict=True) if x == learn)
                 for parts in _in_batches((p for t in chosen for p in pieces(t.as_py().translate(LOWER_TABLE), piece)), piece):
                     grams, counts = np.unique(_grams(parts)[0], return_counts=True)
                     tally.add(grams, counts if learn else np.zeros(len(grams), np.int64))
@@ -241,8 +250,7 @@ def marginal(grams, counts, size: int):
     """Counts of the last ``size`` bytes of grams."""
     import numpy as np
 
-    distinct, at = np.unique(grams & np.uint64((1 << 8 * size) - 1), return_inverse=True)
-    return distinct, np.bincount(at, counts, len(distinct)).astype(np.int64)
+    return summed(grams & np.uint64((1 << 8 * size) - 1), counts)
 
 
 class Index:
