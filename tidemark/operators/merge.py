@@ -30,6 +30,11 @@ def sane_funding(c: Column) -> Column:
     return (c != 0) & (F.abs(c) < 0.01)
 
 
+def exact_avg(c: Column) -> Column:
+    """Average by a decimal sum, so that it does not depend on the order of rows."""
+    return F.sum(c.cast("decimal(28,12)")).cast("double") / F.nullif(F.count(c), F.lit(0))
+
+
 def drop_price_outliers(quotes: DataFrame, bound: float = 0.5) -> DataFrame:
     """Of batches with at least two prices, those further than ``bound`` from the upper median lose their price row."""
     prices = F.sort_array(F.collect_list(F.when(F.col("mark_price") > 0, F.col("mark_price"))).over(Window.partitionBy(*B)))
@@ -40,9 +45,9 @@ def drop_price_outliers(quotes: DataFrame, bound: float = 0.5) -> DataFrame:
 
 def agg_snapshot(quotes: DataFrame, universe: DataFrame | None = None) -> DataFrame:
     """Per (batch, symbol): total_oi, avg_funding, avg_mark after outlier removal, venues; 0 where nothing is left."""
-    clean = drop_price_outliers(quotes).groupBy(*B).agg(F.avg("mark_price").alias("_mark"))
+    clean = drop_price_outliers(quotes).groupBy(*B).agg(exact_avg(F.col("mark_price")).alias("_mark"))
     sums = quotes.groupBy(*B).agg(
-        F.sum(F.when(sane_oi(F.col("open_interest_usd")), F.col("open_interest_usd"))).alias("_oi"), F.avg(F.when(sane_funding(F.col("funding_rate")), F.col("funding_rate"))).alias("_fr"), F.count(F.lit(1)).alias("venues")
+        F.sum(F.when(sane_oi(F.col("open_interest_usd")), F.col("open_interest_usd"))).alias("_oi"), exact_avg(F.when(sane_funding(F.col("funding_rate")), F.col("funding_rate"))).alias("_fr"), F.count(F.lit(1)).alias("venues")
     )
     joined = sums.join(clean, B, "left")
     if universe is not None:

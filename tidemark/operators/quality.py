@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.windows import asof_backward, asof_forward, floor_index, forward_return, log_return, nearest_rank, ordered
+from tidemark.operators.detect import liq_sum_window
+from tidemark.operators.windows import asof_backward, asof_forward, distribution, floor_index, gap_islands, log_return, missing_minutes, moments, nearest_rank, ordered
 
 
 def finite(c: Column) -> Column:
@@ -157,14 +158,15 @@ def liq_bursts_hourly(liqs: DataFrame, prices: DataFrame, p: float = 0.95, top:
     return both.select("symbol", F.unix_millis("hr").alias("hr_ms"), "usd", "side", F.col("place").cast("long").alias("place"), move.alias("move_pct"), F.coalesce(consistent, F.lit(False)).alias("consistent"))
 
 
-def liq_return_corr(liqs: DataFrame, prices: DataFrame) -> DataFrame:
-    """Correlation of 5-minute liquidations with the absolute log return of bins that have at least two prices."""
+def liq_return_corr(liqs: DataFrame, prices: DataFrame, low: float = 0.05) -> DataFrame:
+    """Correlation of 5-minute liquidations with the absolute log return of bins that have at least two prices, and whether it is too low."""
     bin_ = lambda ts: F.floor(F.unix_seconds(ts) / 300)
     l5 = liqs.groupBy("symbol", bin_("ts").alias("bin")).agg(F.sum("usd_value").alias("usd"))
     p5 = prices.groupBy("symbol", bin_("ts").alias("bin")).agg(F.min_by("mark_price", "ts").alias("a"), F.max_by("mark_price", "ts").alias("b"), F.count(F.lit(1)).alias("n")).filter("n >= 2")
     j = l5.join(p5, ["symbol", "bin"]).withColumn("r", F.abs(F.ln(F.col("b") / F.col("a"))))
     c = F.corr("usd", "r")
-    return j.groupBy("symbol").agg(F.when(~F.isnan(c), c).alias("corr"), F.count(F.lit(1)).alias("bins"))
+    out = j.groupBy("symbol").agg(F.when(~F.isnan(c), c).alias("corr"), F.count(F.lit(1)).alias("bins"))
+    return out.withColumn("suspicious", F.coalesce("corr", F.lit(0.0)) < low)
 
 
 def realized_vol(prices: DataFrame, rows: int = 30, scale: float = 1.0) -> DataFrame:
@@ -174,11 +176,21 @@ def realized_vol(prices: DataFrame, rows: int = 30, scale: float = 1.0) -> DataF
     return r.withColumn("rv", F.stddev_samp("ret").over(w) * scale).withColumn("cnt", F.count("ret").over(w))
 
 
-def gaps_cv(df: DataFrame, ts: str = "ts", positive: bool = True) -> DataFrame:
-    """Coefficient of variation of the seconds between rows (of those above 0)."""
+def gaps_cv(df: DataFrame, ts: str = "ts", positive: bool = True, even: float = 0.3) -> DataFrame:
+    """Coefficient of variation of the seconds between rows (of those above 0), and whether they are suspiciously even."""
     d = (F.unix_millis(ts) - F.unix_millis(F.lag(ts).over(ordered(ts=ts)))) / 1000.0
     g = df.withColumn("_d", d).filter("_d > 0" if positive else "_d is not null")
-    return g.groupBy("symbol").agg((F.stddev_samp("_d") / F.avg("_d")).alias("cv"), F.count(F.lit(1)).alias("gaps"))
+    cv = F.stddev_samp("_d") / F.avg("_d")
+    return g.groupBy("symbol").agg(cv.alias("cv"), F.count(F.lit(1)).alias("gaps"), (cv < even).alias("even"))
+
+
+def return_moments(prices: DataFrame) -> DataFrame:
+    """Moments, extremes and percentiles of the log returns, and whether their kurtosis is above 3."""
+    r = log_return(prices).filter("ret is not null")
+    q = F.percentile("ret", F.array(*map(F.lit, (0.5, 0.9, 0.95, 0.99, 0.999))))
+    ends = r.groupBy("symbol").agg(F.min("ret").alias("min"), F.max("ret").alias("max"), q.alias("_q"))
+    m = moments(r, "ret", "symbol").join(ends, "symbol")
+    return m.select("symbol", "n", "mean", "std", "skew", "kurtosis", "min", "max", *[F.col("_q")[i].alias(n) for i, n in enumerate(("p50", "p90", "p95", "p99", "p999"))], F.coalesce(F.col("kurtosis") > 3, F.lit(False)).alias("fat_tailed"))
 
 
 def weekend_vol_ratio(prices: DataFrame) -> DataFrame:
@@ -188,10 +200,11 @@ def weekend_vol_ratio(prices: DataFrame) -> DataFrame:
     return out.withColumn("ratio", F.when(F.col("weekday") > 0, F.col("weekend") / F.col("weekday")).otherwise(1.0))
 
 
-def arch_autocorr(prices: DataFrame) -> DataFrame:
+def arch_autocorr(prices: DataFrame, least: float = 0.05) -> DataFrame:
+    """Correlation of squared log returns with the ones before, and whether volatility clusters."""
     r = log_return(prices).withColumn("r2", F.col("ret") * F.col("ret"))
     r = r.filter("r2 is not null").withColumn("before", F.lag("r2").over(ordered()))
-    return r.groupBy("symbol").agg(F.corr("r2", "before").alias("autocorr"))
+    return r.groupBy("symbol").agg(F.corr("r2", "before").alias("autocorr"), (F.corr("r2", "before") > least).alias("clustered"))
 
 
 def liq_by_vol_tercile(liqs: DataFrame, prices: DataFrame, rows: int = 30) -> DataFrame:
@@ -199,15 +212,86 @@ def liq_by_vol_tercile(liqs: DataFrame, prices: DataFrame, rows: int = 30) -> Da
     rv = realized_vol(prices, rows).filter("rv is not null")
     t = rv.withColumn("tercile", F.ntile(3).over(Window.partitionBy("symbol").orderBy("rv", "ts")))
     per = liqs.groupBy("symbol", F.date_trunc("minute", "ts").alias("ts")).agg(F.sum("usd_value").alias("usd"), F.count(F.lit(1)).alias("n"))
-    return t.join(per, ["symbol", "ts"], "left").groupBy("symbol", "tercile").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("liquidations"), F.coalesce(F.sum("usd"), F.lit(0.0)).alias("usd"))
+    out = t.join(per, ["symbol", "ts"], "left").groupBy("symbol", "tercile").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("liquidations"), F.coalesce(F.sum("usd"), F.lit(0.0)).alias("usd"))
+    third = lambda k: F.max(F.when(F.col("tercile") == k, F.col("liquidations"))).over(Window.partitionBy("symbol"))
+    return out.withColumn("clustered", third(3) > 2 * third(1))
 
 
-def audit_cascades(prices: DataFrame, liqs: DataFrame, rows: int = 30, bound: float = 0.02, top: int = 100) -> DataFrame:
-    """Moves of at least ``bound`` over ``rows`` rows, the ``top`` largest per symbol, first of each hour."""
-    f = forward_return(prices, rows).withColumn("move", F.abs(F.exp("fwd") - 1.0)).filter(F.col("move") >= bound)
-    best = f.withColumn("_n", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("move"), "ts"))).filter(F.col("_n") <= top)
-    hour = best.withColumn("hr", F.date_trunc("hour", "ts"))
-    return hour.withColumn("_h", F.row_number().over(Window.partitionBy("symbol", "hr").orderBy(F.desc("move"), "ts"))).filter("_h = 1").select("symbol", "ts", "hr", "move")
+def audit_cascades(prices: DataFrame, liqs: DataFrame, rows: int = 30, bound_pct: float = 2.0, top: int = 100, p: float = 0.95, minutes: int = 30) -> DataFrame:
+    """Cascade candidates (symbol, ts, move_pct, direction, usd): the largest of each hour.
+
+    A candidate moves at least ``bound_pct`` over ``rows`` rows, and the liquidations of its ``minutes`` reach the p-th
+    percentile of the symbol's hours (unless that is 0). Of the ``top`` largest moves of a symbol the first of each hour stays.
+    """
+    end = F.lead("mark_price", rows).over(ordered())
+    move = F.round(F.abs(F.col("_end") - F.col("mark_price")) / F.when(F.col("mark_price") != 0, F.col("mark_price")) * 100.0, 9)
+    c = prices.withColumn("_end", end).filter("_end is not null").withColumn("move_pct", move).filter(F.col("move_pct") >= bound_pct)
+    c = c.select("symbol", "ts", "move_pct", F.when(F.col("_end") < F.col("mark_price"), "DOWN").otherwise("UP").alias("direction"), F.unix_millis("ts").alias("start_ms")).withColumn("end_ms", F.col("start_ms") + minutes * 60_000)
+    hourly = liqs.groupBy("symbol", F.date_trunc("hour", "ts").alias("hr")).agg(F.sum("usd_value").alias("usd"))
+    limit = hourly.groupBy("symbol").agg(F.percentile("usd", F.lit(p)).alias("_limit"))
+    heavy = liq_sum_window(c, liqs).join(limit, "symbol", "left").withColumn("_limit", F.coalesce("_limit", F.lit(0.0)))
+    heavy = heavy.filter((F.round("usd", 6) >= F.round("_limit", 6)) | (F.col("_limit") == 0))
+    by_move = [F.desc("move_pct"), F.col("ts")]
+    best = heavy.withColumn("_n", F.row_number().over(Window.partitionBy("symbol").orderBy(*by_move))).filter(F.col("_n") <= top)
+    hour = F.row_number().over(Window.partitionBy("symbol", F.date_trunc("hour", "ts")).orderBy(*by_move))
+    return best.withColumn("_h", hour).filter("_h = 1").select("symbol", "ts", "move_pct", "direction", "usd")
+
+
+def monthly_cv(cascades: DataFrame, ts: str = "ts", uneven: float = 0.3) -> DataFrame:
+    """Coefficient of variation (population) of a symbol's cascades per month, and whether it is above ``uneven``."""
+    per = cascades.groupBy("symbol", F.date_trunc("month", ts).alias("_m")).agg(F.count(F.lit(1)).alias("n"))
+    cv = F.stddev_pop("n") / F.avg("n")
+    return per.groupBy("symbol").agg(F.count(F.lit(1)).alias("months"), cv.alias("cv"), (cv > uneven).alias("uneven"))
+
+
+def synthetic_heuristics(prices: DataFrame, liqs: DataFrame, funding: DataFrame, oi: DataFrame) -> DataFrame:
+    """(symbol, test, value, pass) of the eight tests that real market data passes; a statistic without data counts as 0.
+
+    Fixed values: the bounds of the tests.
+    """
+    zero = lambda c: F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0))
+    symbols = prices.select("symbol").distinct()
+    parts = [
+        gaps_cv(prices, positive=False).select("symbol", F.col("cv").alias("spacing")),
+        missing_minutes(prices).groupBy("symbol").agg(F.count(F.lit(1)).alias("missing")),
+        moments(log_return(prices).filter("ret is not null"), "ret", "symbol").select("symbol", "kurtosis", F.col("std").alias("ret_std")),
+        liqs.groupBy("symbol").agg((F.stddev_samp("usd_value") / F.avg("usd_value")).alias("size_cv"), F.count(F.lit(1)).alias("n_liqs")),
+        weekend_vol_ratio(prices).select("symbol", F.coalesce(F.col("weekend") / F.when(F.col("weekday") > 0, F.col("weekday")), F.when(F.col("weekday") > 0, 0.0).otherwise(1.0)).alias("weekend_ratio")),
+        moments(funding, "funding_rate", "symbol").select("symbol", F.col("skew").alias("funding_skew")),
+        oi_change_stats(oi).select("symbol", F.col("std").alias("oi_std")),
+        arch_autocorr(prices).select("symbol", "autocorr"),
+    ]
+    x = symbols
+    for part in parts:
+        x = x.join(part, "symbol", "left")
+    tests = [
+        ("uniform_timestamp_spacing", zero("spacing"), (zero("spacing") > 0.01) | (F.coalesce("missing", F.lit(0)) > 0)),
+        ("heavy_tails", zero("kurtosis"), zero("kurtosis") > 3),
+        ("distribution_realism", zero("ret_std"), zero("ret_std") > 1e-6),
+        ("liquidation_size_variety", zero("size_cv"), (zero("size_cv") > 0.5) | (F.coalesce("n_liqs", F.lit(0)) == 0)),
+        ("weekend_liquidity_difference", zero("weekend_ratio"), (F.abs(zero("weekend_ratio") - 1) > 0.01) | (zero("weekend_ratio") < 1)),
+        ("funding_asymmetry", zero("funding_skew"), F.abs(zero("funding_skew")) > 0.1),
+        ("oi_curve_roughness", zero("oi_std"), zero("oi_std") > 1e-6),
+        ("volatility_clustering", zero("autocorr"), zero("autocorr") > 0.05),
+    ]
+    rows = F.array(*[F.struct(F.lit(n).alias("test"), v.alias("value"), ok.alias("pass")) for n, v, ok in tests])
+    return x.select("symbol", F.explode(rows).alias("x")).select("symbol", "x.*")
+
+
+def data_quality_report(prices: DataFrame, liqs: DataFrame, funding: DataFrame, oi: DataFrame) -> DataFrame:
+    """Per symbol: rows and time span of the four tables, gaps of the prices, and four distributions."""
+    named = (("marks", prices, "ts"), ("liqs", liqs, "ts"), ("funding", funding, "funding_time"), ("oi", oi, "ts"))
+    out = prices.select("symbol").distinct()
+    for name, df, ts in named:
+        stats = table_stats(df, ts, "symbol")
+        out = out.join(stats.select("symbol", *[F.col(c).alias(f"{name}_{c}") for c in ("n", "first_ms", "last_ms")]), "symbol", "left")
+    gaps = gap_islands(missing_minutes(prices)).groupBy("symbol").agg(F.sum("minutes").alias("missing_minutes"), F.count(F.lit(1)).alias("gaps"), F.max("minutes").alias("longest_gap"))
+    out = out.join(gaps, "symbol", "left").fillna(0, ["missing_minutes", "gaps", "longest_gap"])
+    values = (("returns", log_return(prices).filter("ret is not null"), "ret"), ("liq_usd", liqs, "usd_value"), ("rate", funding, "funding_rate"), ("oi_usd", oi, "open_interest_usd"))
+    for name, df, value in values:
+        d = distribution(df, value, "symbol")
+        out = out.join(d.select("symbol", *[F.col(c).alias(f"{name}_{c}") for c in ("n", "mean", "std", "min", "p25", "p50", "p75", "max")]), "symbol", "left")
+    return out
 
 
 def quality_score(audit: DataFrame) -> DataFrame:

@@ -32,6 +32,12 @@ def alerts(scores: DataFrame) -> DataFrame:
     return a.select("symbol", "time", F.lit("CASCADE_RISK").alias("alert_type"), F.col("level").alias("severity"), F.format_string("%s risk %s (%d)", "symbol", "level", "risk_score").alias("message"), F.to_json(F.struct("risk_score", "level")).alias("data"))
 
 
+def active_alerts(scores: DataFrame, least: int = 50) -> DataFrame:
+    """Scores of the three upper levels, of their factors only those that score at least ``least``."""
+    a = with_level(scores).filter(F.col("level").isin("critical", "high", "elevated"))
+    return a.withColumn("factors", F.filter("factors", lambda f: f["score"] >= least))
+
+
 def filter_by_plan(df: DataFrame, plans: DataFrame, plan: str) -> DataFrame:
     return df.join(plans.filter(F.col("plan") == plan).select("symbol"), "symbol", "left_semi")
 

@@ -34,7 +34,7 @@ VIEWS: dict[str, str] = {
        case c_custkey % 3 when 0 then '' when 1 then 'click,view' else 'error' end as symbols_csv from customer""",
     "stock_quotes": """select p_partkey as symbol_id, p_retailprice as price, p_retailprice / (1.0 + (p_size - 25) / 500.0) as previous_close,
        case p_size % 6 when 0 then 'Tech' when 1 then 'Auto' when 2 then 'Finance' when 3 then 'Energy' when 4 then 'Healthcare' else 'Other' end as sector from part""",
-    "news": "select doc_id as id, substring(text, 1, 120) as title, source, lang from documents",
+    "news": "select doc_id as id, text as title, source, lang from documents",
     "venue_calls": "select event_id, exchange, ts, open_interest_usd / 10000.0 as latency_ms, symbol = 'error' as is_error from ticks",
 }
 

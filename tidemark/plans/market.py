@@ -139,15 +139,20 @@ def coverage(t):
     return quality.coverage(t("mark_prices"))
 
 
-@query("coverage_pct mean_mark mean_funding mean_oi", """with c as (select symbol, count(*) / ((epoch(max(ts)) - epoch(min(ts))) / 60 + 1) * 100 as coverage_pct, avg(mark_price) mean_mark, count(*) n_marks from mark_prices group by 1),
-f as (select symbol, avg(funding_rate) mean_funding, count(*) n_funding from funding_rates group by 1), o as (select symbol, avg(open_interest_usd) mean_oi, count(*) n_oi from open_interest group by 1),
-l as (select symbol, count(*) n_liqs from liquidations group by 1) select * from c join f using (symbol) join o using (symbol) join l using (symbol)""")
+def _named_dist(cte: str, prefix: str, view: str, column: str) -> str:
+    return f"{cte} as (select symbol, {DIST.replace('(v', '(' + column).replace(' as ', f' as {prefix}_')} from {view} group by 1)"
+
+
+_REPORT_DOUBLES = " ".join(f"{p}_{c}" for p in ("returns", "liq_usd", "rate", "oi_usd") for c in DIST_D.split())
+
+
+@query(_REPORT_DOUBLES, f"""with {GAPS}, {RET}, {_named_dist("dr", "returns", "(select * from ret where ret is not null)", "ret")}, {_named_dist("dl", "liq_usd", "liquidations", "usd_value")}, {_named_dist("df", "rate", "funding_rates", "funding_rate")}, {_named_dist("do_", "oi_usd", "open_interest", "open_interest_usd")},
+sm as (select symbol, count(*) marks_n, epoch_ms(min(ts)) marks_first_ms, epoch_ms(max(ts)) marks_last_ms from mark_prices group by 1), sl as (select symbol, count(*) liqs_n, epoch_ms(min(ts)) liqs_first_ms, epoch_ms(max(ts)) liqs_last_ms from liquidations group by 1),
+sf as (select symbol, count(*) funding_n, epoch_ms(min(funding_time)) funding_first_ms, epoch_ms(max(funding_time)) funding_last_ms from funding_rates group by 1), so as (select symbol, count(*) oi_n, epoch_ms(min(ts)) oi_first_ms, epoch_ms(max(ts)) oi_last_ms from open_interest group by 1),
+gg as (select symbol, sum(minutes)::bigint missing_minutes, count(*) gaps, max(minutes) longest_gap from gaps group by 1)
+select * replace (coalesce(missing_minutes, 0) as missing_minutes, coalesce(gaps, 0) as gaps, coalesce(longest_gap, 0) as longest_gap) from sm left join sl using (symbol) left join sf using (symbol) left join so using (symbol) left join gg using (symbol) left join dr using (symbol) left join dl using (symbol) left join df using (symbol) left join do_ using (symbol)""", digits=5)
 def data_quality_report(t):
-    m, f, o, q = t("mark_prices"), t("funding_rates"), t("open_interest"), t("liquidations")
-    x = quality.coverage(m).select("symbol", "coverage_pct").join(m.groupBy("symbol").agg(F.avg("mark_price").alias("mean_mark"), F.count(F.lit(1)).alias("n_marks")), "symbol")
-    x = x.join(f.groupBy("symbol").agg(F.avg("funding_rate").alias("mean_funding"), F.count(F.lit(1)).alias("n_funding")), "symbol")
-    x = x.join(o.groupBy("symbol").agg(F.avg("open_interest_usd").alias("mean_oi"), F.count(F.lit(1)).alias("n_oi")), "symbol")
-    return x.join(q.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_liqs")), "symbol")
+    return quality.data_quality_report(t("mark_prices"), t("liquidations"), t("funding_rates"), t("open_interest"))
 
 
 @query("", f"select symbol, count(*) filter (where epoch_ms(ts) > epoch_ms(timestamp '{MID}')) future, count(*) filter (where mark_price <= 100) low, count(*) filter (where funding_rate not between -0.005 and 0.005) out_of_band, count(*) filter (where open_interest_usd < 500000) small_oi from ticks group by 1")
@@ -171,9 +176,10 @@ def outliers_8sigma(t):
 MOM = "with {cte} s as (select symbol, count({v}) n, avg({v}) mean, stddev_samp({v}) std from {f} group by 1) select symbol, any_value(n) n, any_value(mean) mean, any_value(std) std, avg(pow({v} - mean, 3)) / pow(any_value(std), 3) skew, avg(pow({v} - mean, 4)) / pow(any_value(std), 4) kurtosis from {f} join s using (symbol) group by 1"
 
 
-@query("mean std skew kurtosis", MOM.format(cte=RET + ",", v="ret", f="ret"))
+@query("mean std skew kurtosis min max p50 p90 p95 p99 p999", f"""with {RET}, m as ({MOM.format(cte="", v="ret", f="ret").replace("with  s as", "with s as")}), q as (select symbol, min(ret) as min, max(ret) as max, {", ".join(f"quantile_cont(ret, {p}) {n}" for p, n in ((0.5, "p50"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99"), (0.999, "p999")))} from ret where ret is not null group by 1)
+select *, coalesce(kurtosis > 3, false) fat_tailed from m join q using (symbol)""")
 def return_moments(t):
-    return windows.moments(windows.log_return(t("mark_prices")), "ret", "symbol")
+    return quality.return_moments(t("mark_prices"))
 
 
 @query("mean std skew kurtosis", MOM.format(cte="", v="funding_rate * 1000", f="funding_rates"))
@@ -216,7 +222,7 @@ def liq_bursts_hourly(t):
 
 @query("corr", """with l as (select symbol, epoch(ts)::bigint // 300 bin, sum(usd_value) usd from (select symbol, date_trunc('second', ts) ts, usd_value from liquidations) group by 1, 2),
 p as (select symbol, epoch(ts)::bigint // 300 bin, abs(ln(arg_max(mark_price, ts) / arg_min(mark_price, ts))) r from mark_prices group by 1, 2 having count(*) >= 2)
-select symbol, case when not isnan(corr(usd, r)) then corr(usd, r) end as corr, count(*) bins from l join p using (symbol, bin) group by 1""")
+select *, coalesce(corr, 0) < 0.05 suspicious from (select symbol, case when not isnan(corr(usd, r)) then corr(usd, r) end as corr, count(*) bins from l join p using (symbol, bin) group by 1)""")
 def liq_return_corr_5m(t):
     return quality.liq_return_corr(t("liquidations"), t("mark_prices"))
 
@@ -236,12 +242,12 @@ def realized_vol_30m(t):
 
 
 @query("usd", f"""with {RV}, t as (select *, ntile(3) over (partition by symbol order by rv, ts) tercile from rv where rv is not null), l as (select symbol, date_trunc('minute', ts) ts, sum(usd_value) usd, count(*) n from liquidations group by 1, 2)
-select symbol, tercile, coalesce(sum(n), 0)::bigint liquidations, coalesce(sum(usd), 0) usd from t left join l using (symbol, ts) group by 1, 2""")
+select *, max(liquidations) filter (where tercile = 3) over (partition by symbol) > 2 * max(liquidations) filter (where tercile = 1) over (partition by symbol) clustered from (select symbol, tercile, coalesce(sum(n), 0)::bigint liquidations, coalesce(sum(usd), 0) usd from t left join l using (symbol, ts) group by 1, 2)""")
 def liq_by_vol_tercile(t):
     return quality.liq_by_vol_tercile(t("liquidations"), t("mark_prices"))
 
 
-CV = "with g as (select *, (epoch_ms(ts) - epoch_ms(lag(ts) over (partition by symbol order by ts))) / 1000.0 d from {v}) select symbol, stddev_samp(d) / avg(d) cv, count(d) gaps from g where {c} group by 1"
+CV = "with g as (select *, (epoch_ms(ts) - epoch_ms(lag(ts) over (partition by symbol order by ts))) / 1000.0 d from {v}) select symbol, stddev_samp(d) / avg(d) cv, count(d) gaps, stddev_samp(d) / avg(d) < 0.3 as even from g where {c} group by 1"
 
 
 @query("cv", CV.format(v="liquidations", c="d > 0"))
@@ -266,7 +272,7 @@ def weekend_vol_ratio(t):
     return quality.weekend_vol_ratio(t("mark_prices"))
 
 
-@query("autocorr", f"with {RET}, b as (select symbol, ret * ret r2, lag(ret * ret) over (partition by symbol order by ts) b from ret where ret is not null) select symbol, corr(r2, b) autocorr from b group by 1")
+@query("autocorr", f"with {RET}, b as (select symbol, ret * ret r2, lag(ret * ret) over (partition by symbol order by ts) b from ret where ret is not null) select symbol, corr(r2, b) autocorr, corr(r2, b) > 0.05 clustered from b group by 1")
 def arch_autocorr(t):
     return quality.arch_autocorr(t("mark_prices"))
 
@@ -593,10 +599,22 @@ def lead_time(t):
     return research.lead_time(t("risk_scores"), t("cascade_events"))
 
 
-@query("move", """with f as (select symbol, ts, abs(lead(mark_price, 30) over (partition by symbol order by ts) / mark_price - 1) as move from mark_prices), o as (select *, row_number() over (partition by symbol order by round(move, 12) desc, ts) n from f where round(move, 12) >= 0.02),
-h as (select *, row_number() over (partition by symbol, date_trunc('hour', ts) order by round(move, 12) desc, ts) k from o where n <= 100) select symbol, epoch_ms(ts) ts_ms, move from h where k = 1""")
+AUDIT = """f as (select symbol, ts, mark_price p, lead(mark_price, 30) over (partition by symbol order by ts) e from mark_prices), c as (select *, round(abs(e - p) / nullif(p, 0) * 100, 9) move_pct from f where e is not null),
+lim as (select symbol, quantile_cont(usd, 0.95) p95 from (select symbol, date_trunc('hour', ts) hr, sum(usd_value) usd from liquidations group by 1, 2) group by 1),
+w as (select c.*, coalesce((select sum(usd_value) from liquidations l where l.symbol = c.symbol and epoch_ms(l.ts) >= epoch_ms(c.ts) and epoch_ms(l.ts) < epoch_ms(c.ts) + 1800000), 0) usd from c where move_pct >= 2),
+o as (select w.*, row_number() over (partition by symbol order by move_pct desc, ts) n from w left join lim using (symbol) where round(usd, 6) >= round(coalesce(p95, 0), 6) or coalesce(p95, 0) = 0),
+h as (select *, row_number() over (partition by symbol, date_trunc('hour', ts) order by move_pct desc, ts) k from o where n <= 100),
+casc as (select symbol, ts, move_pct, case when e < p then 'DOWN' else 'UP' end direction, usd from h where k = 1)"""
+
+
+@query("move_pct usd", f"with {AUDIT} select symbol, epoch_ms(ts) ts_ms, move_pct, direction, usd from casc")
 def audit_cascades_top100_hour_dedup(t):
-    return quality.audit_cascades(t("mark_prices"), t("liquidations")).select("symbol", F.unix_millis("ts").alias("ts_ms"), "move")
+    return quality.audit_cascades(t("mark_prices"), t("liquidations")).select("symbol", F.unix_millis("ts").alias("ts_ms"), "move_pct", "direction", "usd")
+
+
+@query("move_pct usd", f"with {AUDIT.replace('0.95', '0.5')} select symbol, epoch_ms(ts) ts_ms, move_pct, direction, usd from casc")
+def audit_cascades(t):
+    return quality.audit_cascades(t("mark_prices"), t("liquidations"), p=0.5).select("symbol", F.unix_millis("ts").alias("ts_ms"), "move_pct", "direction", "usd")
 
 
 @query("", "select symbol, strftime(start_time, '%Y-%m') as month, count(*) n from cascade_events group by 1, 2")
@@ -604,11 +622,9 @@ def cascades_per_month(t):
     return t("cascade_events").groupBy("symbol", F.date_format("start_time", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("cv", "with w as (select symbol, date_trunc('week', start_time) wk, count(*) n from cascade_events group by 1, 2) select symbol, stddev_pop(n) / avg(n) cv, stddev_pop(n) / avg(n) > 0.3 uneven from w group by 1")
+@query("cv", "with w as (select symbol, date_trunc('month', start_time) mo, count(*) n from cascade_events group by 1, 2) select symbol, count(*) as months, stddev_pop(n) / avg(n) cv, stddev_pop(n) / avg(n) > 0.3 uneven from w group by 1")
 def cascade_monthly_cv(t):
-    w = t("cascade_events").groupBy("symbol", F.date_trunc("week", "start_time").alias("wk")).agg(F.count(F.lit(1)).alias("n"))
-    cv = F.stddev_pop("n") / F.avg("n")
-    return w.groupBy("symbol").agg(cv.alias("cv"), (cv > 0.3).alias("uneven"))
+    return quality.monthly_cv(t("cascade_events"), "start_time")
 
 
 @query("", "select symbol, count(*) n from cascade_events where start_time >= timestamp '2024-01-10' group by 1")
@@ -660,3 +676,24 @@ def factors(t):
 def stress_series(t):
     x = t("ticks").withColumn("n", F.row_number().over(windows.ordered()))
     return x.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.max("n").cast("long").alias("last"))
+
+
+_TESTS = [
+    ("uniform_timestamp_spacing", "spacing", "coalesce(spacing, 0) > 0.01 or coalesce(missing, 0) > 0"),
+    ("heavy_tails", "kurtosis", "coalesce(kurtosis, 0) > 3"),
+    ("distribution_realism", "ret_std", "coalesce(ret_std, 0) > 1e-6"),
+    ("liquidation_size_variety", "size_cv", "coalesce(size_cv, 0) > 0.5 or coalesce(n_liqs, 0) = 0"),
+    ("weekend_liquidity_difference", "wr", "abs(wr - 1) > 0.01 or wr < 1"),
+    ("funding_asymmetry", "funding_skew", "abs(coalesce(funding_skew, 0)) > 0.1"),
+    ("oi_curve_roughness", "oi_std", "coalesce(oi_std, 0) > 1e-6"),
+    ("volatility_clustering", "autocorr", "coalesce(autocorr, 0) > 0.05"),
+]
+_HEURISTICS = f"""{RET}, {MISSING}, g as (select symbol, (epoch_ms(ts) - epoch_ms(lag(ts) over (partition by symbol order by ts))) / 1000.0 d from mark_prices), g1 as (select symbol, stddev_samp(d) / avg(d) spacing from g where d is not null group by 1), g2 as (select symbol, count(*) missing from missing group by 1),
+st as (select symbol, avg(ret) m, stddev_samp(ret) s from ret group by 1), g3 as (select symbol, avg(pow(ret - m, 4)) / pow(any_value(s), 4) kurtosis, any_value(s) ret_std from ret join st using (symbol) where ret is not null group by 1),
+g4 as (select symbol, stddev_samp(usd_value) / avg(usd_value) size_cv, count(*) n_liqs from liquidations group by 1),
+hv as (select symbol, date_trunc('hour', ts) hr, stddev_samp(mark_price) / avg(mark_price) v from mark_prices group by 1, 2), g5 as (select symbol, coalesce(avg(v) filter (where dayofweek(hr) in (0, 6)), 0) we, coalesce(avg(v) filter (where dayofweek(hr) not in (0, 6)), 0) wd from hv group by 1), g5b as (select symbol, case when wd > 0 then we / wd else 1 end wr from g5),
+fs as (select symbol, avg(funding_rate) m, stddev_samp(funding_rate) s from funding_rates group by 1), g6 as (select symbol, avg(pow(funding_rate - m, 3)) / pow(any_value(s), 3) funding_skew from funding_rates join fs using (symbol) group by 1),
+oc as (select symbol, (open_interest_usd / lag(open_interest_usd) over (partition by symbol order by ts) - 1) * 100 c from open_interest), g7 as (select symbol, stddev_samp(c) oi_std from oc group by 1),
+sq as (select symbol, ret * ret r2, lag(ret * ret) over (partition by symbol order by ts) b from ret where ret is not null), g8 as (select symbol, corr(r2, b) autocorr from sq group by 1),
+every as (select * from (select distinct symbol from mark_prices) left join g1 using (symbol) left join g2 using (symbol) left join g3 using (symbol) left join g4 using (symbol) left join g5b using (symbol) left join g6 using (symbol) left join g7 using (symbol) left join g8 using (symbol)),
+tests as ({" union all ".join(f"select symbol, '{n}' as test, coalesce({v}, 0)::double as value, {c} as pass from every" for n, v, c in _TESTS)})"""

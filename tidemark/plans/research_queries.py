@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as sc
 from tidemark.operators import detect, merge, quality, research, serving, windows
-from tidemark.plans.market import BURSTS, CONF, JOINED, LABELLED, LABELS, RATES, RATES_D, RET, RV, as_of, labelled, labelled_features, labels, query, scored
+from tidemark.plans.market import _HEURISTICS, BURSTS, CONF, JOINED, LABELLED, LABELS, RATES, RATES_D, RET, RV, as_of, labelled, labelled_features, labels, query, scored
 from tidemark.plans.serving_queries import CLEAN, LATEST, LEVEL, MS, latest, ms, snapshot
 
 TS_MS = "epoch_ms(ts) ts_ms"
@@ -274,15 +274,9 @@ def research_verdict(t):
     return j.withColumn("verdict", F.when((F.col("best_f1") >= 0.15) & (F.col("skill") > 0), "meaningful").when(F.col("best_f1") > 0, "weak").otherwise("none"))
 
 
-@query("", f"""with {RET}, k as (select symbol, avg(pow(ret - m, 4)) / pow(any_value(s), 4) > 3 fat from ret join (select symbol, avg(ret) m, stddev_samp(ret) s from ret group by 1) x using (symbol) group by 1), q as (select symbol, stddev_samp(usd_value) / avg(usd_value) > 0.5 varied from liquidations group by 1),
-a as (select symbol, corr(r2, b) > 0.05 arch from (select symbol, ret * ret r2, lag(ret * ret) over (partition by symbol order by ts) b from ret where ret is not null) group by 1)
-select symbol, 'fat_tails' as test, fat as pass from k union all select symbol, 'size_variety', varied from q union all select symbol, 'volatility_clustering', arch from a""")
+@query("value", f"with {_HEURISTICS} select * from tests", digits=5)
 def synthetic_heuristics(t):
-    m = windows.moments(windows.log_return(t("mark_prices")), "ret", "symbol").select("symbol", (F.col("kurtosis") > 3).alias("fat"))
-    s = t("liquidations").groupBy("symbol").agg((F.stddev_samp("usd_value") / F.avg("usd_value") > 0.5).alias("varied"))
-    a = quality.arch_autocorr(t("mark_prices")).select("symbol", (F.col("autocorr") > 0.05).alias("arch"))
-    tests = F.array(*[F.struct(F.lit(n).alias("test"), F.col(c).alias("pass")) for n, c in (("fat_tails", "fat"), ("size_variety", "varied"), ("volatility_clustering", "arch"))])
-    return m.join(s, "symbol").join(a, "symbol").select("symbol", F.explode(tests).alias("x")).select("symbol", "x.*")
+    return quality.synthetic_heuristics(t("mark_prices"), t("liquidations"), t("funding_rates"), t("open_interest"))
 
 
 #: Feature builders by name: DataFrame -> Column, each of one row's columns.

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as sc
 from tidemark.operators import merge, quality, serving, stress, windows
 from tidemark.plans.fixtures import frame
-from tidemark.plans.market import ORACLES, QUERIES, as_of, query
+from tidemark.plans.market import _HEURISTICS, ORACLES, QUERIES, as_of, query
 from tidemark.sources import tables, venues
 from tidemark.streaming import streams
 
@@ -23,8 +23,8 @@ def ms(df: DataFrame, *names: str) -> DataFrame:
 
 CLEAN = """med as (select batch_ts, symbol, list_sort(list(mark_price) filter (where mark_price > 0)) l from quotes group by 1, 2),
 kept as (select q.* from quotes q join med using (batch_ts, symbol) where q.mark_price > 0 and (len(l) < 2 or abs(q.mark_price - l[len(l) // 2 + 1]) / l[len(l) // 2 + 1] <= 0.5)),
-mk as (select batch_ts, symbol, avg(mark_price) m from kept group by 1, 2),
-su as (select batch_ts, symbol, sum(open_interest_usd) filter (where open_interest_usd > 0 and open_interest_usd < 5e11) o, avg(funding_rate) filter (where funding_rate <> 0 and abs(funding_rate) < 0.01) f, count(*) venues from quotes group by 1, 2),
+mk as (select batch_ts, symbol, sum(mark_price::decimal(28,12))::double / count(mark_price) m from kept group by 1, 2),
+su as (select batch_ts, symbol, sum(open_interest_usd) filter (where open_interest_usd > 0 and open_interest_usd < 5e11) o, sum(funding_rate::decimal(28,12)) filter (where funding_rate <> 0 and abs(funding_rate) < 0.01)::double / nullif(count(funding_rate) filter (where funding_rate <> 0 and abs(funding_rate) < 0.01), 0) f, count(*) venues from quotes group by 1, 2),
 snap as (select batch_ts, symbol, coalesce(o, 0) total_oi, coalesce(f, 0) avg_funding, coalesce(m, 0) avg_mark, venues from su left join mk using (batch_ts, symbol)),
 ref as (select snap.*, coalesce(nullif(price, 0), avg_mark) reference_price, case when o.symbol is not null then 'oracle' else 'average' end price_source from snap left join oracle_prices o using (batch_ts, symbol)),
 dev as (select k.*, reference_price, (k.mark_price - reference_price) / reference_price * 100 dev from kept k join ref using (batch_ts, symbol)),
@@ -169,9 +169,9 @@ def validate_mark_prices(t):
     return quality.validate_mark_prices_grouped(x).select("symbol", F.unix_micros("ts").alias("ts_us"), "mark_price", "accepted")
 
 
-@query("", "select count(*) filter (where open_interest_usd > 0 and open_interest_usd < 5e6) sane, count(*) n, symbol from ticks group by 3")
+@query("", "select count(*) filter (where open_interest_usd * 1e5 > 0 and open_interest_usd * 1e5 < 5e11) sane, count(*) n, symbol from ticks group by 3")
 def oi_sanity(t):
-    return t("ticks").groupBy("symbol").agg(F.count_if((F.col("open_interest_usd") > 0) & (F.col("open_interest_usd") < 5e6)).alias("sane"), F.count(F.lit(1)).alias("n"))
+    return t("ticks").groupBy("symbol").agg(F.count_if(merge.sane_oi(F.col("open_interest_usd") * 1e5)).alias("sane"), F.count(F.lit(1)).alias("n"))
 
 
 @query("", "select symbol, count(*) filter (where funding_rate <> 0 and abs(funding_rate) < 0.01) sane from ticks group by 1")
@@ -187,9 +187,11 @@ def alerts_to_persist(t):
     return serving.alerts(t("risk_scores")).withColumn("time", F.unix_millis("time")).withColumnRenamed("time", "time_ms")
 
 
-@query("", f"with l as (select symbol, {LEVEL} as level from risk_scores) select level, count(*) n from l where level in ('critical', 'high', 'elevated') group by 1")
+@query("", f"with l as (select symbol, time, risk_score, {LEVEL} as level from risk_scores) select symbol, epoch_ms(time) time_ms, risk_score, level, case when risk_score >= 50 then 'Price Stress' else '' end factors from l where level in ('critical', 'high', 'elevated')")
 def alerts_active(t):
-    return serving.with_level(t("risk_scores")).filter(F.col("level").isin("critical", "high", "elevated")).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    factors = F.array(*[F.struct(F.lit(n).alias("name"), s.alias("score")) for n, s in (("Price Stress", F.col("risk_score")), ("Volatility Regime", F.lit(0)), ("Dynamic Threshold", F.lit(0)))])
+    x = serving.active_alerts(t("risk_scores").withColumn("factors", factors))
+    return x.select("symbol", F.unix_millis("time").alias("time_ms"), "risk_score", "level", F.array_join(F.transform("factors", lambda f: f["name"]), ",").alias("factors"))
 
 
 @query("confidence", "select symbol, epoch_ms(time) time_ms, risk_score, confidence from risk_scores where symbol = 'click' and epoch_ms(time) > epoch_ms(timestamp '2024-01-20') - 48 * 3600000")
@@ -370,14 +372,36 @@ def migrate_legacy_tables(t):
     return tables.migrate_risk_table(legacy).select("symbol", F.unix_millis("time").alias("time_ms"), "risk_score", "confidence")
 
 
-@query("quality_coverage", f"""with c as (select symbol, count(*) mark_rows, count(*) / ((epoch(max(ts)) - epoch(min(ts))) / 60 + 1) * 100 quality_coverage from mark_prices group by 1), l as (select symbol, count(*) liq_rows from liquidations group by 1)
-select symbol, mark_rows, liq_rows, quality_coverage, (100 - case when quality_coverage < 95 then 10 else 0 end - case when quality_coverage < 80 then 10 else 0 end - 10)::bigint score, case when 90 - case when quality_coverage < 95 then 10 else 0 end - case when quality_coverage < 80 then 10 else 0 end >= 85 then 'EXCELLENT' else 'STRONG' end rating from c join l using (symbol)""")
+_SCORED = f"""{_HEURISTICS}, cov as (select symbol, count(*) mark_rows, count(*) / ((epoch(max(ts)) - epoch(min(ts))) / 60 + 1) * 100 coverage_pct, count(*) filter (where mark_price - 100.2 <= 0) nonpositive from mark_prices group by 1),
+nl as (select symbol, count(*) liq_rows from liquidations group by 1), nf as (select symbol, count(*) funding_rows from funding_rates group by 1), no_ as (select symbol, count(*) oi_rows, count(*) filter (where open_interest_usd - 1e6 < 0) negative_oi from open_interest group by 1),
+du as (select symbol, sum(c - 1)::bigint duplicates from (select symbol, ts, count(*) c from ticks group by 1, 2) group by 1), ju as (select symbol, count(*) filter (where abs(x) > 0.01) jumps from (select symbol, mark_price / lag(mark_price) over (partition by symbol order by ts) - 1 x from mark_prices) group by 1),
+hf as (select symbol, count(*) filter (where not pass) heuristic_fails from tests group by 1),
+au as (select *, (select kurtosis from g3 where g3.symbol = cov.symbol) kurtosis from cov left join nl using (symbol) left join nf using (symbol) left join no_ using (symbol) left join du using (symbol) left join ju using (symbol) left join hf using (symbol)),
+sc as (select *, greatest(0, 100 - case when mark_rows = 0 then 40 else 0 end - case when coalesce(liq_rows, 0) = 0 then 15 else 0 end - case when coalesce(funding_rows, 0) = 0 then 10 else 0 end - case when coalesce(oi_rows, 0) = 0 then 10 else 0 end
+ - case when coverage_pct < 95 then 10 else 0 end - case when coverage_pct < 80 then 10 else 0 end - case when duplicates > 0 then 10 else 0 end - case when nonpositive > 0 then 10 else 0 end - case when negative_oi > 0 then 5 else 0 end - case when coalesce(kurtosis, 0) > 3 then 0 else 10 end
+ - case when jumps > 5 then 5 else 0 end - case when heuristic_fails >= 4 then 25 when heuristic_fails >= 2 then 10 else 0 end)::bigint score from au)"""
+
+
+@query("coverage_pct", f"with {_SCORED} select symbol, mark_rows, liq_rows, coverage_pct, duplicates, jumps, heuristic_fails, score, case when score >= 85 then 'EXCELLENT' when score >= 70 then 'STRONG' when score >= 50 then 'MODERATE' when score >= 25 then 'WEAK' else 'INVALID' end rating from sc")
 def quality_score(t):
-    a = quality.coverage(t("mark_prices")).select("symbol", F.col("present").alias("mark_rows"), "coverage_pct")
-    a = a.join(t("liquidations").groupBy("symbol").agg(F.count(F.lit(1)).alias("liq_rows")), "symbol")
-    zero = {n: F.lit(0) for n in ("duplicates", "nonpositive", "negative_oi", "jumps", "heuristic_fails")}
-    s = quality.quality_score(a.withColumns({**zero, "funding_rows": F.lit(1), "oi_rows": F.lit(1), "kurtosis": F.lit(1.0)}))
-    return s.select("symbol", "mark_rows", "liq_rows", F.col("coverage_pct").alias("quality_coverage"), "score", "rating")
+    m, o, q, f, k = t("mark_prices"), t("open_interest"), t("liquidations"), t("funding_rates"), t("ticks")
+    n = lambda name: F.count(F.lit(1)).alias(name)
+    parts = [
+        quality.coverage(m).select("symbol", F.col("present").alias("mark_rows"), "coverage_pct"),
+        m.groupBy("symbol").agg(F.count_if(F.col("mark_price") - 100.2 <= 0).alias("nonpositive")),
+        q.groupBy("symbol").agg(n("liq_rows")),
+        f.groupBy("symbol").agg(n("funding_rows")),
+        o.groupBy("symbol").agg(n("oi_rows"), F.count_if(F.col("open_interest_usd") - 1e6 < 0).alias("negative_oi")),
+        quality.pk_duplicates(k, "symbol", "ts").groupBy("symbol").agg(F.sum(F.col("copies") - 1).alias("duplicates")),
+        quality.jumps(m, 0.01).select("symbol", "jumps"),
+        quality.return_moments(m).select("symbol", "kurtosis"),
+        quality.synthetic_heuristics(m, q, f, o).groupBy("symbol").agg(F.count_if(~F.col("pass")).alias("heuristic_fails")),
+    ]
+    audit = parts[0]
+    for p in parts[1:]:
+        audit = audit.join(p, "symbol", "left")
+    counts = [c for c in audit.columns if c not in ("symbol", "coverage_pct", "kurtosis")]
+    return quality.quality_score(audit.fillna(0, counts)).select("symbol", "mark_rows", "liq_rows", "coverage_pct", "duplicates", "jumps", "heuristic_fails", "score", "rating")
 
 
 _PAYLOAD_VENUES = ("binance", "bybit", "okx", "bitget", "gateio", "mexc", "kucoin", "kraken", "dydx", "hyperliquid", "gmx")
@@ -446,10 +470,14 @@ def load_oi_history(t):
 
 
 def _shared(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder of the session, or a local one where none is set."""
+    """A new folder in the shared checkpoint folder of the session; only a session on one machine gets a local one where none is set."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -504,17 +532,21 @@ def stream_funding(t):
     return y.select("symbol", F.unix_millis("ts").alias("ts_ms"), "funding_rate")
 
 
-@query("", "select symbol, count(distinct date_trunc('minute', ts)) minutes_seen from ticks group by 1")
+@query("open_interest_usd", "with f as (select *, row_number() over (partition by symbol, date_trunc('minute', ts) order by ts, event_id) n from ticks) select f.symbol, epoch_ms(m.ts) minute_ms, f.open_interest_usd / 1000 * m.mark_price open_interest_usd from f join mark_prices m on m.symbol = f.symbol and m.ts = date_trunc('minute', f.ts) where n = 1")
 def stream_open_interest(t):
+    """Contracts in US dollars by the price of their minute, the first report of each minute."""
     prices = t("mark_prices").select("symbol", F.col("ts").alias("minute"), "mark_price")
-    x = t("ticks").select("symbol", "ts", F.date_trunc("minute", "ts").alias("minute"), (F.col("open_interest_usd") / F.col("mark_price")).alias("contracts"))
+    first = F.row_number().over(Window.partitionBy("symbol", F.date_trunc("minute", "ts")).orderBy("ts", "event_id"))
+    x = t("ticks").withColumn("n", first).select("symbol", "ts", F.date_trunc("minute", "ts").alias("minute"), (F.col("open_interest_usd") / 1000.0).alias("contracts"), "n")
+    reports = x.filter("n = 1").drop("n")
 
     def build(s):
-        usd = s.join(prices, ["symbol", "minute"]).withColumn("open_interest_usd", F.col("contracts") * F.col("mark_price"))
+        usd = s.join(prices, ["symbol", "minute"]).withColumn("open_interest_usd", F.col("contracts") * F.col("mark_price")).filter("open_interest_usd >= 0")
         return streams.first_per_key(usd, ["symbol", "minute"])
 
-    y = _streamed(x, build, "symbol string, minute timestamp, ts timestamp, contracts double, mark_price double, open_interest_usd double")
-    return y.filter("open_interest_usd >= 0").groupBy("symbol").agg(F.count(F.lit(1)).alias("minutes_seen"))
+    # Every report twice: the second is dropped as a duplicate.
+    y = _streamed(reports.unionByName(reports), build, "symbol string, minute timestamp, ts timestamp, contracts double, mark_price double, open_interest_usd double")
+    return y.select("symbol", F.unix_millis("minute").alias("minute_ms"), "open_interest_usd")
 
 
 @query("", f"with l as (select symbol, time, {LEVEL} as severity from risk_scores) select symbol, epoch_ms(time) time_ms, severity from l where severity in ('critical', 'high')")
