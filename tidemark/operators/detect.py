@@ -25,12 +25,20 @@ def interpolate_prices(points: DataFrame, prices: DataFrame, at: str = "ms", nam
 
 
 def trailing_annual_vol(points: DataFrame, prices: DataFrame, at: str = "ms", minutes: int = 1440, least: int = 30) -> DataFrame:
-    """sigma: sqrt(mean r^2) x sqrt(525960) of the log returns with time in [t - minutes, t]; 0 under ``least`` returns."""
-    w = Window.partitionBy("symbol").orderBy("_t").rangeBetween(-minutes * MINUTE, 0)
+    """sigma: sqrt(mean r^2) x sqrt(525960) of the log returns with time in [t - minutes, t]; 0 under ``least`` returns.
+
+    Running sums of r^2 and their number, read as of t and before t - minutes.
+    """
+    w = Window.partitionBy("symbol").orderBy("ms").rangeBetween(Window.unboundedPreceding, 0)
     r = _ms(prices).withColumn("_r", positive_ratio_log(F.col("mark_price"), F.lag("mark_price").over(ordered()))).filter("_r is not null")
-    both = points.withColumn("_t", F.col(at)).withColumn("_p", F.lit(True)).unionByName(r.select("symbol", F.col("ms").alias("_t"), "_r"), allowMissingColumns=True)
-    out = both.withColumn("_n", F.count("_r").over(w)).withColumn("_q", F.avg(F.col("_r") * F.col("_r")).over(w)).filter("_p")
-    return out.select(*points.columns, F.when(F.col("_n") >= least, F.sqrt("_q") * (525_960.0**0.5)).otherwise(0.0).alias("sigma"))
+    per = r.groupBy("symbol", "ms").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_r") * F.col("_r")).alias("q"))
+    run = per.select("symbol", "ms", F.struct(F.sum("n").over(w).alias("n"), F.sum("q").over(w).alias("q")).alias("run"))
+    j = asof_backward(points, run, "run", left_ts=at, right_ts="ms", name="_until")
+    j = j.withColumn("_from", F.col(at) - minutes * MINUTE - 1)
+    j = asof_backward(j, run, "run", left_ts="_from", right_ts="ms", name="_before")
+    part = lambda c: F.coalesce(F.col(f"_until.{c}"), F.lit(0)) - F.coalesce(F.col(f"_before.{c}"), F.lit(0))
+    n, q = part("n"), F.greatest(part("q"), F.lit(0.0))
+    return j.select(*points.columns, F.when(n >= least, F.sqrt(q / F.when(n > 0, n)) * (525_960.0**0.5)).otherwise(0.0).alias("sigma"))
 
 
 def detect_cascades(prices: DataFrame, liqs: DataFrame, window: int = 5, k: float = 4.0, lookback: int = 1440, floor_usd: float = 100_000.0, dominance: float = 0.65, merge_gap: int = 0) -> DataFrame:
@@ -43,10 +51,11 @@ def detect_cascades(prices: DataFrame, liqs: DataFrame, window: int = 5, k: floa
     SELL orders close longs, BUY orders shorts.
     """
     span = _ms(prices).groupBy("symbol").agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"))
-    last = F.floor((F.col("hi") - F.col("lo")) / MINUTE).cast("long") - window
-    grid = span.filter(last >= 0).select("symbol", "lo", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("m")).withColumn("ms", F.col("lo") + F.col("m") * MINUTE)
-    moves = interpolate_prices(grid, prices, "ms", "p0").withColumn("end_ms", F.col("ms") + window * MINUTE)
-    moves = trailing_annual_vol(interpolate_prices(moves, prices, "end_ms", "p1"), prices, "ms", lookback)
+    last = F.floor((F.col("hi") - F.col("lo")) / MINUTE).cast("long")
+    grid = span.select("symbol", "lo", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("m")).withColumn("ms", F.col("lo") + F.col("m") * MINUTE)
+    ahead = F.lead("p0", window).over(Window.partitionBy("symbol").orderBy("m"))
+    moves = interpolate_prices(grid, prices, "ms", "p0").withColumn("p1", ahead).filter("p1 is not null").withColumn("end_ms", F.col("ms") + window * MINUTE)
+    moves = trailing_annual_vol(moves, prices, "ms", lookback)
     sums = window_liquidations(span, liqs, window, lookback)
     phase = sums.withColumn("_k", F.concat_ws("|", "symbol", F.pmod("m", F.lit(window)).cast("string")))
     phase = phase.withColumn("prev", F.lag("usd").over(Window.partitionBy("_k").orderBy("m")))

@@ -672,6 +672,15 @@ def factors(t):
     return scored.select("symbol", F.unix_millis("ts").alias("ts_ms"), F.explode("factors").alias("f")).select("symbol", "ts_ms", "f.*")
 
 
+@query("z probability estimated_impact trigger_price")
+def stress_predictions(t):
+    x = t("ticks").withColumn("deviation", (F.col("mark_price") - 100.0) / 2.5)
+    scored = stress.stress_score(x, history=300, warm=100, lookback=60, chunk=400).select("symbol", "ts", "z", "score", "confidence")
+    j = scored.join(x.select("symbol", "ts", "funding_rate", "open_interest_usd", "index_price").dropDuplicates(["symbol", "ts"]), ["symbol", "ts"])
+    p = stress.with_prediction(j, "funding_rate", "open_interest_usd", "index_price")
+    return p.select("symbol", F.unix_millis("ts").alias("ts_ms"), "z", "score", "funding_rate", "open_interest_usd", "index_price", "prediction.direction", "prediction.probability", "prediction.estimated_impact", "prediction.time_window", "prediction.trigger_price")
+
+
 @query("", "with x as (select symbol, ts, row_number() over (partition by symbol order by ts) n from ticks) select symbol, count(*) n, max(n) last from x group by 1")
 def stress_series(t):
     x = t("ticks").withColumn("n", F.row_number().over(windows.ordered()))

@@ -431,6 +431,78 @@ def normalize_venue_quotes(t):
     return out.select(F.substring_index("symbol", "#", -1).cast("long").alias("event_id"), F.substring_index("symbol", "#", 1).alias("symbol"), "mark_price", "index_price", "funding_rate", "open_interest", "open_interest_usd")
 
 
+def venue_pages(ticks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages in the shapes of the eleven venues, one instrument an event, and the listings of those that list many."""
+    e = F.col("event_id")
+    text = lambda c: c.cast("string")
+    big = lambda c: (c * 1e30).cast("string")
+    x = ticks.select(
+        "ts",
+        e,
+        F.element_at(F.array(*map(F.lit, _PAYLOAD_VENUES)), (e % 11 + 1).cast("int")).alias("venue"),
+        F.concat_ws("#", "symbol", "event_id").alias("symbol"),
+        *[F.when(e % 50 == 0, "bad").otherwise(text(c)).alias(n) for n, c in (("oi", F.col("open_interest_usd") / 1000), ("mk", F.col("mark_price")), ("ix", F.col("index_price")))],
+        text(F.col("funding_rate") * 100).alias("fr"),
+        *[F.when(e % 50 == 0, "bad").otherwise(big(c)).alias(n) for n, c in (("goi", F.col("open_interest_usd") / 1000), ("gmk", F.col("mark_price")))],
+    )
+    s = lambda **by: F.struct(*[F.col(c).alias(n) if isinstance(c, str) else c.alias(n) for n, c in by.items()])
+    data = lambda c: s(data=c)
+    row = lambda c: s(data=F.array(c))
+    result = lambda c: s(result=s(list=F.array(c)))
+    soon = F.unix_millis("ts") + 3_600_000
+    shapes = {
+        "binance": {"premiumIndex": s(markPrice="mk", indexPrice="ix", lastFundingRate="fr", nextFundingTime=soon), "openInterest": s(openInterest="oi")},
+        "bybit": {"tickers": result(s(lastPrice="mk", fundingRate="fr", nextFundingTime=text(soon), markPrice="mk", indexPrice="ix", openInterest=F.lit("0"))), "open-interest": result(s(openInterest="oi"))},
+        "okx": {"open-interest": row(s(oi="oi")), "funding-rate": row(s(fundingRate="fr", nextFundingTime=text(soon))), "mark-price": row(s(markPx="mk")), "index-tickers": row(s(idxPx="ix"))},
+        "bitget": {"open-interest": data(s(amount="oi")), "current-fundRate": data(s(fundingRate="fr")), "mark-price": data(s(markPrice="mk"))},
+        "gateio": {"contract": s(position_size="oi", quanto_multiplier=F.lit("0.1"), last_price="mk", funding_rate="fr", funding_next_apply=F.floor(soon / 1000), mark_price="mk", index_price="ix")},
+        "mexc": {"open_interest": data(s(value="oi")), "funding_rate": data(s(fundingRate="fr", nextSettleTime=soon)), "index_price": data(s(indexPrice="ix"))},
+        "kucoin": {"openInterest": data(s(openInterest="oi")), "funding-rate": data(s(value="fr", timePoint=soon)), "mark-price": data(s(value="mk", indexPrice="ix"))},
+    }
+    landed = F.lit(None).cast("array<struct<endpoint:string,payload:string>>")
+    for venue, by in shapes.items():
+        landed = F.when(F.col("venue") == venue, F.array(*[F.struct(F.lit(n).alias("endpoint"), F.to_json(c).alias("payload")) for n, c in by.items()])).otherwise(landed)
+    pages = x.select("venue", F.explode(landed).alias("p"), "symbol", "ts").select("venue", "p.endpoint", "symbol", "p.payload", "ts")
+    listed = {
+        ("kraken", "tickers"): lambda c: F.to_json(s(tickers=F.collect_list(c(s(symbol="listed", openInterest="oi", markPrice="mk", indexPrice="ix", fundingRate="fr", fundingRatePrediction=F.lit("0")))))),
+        ("dydx", "perpetualMarkets"): lambda c: F.to_json(s(markets=F.map_from_entries(F.collect_list(c(s(key="listed", value=s(openInterest="oi", oraclePrice="ix", nextFundingRate="fr"))))))),
+        ("hyperliquid", "metaAndAssetCtxs"): lambda c: F.concat(
+            F.lit("["), F.to_json(s(universe=F.transform(F.collect_list(s(name="listed", ctx=c(s(funding="fr", openInterest="oi", oraclePx="ix", markPx="mk")))), lambda v: F.struct(v["name"].alias("name"))))), F.lit(","),
+            F.to_json(F.transform(F.collect_list(s(name="listed", ctx=c(s(funding="fr", openInterest="oi", oraclePx="ix", markPx="mk")))), lambda v: v["ctx"])), F.lit("]"),
+        ),
+        ("gmx", "markets"): lambda c: F.to_json(s(markets=F.collect_list(c(s(marketToken="listed", longInterestUsd="goi", shortInterestUsd="goi", indexTokenPrice=s(max="gmk"), borrowingFactorPerSecondForLongs="fr", borrowingFactorPerSecondForShorts="fr"))))),
+        ("gmx", "tickers"): lambda c: F.to_json(F.map_from_entries(F.collect_list(c(s(key="listed", value=s(maxPrice="gmk")))))),
+    }
+    y = x.withColumn("listed", F.concat(F.lit("L"), text(e)))
+    for (venue, endpoint), build in listed.items():
+        day = F.date_trunc("day", "ts")
+        part = y.filter(F.col("venue") == venue).groupBy(day.alias("ts")).agg(build(lambda c: c).alias("payload"))
+        pages = pages.unionByName(part.select(F.lit(venue).alias("venue"), F.lit(endpoint).alias("endpoint"), F.lit(None).cast("string").alias("symbol"), "payload", "ts"))
+    path = f"{_shared(ticks.sparkSession)}/pages"
+    pages.write.parquet(path)
+    return ticks.sparkSession.read.schema(pages.schema).parquet(path), y.filter(~F.col("venue").isin(*shapes)).select("venue", "listed", "symbol")
+
+
+@query("mark_price index_price funding_rate open_interest open_interest_usd", f"with {_RAW} select event_id, symbol, mark_price, index_price, funding_rate, open_interest, open_interest_usd from q where event_id % 50 <> 0", digits=7)
+def normalize_venue_pages(t):
+    out = venues.normalize_venue_pages(*venue_pages(t("ticks")))
+    return out.select(F.substring_index("symbol", "#", -1).cast("long").alias("event_id"), F.substring_index("symbol", "#", 1).alias("symbol"), "mark_price", "index_price", "funding_rate", "open_interest", "open_interest_usd")
+
+
+def _venue_query(number: int, venue: str) -> None:
+    @query("mark_price index_price funding_rate open_interest open_interest_usd", f"with {_RAW} select event_id, mark_price, index_price, funding_rate, open_interest, open_interest_usd from q where v = {number} and event_id % 50 <> 0", digits=7)
+    def rule(t):
+        out = venues.normalize_venue_pages(*venue_pages(t("ticks").filter(F.col("event_id") % 11 == number)))
+        return out.select(F.substring_index("symbol", "#", -1).cast("long").alias("event_id"), "mark_price", "index_price", "funding_rate", "open_interest", "open_interest_usd")
+
+    for registry in (QUERIES, ORACLES):
+        registry[f"venue_{venue}"] = registry.pop("rule")
+
+
+for _number, _venue in enumerate(_PAYLOAD_VENUES):
+    _venue_query(_number, _venue)
+
+
 @query("price ema_price", "select event_id, round(mark_price * 10000, 0) / 10000 price, round(case when event_id % 3 = 0 then mark_price else index_price end * 10000, 0) / 10000 ema_price, symbol, epoch(date_trunc('second', ts))::bigint publish_s from ticks")
 def normalize_oracle_price(t):
     m = lambda c: F.round(F.col(c) * 10000, 0).cast("long").cast("string")
@@ -452,6 +524,13 @@ def load_mark_klines(t):
     return venues.load_klines(pages).select("symbol", F.unix_millis("ts").alias("ts_ms"), "mark_price")
 
 
+@query("", "select symbol, epoch_ms(ts) ts_ms, 'n/a' as rejected from ticks where event_id % 100 = 0")
+def rejected_klines(t):
+    k = F.array(F.unix_millis("ts").cast("string"), F.lit("1"), F.lit("1"), F.lit("1"), F.when(F.col("event_id") % 100 == 0, "n/a").otherwise(F.col("mark_price").cast("string")))
+    pages = t("ticks").groupBy("symbol", F.date_trunc("day", "ts").alias("day")).agg(F.to_json(F.collect_list(k)).alias("payload"))
+    return venues.rejected_klines(pages).select("symbol", F.unix_millis("ts").alias("ts_ms"), "rejected")
+
+
 @query("funding_rate", "select symbol, epoch_ms(funding_time) ts_ms, funding_rate from funding_rates")
 def load_funding_history(t):
     row = F.struct(F.unix_millis("funding_time").alias("fundingTime"), F.col("funding_rate").cast("string").alias("fundingRate"))
@@ -512,10 +591,26 @@ def stream_mark_validated(t):
     return _streamed(x, streams.validated_marks, "symbol string, ts timestamp, mark_price double").select("symbol", F.unix_micros("ts").alias("ts_us"), "mark_price")
 
 
-@query("total_oi avg_mark", "with w as (select symbol, epoch_ms(ts) // 30000 * 30000 ts_ms, sum(open_interest_usd) total_oi, avg(mark_price) avg_mark, count(*) quotes from ticks group by 1, 2) select * from w where ts_ms + 90000 <= (select epoch_ms(max(ts)) from ticks)", digits=7)
+@query("total_oi avg_funding avg_mark spread_pct", """with q as (select *, epoch_ms(ts) // 30000 * 30000 ts_ms from ticks where event_id % 20 <= 15 and abs(mark_price - index_price) / index_price <= 0.05), l as (select *, row_number() over (partition by symbol, ts_ms, exchange order by ts desc, event_id desc) n from q),
+m as (select *, quantile_disc(mark_price, 0.5) over (partition by symbol, ts_ms) med from l where n = 1), k as (select symbol, ts_ms, sum(open_interest_usd) filter (where open_interest_usd > 0 and open_interest_usd < 5e11) total_oi, avg(funding_rate) filter (where funding_rate <> 0 and abs(funding_rate) < 0.01) f, avg(mark_price) avg_mark, max(mark_price) - min(mark_price) r, count(*)::int venues from m group by 1, 2)
+select symbol, ts_ms, coalesce(total_oi, 0) total_oi, coalesce(f, 0) avg_funding, avg_mark, venues, r / avg_mark * 100 spread_pct, case when abs(f) > 0.002 then 'critical' when abs(f) > 0.001 then 'high' when abs(f) > 0.0005 then 'medium' end funding_signal from k where ts_ms + 90000 <= (select epoch_ms(max(ts)) from ticks)""", digits=7)
 def stream_snapshot(t):
-    x = _streamed(t("ticks"), streams.snapshots, "symbol string, ts timestamp, total_oi double, avg_funding double, avg_mark double, quotes long")
-    return x.select("symbol", F.unix_millis("ts").alias("ts_ms"), "total_oi", "avg_mark", "quotes")
+    x = t("ticks").withColumn("quote_ts", F.timestamp_millis(F.unix_millis("ts") - (F.col("event_id") % 20) * 1000))
+    y = _streamed(x, streams.snapshots, "symbol string, ts timestamp, total_oi double, avg_funding double, avg_mark double, venues int, spread_pct double, funding_signal string")
+    return y.withColumn("ts", F.unix_millis("ts")).withColumnRenamed("ts", "ts_ms")
+
+
+@query("z vol_of_stress confidence pct_rank critical_at")
+def stream_stress(t):
+    x = t("ticks").groupBy("symbol", F.date_trunc("hour", "ts").alias("ts")).agg(((F.max("mark_price") - 100.0) / 2.5).alias("deviation"))
+    base = _shared(x.sparkSession)
+    for part in (F.col("ts") < as_of("2024-01-12"), (F.col("ts") >= as_of("2024-01-12")) & (F.col("ts") < as_of("2024-01-20")), F.col("ts") >= as_of("2024-01-20")):
+        x.filter(part).write.mode("append").parquet(f"{base}/in")
+        stream = x.sparkSession.readStream.schema(x.schema).parquet(f"{base}/in")
+        streams.stress_to_table(stream, base, f"{base}/checkpoint", history=120, warm=60, lookback=48, chunk=120)
+    schema = "symbol string, ts timestamp, x double, z double, regime string, warm boolean, vol_of_stress double, level string, score int, confidence double, pct_rank double, critical_at double"
+    out = x.sparkSession.read.schema(schema).parquet(f"{base}/scores").select(*[c.split()[0] for c in schema.split(", ")])
+    return out.drop("x").withColumn("ts", F.unix_millis("ts"))
 
 
 @query("", "with w as (select epoch_ms(date_trunc('minute', ts)) ts_ms, count(*) ticks, count(*) filter (where mark_price - 100.5 <= 0) rejected from ticks group by 1) select * from w where ts_ms + 180000 <= (select epoch_ms(max(ts)) from ticks)")

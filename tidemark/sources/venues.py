@@ -1,6 +1,8 @@
 """Raw venue payloads to canonical quotes (bronze to silver).
 
-Each row is (venue, symbol, payload JSON, ts). Rules that must hold for each venue are expressions over the parsed
+Landed pages are rows (venue, endpoint, symbol, payload JSON, ts): the response of one endpoint to one fetch. ``fields_of_pages``
+reads each venue's own shapes and brings the endpoints of a fetch together; pages that list many instruments are exploded and
+matched with a table of listings. ``normalize_venue_quotes`` takes fields that are already flat in one payload. Rules that must hold for each venue are expressions over the parsed
 payload; a quote with one bad field or a failed price guard is rejected whole, as the batch path has it.
 """
 
@@ -11,8 +13,26 @@ from pyspark.sql import functions as F
 
 PAYLOAD = (
     "open_interest string, value string, mark string, index string, last string, funding string, predicted string, funding_time string, multiplier string,"
-    " oracle string, long_oi string, short_oi string, borrow_long string, borrow_short string"
+    " oracle string, long_oi string, short_oi string, borrow_long string, borrow_short string, token string"
 )
+NAMES = [f.split()[0] for f in PAYLOAD.split(", ")]
+#: Where each venue's endpoints for one instrument have their fields.
+PATHS = {
+    "binance": {"premiumIndex": {"mark": "$.markPrice", "index": "$.indexPrice", "funding": "$.lastFundingRate", "funding_time": "$.nextFundingTime"}, "openInterest": {"open_interest": "$.openInterest"}},
+    "bybit": {
+        "tickers": {"mark": "$.result.list[0].markPrice", "index": "$.result.list[0].indexPrice", "last": "$.result.list[0].lastPrice", "funding": "$.result.list[0].fundingRate", "funding_time": "$.result.list[0].nextFundingTime"},
+        "open-interest": {"open_interest": "$.result.list[0].openInterest"},
+    },
+    "okx": {"open-interest": {"open_interest": "$.data[0].oi"}, "funding-rate": {"funding": "$.data[0].fundingRate", "funding_time": "$.data[0].nextFundingTime"}, "mark-price": {"mark": "$.data[0].markPx"}, "index-tickers": {"index": "$.data[0].idxPx"}},
+    "bitget": {"open-interest": {"open_interest": "$.data.amount"}, "current-fundRate": {"funding": "$.data.fundingRate"}, "mark-price": {"mark": "$.data.markPrice"}},
+    "gateio": {
+        "contract": {"open_interest": "$.position_size", "multiplier": "$.quanto_multiplier", "last": "$.last_price", "funding": "$.funding_rate", "funding_time": "$.funding_next_apply", "mark": "$.mark_price", "index": "$.index_price"}
+    },
+    "mexc": {"open_interest": {"value": "$.data.value"}, "funding_rate": {"funding": "$.data.fundingRate", "funding_time": "$.data.nextSettleTime"}, "index_price": {"index": "$.data.indexPrice"}},
+    "kucoin": {"openInterest": {"open_interest": "$.data.openInterest"}, "funding-rate": {"funding": "$.data.value", "funding_time": "$.data.timePoint"}, "mark-price": {"mark": "$.data.value", "index": "$.data.indexPrice"}},
+}
+#: Hours until the next funding, where a venue does not say.
+FUNDING_HOURS = {"bitget": 8, "kraken": 4, "dydx": 1, "hyperliquid": 1, "gmx": 8}
 #: Venues whose quotes must have mark and index within 10 % of each other.
 GUARDED = ("binance", "bybit", "okx", "gateio", "kucoin", "kraken", "hyperliquid")
 
@@ -27,14 +47,70 @@ def _kraken_rate(name: str) -> Column:
     return F.when(F.abs(r) > 0.01, r / 100.0).otherwise(r) * 2.0
 
 
+def _exploded(pages: DataFrame, venue: str, endpoint: str, rows: Column, listed: Column, fields: dict[str, Column]) -> DataFrame:
+    """(venue, listed, ts, fields) of a page that lists many instruments as ``rows``, an array column."""
+    own = pages.filter((F.col("venue") == venue) & (F.col("endpoint") == endpoint))
+    return own.select("venue", "ts", F.explode(rows).alias("r")).select("venue", "ts", listed.alias("listed"), *[c.alias(n) for n, c in fields.items()])
+
+
+def fields_of_pages(pages: DataFrame, listings: DataFrame) -> DataFrame:
+    """(venue, symbol, ts, p) with the fields of PAYLOAD, all endpoints of a fetch together.
+
+    ``listings`` (venue, listed, symbol) names the instruments of venues whose pages list many of them.
+    """
+    paths = [(v, e, n, path) for v, by in PATHS.items() for e, found in by.items() for n, path in found.items()]
+
+    def field(name: str) -> Column:
+        out = F.lit(None).cast("string")
+        for v, e, n, path in paths:
+            if n == name:
+                out = F.when((F.col("venue") == v) & (F.col("endpoint") == e), F.get_json_object("payload", path)).otherwise(out)
+        return out.alias(name)
+
+    single = pages.filter(F.col("venue").isin(*PATHS)).select("venue", "symbol", "ts", *[field(n) for n in NAMES])
+    r = lambda n: F.col(f"r.{n}")
+    kraken = F.from_json(F.get_json_object("payload", "$.tickers"), "array<struct<symbol:string,openInterest:string,markPrice:string,indexPrice:string,fundingRate:string,fundingRatePrediction:string>>")
+    dydx = F.map_entries(F.from_json(F.get_json_object("payload", "$.markets"), "map<string,struct<openInterest:string,oraclePrice:string,nextFundingRate:string>>"))
+    universe = F.from_json(F.get_json_object("payload", "$[0].universe"), "array<struct<name:string>>")
+    contexts = F.from_json(F.get_json_object("payload", "$[1]"), "array<struct<funding:string,openInterest:string,oraclePx:string,markPx:string>>")
+    markets = F.from_json(
+        F.get_json_object("payload", "$.markets"),
+        "array<struct<marketToken:string,longInterestUsd:string,shortInterestUsd:string,indexTokenPrice:struct<max:string>,borrowingFactorPerSecondForLongs:string,borrowingFactorPerSecondForShorts:string>>",
+    )
+    prices = F.map_entries(F.from_json("payload", "map<string,struct<maxPrice:string>>"))
+    listed = [
+        _exploded(pages, "kraken", "tickers", kraken, r("symbol"), {"open_interest": r("openInterest"), "mark": r("markPrice"), "index": r("indexPrice"), "funding": r("fundingRate"), "predicted": r("fundingRatePrediction")}),
+        _exploded(pages, "dydx", "perpetualMarkets", dydx, r("key"), {"open_interest": r("value.openInterest"), "oracle": r("value.oraclePrice"), "funding": r("value.nextFundingRate")}),
+        _exploded(pages, "hyperliquid", "metaAndAssetCtxs", F.arrays_zip(universe.alias("u"), contexts.alias("c")), r("u.name"), {"open_interest": r("c.openInterest"), "mark": r("c.markPx"), "oracle": r("c.oraclePx"), "funding": r("c.funding")}),
+        _exploded(pages, "gmx", "markets", markets, r("marketToken"), {"long_oi": r("longInterestUsd"), "short_oi": r("shortInterestUsd"), "token": r("indexTokenPrice.max"), "borrow_long": r("borrowingFactorPerSecondForLongs"), "borrow_short": r("borrowingFactorPerSecondForShorts")}),
+        _exploded(pages, "gmx", "tickers", prices, r("key"), {"mark": r("value.maxPrice")}),
+    ]
+    every = single
+    for part in listed:
+        every = every.unionByName(part.join(listings, ["venue", "listed"]).drop("listed"), allowMissingColumns=True)
+    merged = every.groupBy("venue", "symbol", "ts").agg(*[F.max(n).alias(n) for n in NAMES])
+    return merged.select("venue", "symbol", "ts", F.struct(*NAMES).alias("p"))
+
+
+def normalize_venue_pages(pages: DataFrame, listings: DataFrame, guard: float = 0.10) -> DataFrame:
+    """Canonical quotes from landed pages."""
+    return _normalized(fields_of_pages(pages, listings), guard)
+
+
 def normalize_venue_quotes(raw: DataFrame, guard: float = 0.10) -> DataFrame:
     """exchange, symbol, open_interest, open_interest_usd, funding_rate, funding_time, mark_price, index_price, ts."""
-    x = raw.select(F.col("venue").alias("exchange"), "symbol", "ts", F.from_json("payload", PAYLOAD).alias("p"))
+    return _normalized(raw.select("venue", "symbol", "ts", F.from_json("payload", PAYLOAD).alias("p")), guard)
+
+
+def _normalized(fields: DataFrame, guard: float) -> DataFrame:
+    x = fields.withColumnRenamed("venue", "exchange")
     venue = F.col("exchange")
     at = lambda default, **by: _case(venue, default, by)
-    gmx_usd, gmx_price = (_n("long_oi") + _n("short_oi")) / 1e30, _n("mark") / 1e30
+    gmx_usd, gmx_price, gmx_token = (_n("long_oi") + _n("short_oi")) / 1e30, _n("mark") / 1e30, F.coalesce(_n("token"), _n("mark")) / 1e30
     kraken, predicted = _kraken_rate("funding"), _kraken_rate("predicted")
     better = predicted.isNotNull() & ~F.isnan(predicted) & (predicted != 0) & (F.abs(predicted) < F.abs(kraken))
+    hours = at(F.lit(0), **{v: F.lit(h) for v, h in FUNDING_HOURS.items()})
+    next_funding = F.timestamp_millis(F.unix_millis("ts") + hours * 3_600_000)
     mark = at(_n("mark"), mexc=_n("index"), dydx=_n("oracle"), gmx=gmx_price)
     out = x.select(
         "exchange",
@@ -43,8 +119,8 @@ def normalize_venue_quotes(raw: DataFrame, guard: float = 0.10) -> DataFrame:
         mark.alias("mark_price"),
         at(F.coalesce(_n("index"), _n("mark")), bitget=_n("mark"), mexc=_n("index"), dydx=_n("oracle"), hyperliquid=_n("oracle"), gmx=gmx_price).alias("index_price"),
         at(_n("funding"), kraken=F.when(better, predicted).otherwise(kraken), hyperliquid=_n("funding") * 8.0, gmx=(_n("borrow_long") + _n("borrow_short")) / 2.0 * 8.0 * 3600.0).alias("funding_rate"),
-        F.coalesce(F.timestamp_millis(at(_n("funding_time"), gateio=_n("funding_time") * 1000.0).cast("long")), "ts").alias("funding_time"),
-        at(_n("open_interest"), gateio=_n("open_interest") * _n("multiplier"), mexc=F.when(_n("index") > 0, _n("value") / F.when(_n("index") > 0, _n("index"))).otherwise(0.0), gmx=F.when(gmx_price > 0, gmx_usd / F.when(gmx_price > 0, gmx_price)).otherwise(0.0)).alias("open_interest"),
+        F.coalesce(F.timestamp_millis(at(_n("funding_time"), gateio=_n("funding_time") * 1000.0).cast("long")), next_funding).alias("funding_time"),
+        at(_n("open_interest"), gateio=_n("open_interest") * _n("multiplier"), mexc=F.when(_n("index") > 0, _n("value") / F.when(_n("index") > 0, _n("index"))).otherwise(0.0), gmx=F.when(gmx_token > 0, gmx_usd / F.when(gmx_token > 0, gmx_token)).otherwise(0.0)).alias("open_interest"),
         at(
             _n("open_interest") * _n("mark"),
             bybit=_n("open_interest") * _n("last"),
@@ -83,11 +159,23 @@ def normalize_oracle_price(raw: DataFrame, feeds: DataFrame) -> DataFrame:
     return out.join(feeds, "feed_id").drop("feed_id")
 
 
-def load_klines(pages: DataFrame) -> DataFrame:
-    """symbol, ts, mark_price from pages of kline arrays: element 0 is the open time, element 4 the close; bad closes are left out."""
+def parse_klines(pages: DataFrame) -> DataFrame:
+    """symbol, ts, mark_price, rejected (the close as it was, where it is no finite number) of every row of kline pages."""
     rows = pages.select("symbol", F.explode(F.from_json("payload", "array<array<string>>")).alias("k"))
-    out = rows.select("symbol", F.timestamp_millis(F.expr("try_cast(k[0] as bigint)")).alias("ts"), F.expr("try_cast(k[4] as double)").alias("mark_price"))
-    return out.filter(F.col("ts").isNotNull() & F.col("mark_price").isNotNull() & ~F.isnan("mark_price"))
+    close = F.expr("try_cast(k[4] as double)")
+    sound = close.isNotNull() & ~F.isnan(close) & (F.abs(close) < float("inf"))
+    out = rows.select("symbol", F.timestamp_millis(F.expr("try_cast(k[0] as bigint)")).alias("ts"), F.when(sound, close).alias("mark_price"), F.when(~sound, F.coalesce(F.col("k")[4], F.lit("null"))).alias("rejected"))
+    return out.filter(F.col("ts").isNotNull())
+
+
+def load_klines(pages: DataFrame) -> DataFrame:
+    """symbol, ts, mark_price: element 0 of a kline is the open time, element 4 the close. Bad closes go to ``rejected_klines``."""
+    return parse_klines(pages).filter("rejected is null").drop("rejected")
+
+
+def rejected_klines(pages: DataFrame) -> DataFrame:
+    """symbol, ts and the close as it came, of the rows that load_klines leaves out."""
+    return parse_klines(pages).filter("rejected is not null").drop("mark_price")
 
 
 def load_funding_history(pages: DataFrame) -> DataFrame:

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.operators.merge import sane_funding, sane_oi
+from tidemark.operators.quality import quote_rule
+from tidemark.operators.stress import stress_score
+from tidemark.operators.windows import floor_index
+
 
 def mark_minutes(ticks: DataFrame, watermark: str = "2 minutes") -> DataFrame:
     """Last price of each symbol and minute; late ticks past the watermark are dropped."""
-    w = ticks.withWatermark("ts", watermark).groupBy("symbol", F.window("ts", "1 minute"))
+    w = not_ahead(ticks).withWatermark("ts", watermark).groupBy("symbol", F.window("ts", "1 minute"))
     out = w.agg(F.max_by("mark_price", F.struct("ts", "event_id")).alias("mark_price"), F.count(F.lit(1)).alias("ticks"))
     return out.select("symbol", F.col("window.start").alias("ts"), "mark_price", "ticks")
 
@@ -20,7 +27,7 @@ def mark_minutes(ticks: DataFrame, watermark: str = "2 minutes") -> DataFrame:
 def liquidations(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     """Sound liquidations, each id once within the watermark."""
     ok = (F.col("price") > 0) & (F.col("quantity") > 0) & F.col("side").isin("BUY", "SELL")
-    out = events.filter(ok).withColumn("usd_value", F.col("price") * F.col("quantity"))
+    out = not_ahead(events).filter(ok).withColumn("usd_value", F.col("price") * F.col("quantity"))
     return out.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["id"])
 
 
@@ -37,29 +44,86 @@ def parse_force_orders(raw: DataFrame) -> DataFrame:
     )
 
 
-def validated_marks(minutes: DataFrame, max_jump: float = 0.20) -> DataFrame:
-    """Minute prices within ``max_jump`` of the last accepted price of their symbol; that price is the state."""
+def not_ahead(rows: DataFrame, ts: str = "ts", minutes: int = 5) -> DataFrame:
+    """Without rows that lie more than ``minutes`` in the future."""
+    return rows.filter(F.unix_millis(ts) <= F.unix_millis(F.current_timestamp()) + minutes * 60_000)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        for pdf in batches:
-            kept = []
-            for t, p in sorted(zip(pdf["ts"], pdf["mark_price"], strict=True)):
-                if p > 0 and p < float("inf") and (last is None or abs(p - last) / last <= max_jump):
-                    last = p
-                    kept.append((key[0], t, p))
-            yield pd.DataFrame(kept, columns=["symbol", "ts", "mark_price"])
-        if last is not None:
-            state.update((last,))
 
-    return minutes.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, mark_price double", "last double", "append", GroupStateTimeout.NoTimeout)
+def validated_marks(minutes: DataFrame, max_jump: float = 0.20, watermark: str = "2 minutes") -> DataFrame:
+    """Prices within ``max_jump`` of the last accepted price of their symbol, folded in the order of event time.
+
+    State is that price and the rows the watermark has not passed yet: they wait, sorted, until nothing older can come.
+    """
 
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, times, prices = state.get if state.exists else (None, [], [])
+        held = list(zip(times, prices, strict=True))
+        for pdf in batches:
+            held.extend(zip(pdf["us"].tolist(), pdf["mark_price"].tolist(), strict=True))
+        held.sort(key=lambda x: (x[0], math.inf if x[1] is None or x[1] != x[1] else x[1]))
+        mark = state.getCurrentWatermarkMs()
+        ready = bisect.bisect_left(held, mark * 1000, key=lambda x: x[0])
+        kept = []
+        for t, p in held[:ready]:
+            if p is not None and 0 < p < math.inf and (last is None or abs(p - last) / last <= max_jump):
+                last = p
+                kept.append((key[0], t, p))
+        waiting = held[ready:]
+        if waiting or last is not None:
+            state.update((last, [t for t, _ in waiting], [p for _, p in waiting]))
+            if waiting:
+                state.setTimeoutTimestamp(max(mark, waiting[0][0] // 1000) + 1)
+        yield pd.DataFrame(kept, columns=["symbol", "us", "mark_price"])
+
+    rows = not_ahead(minutes).withWatermark("ts", watermark).select("symbol", "ts", F.unix_micros("ts").alias("us"), "mark_price")
+    state = "last double, times array<bigint>, prices array<double>"
+    out = rows.groupBy("symbol").applyInPandasWithState(step, "symbol string, us long, mark_price double", state, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select("symbol", F.timestamp_micros("us").alias("ts"), "mark_price")
+
+
+def snapshots(quotes: DataFrame, every: str = "30 seconds", watermark: str = "1 minute", max_stale_ms: int = 15_000) -> DataFrame:
+    """Snapshot of each symbol per tumbling window: sound quotes, the latest of each venue, outliers out, totals, averages and signals.
+
+    ``quotes`` has ts (arrival), quote_ts (the quote's own time) and event_id.
+    """
+    sound = not_ahead(quotes).withWatermark("ts", watermark).filter(quote_rule(F.col("ts"), max_stale_ms=max_stale_ms).isNull())
+    values = F.struct("exchange", "mark_price", "funding_rate", "open_interest_usd")
+    latest = sound.groupBy(F.window("ts", every), "symbol", "exchange").agg(F.max_by(values, F.struct("ts", "event_id")).alias("q"))
+    v = latest.groupBy("window", "symbol").agg(F.array_sort(F.collect_list("q")).alias("q"))
+    prices = F.array_sort(F.transform(F.filter("q", lambda q: q["mark_price"] > 0), lambda q: q["mark_price"]))
+    v = v.withColumn("_p", prices).withColumn("_m", floor_index(F.col("_p"), 0.5))
+    v = v.withColumn("_p", F.filter("_p", lambda p: (F.size("_p") < 2) | (F.abs(p - F.col("_m")) / F.col("_m") <= 0.5)))
+    oi = F.transform(F.filter("q", lambda q: sane_oi(q["open_interest_usd"])), lambda q: q["open_interest_usd"])
+    rates = F.transform(F.filter("q", lambda q: sane_funding(q["funding_rate"])), lambda q: q["funding_rate"])
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    mean = lambda a: F.coalesce(total(a) / F.nullif(F.size(a), F.lit(0)), F.lit(0.0))
+    out = v.select("symbol", F.col("window.start").alias("ts"), total(oi).alias("total_oi"), mean(rates).alias("avg_funding"), mean(F.col("_p")).alias("avg_mark"), F.size("q").alias("venues"), (F.array_max("_p") - F.array_min("_p")).alias("_r"))
+    spread = F.coalesce(F.col("_r") / F.when(F.col("avg_mark") > 0, F.col("avg_mark")) * 100.0, F.lit(0.0))
+    high = F.abs("avg_funding")
+    severity = F.when(high > 0.002, "critical").when(high > 0.001, "high").when(high > 0.0005, "medium")
+    return out.withColumn("spread_pct", F.when(spread > 50, 0.0).otherwise(spread)).withColumn("funding_signal", severity).drop("_r")
+
+
+def stress_to_table(deviations: DataFrame, base: str, checkpoint: str, history: int = 43_200, **how) -> None:
+    """Score a stream of (symbol, ts, deviation) by micro-batch into ``base``/scores, a folder a batch.
+
+    What came before lies in ``base``/history, a folder a batch; of it each symbol's last 2 x history rows are read again, as a
+    score needs ``history`` z-scores that look back ``history`` rows themselves. A batch that is run again replaces its folders.
+    """
 
-def snapshots(quotes: DataFrame, every: str = "30 seconds", watermark: str = "1 minute") -> DataFrame:
-    """Totals and averages of each symbol per tumbling window."""
-    w = quotes.withWatermark("ts", watermark).groupBy("symbol", F.window("ts", every))
-    out = w.agg(F.sum("open_interest_usd").alias("total_oi"), F.avg("funding_rate").alias("avg_funding"), F.avg("mark_price").alias("avg_mark"), F.count(F.lit(1)).alias("quotes"))
-    return out.select("symbol", F.col("window.start").alias("ts"), "total_oi", "avg_funding", "avg_mark", "quotes")
+    def score(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.select("symbol", "ts", "deviation").write.mode("overwrite").parquet(f"{base}/history/batch={number}")
+        kept = spark.read.schema("symbol string, ts timestamp, deviation double, batch long").parquet(f"{base}/history").filter(F.col("batch") <= number)
+        newest = Window.partitionBy("symbol").orderBy(F.desc("ts"))
+        fresh = F.count_if(F.col("batch") == number).over(Window.partitionBy("symbol"))
+        recent = kept.withColumn("_n", F.row_number().over(newest)).withColumn("_fresh", fresh).filter((F.col("_fresh") > 0) & (F.col("_n") <= F.col("_fresh") + 2 * history))
+        scored = stress_score(recent.select("symbol", "ts", "deviation"), history=history, **how)
+        own = kept.filter(F.col("batch") == number).select("symbol", "ts")
+        scored.join(own, ["symbol", "ts"], "left_semi").write.mode("overwrite").parquet(f"{base}/scores/batch={number}")
+
+    q = deviations.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
 
 
 def sliding_liquidations(liqs: DataFrame, size: str = "5 minutes", step: str = "1 minute", watermark: str = "10 minutes") -> DataFrame:
@@ -68,7 +132,7 @@ def sliding_liquidations(liqs: DataFrame, size: str = "5 minutes", step: str = "
 
 
 def first_per_key(rows: DataFrame, keys: list[str], watermark: str = "10 minutes") -> DataFrame:
-    return rows.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(keys)
+    return not_ahead(rows).withWatermark("ts", watermark).dropDuplicatesWithinWatermark(keys)
 
 
 def quality_counters(ticks: DataFrame, watermark: str = "2 minutes") -> DataFrame:
