@@ -201,6 +201,18 @@ def test_append_twice_is_append_once(spark):
     assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "x", 1), (2, "z", 3)]
 
 
+def test_upsert_writes_touched_partitions_alone(spark):
+    path = spark.conf.get("spark.checkpoint.dir") + "/upsert-test"
+    first = spark.createDataFrame([("a", 1, "x", 1), ("a", 2, "x", 1), ("b", 1, "x", 1)], "day string, k int, v string, seq int")
+    tables.upsert_partitions(first, path, ["day", "k"], "seq", "day")
+    before = {r.f: r.n for r in spark.read.parquet(path).filter("day = 'b'").groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).collect()}
+    for _ in range(2):  # the second time changes nothing
+        tables.upsert_partitions(spark.createDataFrame([("a", 2, "y", 2), ("a", 2, "z", 3), ("a", 3, "n", 1)], first.schema), path, ["day", "k"], "seq", "day")
+        have = sorted((r.day, r.k, r.v) for r in spark.read.parquet(path).collect())
+        assert have == [("a", 1, "x"), ("a", 2, "z"), ("a", 3, "n"), ("b", 1, "x")]
+    assert before == {r.f: r.n for r in spark.read.parquet(path).filter("day = 'b'").groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).collect()}
+
+
 def test_asof_ties(spark):
     left = spark.createDataFrame([("a", 10), ("a", 20), ("b", 5)], "symbol string, ts long")
     right = spark.createDataFrame([("a", 10, 1.0), ("a", 15, None), ("a", 21, 3.0)], "symbol string, ts long, v double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import safe_divide, sigmoid
+from tidemark.functions.scalars import calibrated_interval, safe_divide
 from tidemark.operators.quality import realized_vol
 from tidemark.operators.windows import asof_backward, asof_forward, ordered, prefix_stats
 
@@ -66,13 +66,13 @@ def vol_tercile(rv: DataFrame, value: str = "rv") -> DataFrame:
 def feature_matrix(prices: DataFrame, oi: DataFrame, funding: DataFrame, ret_rows: int = 1440, oi_rows: int = 288, rv_rows: int = 30, warm: int = 1440) -> DataFrame:
     """ret_z, tercile, oi_z, funding and its regime, risk_score (0 to 100) and whether the row is warm."""
     base = ret_zscore(prices, ret_rows)
-    vol = vol_tercile(realized_vol(prices, rv_rows)).select("symbol", "ts", "tercile")
+    vol = vol_tercile(realized_vol(prices, rv_rows)).select("symbol", "ts", "rv", "tercile")
     j = base.join(vol, ["symbol", "ts"])
     j = asof_backward(j, oi_zscore(oi, oi_rows), "oi_z")
     j = asof_backward(j, funding, "funding_rate", right_ts="funding_time")
     rate = F.coalesce("funding_rate", F.lit(0.0))
     score = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.rint(F.greatest(F.lit(0.0), F.col("ret_z")) * 20.0))).cast("int")
-    return j.select("symbol", "ts", "mark_price", "obs", "ret_z", "tercile", F.coalesce("oi_z", F.lit(0.0)).alias("oi_z"), rate.alias("funding_rate"), F.when(rate > 1e-4, 1).when(rate < -1e-4, -1).otherwise(0).alias("funding_regime"), score.alias("risk_score"), (F.col("obs") >= warm).alias("warm"))
+    return j.select("symbol", "ts", "mark_price", "obs", "ret_z", "rv", "tercile", F.coalesce("oi_z", F.lit(0.0)).alias("oi_z"), rate.alias("funding_rate"), F.when(rate > 1e-4, 1).when(rate < -1e-4, -1).otherwise(0).alias("funding_regime"), score.alias("risk_score"), (F.col("obs") >= warm).alias("warm"))
 
 
 def cascade_in_horizon(scores: DataFrame, cascades: DataFrame, minutes: int = 60, score_ts: str = "time", start: str = "start_time") -> DataFrame:
@@ -113,9 +113,10 @@ def backtest_micro(per_symbol: DataFrame) -> DataFrame:
 
 
 def sweep_thresholds(labelled: DataFrame, grid: DataFrame) -> DataFrame:
-    """``grid(score_at, confidence_at)`` against one labelled frame, first shrunk to (score, confidence, actual) counts."""
+    """``grid(score_at, confidence_at)`` against one labelled frame, first shrunk to (score, confidence, actual) counts. The grid is a parameter and goes into the plan."""
     counts = labelled.groupBy("risk_score", "confidence", "actual").agg(F.count(F.lit(1)).alias("n"))
-    x = counts.crossJoin(F.broadcast(grid)).withColumn("p", (F.col("risk_score") >= F.col("score_at")) & (F.col("confidence") >= F.col("confidence_at")))
+    points = [F.struct(F.lit(r.score_at).alias("score_at"), F.lit(r.confidence_at).alias("confidence_at")) for r in grid.select("score_at", "confidence_at").distinct().collect()]
+    x = counts.select("*", F.explode(F.array(*points)).alias("_g")).select("*", "_g.*").drop("_g").withColumn("p", (F.col("risk_score") >= F.col("score_at")) & (F.col("confidence") >= F.col("confidence_at")))
     total = lambda on, name: F.coalesce(F.sum(F.when(on, F.col("n"))), F.lit(0)).alias(name)
     p, a = F.col("p"), F.col("actual")
     return with_rates(x.groupBy("score_at", "confidence_at").agg(total(p & a, "tp"), total(p & ~a, "fp"), total(~p & ~a, "tn"), total(~p & a, "fn")))
@@ -196,9 +197,45 @@ def fit_calibration(bins: DataFrame, key: str, ridge: float = 0.001, steps: int
     return bins.groupBy(key).applyInPandas(kernel, f"{key} {dict(bins.dtypes)[key]}, {FIT}")
 
 
-def apply_calibration(scores: DataFrame, params: DataFrame, key: str) -> DataFrame:
-    p = params.select(key, F.col("intercept").alias("_a"), F.col("slope").alias("_b"))
-    return scores.join(p, key).withColumn("p_hat", sigmoid(F.col("_a") + F.col("_b") * F.col("risk_score"))).drop("_a", "_b")
+def apply_calibration(scores: DataFrame, params: DataFrame, key: str, z_alpha: float = 1.96) -> DataFrame:
+    """Adds p_hat, and its Wald interval (lower, upper) where ``params`` has a covariance; without one the interval is the point."""
+    covariance = [F.col(c) if c in params.columns else F.lit(None).cast("double").alias(c) for c in ("var_a", "cov_ab", "var_b")]
+    p = params.select(key, F.struct("intercept", "slope", *covariance).alias("_p"))
+    c = calibrated_interval(F.col("risk_score"), *[F.col(f"_p.{n}") for n in ("intercept", "slope", "var_a", "cov_ab", "var_b")], z_alpha)
+    return scores.join(p, key).withColumn("_c", c).withColumns({"p_hat": F.col("_c.probability"), "lower": F.col("_c.lower"), "upper": F.col("_c.upper")}).drop("_p", "_c")
+
+
+def feature_summary(features: DataFrame) -> DataFrame:
+    """Rows, warm rows, mean and deviation of the features and the score's percentiles, per symbol."""
+    both = lambda c: (F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"))
+    q = F.percentile("risk_score", F.array(*map(F.lit, (0.5, 0.95, 0.99)))).alias("_q")
+    out = features.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.count_if("warm").alias("n_warm"), *[x for c in ("ret_z", "rv", "oi_z", "risk_score") for x in both(c)], q)
+    return out.select("*", *[F.col("_q")[i].alias(n) for i, n in enumerate(("p50", "p95", "p99"))]).drop("_q")
+
+
+#: Texts of the verdict.
+VERDICTS = {
+    "meaningful": "Model shows meaningful discriminative ability (F1=%.3f, BSS=%.3f). ",
+    "weak": "Model shows weak but non-trivial signal (F1=%.3f, BSS=%.3f). ",
+    "none": "Model shows no discriminative ability on this data. ",
+    "actionable": "Average lead time of %.1f minutes provides actionable warning. ",
+    "short": "Lead time of %.1f minutes is short but non-zero. ",
+    "evaluated": "Track B evaluated with %d liquidation events.",
+    "blocked": "Track B (liquidation cascades) blocked on data: live ingestion required.",
+}
+
+
+def verdict(results: DataFrame) -> DataFrame:
+    """Adds grade and text from best_f1, skill, lead_minutes and liquidations."""
+    c = F.col
+    grade = F.when((c("best_f1") >= 0.15) & (c("skill") > 0), "meaningful").when(c("best_f1") > 0, "weak").otherwise("none")
+    lead = F.coalesce(c("lead_minutes"), F.lit(0.0))
+    text = F.concat(
+        F.when(c("grade") == "meaningful", F.format_string(VERDICTS["meaningful"], "best_f1", "skill")).when(c("grade") == "weak", F.format_string(VERDICTS["weak"], "best_f1", "skill")).otherwise(VERDICTS["none"]),
+        F.when(lead > 5, F.format_string(VERDICTS["actionable"], lead)).when(lead > 0, F.format_string(VERDICTS["short"], lead)).otherwise(""),
+        F.when(c("liquidations") > 0, F.format_string(VERDICTS["evaluated"], "liquidations")).otherwise(VERDICTS["blocked"]),
+    )
+    return results.withColumn("grade", grade).withColumn("text", text)
 
 
 def brier_rowwise(scored: DataFrame, *keys: str, p: str = "p_hat") -> DataFrame:

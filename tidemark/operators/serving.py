@@ -42,17 +42,45 @@ def filter_by_plan(df: DataFrame, plans: DataFrame, plan: str) -> DataFrame:
     return df.join(plans.filter(F.col("plan") == plan).select("symbol"), "symbol", "left_semi")
 
 
-def subscription_match(risks: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """(subscription_id, symbol, level) of enabled subscriptions: no symbols means all, the level must reach the minimum.
+def subscription_match(risks: DataFrame, subscriptions: DataFrame, event: str = "risk") -> DataFrame:
+    """(subscription_id, symbol, level, risk_score) of enabled subscriptions to ``event``: no symbols means all, the level must reach the minimum.
 
-    Subscriptions are exploded to symbols, so the match is an equi join; those for all symbols join through the distinct
-    symbols of the risks.
+    Equi joins alone: listed symbols are exploded and joined by symbol, subscriptions to all symbols join risks by minimum level.
     """
-    on = subscriptions.filter("enabled")
+    on = subscriptions.filter(F.col("enabled") & F.array_contains(F.split("events_csv", ","), event))
+    rated = risks.withColumn("ord", level_ordinal(F.col("level"))).select("symbol", "level", "risk_score", "ord")
     listed = on.filter("symbols_csv <> ''").select("subscription_id", "min_level_ord", F.explode(F.split("symbols_csv", ",")).alias("symbol"))
-    every = on.filter("symbols_csv = ''").select("subscription_id", "min_level_ord").crossJoin(F.broadcast(risks.select("symbol").distinct()))
-    j = listed.unionByName(every).join(risks, "symbol").withColumn("ord", level_ordinal(F.col("level")))
-    return j.filter(F.col("ord") >= F.col("min_level_ord")).select("subscription_id", "symbol", "level", "risk_score")
+    by_symbol = listed.join(rated, "symbol").filter(F.col("ord") >= F.col("min_level_ord"))
+    reached = rated.withColumn("min_level_ord", F.explode(F.sequence(F.lit(0), F.col("ord"))))
+    every = on.filter("symbols_csv = ''").select("subscription_id", F.col("min_level_ord").cast("int").alias("min_level_ord")).join(reached, "min_level_ord")
+    names = ("subscription_id", "symbol", "level", "risk_score")
+    return by_symbol.select(*names).unionByName(every.select(*names))
+
+
+def risk_payloads(risks: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """(subscription_id, type, payload): to each subscription of 'risk' its matching risks as one JSON list, highest score first."""
+    one = F.struct((-F.col("risk_score")).alias("at"), F.col("symbol"), F.col("risk_score").alias("riskScore"), F.col("level").alias("riskLevel"))
+    lists = subscription_match(risks, subscriptions).groupBy("subscription_id").agg(F.array_sort(F.collect_list(one)).alias("r"))
+    return lists.select("subscription_id", F.lit("risk").alias("type"), F.to_json(F.transform("r", lambda x: x.dropFields("at"))).alias("payload"))
+
+
+def alert_payloads(risks: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """(subscription_id, type, payload): to each subscription of 'alert' one JSON object with level, count and risks of the three upper levels."""
+    one = F.struct((-F.col("risk_score")).alias("at"), F.col("symbol"), F.col("risk_score").alias("riskScore"), F.col("level").alias("riskLevel"))
+    upper = subscription_match(risks, subscriptions, "alert").filter(F.col("level").isin("critical", "high", "elevated"))
+    lists = upper.groupBy("subscription_id").agg(F.array_sort(F.collect_list(one)).alias("r"))
+    body = F.struct(F.col("r")[0]["riskLevel"].alias("level"), F.size("r").alias("count"), F.transform("r", lambda x: x.dropFields("at")).alias("risks"))
+    return lists.select("subscription_id", F.lit("alert").alias("type"), F.to_json(body).alias("payload"))
+
+
+def data_payloads(symbols: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """(subscription_id, type, payload): to each subscription of 'data' the symbols it asked for, or a null list for all of them."""
+    on = subscriptions.filter(F.col("enabled") & F.array_contains(F.split("events_csv", ","), "data"))
+    asked = on.filter("symbols_csv <> ''").select("subscription_id", F.explode(F.split("symbols_csv", ",")).alias("symbol"))
+    found = asked.join(symbols.select("symbol").distinct(), "symbol").groupBy("subscription_id").agg(F.array_sort(F.collect_list("symbol")).alias("symbols"))
+    j = on.select("subscription_id", (F.col("symbols_csv") == "").alias("all")).join(found, "subscription_id", "left")
+    kept = F.when(~F.col("all"), F.coalesce("symbols", F.array().cast("array<string>")))
+    return j.select("subscription_id", F.lit("data").alias("type"), F.to_json(F.struct(kept.alias("symbols"))).alias("payload"))
 
 
 def risk_summary(latest: DataFrame) -> DataFrame:
@@ -66,6 +94,14 @@ def risk_summary(latest: DataFrame) -> DataFrame:
 
 
 def priority_sort(latest: DataFrame, first: list[str]) -> DataFrame:
-    """place: listed symbols in their order, the rest by score."""
+    """place: listed symbols in their order, the rest by score.
+
+    A row's place is its rank among its equals plus the rows of the groups before; there are at most 101 scores for each listed
+    symbol and the rest, so the table of groups is small.
+    """
     at = F.array_position(F.array(*map(F.lit, first)), F.col("symbol"))
-    return latest.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.when(at > 0, at).otherwise(1_000_000), F.desc("risk_score"), "symbol")).cast("long"))
+    x = latest.withColumn("_at", F.when(at > 0, at).otherwise(len(first) + 1)).withColumn("_s", -F.col("risk_score"))
+    before = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("_at", "_s").rowsBetween(Window.unboundedPreceding, -1))
+    groups = x.groupBy("_at", "_s").agg(F.count(F.lit(1)).alias("n")).select("_at", "_s", F.coalesce(before, F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_at", "_s").orderBy("symbol"))
+    return x.withColumn("_rank", rank).join(groups, ["_at", "_s"]).select(*latest.columns, (F.col("_before") + F.col("_rank")).cast("long").alias("place"))

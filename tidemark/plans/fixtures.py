@@ -31,7 +31,8 @@ VIEWS: dict[str, str] = {
     "plans": """select 'starter' as plan, 'click' as symbol, 60 as rate_limit union all select 'growth', 'click', 300 union all select 'growth', 'view', 300
        union all select 'enterprise', 'click', 1000 union all select 'enterprise', 'view', 1000 union all select 'enterprise', 'error', 1000""",
     "subscriptions": """select c_custkey as subscription_id, c_nationkey % 5 as min_level_ord, c_acctbal > 0 as enabled,
-       case c_custkey % 3 when 0 then '' when 1 then 'click,view' else 'error' end as symbols_csv from customer""",
+       case c_custkey % 3 when 0 then '' when 1 then 'click,view' else 'error' end as symbols_csv,
+       case c_custkey % 4 when 0 then 'data,risk' when 1 then 'risk,alert' when 2 then 'alert' else 'data' end as events_csv from customer""",
     "stock_quotes": """select p_partkey as symbol_id, p_retailprice as price, p_retailprice / (1.0 + (p_size - 25) / 500.0) as previous_close,
        case p_size % 6 when 0 then 'Tech' when 1 then 'Auto' when 2 then 'Finance' when 3 then 'Energy' when 4 then 'Healthcare' else 'Other' end as sector from part""",
     "news": "select doc_id as id, text as title, source, lang from documents",

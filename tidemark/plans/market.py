@@ -522,7 +522,7 @@ def cascade_clustering(t):
 FEATURES = f"""{RV}, rz as (select symbol, ts, mark_price, rv, abs(ret) a, avg(abs(ret)) over w m, stddev_samp(abs(ret)) over w s, count(ret) over w obs from rv window w as (partition by symbol order by ts rows between 120 preceding and 1 preceding)),
 f1 as (select *, case when obs >= 60 then coalesce((a - m) / case when s > 1e-15 then s end, 0) else 0 end ret_z, percent_rank() over (partition by symbol order by rv asc nulls last) pr from rz), {OIZ},
 f2 as (select f1.*, o.oi_z from f1 asof left join oiz o on f1.symbol = o.symbol and f1.ts >= o.ts), f3 as (select f2.*, f.funding_rate fr from f2 asof left join funding_rates f on f2.symbol = f.symbol and f2.ts >= f.funding_time),
-features as (select symbol, ts, ret_z, case when pr < 0.333 then 1 when pr < 0.667 then 2 else 3 end tercile, coalesce(oi_z, 0) oi_z, coalesce(fr, 0) funding_rate, least(100, greatest(0, round_even(greatest(0, ret_z) * 20, 0)))::int risk_score, obs >= 120 warm from f3)"""
+features as (select symbol, ts, ret_z, rv, case when pr < 0.333 then 1 when pr < 0.667 then 2 else 3 end tercile, coalesce(oi_z, 0) oi_z, coalesce(fr, 0) funding_rate, least(100, greatest(0, round_even(greatest(0, ret_z) * 20, 0)))::int risk_score, obs >= 120 warm from f3)"""
 
 
 def features(t):
@@ -534,10 +534,12 @@ def feature_matrix(t):
     return features(t).select("symbol", F.unix_millis("ts").alias("ts_ms"), "ret_z", "tercile", "oi_z", "funding_rate", "warm")
 
 
-@query("mean_z std_z p50 p95", f"with {FEATURES} select symbol, count(*) filter (where warm) n_warm, avg(ret_z) filter (where warm) mean_z, stddev_samp(ret_z) filter (where warm) std_z, quantile_cont(ret_z, 0.5) filter (where warm) p50, quantile_cont(ret_z, 0.95) filter (where warm) p95 from features group by 1")
+_SUMMARY = ", ".join(f"avg({c}) {c}_mean, stddev_samp({c}) {c}_std" for c in ("ret_z", "rv", "oi_z", "risk_score"))
+
+
+@query("ret_z_mean ret_z_std rv_mean rv_std oi_z_mean oi_z_std risk_score_mean risk_score_std p50 p95 p99", f"with {FEATURES} select symbol, count(*) n, count(*) filter (where warm) n_warm, {_SUMMARY}, quantile_cont(risk_score, 0.5) p50, quantile_cont(risk_score, 0.95) p95, quantile_cont(risk_score, 0.99) p99 from features group by 1", digits=5)
 def feature_summary(t):
-    x = F.when(F.col("warm"), F.col("ret_z"))
-    return features(t).groupBy("symbol").agg(F.count(x).alias("n_warm"), F.avg(x).alias("mean_z"), F.stddev_samp(x).alias("std_z"), F.percentile(x, F.lit(0.5)).alias("p50"), F.percentile(x, F.lit(0.95)).alias("p95"))
+    return research.feature_summary(features(t))
 
 
 JOINED = f"{FEATURES}, rr as (select *, lead(mark_price, 30) over (partition by symbol order by ts) / mark_price - 1 ret30 from mark_prices), lf as (select features.*, coalesce(abs(ret30) >= 0.1, false) def1 from features left join rr using (symbol, ts))"
@@ -547,15 +549,15 @@ def labelled_features(t):
     return features(t).join(labels(t).select("symbol", "ts", "def1"), ["symbol", "ts"], "left").withColumn("def1", F.coalesce("def1", F.lit(False)))
 
 
-@query("rate mean_z", f"with {JOINED} select symbol, tercile, count(*) n, count(*) filter (where def1) cascades, avg(def1::int) rate, avg(ret_z) mean_z from lf where warm group by 1, 2")
+@query("rate mean_score", f"with {JOINED} select symbol, tercile, count(*) n, count(*) filter (where def1) cascades, avg(def1::int) rate, avg(risk_score) mean_score from lf where warm group by 1, 2")
 def regime_analysis(t):
     x = labelled_features(t).filter("warm")
-    return x.groupBy("symbol", "tercile").agg(F.count(F.lit(1)).alias("n"), F.count_if("def1").alias("cascades"), F.avg(F.col("def1").cast("double")).alias("rate"), F.avg("ret_z").alias("mean_z"))
+    return x.groupBy("symbol", "tercile").agg(F.count(F.lit(1)).alias("n"), F.count_if("def1").alias("cascades"), F.avg(F.col("def1").cast("double")).alias("rate"), F.avg("risk_score").alias("mean_score"))
 
 
-@query("in_cascade outside separation", f"with {JOINED}, m as (select symbol, strftime(ts, '%Y-%m') as month, coalesce(avg(ret_z) filter (where def1), 0) in_cascade, coalesce(avg(ret_z) filter (where not def1), 0) outside from lf where warm group by 1, 2) select *, in_cascade - outside separation from m")
+@query("in_cascade outside separation", f"with {JOINED}, m as (select symbol, strftime(ts, '%Y-%m') as month, coalesce(avg(risk_score) filter (where def1), 0) in_cascade, coalesce(avg(risk_score) filter (where not def1), 0) outside from lf where warm group by 1, 2) select *, in_cascade - outside separation from m")
 def monthly_stability(t):
-    zero = lambda on: F.coalesce(F.avg(F.when(on, F.col("ret_z"))), F.lit(0.0))
+    zero = lambda on: F.coalesce(F.avg(F.when(on, F.col("risk_score"))), F.lit(0.0))
     d = F.col("def1")
     x = labelled_features(t).filter("warm").groupBy("symbol", F.date_format("ts", "yyyy-MM").alias("month")).agg(zero(d).alias("in_cascade"), zero(~d).alias("outside"))
     return x.withColumn("separation", F.col("in_cascade") - F.col("outside"))

@@ -200,7 +200,14 @@ def save_risk_rows(t):
 
 @query("", f"with {LATEST}, r as (select symbol, risk_score, epoch_ms(time) as t from latest) select '{{\"symbol\":\"' || symbol || '\",\"risk_score\":' || risk_score || ',\"time_ms\":' || t || '}}' as line from r")
 def report_json_sink(t):
-    return latest(t).select(F.to_json(F.struct("symbol", "risk_score", F.unix_millis("time").alias("time_ms"))).alias("line"))
+    """The lines of the report files, as they were written."""
+    from tidemark.plans.serving_queries import _shared
+    from tidemark.sources import tables
+
+    report = latest(t).select("symbol", "risk_score", F.unix_millis("time").alias("time_ms"))
+    path = f"{_shared(report.sparkSession)}/report"
+    tables.write_report(report, path)
+    return report.sparkSession.read.text(path).withColumnRenamed("value", "line")
 
 
 @query("price", """with g as (select symbol, unnest(generate_series(min(epoch_us(ts)) // 1000, max(epoch_us(ts)) // 1000, 3600000)) at_ms from ticks group by 1), k as (select symbol, epoch_us(ts) // 1000 t, mark_price p from ticks),
@@ -249,11 +256,11 @@ def liq_threshold(t):
     return q.withColumn("n", n).select("symbol", "m", F.greatest(F.lit(100.0), F.when(F.col("n") >= 10, F.col("prev_q95")).otherwise(0.0)).alias("limit_usd"))
 
 
-@query("p_hat", f"with {LABELLED} select symbol, epoch_ms(time) time_ms, 1 / (1 + exp(-(-5 + 0.1 * risk_score))) p_hat from lab")
+@query("p_hat lower upper", f"with {LABELLED}, z as (select *, -5 + 0.1 * risk_score z, 1.96 * sqrt(greatest(0, 0.04 - 2 * 0.0005 * risk_score + 0.00001 * risk_score * risk_score)) d from lab) select symbol, epoch_ms(time) time_ms, 1 / (1 + exp(-z)) p_hat, 1 / (1 + exp(-(z - d))) as lower, 1 / (1 + exp(-(z + d))) as upper from z")
 def apply_calibration(t):
     s = labelled(t)
-    params = s.select("symbol").distinct().select("symbol", F.lit(-5.0).alias("intercept"), F.lit(0.1).alias("slope"))
-    return research.apply_calibration(s, params, "symbol").select("symbol", F.unix_millis("time").alias("time_ms"), "p_hat")
+    params = s.select("symbol").distinct().select("symbol", *[F.lit(v).alias(n) for n, v in (("intercept", -5.0), ("slope", 0.1), ("var_a", 0.04), ("cov_ab", -0.0005), ("var_b", 0.00001))])
+    return research.apply_calibration(s, params, "symbol").select("symbol", F.unix_millis("time").alias("time_ms"), "p_hat", "lower", "upper")
 
 
 @query(RATES_D, f"""with {JOINED}, {BURSTS}, tb as (select symbol, risk_score, def1 and exists (select 1 from bursts b where b.symbol = lf.symbol and abs(epoch(b.ts) - epoch(lf.ts)) <= 600) actual from lf where warm), th as (select unnest(generate_series(0, 100, 10)) threshold),
@@ -265,13 +272,18 @@ def track_b_eval(t):
     return research.pr_curve(j, "symbol", step=10)
 
 
-@query("best_f1 skill", f"""with {LABELLED}, th as (select unnest(generate_series(0, 100, 5)) threshold), cv as (select symbol, threshold, {CONF} from (select *, risk_score >= threshold p from lab cross join th) group by 1, 2), curve as (select *, {RATES} from cv), b as (select symbol, max(f1) best_f1 from curve group by 1),
-s as (select symbol, avg(pow(1 / (1 + exp(-(-5 + 0.1 * risk_score))) - actual::int, 2)) br, avg(actual::int) r from lab group by 1), k as (select symbol, best_f1, 1 - br / (r * (1 - r)) skill from b join s using (symbol))
-select *, case when best_f1 >= 0.15 and skill > 0 then 'meaningful' when best_f1 > 0 then 'weak' else 'none' end verdict from k""")
+@query("best_f1 skill lead_minutes", f"""with {LABELLED}, th as (select unnest(generate_series(0, 100, 5)) threshold), cv as (select symbol, threshold, {CONF} from (select *, risk_score >= threshold p from lab cross join th) group by 1, 2), curve as (select *, {RATES} from cv), b as (select symbol, max(f1) best_f1 from curve group by 1),
+s as (select symbol, avg(pow(1 / (1 + exp(-(-5 + 0.1 * risk_score))) - actual::int, 2)) br, avg(actual::int) r from lab group by 1), a as (select c.symbol, c.start_time, (select max(r.time) from risk_scores r where r.symbol = c.symbol and r.risk_score >= 60 and r.time <= c.start_time - interval 1 second and r.time >= c.start_time - interval 60 minute) last_alert from cascade_events c),
+ld as (select symbol, avg((epoch_ms(start_time) - epoch_ms(last_alert)) / 60000.0) lead_minutes from a group by 1), lq as (select symbol, count(*) liquidations from liquidations group by 1),
+k as (select symbol, best_f1, 1 - br / (r * (1 - r)) skill, lead_minutes, liquidations from b join s using (symbol) left join ld using (symbol) left join lq using (symbol)), g as (select *, case when best_f1 >= 0.15 and skill > 0 then 'meaningful' when best_f1 > 0 then 'weak' else 'none' end grade from k)
+select *, case grade when 'meaningful' then printf('Model shows meaningful discriminative ability (F1=%.3f, BSS=%.3f). ', best_f1, skill) when 'weak' then printf('Model shows weak but non-trivial signal (F1=%.3f, BSS=%.3f). ', best_f1, skill) else 'Model shows no discriminative ability on this data. ' end
+ || case when lead_minutes > 5 then printf('Average lead time of %.1f minutes provides actionable warning. ', lead_minutes) when lead_minutes > 0 then printf('Lead time of %.1f minutes is short but non-zero. ', lead_minutes) else '' end || printf('Track B evaluated with %d liquidation events.', liquidations) as text from g""")
 def research_verdict(t):
     best = research.pr_curve(labelled(t), "symbol").groupBy("symbol").agg(F.max("f1").alias("best_f1"))
-    j = best.join(research.brier_rowwise(scored(t), "symbol").select("symbol", "skill"), "symbol")
-    return j.withColumn("verdict", F.when((F.col("best_f1") >= 0.15) & (F.col("skill") > 0), "meaningful").when(F.col("best_f1") > 0, "weak").otherwise("none"))
+    lead = research.lead_time(t("risk_scores"), t("cascade_events")).select("symbol", F.col("mean").alias("lead_minutes"))
+    n = t("liquidations").groupBy("symbol").agg(F.count(F.lit(1)).alias("liquidations"))
+    j = best.join(research.brier_rowwise(scored(t), "symbol").select("symbol", "skill"), "symbol").join(lead, "symbol", "left").join(n, "symbol", "left")
+    return research.verdict(j)
 
 
 @query("value", f"with {_HEURISTICS} select * from tests", digits=5)

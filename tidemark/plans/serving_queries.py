@@ -237,11 +237,24 @@ def filter_by_plan(t):
 
 
 @query("", f"""with {LATEST}, l as (select *, {LEVEL} as level, case when risk_score >= 80 then 4 when risk_score >= 60 then 3 when risk_score >= 40 then 2 when risk_score >= 20 then 1 else 0 end ord from latest)
-select subscription_id, l.symbol, level, risk_score from subscriptions s join l on enabled and (symbols_csv = '' or list_contains(string_split(symbols_csv, ','), l.symbol)) and ord >= min_level_ord""")
+select subscription_id, l.symbol, level, risk_score from subscriptions s join l on enabled and list_contains(string_split(events_csv, ','), 'risk') and (symbols_csv = '' or list_contains(string_split(symbols_csv, ','), l.symbol)) and ord >= min_level_ord""")
 def subscription_match(t):
     return serving.subscription_match(serving.with_level(latest(t)), t("subscriptions"))
 
 
+_MATCHED = f"""{LATEST}, l as (select *, {LEVEL} as level, case when risk_score >= 80 then 4 when risk_score >= 60 then 3 when risk_score >= 40 then 2 when risk_score >= 20 then 1 else 0 end ord from latest),
+m as (select subscription_id, events_csv, l.symbol, level, risk_score, '{{"symbol":"' || l.symbol || '","riskScore":' || risk_score || ',"riskLevel":"' || level || '"}}' j from subscriptions s join l on enabled and (symbols_csv = '' or list_contains(string_split(symbols_csv, ','), l.symbol)) and ord >= min_level_ord)"""
+
+
+@query("", f"""with {_MATCHED}, r as (select subscription_id, 'risk' as type, '[' || string_agg(j, ',' order by -risk_score, symbol) || ']' payload from m where list_contains(string_split(events_csv, ','), 'risk') group by 1),
+a as (select subscription_id, 'alert' as type, '{{"level":"' || arg_min(level, (-risk_score, symbol)) || '","count":' || count(*) || ',"risks":[' || string_agg(j, ',' order by -risk_score, symbol) || ']}}' payload from m where list_contains(string_split(events_csv, ','), 'alert') and level in ('critical', 'high', 'elevated') group by 1),
+d as (select subscription_id, 'data' as type, case when symbols_csv = '' then '{{}}' else '{{"symbols":[' || coalesce((select string_agg('"' || symbol || '"', ',' order by symbol) from latest where list_contains(string_split(symbols_csv, ','), symbol)), '') || ']}}' end payload from subscriptions where enabled and list_contains(string_split(events_csv, ','), 'data'))
+select * from r union all select * from a union all select * from d""")
+def subscription_payloads(t):
+    now, subs = serving.with_level(latest(t)), t("subscriptions")
+    return serving.risk_payloads(now, subs).unionByName(serving.alert_payloads(now, subs)).unionByName(serving.data_payloads(now, subs))
+
+
 @query("", "select enabled, min_level_ord, count(*) n from subscriptions group by 1, 2")
 def subscription_stats(t):
     return t("subscriptions").groupBy("enabled", "min_level_ord").agg(F.count(F.lit(1)).alias("n"))
@@ -372,6 +385,32 @@ def migrate_legacy_tables(t):
     return tables.migrate_risk_table(legacy).select("symbol", F.unix_millis("time").alias("time_ms"), "risk_score", "confidence")
 
 
+@query("mark_price index_price funding_rate open_interest open_interest_usd", "select event_id, exchange, coalesce(case when event_id % 3 <> 0 then mark_price end, 0) mark_price, index_price, case when event_id % 5 = 0 then 0 else funding_rate end funding_rate, 0.0 open_interest, open_interest_usd from ticks")
+def migrate_market_snapshots(t):
+    e = F.col("event_id")
+    legacy = t("ticks").select(
+        F.col("ts").alias("time"), F.concat_ws("#", "symbol", "event_id").alias("symbol"), "exchange", F.when(e % 3 != 0, F.col("mark_price")).alias("mark_price"), "index_price",
+        F.when(e % 5 == 0, F.lit(float("nan"))).otherwise(F.col("funding_rate")).alias("funding_rate"), F.lit(None).cast("double").alias("open_interest"), F.col("open_interest_usd").alias("open_interest_value"),
+    )
+    out = tables.migrate_market_snapshots(legacy)
+    return out.select(F.substring_index("symbol", "#", -1).cast("long").alias("event_id"), "exchange", "mark_price", "index_price", "funding_rate", "open_interest", "open_interest_usd")
+
+
+@query("avg_mark_price avg_funding_rate total_oi_usd price_spread_pct funding_spread_pct", f"with {CLEAN} select {MS}, symbol, avg_mark avg_mark_price, avg_funding avg_funding_rate, total_oi total_oi_usd, 0.0 price_spread_pct, 0.0 funding_spread_pct, case when venues % 2 = 0 then venues else 0 end::int exchange_count from snap", digits=5)
+def migrate_aggregated_metrics(t):
+    n = F.col("venues")
+    legacy = merge.agg_snapshot(t("quotes")).select(
+        F.col("batch_ts").alias("time"), "symbol", F.col("total_oi").alias("total_oi_value"), F.col("avg_funding").alias("avg_funding_rate"), F.col("avg_mark").alias("avg_mark_price"), F.lit(None).cast("double").alias("price_deviation"), F.when(n % 2 == 0, n).alias("exchanges_count")
+    )
+    return tables.migrate_aggregated_metrics(legacy).withColumn("time", F.unix_millis("time")).withColumnRenamed("time", "batch_ms")
+
+
+@query("", f"with l as (select symbol, time, risk_score, {LEVEL} as level from risk_scores) select symbol, epoch_ms(time) time_ms, 'CASCADE_RISK' as alert_type, level as severity, case when risk_score % 2 = 0 then symbol || ' risk ' || level || ' (' || risk_score || ')' end as message, '{{\"risk_score\":' || risk_score || ',\"level\":\"' || level || '\"}}' as data from l where level in ('critical', 'high')")
+def migrate_alerts(t):
+    a = serving.alerts(t("risk_scores").filter("risk_score % 2 = 0")).unionByName(serving.alerts(t("risk_scores").filter("risk_score % 2 = 1")).withColumn("message", F.lit("")))
+    return tables.migrate_alerts(a).withColumn("time", F.unix_millis("time")).withColumnRenamed("time", "time_ms")
+
+
 _SCORED = f"""{_HEURISTICS}, cov as (select symbol, count(*) mark_rows, count(*) / ((epoch(max(ts)) - epoch(min(ts))) / 60 + 1) * 100 coverage_pct, count(*) filter (where mark_price - 100.2 <= 0) nonpositive from mark_prices group by 1),
 nl as (select symbol, count(*) liq_rows from liquidations group by 1), nf as (select symbol, count(*) funding_rows from funding_rates group by 1), no_ as (select symbol, count(*) oi_rows, count(*) filter (where open_interest_usd - 1e6 < 0) negative_oi from open_interest group by 1),
 du as (select symbol, sum(c - 1)::bigint duplicates from (select symbol, ts, count(*) c from ticks group by 1, 2) group by 1), ju as (select symbol, count(*) filter (where abs(x) > 0.01) jumps from (select symbol, mark_price / lag(mark_price) over (partition by symbol order by ts) - 1 x from mark_prices) group by 1),

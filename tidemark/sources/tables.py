@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,5 +54,46 @@ def migrate_risk_table(legacy: DataFrame) -> DataFrame:
     return legacy.select("time", "symbol", score.cast("int").alias("risk_score"), F.coalesce("level", F.lit("low")).alias("risk_level"), (1.0 / (1.0 + F.exp(-0.1 * (score - 50.0)))).alias("confidence"))
 
 
+def _or_zero(name: str) -> Column:
+    """Null and NaN become 0."""
+    return F.coalesce(F.nanvl(F.col(name).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(name)
+
+
+def _or_null(name: str) -> Column:
+    return F.nullif(F.col(name), F.lit("")).alias(name)
+
+
+def migrate_market_snapshots(legacy: DataFrame) -> DataFrame:
+    """Legacy venue rows (open_interest_value) to the current ones (open_interest_usd)."""
+    names = ("mark_price", "index_price", "funding_rate", "open_interest")
+    return legacy.select("time", "symbol", "exchange", *[_or_zero(n) for n in names], _or_zero("open_interest_value").alias("open_interest_usd"))
+
+
+def migrate_aggregated_metrics(legacy: DataFrame) -> DataFrame:
+    """Legacy aggregates to snapshots; the old schema has no funding spread."""
+    renamed = (("avg_mark_price", "avg_mark_price"), ("avg_funding_rate", "avg_funding_rate"), ("total_oi_value", "total_oi_usd"), ("price_deviation", "price_spread_pct"))
+    return legacy.select("time", "symbol", *[_or_zero(a).alias(b) for a, b in renamed], F.lit(0.0).alias("funding_spread_pct"), F.coalesce("exchanges_count", F.lit(0)).cast("int").alias("exchange_count"))
+
+
+def migrate_alerts(legacy: DataFrame) -> DataFrame:
+    """Legacy alerts; empty messages and data become null."""
+    return legacy.select("time", "symbol", "alert_type", "severity", _or_null("message"), _or_null("data"))
+
+
+def upsert_partitions(batch: DataFrame, path: str, keys: list[str], order: str, partition: str) -> None:
+    """Upsert into a Parquet table partitioned by ``partition``: only the partitions that the batch touches are written anew."""
+    spark = batch.sparkSession
+    try:
+        target = spark.read.parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        target = batch.limit(0)
+    touched = target.join(batch.select(partition).distinct(), partition, "left_semi").select(*batch.columns)
+    merged = upsert_latest(touched, batch, keys, order)
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
 def write_report(report: DataFrame, path: str) -> None:
-    report.coalesce(1).write.mode("overwrite").json(path)
+    """JSON lines, a file a partition."""
+    report.write.mode("overwrite").json(path)
