@@ -201,7 +201,7 @@ def gather(docs: DataFrame, shards: int, chunk: int = CHUNK, piece: int = PIECE)
     return docs.select("doc_id", "held_out", "train", "text").mapInArrow(run, f"chunk long, shard int, grams binary, counts binary, doc_id {kind}, held_out boolean, text binary")
 
 
-def merge_counts(gathered: DataFrame) -> DataFrame:
+def merge_counts(gathered: DataFrame, shards: int) -> DataFrame:
     """(shard, grams, counts): the trie's longest grams with their counts over all training documents, in blobs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +227,7 @@ def merge_counts(gathered: DataFrame) -> DataFrame:
             yield from closed(last, tally)
 
     rows = gathered.filter("shard is not null").select("shard", "grams", "counts")
-    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "shard int, grams binary, counts binary")
+    return rows.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "shard int, grams binary, counts binary")
 
 
 def low_grams(trie: DataFrame):
@@ -376,7 +376,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select(text_of().cast("binary").alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def answers(gathered: DataFrame, trie: DataFrame, low) -> DataFrame:
+def answers(gathered: DataFrame, trie: DataFrame, low, shards: int) -> DataFrame:
     """(chunk, grams, logs): the log10 probability of every distinct gram of every chunk. ``low`` is the broadcast of low_grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,7 +402,7 @@ def answers(gathered: DataFrame, trie: DataFrame, low) -> DataFrame:
 
     asked = gathered.filter("shard is not null").select("shard", F.lit(1).alias("kind"), "chunk", "grams", F.lit(None).cast("binary").alias("counts"))
     known = trie.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("chunk"), "grams", "counts")
-    return known.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(run, "chunk long, grams binary, logs binary")
+    return known.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(run, "chunk long, grams binary, logs binary")
 
 
 class WordLogs:
@@ -418,7 +418,7 @@ class WordLogs:
         return len(words) + 1, len(known) + (self.ends > 0), math.fsum(known) + math.log10(self.ends + 1), rare
 
 
-def score_chunks(gathered: DataFrame, answered: DataFrame, frequent, ends: int, piece: int = SCORED_AT_ONCE) -> DataFrame:
+def score_chunks(gathered: DataFrame, answered: DataFrame, frequent, ends: int, parts: int, piece: int = SCORED_AT_ONCE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, logs, score, rare for every document."""
 
     def scored(texts: pa.Array, index: Index, logs, words: WordLogs) -> list[pa.Array]:
@@ -479,7 +479,7 @@ def score_chunks(gathered: DataFrame, answered: DataFrame, frequent, ends: int,
     both = answered.unionByName(texts, allowMissingColumns=True).select("chunk", "doc_id", "held_out", "text", "grams", "logs")
     kind = gathered.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double, rare array<struct<word:binary,times:int>>"
-    return both.repartition("chunk").sortWithinPartitions("chunk", F.col("grams").isNull()).mapInArrow(run, schema)
+    return both.repartition(parts, "chunk").sortWithinPartitions("chunk", F.col("grams").isNull()).mapInArrow(run, schema)
 
 
 def score_documents(docs: DataFrame, training: Column | None = None, frequent: int = FREQUENT, chunk: int = CHUNK, shard: int = SHARD, piece: int = PIECE) -> DataFrame:
@@ -501,10 +501,13 @@ def score_documents(docs: DataFrame, training: Column | None = None, frequent: i
     common = {} if least is None else {bytes(r[0]): math.log10(r[1] + 1) for r in words.filter(F.col("n") >= least).toLocalIterator()}
     whole = docs.select("doc_id", held_out().alias("held_out"), train.alias("train"), text_of().cast("binary").alias("text"))
     size = whole.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    gathered = staged(gather(whole, min(MOST_SHARDS, max(4, size // shard)), chunk, piece), "chunks")
-    trie = staged(merge_counts(gathered), "trie")
-    answered = answers(gathered, trie, sc.broadcast(low_grams(trie)))
-    scored = staged(score_chunks(gathered, answered, sc.broadcast(common), ends, min(piece, SCORED_AT_ONCE)).withColumn("row", F.monotonically_increasing_id()), "scored")
+    shards = min(MOST_SHARDS, max(4, size // shard))
+    gathered = staged(gather(whole, shards, chunk, piece), "chunks")
+    trie = staged(merge_counts(gathered, shards), "trie")
+    answered = answers(gathered, trie, sc.broadcast(low_grams(trie)), shards)
+    # About two partitions a chunk, so that few tasks get several.
+    scored = score_chunks(gathered, answered, sc.broadcast(common), ends, max(8, 2 * size // chunk), min(piece, SCORED_AT_ONCE))
+    scored = staged(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     discard(gathered, trie)
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
     others = words if least is None else words.filter(F.col("n") < least)
