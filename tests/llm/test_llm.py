@@ -137,7 +137,12 @@ def test_token_counts(odd, none, small, spark):
         assert r.doc_id not in fits or r.fit == fits[r.doc_id]
         if r.doc_id < 40:
             assert all(n(text[r.doc_id][:e]) == s for e, s in list(zip(r.ends, r.sums))[::37])
-    assert token_counts.token_counts(none, path).collect() == []
+    few = spark.createDataFrame([(r[0], (r[1] or "")[:70]) for r in ODD] + [(r.doc_id, r.text[:150]) for r in small[:40]], "doc_id long, text string")
+    for r in token_counts.prefix_counts(few, path).join(few.dropDuplicates(["doc_id"]), "doc_id").select("doc_id", "counts", "text", token_counts.tokens_of_prefix(F.lit(9)).alias("nine")).collect():
+        if len(r.counts) == len(r.text):
+            assert r.counts == [n(r.text[:i]) for i in range(1, len(r.text) + 1)]
+            assert r.nine == (n(r.text[:9]) if r.text else None)
+    assert token_counts.token_counts(none, path).collect() == [] and token_counts.prefix_counts(none, path).collect() == []
 
 
 def test_mixing(odd, none, spark):
@@ -181,6 +186,35 @@ def test_pfair_ranges():
         mixing.exact_shares([1.0, 0.0])
 
 
+def plain_schedule(weights, slots):
+    """Earliest deadline first over all released blocks, slot by slot, with fractions."""
+    from fractions import Fraction
+
+    total = sum(Fraction(w) for w in weights)
+    share, done, out = [Fraction(w) / total for w in weights], [0] * len(weights), []
+    for slot in range(slots):
+        ready = [(math.ceil((done[s] + 1) / w), -w, s) for s, w in enumerate(share) if math.floor(done[s] / w) <= slot]
+        s = min(ready)[2]
+        out.append((s, done[s]))
+        done[s] += 1
+    return out
+
+
+def test_mixing_against_a_plain_schedule(spark, odd):
+    docs = spark.createDataFrame([(i, str(i), "abcd"[min(3, i % 7)]) for i in range(2000)], "doc_id long, text string, source string")
+    weights = {"a": 0.1, "b": 1 / 3, "c": math.sqrt(2), "d": 2.0}
+    names = sorted(weights)
+    for block, cells in ((1, 256), (8, 3)):
+        have = mixing.mix_sources(docs, weights, block=block, cells=cells, period=50).collect()
+        plan = {x: slot for slot, x in enumerate(plain_schedule([weights[n] for n in names], 1 + max(r.mix_slot for r in have)))}
+        assert all(r.mix_slot == plan[names.index(r.source), r.mix_block] for r in have)
+        for n in names:  # blocks of a source are numbered without a gap and full but for the last
+            blocks = Counter(r.mix_block for r in have if r.source == n)
+            assert set(blocks) == set(range(len(blocks))) and all(c == block for k, c in blocks.items() if k < len(blocks) - 1)
+    mixed = mixing.mix_sources(odd, {"a": 2.0}, block=1).collect()  # odd rows, a null source, sources without a weight
+    assert Counter((r.doc_id, r.text, r.source) for r in mixed) == Counter((r[0], r[1], r[3]) for r in ODD)
+
+
 def test_mixing_does_not_drift(spark):
     from fractions import Fraction
 

@@ -14,8 +14,8 @@ further than the release of those blocks.
 
 Blocks are numbered without a global sort: documents of a source go by hash into cells, cells are
 counted with map-side combining, and a document's number is its rank in its cell plus the sizes of
-the cells before. A cell gets the slots of its blocks, so documents move once. When a source runs out its later slots stay empty; no document is dropped or
-repeated.
+the cells before. A cell gets the slots of its blocks, so documents move once.
+When a source runs out its later slots stay empty; no document is dropped or repeated.
 
 Defined cases: a null source is a source of its own; sources without a weight get the default; a
 weight must be above zero, or its blocks would have no slot; an empty table gives an empty result; repeated rows are mixed as different documents.
@@ -37,6 +37,8 @@ from tidemark.llm.shared import text_of
 BLOCK = 8
 #: Slots of a range at least.
 PERIOD = 1000
+#: Documents to a cell, and cells at least.
+CELL = 4096
 CELLS = 256
 
 
@@ -141,14 +143,16 @@ def schedule_slots(spark: SparkSession, keys: list[str], parts: list[int], block
     return spark.range(0, ranges, 1, max(1, min(ranges // 4, 2000))).mapInArrow(run, "mix_key string, mix_k long, mix_at long")
 
 
-def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, period: int = PERIOD, cells: int = CELLS) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, period: int = PERIOD, cells: int | None = None) -> DataFrame:
     """``docs`` with mix_source_share, mix_block, mix_slot and mix_position; sort by mix_position to read the mixture.
 
-    ``weights`` are targets by source; by default they go with the square root of a source's documents.
+    ``weights`` are targets by source; by default they go with the square root of a source's documents. The number of cells
+    goes with the documents, so that a cell of one source never outgrows a task.
     """
     spark = docs.sparkSession
     names = [c for c in docs.columns if not c.startswith("mix_")]
     base = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64("doc_id", text_of()).alias("mix_hash"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("mix_key"))
+    cells = cells or max(CELLS, docs.count() // CELL)
     base = base.withColumn("mix_cell", F.pmod("mix_hash", F.lit(cells)).cast("int"))
     sizes = base.groupBy("mix_key", "mix_cell").agg(F.count(F.lit(1)).alias("mix_n"))
     found = sorted((r[0], r[1]) for r in sizes.groupBy("mix_key").agg(F.sum("mix_n")).collect())

@@ -2,9 +2,11 @@
 
 A tokenizer that splits at white space gives a text the sum of its words' tokens, so the count of
 every prefix that ends at a word is the count of the prefix before it plus one word's count:
-P[i] = P[i-1] + c(w_i). Each distinct word is encoded once per worker (a bounded memo); the whole
-column of prefix sums then answers length, truncation and budget questions without re-encoding.
-``prefix_tables`` stores the sums, ``longest_prefix`` and ``tokens_before`` read them with plain
+P[i] = P[i-1] + c(w_i), and that of a prefix which ends inside a word is P[i-1] plus the count of that
+beginning of the word. Each distinct word, and each beginning of it, is encoded once per worker (a
+bounded memo); the prefix counts then answer length, truncation and budget questions without
+re-encoding. ``prefix_counts`` stores the count of every prefix of a text, ``prefix_tables`` only those
+that end at words; ``longest_prefix``, ``tokens_before`` and ``tokens_of_prefix`` read them with plain
 column functions.
 
 The counts are those of the tokenizer library for the whole text, special strings included: a
@@ -131,6 +133,38 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFra
     )
 
 
+def every_prefix(counter: WordCounts, text: str) -> list[int]:
+    """Tokens of text[:1], text[:2], ... text: white space adds none, and a word's beginnings count as words of their own."""
+    words = words_of(text)
+    beginnings = counter.of([w[:k] for w in words for k in range(1, len(w) + 1)])
+    out, before, at, used = [], 0, 0, 0
+    for w in words:
+        start = text.index(w, at)
+        out.extend([before] * (start - at))
+        out.extend(before + n for n in beginnings[used : used + len(w)])
+        used += len(w)
+        before, at = out[-1], start + len(w)
+    out.extend([before] * (len(text) - at))
+    return out
+
+
+def prefix_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id and counts: the token count of every prefix, by code points, of each text."""
+
+    @F.arrow_udf("array<int>")
+    def counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        counter = word_counts(tokenizer)
+        for texts in batches:
+            yield pa.array([every_prefix(counter, t.as_py()) for t in texts], pa.list_(pa.int32()))
+
+    return docs.select("doc_id", counts(text_of()).alias("counts"))
+
+
+def tokens_of_prefix(end: Column) -> Column:
+    """Tokens of the first ``end`` code points, from a stored table of prefix_counts."""
+    return F.when(end <= 0, 0).otherwise(F.get("counts", F.least(end, F.size("counts")) - 1))
+
+
 def prefix_tables(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, ends and sums: the code point after each word, and the token count of the prefix up to there."""
 
