@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.windows import asof_backward, asof_forward, ordered, positive_ratio_log, rolling_order_stats
+from tidemark.operators.windows import asof_around, asof_backward, ordered, positive_ratio_log, rolling_order_stats
 
 MINUTE = 60_000
 
@@ -17,8 +17,7 @@ def _ms(df: DataFrame) -> DataFrame:
 def interpolate_prices(points: DataFrame, prices: DataFrame, at: str = "ms", name: str = "price") -> DataFrame:
     """``points(symbol, at)`` with the price interpolated linearly between the observations around it, clamped at the ends."""
     p = _ms(prices).select("symbol", "ms", F.struct("ms", F.col("mark_price").alias("p")).alias("obs"))
-    j = asof_backward(points, p, "obs", left_ts=at, right_ts="ms", name="_a")
-    j = asof_forward(j, p, "obs", left_ts=at, right_ts="ms", name="_b")
+    j = asof_around(points, p, "obs", "_a", "_b", left_ts=at, right_ts="ms")
     a, b = F.col("_a"), F.col("_b")
     between = a["p"] + (b["p"] - a["p"]) * (F.col(at) - a["ms"]) / F.when(b["ms"] > a["ms"], b["ms"] - a["ms"])
     return j.withColumn(name, F.coalesce(F.when(a.isNull(), b["p"]).when(b.isNull() | (a["ms"] == b["ms"]), a["p"]).otherwise(between))).drop("_a", "_b")
@@ -69,7 +68,9 @@ def detect_cascades(prices: DataFrame, liqs: DataFrame, window: int = 5, k: floa
     hit = j.filter((F.col("p0") > 0) & (F.col("sigma") > 0) & (F.abs((F.col("p1") - F.col("p0")) / F.col("p0")) >= k * F.col("sigma") * years) & (F.col("usd") >= F.col("limit")) & ((F.col("usd") == 0) | (top / F.col("usd") >= dominance)))
     c = hit.select("symbol", F.when(F.col("long_usd") > F.col("short_usd"), "LONG_SQUEEZE").otherwise("SHORT_SQUEEZE").alias("direction"), F.col("ms").alias("start_ms"), "end_ms")
     merged = merge_candidates(c, merge_gap)
-    spanned = interpolate_prices(interpolate_prices(merged, prices, "start_ms", "p0"), prices, "end_ms", "p1")
+    ends = merged.select("*", F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("start_ms").alias("at_ms")), F.struct(F.lit(1).alias("which"), F.col("end_ms").alias("at_ms")))).alias("_e")).select(*merged.columns, "_e.*")
+    priced = interpolate_prices(ends, prices, "at_ms", "p").groupBy(*merged.columns)
+    spanned = priced.agg(F.max(F.when(F.col("which") == 0, F.col("p"))).alias("p0"), F.max(F.when(F.col("which") == 1, F.col("p"))).alias("p1"))
     volume = liq_sum_window(spanned, liqs)
     return volume.select("symbol", "direction", "start_ms", "end_ms", ((F.col("p1") - F.col("p0")) / F.col("p0") * 100.0).alias("price_change_pct"), F.col("usd").alias("liquidation_usd"))
 

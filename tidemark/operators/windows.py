@@ -56,29 +56,58 @@ def prefix_stats(df: DataFrame, value: str, rows: int, include_current: bool = T
     )
 
 
-def asof_backward(left: DataFrame, right: DataFrame, value: str, left_ts: str = TS, right_ts: str = TS, key: str = KEY, name: str | None = None) -> DataFrame:
-    """``left`` with the latest ``right`` value at or before each row: both sides in one sorted stream, one shuffle on the key."""
-    name = name or value
-    names = left.columns
-    both = left.withColumn("_t", F.col(left_ts)).withColumn("_side", F.lit(1)).unionByName(
-        right.select(F.col(key), F.col(right_ts).alias("_t"), F.struct(F.col(value).alias("v")).alias("_v"), F.lit(0).alias("_side")), allowMissingColumns=True
-    )
-    w = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(name + "_", F.last("_v", ignorenulls=True).over(w)["v"]).filter("_side = 1").select(*names, F.col(name + "_").alias(name))
+def _day(ts: str, kind: str) -> Column:
+    """Day number of a timestamp, or of a long in milliseconds."""
+    return F.floor((F.col(ts) if kind in ("bigint", "int") else F.unix_millis(ts)) / 86_400_000)
 
 
-def asof_forward(left: DataFrame, right: DataFrame, value: str, left_ts: str = TS, right_ts: str = TS, key: str = KEY, name: str | None = None) -> DataFrame:
-    """``left`` with the earliest ``right`` value at or after each row; at equal times the right row counts as after.
+#: Days that a bucket of the pass over days holds, and how far the last value of a series reaches.
+DAYS, REACH = 64, 36_500
 
-    The stream runs backwards in time, as a frame that ends at the last row would cost the square of a key's rows.
+
+def _asof(left: DataFrame, right: DataFrame, value: str, left_ts: str, right_ts: str, key: str, before: str | None, after: str | None) -> DataFrame:
+    """``left`` with the value ``before`` and the value ``after`` each row, in one stream per key and day.
+
+    What a day lacks comes from the nearest day of the right side that has it: that day's value holds for all days up to the
+    next one, at most REACH. Such spans of days are few, and meet rows by bucket.
     """
-    name = name or value
     names = left.columns
-    both = left.withColumn("_t", F.col(left_ts)).withColumn("_side", F.lit(0)).unionByName(
-        right.select(F.col(key), F.col(right_ts).alias("_t"), F.struct(F.col(value).alias("v")).alias("_v"), F.lit(1).alias("_side")), allowMissingColumns=True
-    )
-    w = Window.partitionBy(key).orderBy(F.desc("_t"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(name + "_", F.last("_v", ignorenulls=True).over(w)["v"]).filter("_side = 0").select(*names, F.col(name + "_").alias(name))
+    values = right.select(F.col(key), F.col(right_ts).alias("_t"), F.struct(F.col(value).alias("v")).alias("_v"))
+    both = left.withColumn("_t", F.col(left_ts)).withColumn("_left", F.lit(True)).unionByName(values, allowMissingColumns=True)
+    day = _day("_t", dict(both.dtypes)["_t"])
+    found = both.withColumn("_day", day)
+    for name, toward in ((before, F.asc), (after, F.desc)):
+        if name:  # at equal times a right row comes first in either direction
+            own = Window.partitionBy(key, "_day").orderBy(toward("_t"), F.col("_left").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+            found = found.withColumn(f"_o_{name}", F.last("_v", ignorenulls=True).over(own))
+    found = found.filter("_left").withColumn("_bucket", F.floor(F.col("_day") / DAYS))
+    out, kept = found, {n: found[n] for n in names}
+    for name, nearest, toward, back in ((before, F.max_by, F.asc, True), (after, F.min_by, F.desc, False)):
+        if not name:
+            continue
+        days = values.withColumn("_day", day).groupBy(F.col(key).alias("_k"), "_day").agg(nearest("_v", "_t").alias("_c"))
+        following = F.lead("_day").over(Window.partitionBy("_k").orderBy(toward("_day")))
+        lo, hi = (F.col("_day") + 1, F.coalesce(following, F.col("_day") + REACH)) if back else (F.coalesce(following, F.col("_day") - REACH), F.col("_day") - 1)
+        spans = days.select("_k", "_c", lo.alias("_lo"), hi.alias("_hi")).select("*", F.explode(F.sequence(F.floor(F.col("_lo") / DAYS), F.floor(F.col("_hi") / DAYS))).alias("_kb"))
+        on = (found[key] == spans["_k"]) & (found["_bucket"] == spans["_kb"]) & found["_day"].between(spans["_lo"], spans["_hi"])
+        out = out.join(spans, on, "left")
+        kept[name] = F.coalesce(found[f"_o_{name}"], spans["_c"])["v"].alias(name)
+    return out.select(*kept.values())
+
+
+def asof_backward(left: DataFrame, right: DataFrame, value: str, left_ts: str = TS, right_ts: str = TS, key: str = KEY, name: str | None = None) -> DataFrame:
+    """``left`` with the latest ``right`` value at or before each row. A key's rows are spread over tasks by day."""
+    return _asof(left, right, value, left_ts, right_ts, key, name or value, None)
+
+
+def asof_forward(left: DataFrame, right: DataFrame, value: str, left_ts: str = TS, right_ts: str = TS, key: str = KEY, name: str | None = None) -> DataFrame:
+    """``left`` with the earliest ``right`` value at or after each row; at equal times the right row counts as after."""
+    return _asof(left, right, value, left_ts, right_ts, key, None, name or value)
+
+
+def asof_around(left: DataFrame, right: DataFrame, value: str, before: str, after: str, left_ts: str = TS, right_ts: str = TS, key: str = KEY) -> DataFrame:
+    """Both of them, in one stream."""
+    return _asof(left, right, value, left_ts, right_ts, key, before, after)
 
 
 def minute_grid(df: DataFrame, key: str = KEY, ts: str = TS) -> DataFrame:
