@@ -35,11 +35,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import staged
+from tidemark.llm.shared import small_enough, staged
 
 CONSTANT = 0.8
 LEAST_PAGES = 4
-BROADCAST_BYTES = 16 << 20
 DEPTH = 150
 #: Pairs of children that are matched exactly; longer lists are matched in order, first come first served.
 MATCHED = 1 << 20
@@ -336,12 +335,6 @@ def host_of(url: str = "url") -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def _small(table: DataFrame, size: Column) -> DataFrame:
-    """The table, marked for broadcast if its bytes allow it."""
-    total = table.agg(F.sum(size + 64)).first()[0] or 0
-    return F.broadcast(table) if total <= BROADCAST_BYTES else table
-
-
 PARSED = "struct<shape:string,slots:array<int>,texts:array<string>,links:array<int>>"
 
 
@@ -393,7 +386,7 @@ def slot_counts(parsed: DataFrame, refs: DataFrame) -> DataFrame:
             kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "page", "slot", "text", "mass"])
 
-    joined = parsed.join(_small(refs, F.octet_length("reference")), "host").select("host", "page", "shape", "slots", "texts", "links", "reference")
+    joined = parsed.join(small_enough(refs, F.octet_length("reference")), "host").select("host", "page", "shape", "slots", "texts", "links", "reference")
     rows = joined.mapInArrow(count, "host string, page long, slot int, text long, mass long")
     once = rows.groupBy("host", "slot", "text", "page").agg(F.max("mass").alias("mass"))
     alike = once.groupBy("host", "slot", "text").agg(F.count(F.lit(1)).alias("n"), F.sum("mass").alias("mass"))
@@ -439,6 +432,6 @@ def extract_text(pages: DataFrame, induce: bool = True) -> DataFrame:
     if made is None:
         joined = parsed.withColumns({"reference": F.lit(None).cast("string"), "ranges": F.lit(None).cast("array<array<int>>"), "constant": F.lit(None).cast("array<int>")})
     else:
-        joined = parsed.join(_small(made, F.octet_length("reference") + 64), "host", "left")
+        joined = parsed.join(small_enough(made, F.octet_length("reference") + 64), "host", "left")
     text = extract("shape", "slots", "texts", "links", "reference", "ranges", "constant")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 4 << 20
+BROADCAST_BYTES = 16 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
@@ -99,6 +100,12 @@ def same_document(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
 
 
+def small_enough(table: DataFrame, size: Column) -> DataFrame:
+    """The table, marked for broadcast if its bytes (``size`` of a row, and 64 more) allow it."""
+    total = table.agg(F.sum(size + 64)).first()[0] or 0
+    return F.broadcast(table) if total <= BROADCAST_BYTES else table
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or with underscores after it until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}

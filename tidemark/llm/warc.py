@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import fresh_path
+from tidemark.llm.shared import fresh_path, small_enough, staged
 
 CHUNK = 1 << 20
 LEAST = 100
@@ -37,7 +37,9 @@ def typed_records(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
     heads = pages.select("page_id", "url", payload.alias("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
-    owners = heads.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("owner"))
+    named = heads.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("owner"), F.count(F.lit(1)).alias("pages"))
+    # Payloads that stand alone own themselves; the others are few as a rule, and then payloads need not move.
+    owners = small_enough(staged(named.filter("pages > 1 and owner is not null").drop("pages"), "owners"), F.lit(64))
     revisit = F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
     joined = heads.join(owners, "payload_digest", "left")
     return joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("owner"))).drop("owner")
