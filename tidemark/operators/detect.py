@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.scans import percentiles
 from tidemark.operators.windows import asof_around, asof_backward, ordered, positive_ratio_log, rolling_order_stats
 
 MINUTE = 60_000
@@ -57,10 +58,10 @@ def detect_cascades(prices: DataFrame, liqs: DataFrame, window: int = 5, k: floa
     moves = trailing_annual_vol(moves, prices, "ms", lookback)
     sums = window_liquidations(span, liqs, window, lookback)
     phase = sums.withColumn("_k", F.concat_ws("|", "symbol", F.pmod("m", F.lit(window)).cast("string")))
-    phase = phase.withColumn("prev", F.lag("usd").over(Window.partitionBy("_k").orderBy("m")))
+    phase = phase.withColumn("prev", F.lag("usd").over(Window.partitionBy("_k").orderBy("m"))).withColumn("_p", F.floor((F.col("m") + lookback) / window))  # the grid is dense, so a place is a number
     buckets = lookback // window
-    ranked = rolling_order_stats(phase, "prev", buckets, (0.95,), chunk=max(buckets, 4096), key="_k", ts="m")
-    n = F.least(F.row_number().over(Window.partitionBy("_k").orderBy("m")) - 1, F.lit(buckets))
+    ranked = rolling_order_stats(phase, "prev", buckets, (0.95,), chunk=max(buckets, 4096), key="_k", ts="m", position="_p")
+    n = F.least(F.col("_p"), F.lit(buckets))
     limits = ranked.withColumn("n", n).withColumn("limit", F.greatest(F.lit(floor_usd), F.when(F.col("n") >= 10, F.col("prev_q95")).otherwise(0.0)))
     j = moves.join(limits.select("symbol", "m", "long_usd", "short_usd", "usd", "limit"), ["symbol", "m"])
     years = F.sqrt(F.lit(window / 525_960.0))
@@ -122,7 +123,7 @@ def liq_bins_5m(liqs: DataFrame) -> DataFrame:
 def liq_bursts_5m(liqs: DataFrame, p: float = 0.95) -> DataFrame:
     """Bins at or above the p-th percentile of their symbol's 5-minute bins."""
     bins = liq_bins_5m(liqs)
-    limit = bins.groupBy("symbol").agg(F.percentile("usd", F.lit(p)).alias("limit"))
+    limit = percentiles(bins, "usd", (p,), "symbol").select("symbol", F.col("q")[0].alias("limit"))
     return bins.join(limit, "symbol").filter("usd >= limit")
 
 

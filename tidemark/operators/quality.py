@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.detect import liq_sum_window
-from tidemark.operators.windows import asof_backward, asof_forward, distribution, floor_index, gap_islands, log_return, missing_minutes, moments, nearest_rank, ordered
+from tidemark.operators.scans import chunk_order, in_chunks, ntile_bands, percentiles
+from tidemark.operators.windows import asof_backward, asof_forward, distribution, floor_index, gap_islands, log_return, missing_minutes, moments, nearest_rank, ordered, positive_ratio_log
 
 
 def finite(c: Column) -> Column:
@@ -171,9 +172,11 @@ def liq_return_corr(liqs: DataFrame, prices: DataFrame, low: float = 0.05) -> Da
 
 def realized_vol(prices: DataFrame, rows: int = 30, scale: float = 1.0) -> DataFrame:
     """rv: sample deviation of the last ``rows`` log returns, with their number cnt."""
-    w = ordered().rowsBetween(-(rows - 1), 0)
-    r = log_return(prices)
-    return r.withColumn("rv", F.stddev_samp("ret").over(w) * scale).withColumn("cnt", F.count("ret").over(w))
+    w = chunk_order()
+    frame = w.rowsBetween(-(rows - 1), 0)
+    r = in_chunks(prices, rows).withColumn("ret", positive_ratio_log(F.col("mark_price"), F.lag("mark_price").over(w)))
+    out = r.withColumn("rv", F.stddev_samp("ret").over(frame) * scale).withColumn("cnt", F.count("ret").over(frame))
+    return out.filter("_mine").select(*prices.columns, "ret", "rv", "cnt")
 
 
 def gaps_cv(df: DataFrame, ts: str = "ts", positive: bool = True, even: float = 0.3) -> DataFrame:
@@ -187,8 +190,7 @@ def gaps_cv(df: DataFrame, ts: str = "ts", positive: bool = True, even: float =
 def return_moments(prices: DataFrame) -> DataFrame:
     """Moments, extremes and percentiles of the log returns, and whether their kurtosis is above 3."""
     r = log_return(prices).filter("ret is not null")
-    q = F.percentile("ret", F.array(*map(F.lit, (0.5, 0.9, 0.95, 0.99, 0.999))))
-    ends = r.groupBy("symbol").agg(F.min("ret").alias("min"), F.max("ret").alias("max"), q.alias("_q"))
+    ends = percentiles(r, "ret", (0.5, 0.9, 0.95, 0.99, 0.999), "symbol", extra=(F.min("ret").alias("min"), F.max("ret").alias("max"))).drop("n").withColumnRenamed("q", "_q")
     m = moments(r, "ret", "symbol").join(ends, "symbol")
     return m.select("symbol", "n", "mean", "std", "skew", "kurtosis", "min", "max", *[F.col("_q")[i].alias(n) for i, n in enumerate(("p50", "p90", "p95", "p99", "p999"))], F.coalesce(F.col("kurtosis") > 3, F.lit(False)).alias("fat_tailed"))
 
@@ -210,7 +212,7 @@ def arch_autocorr(prices: DataFrame, least: float = 0.05) -> DataFrame:
 def liq_by_vol_tercile(liqs: DataFrame, prices: DataFrame, rows: int = 30) -> DataFrame:
     """Liquidations by third of realised volatility, and whether the top third has over twice the lowest's."""
     rv = realized_vol(prices, rows).filter("rv is not null")
-    t = rv.withColumn("tercile", F.ntile(3).over(Window.partitionBy("symbol").orderBy("rv", "ts")))
+    t = ntile_bands(rv, "rv", 3, name="tercile")
     per = liqs.groupBy("symbol", F.date_trunc("minute", "ts").alias("ts")).agg(F.sum("usd_value").alias("usd"), F.count(F.lit(1)).alias("n"))
     out = t.join(per, ["symbol", "ts"], "left").groupBy("symbol", "tercile").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("liquidations"), F.coalesce(F.sum("usd"), F.lit(0.0)).alias("usd"))
     third = lambda k: F.max(F.when(F.col("tercile") == k, F.col("liquidations"))).over(Window.partitionBy("symbol"))
@@ -228,7 +230,7 @@ def audit_cascades(prices: DataFrame, liqs: DataFrame, rows: int = 30, bound_pct
     c = prices.withColumn("_end", end).filter("_end is not null").withColumn("move_pct", move).filter(F.col("move_pct") >= bound_pct)
     c = c.select("symbol", "ts", "move_pct", F.when(F.col("_end") < F.col("mark_price"), "DOWN").otherwise("UP").alias("direction"), F.unix_millis("ts").alias("start_ms")).withColumn("end_ms", F.col("start_ms") + minutes * 60_000)
     hourly = liqs.groupBy("symbol", F.date_trunc("hour", "ts").alias("hr")).agg(F.sum("usd_value").alias("usd"))
-    limit = hourly.groupBy("symbol").agg(F.percentile("usd", F.lit(p)).alias("_limit"))
+    limit = percentiles(hourly, "usd", (p,), "symbol").select("symbol", F.col("q")[0].alias("_limit"))
     heavy = liq_sum_window(c, liqs).join(limit, "symbol", "left").withColumn("_limit", F.coalesce("_limit", F.lit(0.0)))
     heavy = heavy.filter((F.round("usd", 6) >= F.round("_limit", 6)) | (F.col("_limit") == 0))
     by_move = [F.desc("move_pct"), F.col("ts")]

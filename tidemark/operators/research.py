@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import calibrated_interval, safe_divide
 from tidemark.operators.quality import realized_vol
+from tidemark.operators.scans import chunk_order, in_chunks, percent_rank_bands, percentiles
 from tidemark.operators.windows import asof_backward, asof_forward, ordered, prefix_stats
 
 
@@ -14,7 +15,7 @@ def cascade_labels(prices: DataFrame, rows: int = 30, move: float = 0.02, vol_p:
     """def1 large move, def2 volatility in its top percent, def3 move of k deviations; any and strict combinations."""
     r = realized_vol(prices, rows)
     ret = r.withColumn("ret30", F.when(F.col("mark_price") > 0, F.lead("mark_price", rows).over(ordered()) / F.col("mark_price") - 1.0))
-    limit = ret.filter(F.col("cnt") >= least).groupBy("symbol").agg(F.percentile("rv", F.lit(vol_p)).alias("rv_limit"))
+    limit = percentiles(ret.filter(F.col("cnt") >= least), "rv", (vol_p,), "symbol").select("symbol", F.col("q")[0].alias("rv_limit"))
     j = ret.join(limit, "symbol", "left")
     yes = lambda c: F.coalesce(c, F.lit(False))
     d1 = yes(F.abs("ret30") >= move)
@@ -44,9 +45,10 @@ def hourly_events(labels: DataFrame, label: str = "def1") -> DataFrame:
 
 def ret_zscore(prices: DataFrame, rows: int = 1440, least: int = 60) -> DataFrame:
     """ret_z: (abs return - mean) / deviation over the ``rows`` returns before the current one; 0 under ``least``."""
-    w = ordered()
-    r = prices.withColumn("abs_ret", F.abs(F.when(F.lag("mark_price").over(w) > 0, F.ln(F.col("mark_price") / F.lag("mark_price").over(w)))))
-    s = prefix_stats(r, "abs_ret", rows, include_current=False)
+    w = chunk_order()
+    before = F.lag("mark_price").over(w)
+    r = in_chunks(prices, 1).withColumn("abs_ret", F.abs(F.when(before > 0, F.ln(F.col("mark_price") / before)))).filter("_mine").drop("_chunk", "_mine")
+    s = prefix_stats(r, "abs_ret", rows, include_current=False, position="_n")
     z = (F.col("abs_ret") - F.col("w_mean")) / F.when(F.col("w_std") > 1e-15, F.col("w_std"))
     return s.select("symbol", "ts", "mark_price", "abs_ret", F.col("w_n").alias("obs"), F.when(F.col("w_n") >= least, F.coalesce(z, F.lit(0.0))).otherwise(0.0).alias("ret_z"))
 
@@ -59,8 +61,7 @@ def oi_zscore(oi: DataFrame, rows: int = 288) -> DataFrame:
 
 def vol_tercile(rv: DataFrame, value: str = "rv") -> DataFrame:
     """tercile 1 to 3 by percent rank within the symbol, nulls ranked last."""
-    rank = F.percent_rank().over(Window.partitionBy("symbol").orderBy(F.col(value).asc_nulls_last()))
-    return rv.withColumn("pr", rank).withColumn("tercile", F.when(F.col("pr") < 0.333, 1).when(F.col("pr") < 0.667, 2).otherwise(3))
+    return percent_rank_bands(rv, value, (0.333, 0.667), name="tercile")
 
 
 def feature_matrix(prices: DataFrame, oi: DataFrame, funding: DataFrame, ret_rows: int = 1440, oi_rows: int = 288, rv_rows: int = 30, warm: int = 1440) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import interpolate_score, prediction, risk_level, round_clamp_score, sigmoid, vol_multiplier
-from tidemark.operators.windows import ordered, prefix_stats, rolling_order_stats
+from tidemark.operators.scans import with_positions
+from tidemark.operators.windows import prefix_stats, rolling_order_stats
 
 
 def stress_score(series: DataFrame, value: str = "deviation", history: int = 43_200, warm: int = 1440, lookback: int = 4320, z_scale: float = 20.0, chunk: int | None = None) -> DataFrame:
@@ -15,14 +16,13 @@ def stress_score(series: DataFrame, value: str = "deviation", history: int = 43_
     Windows include the current row. Mean and deviation come from prefix sums; the order statistics of value and z
     from one pass of halo chunks each.
     """
-    w = ordered()
-    x = series.select("symbol", "ts", F.coalesce(F.col(value), F.lit(0.0)).alias("x")).withColumn("rn", F.row_number().over(w))
-    s = prefix_stats(x, "x", history)
+    x = with_positions(series.select("symbol", "ts", F.coalesce(F.col(value), F.lit(0.0)).alias("x")), name="_p").withColumn("rn", F.col("_p") + 1)
+    s = prefix_stats(x, "x", history, position="_p")
     z = F.when(F.col("w_std_pop") > 0, (F.col("x") - F.col("w_mean")) / F.when(F.col("w_std_pop") > 0, F.col("w_std_pop"))).otherwise(0.0)
-    s = s.select("symbol", "ts", "x", "rn", F.when(F.col("rn") > 1, z).alias("zb"))
-    v = prefix_stats(s, "zb", lookback, prefix="v").select("symbol", "ts", "x", "rn", "zb", F.coalesce("v_std_pop", F.lit(0.0)).alias("vol_of_stress"))
-    q = rolling_order_stats(v, "x", history, (0.9, 0.95, 0.99), chunk, rank=True)
-    q = rolling_order_stats(q, "zb", history, (0.33, 0.67), chunk)
+    s = s.select("symbol", "ts", "x", "_p", "rn", F.when(F.col("rn") > 1, z).alias("zb"))
+    v = prefix_stats(s, "zb", lookback, prefix="v", position="_p").select("symbol", "ts", "x", "_p", "rn", "zb", F.coalesce("v_std_pop", F.lit(0.0)).alias("vol_of_stress"))
+    q = rolling_order_stats(v, "x", history, (0.9, 0.95, 0.99), chunk, rank=True, position="_p")
+    q = rolling_order_stats(q, "zb", history, (0.33, 0.67), chunk, position="_p")
     nz = F.least(F.col("rn") - 1, F.lit(history))
     regime = F.when(nz < 60, "MEDIUM").when(F.col("vol_of_stress") < F.col("zb_q33"), "LOW").when(F.col("vol_of_stress") > F.col("zb_q67"), "HIGH").otherwise("MEDIUM")
     is_warm = F.col("rn") >= warm
@@ -57,7 +57,8 @@ def with_prediction(scored: DataFrame, funding: str = "avg_funding", oi: str = "
 
 def liquidity_factor(series: DataFrame, rows: int = 43_200, least: int = 60, chunk: int | None = None) -> DataFrame:
     """factor sqrt(oi / rolling median oi), 1 with fewer than ``least`` values."""
-    n = F.row_number().over(ordered())
-    q = rolling_order_stats(series.select("symbol", "ts", F.col("open_interest_usd").alias("oi")), "oi", rows, (0.5,), chunk)
+    placed = with_positions(series.select("symbol", "ts", F.col("open_interest_usd").alias("oi")), name="_p")
+    n = F.col("_p") + 1
+    q = rolling_order_stats(placed, "oi", rows, (0.5,), chunk, position="_p")
     ok = (F.col("n") >= least) & (F.col("oi_q50") > 0) & (F.col("oi") > 0)
-    return q.withColumn("n", n).withColumn("factor", F.when(ok, F.sqrt(F.col("oi") / F.when(F.col("oi_q50") > 0, F.col("oi_q50")))).otherwise(1.0)).drop("n")
+    return q.withColumn("n", n).withColumn("factor", F.when(ok, F.sqrt(F.col("oi") / F.when(F.col("oi_q50") > 0, F.col("oi_q50")))).otherwise(1.0)).drop("n", "_p")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.scans import in_chunks, percentiles, sliding_stats, span_of
+
 KEY, TS = "symbol", "ts"
 
 
@@ -25,40 +27,9 @@ def forward_return(df: DataFrame, rows: int = 30, price: str = "mark_price", key
     return df.withColumn(name, positive_ratio_log(F.lead(price, rows).over(ordered(key, ts)), F.col(price)))
 
 
-def prefix_stats(df: DataFrame, value: str, rows: int, include_current: bool = True, key: str = KEY, ts: str = TS, prefix: str = "w") -> DataFrame:
-    """Count, mean, population and sample deviation of the last ``rows`` values, in linear time.
-
-    Running sums of values centred on the key's first value, minus the sums ``rows`` back; a plain sliding frame
-    would cost rows x frame. With ``include_current`` false the frame ends at the previous row.
-    """
-    w = ordered(key, ts)
-    running = w.rowsBetween(Window.unboundedPreceding, 0)
-    centred = F.col(value) - F.first(value, ignorenulls=True).over(running)
-    sums = df.withColumn("_c", F.coalesce(centred, F.lit(0.0))).withColumn("_n", F.col(value).isNotNull().cast("long")).withColumn("_base", F.first(value, ignorenulls=True).over(running))
-    sums = sums.withColumn("_s1", F.sum("_c").over(running)).withColumn("_s2", F.sum(F.col("_c") * F.col("_c")).over(running)).withColumn("_sn", F.sum("_n").over(running))
-    end, start = (0, rows) if include_current else (1, rows + 1)
-
-    def span(c: str) -> Column:
-        upper = F.col(c) if end == 0 else F.coalesce(F.lag(c, end).over(w), F.lit(0))
-        return upper - F.coalesce(F.lag(c, start).over(w), F.lit(0))
-
-    n, s1, s2 = span("_sn"), span("_s1"), span("_s2")
-    base = F.col("_base") if include_current else F.coalesce(F.lag("_base").over(w), F.col("_base"))
-    with_spans = sums.withColumn("_wn", n).withColumn("_w1", s1).withColumn("_w2", s2).withColumn("_b", base)
-    some = F.when(F.col("_wn") > 0, F.col("_wn"))
-    mean, square = F.col("_w1") / some, F.greatest(F.lit(0.0), F.col("_w2") - F.col("_w1") * F.col("_w1") / some)
-    return with_spans.select(
-        *df.columns,
-        F.col("_wn").alias(f"{prefix}_n"),
-        (mean + F.col("_b")).alias(f"{prefix}_mean"),
-        F.sqrt(square / some).alias(f"{prefix}_std_pop"),
-        F.when(F.col("_wn") > 1, F.sqrt(square / F.when(F.col("_wn") > 1, F.col("_wn") - 1))).alias(f"{prefix}_std"),
-    )
-
-
-def _day(ts: str, kind: str) -> Column:
-    """Day number of a timestamp, or of a long in milliseconds."""
-    return F.floor((F.col(ts) if kind in ("bigint", "int") else F.unix_millis(ts)) / 86_400_000)
+def prefix_stats(df: DataFrame, value: str, rows: int, include_current: bool = True, key: str = KEY, ts: str = TS, prefix: str = "w", chunk: int | None = None, position: str | None = None) -> DataFrame:
+    """Count, mean, population and sample deviation of the last ``rows`` values: ``scans.sliding_stats``."""
+    return sliding_stats(df, value, rows, include_current, key, ts, prefix, chunk, position)
 
 
 #: Days that a bucket of the pass over days holds, and how far the last value of a series reaches.
@@ -74,7 +45,7 @@ def _asof(left: DataFrame, right: DataFrame, value: str, left_ts: str, right_ts:
     names = left.columns
     values = right.select(F.col(key), F.col(right_ts).alias("_t"), F.struct(F.col(value).alias("v")).alias("_v"))
     both = left.withColumn("_t", F.col(left_ts)).withColumn("_left", F.lit(True)).unionByName(values, allowMissingColumns=True)
-    day = _day("_t", dict(both.dtypes)["_t"])
+    day = span_of("_t", dict(both.dtypes)["_t"])
     found = both.withColumn("_day", day)
     for name, toward in ((before, F.asc), (after, F.desc)):
         if name:  # at equal times a right row comes first in either direction
@@ -150,26 +121,26 @@ def moments(df: DataFrame, value: str, *keys: str) -> DataFrame:
 
 
 def distribution(df: DataFrame, value: str, *keys: str, exact: bool = True) -> DataFrame:
-    """n, mean, std, min, p25, p50, p75, max. ``exact`` false takes approximate quantiles (for very long series)."""
-    points = F.array(*map(F.lit, (0.25, 0.5, 0.75)))
-    q = F.percentile(value, points) if exact else F.percentile_approx(value, points, 10_000)
-    out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), q.alias("_q"), F.max(value).alias("max"))
-    return out.select(*keys, "n", "mean", "std", "min", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
+    """n, mean, std, min, p25, p50, p75, max. Exact quantiles take a second pass; ``exact`` false keeps to the sketch of one."""
+    points = (0.25, 0.5, 0.75)
+    stats = (F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    if exact:
+        out = percentiles(df, value, points, *keys, extra=stats)
+    else:
+        out = df.groupBy(*keys).agg(F.count(value).alias("n"), *stats, F.percentile_approx(value, F.array(*map(F.lit, points)), 10_000).alias("q"))
+    return out.select(*keys, "n", "mean", "std", "min", *[F.col("q")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))], "max")
 
 
-def rolling_order_stats(df: DataFrame, value: str, rows: int, quantiles: tuple[float, ...], chunk: int | None = None, rank: bool = False, key: str = KEY, ts: str = TS) -> DataFrame:
+def rolling_order_stats(df: DataFrame, value: str, rows: int, quantiles: tuple[float, ...], chunk: int | None = None, rank: bool = False, key: str = KEY, ts: str = TS, position: str | None = None) -> DataFrame:
     """Exact quantiles (linear interpolation) and percentile rank of the last ``rows`` values.
 
     Each series is cut into chunks; a row also goes to the later chunks that need it as halo, so one long series is
     worked on by many tasks and no task holds more than a chunk and its halo.
     """
     chunk = max(chunk or rows, 1)
-    n = F.row_number().over(ordered(key, ts)) - 1
-    base = df.withColumn("_n", n.cast("long"))
-    chunks = F.explode(F.sequence(F.floor(F.col("_n") / chunk), F.floor((F.col("_n") + rows - 1) / chunk)))
-    spread = base.select("*", chunks.alias("_chunk"))
+    spread = in_chunks(df, rows - 1, key=key, ts=ts, chunk=chunk, position=position)
     names = [f"{value}_q{round(q * 100)}" for q in quantiles] + ([f"{value}_rank"] if rank else [])
-    schema = base.select("*").schema
+    schema = spread.drop("_chunk", "_mine").schema
     for x in names:
         schema = schema.add(x, "double")
 
@@ -180,7 +151,7 @@ def rolling_order_stats(df: DataFrame, value: str, rows: int, quantiles: tuple[f
             pdf[f"{value}_q{round(q * 100)}"] = rolling.quantile(q)
         if rank:
             pdf[f"{value}_rank"] = rolling.rank(method="max", pct=True) * 100.0
-        return pdf[pdf["_n"] // chunk == pdf["_chunk"]].drop(columns="_chunk")
+        return pdf[pdf["_mine"]].drop(columns=["_chunk", "_mine"])
 
     return spread.groupBy(key, "_chunk").applyInPandas(kernel, schema).drop("_n")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as sc
-from tidemark.operators import detect, merge, quality, research, serving, stress, windows
+from tidemark.operators import detect, merge, quality, research, scans, serving, stress, windows
 from tidemark.plans.fixtures import frame, with_views
 from tidemark.sources import tables
 
@@ -86,8 +86,7 @@ def distribution_open_interest(t):
 
 @query("p50 p90 p95 p99 p999 max", "select symbol, quantile_cont(usd_value, 0.5) p50, quantile_cont(usd_value, 0.9) p90, quantile_cont(usd_value, 0.95) p95, quantile_cont(usd_value, 0.99) p99, quantile_cont(usd_value, 0.999) p999, max(usd_value) as max, quantile_cont(usd_value, 0.99) > 10 * quantile_cont(usd_value, 0.5) as heavy_tail from liquidations group by 1")
 def liq_distribution(t):
-    q = F.percentile("usd_value", F.array(*map(F.lit, (0.5, 0.9, 0.95, 0.99, 0.999))))
-    x = t("liquidations").groupBy("symbol").agg(q.alias("q"), F.max("usd_value").alias("max"))
+    x = scans.percentiles(t("liquidations"), "usd_value", (0.5, 0.9, 0.95, 0.99, 0.999), "symbol", extra=(F.max("usd_value").alias("max"),))
     return x.select("symbol", *[F.col("q")[i].alias(n) for i, n in enumerate(("p50", "p90", "p95", "p99", "p999"))], "max", (F.col("q")[3] > 10 * F.col("q")[0]).alias("heavy_tail"))
 
 
@@ -233,7 +232,8 @@ RV = f"{RET}, rv as (select *, stddev_samp(ret) over w as rv, count(ret) over w
 @query("mean std p33 p67", f"with {RV} select symbol, avg(rv * sqrt(30)) mean, stddev_samp(rv * sqrt(30)) std, quantile_cont(rv * sqrt(30), 0.33) p33, quantile_cont(rv * sqrt(30), 0.67) p67 from rv where rv is not null group by 1")
 def rv30_summary(t):
     x = quality.realized_vol(t("mark_prices"), scale=30**0.5).filter("rv is not null")
-    return x.groupBy("symbol").agg(F.avg("rv").alias("mean"), F.stddev_samp("rv").alias("std"), F.percentile("rv", F.lit(0.33)).alias("p33"), F.percentile("rv", F.lit(0.67)).alias("p67"))
+    d = scans.percentiles(x, "rv", (0.33, 0.67), "symbol", extra=(F.avg("rv").alias("mean"), F.stddev_samp("rv").alias("std")))
+    return d.select("symbol", "mean", "std", F.col("q")[0].alias("p33"), F.col("q")[1].alias("p67"))
 
 
 @query("rv", f"with {RV} select symbol, epoch_ms(ts) ts_ms, rv, cnt from rv")
@@ -570,7 +570,7 @@ BURSTS = f"{BINS}, blim as (select symbol, quantile_cont(usd, 0.95) lim from bin
 @query("p95", f"with {BURSTS} select symbol, count(*) bins, quantile_cont(usd, 0.95) p95, count(*) filter (where usd >= lim) at_p95 from bins join blim using (symbol) group by 1")
 def burst_stats_5m(t):
     b = detect.liq_bins_5m(t("liquidations"))
-    p = b.groupBy("symbol").agg(F.count(F.lit(1)).alias("bins"), F.percentile("usd", F.lit(0.95)).alias("p95"))
+    p = scans.percentiles(b, "usd", (0.95,), "symbol").select("symbol", F.col("n").alias("bins"), F.col("q")[0].alias("p95"))
     return p.join(b, "symbol").groupBy("symbol", "bins", "p95").agg(F.count_if(F.col("usd") >= F.col("p95")).alias("at_p95"))
 
 

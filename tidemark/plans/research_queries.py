@@ -251,9 +251,8 @@ def liq_threshold(t):
     per = t("liquidations").join(span, "symbol").groupBy("symbol", F.floor((F.unix_millis("ts") - F.col("lo")) / 3_600_000).cast("long").alias("m")).agg(F.sum("usd_value").alias("usd"))
     s = dense.join(per, ["symbol", "m"], "left").withColumn("usd", F.coalesce("usd", F.lit(0.0)))
     w = Window.partitionBy("symbol").orderBy("m")
-    q = windows.rolling_order_stats(s.withColumn("prev", F.lag("usd").over(w)), "prev", 48, (0.95,), chunk=480, ts="m")
-    n = F.row_number().over(w) - 1
-    return q.withColumn("n", n).select("symbol", "m", F.greatest(F.lit(100.0), F.when(F.col("n") >= 10, F.col("prev_q95")).otherwise(0.0)).alias("limit_usd"))
+    q = windows.rolling_order_stats(s.withColumn("prev", F.lag("usd").over(w)), "prev", 48, (0.95,), chunk=480, ts="m", position="m")
+    return q.withColumn("n", F.col("m")).select("symbol", "m", F.greatest(F.lit(100.0), F.when(F.col("n") >= 10, F.col("prev_q95")).otherwise(0.0)).alias("limit_usd"))
 
 
 @query("p_hat lower upper", f"with {LABELLED}, z as (select *, -5 + 0.1 * risk_score z, 1.96 * sqrt(greatest(0, 0.04 - 2 * 0.0005 * risk_score + 0.00001 * risk_score * risk_score)) d from lab) select symbol, epoch_ms(time) time_ms, 1 / (1 + exp(-z)) p_hat, 1 / (1 + exp(-(z - d))) as lower, 1 / (1 + exp(-(z + d))) as upper from z")
