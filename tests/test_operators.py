@@ -163,7 +163,7 @@ def test_validate_mark_prices(spark):
                 ok = p is not None and p == p and p > 0 and (last is None or abs(p - last) / last <= 0.2)
                 last = p if ok else last
                 want[s, t] = ok
-    for f in (quality.validate_mark_prices, quality.validate_mark_prices_grouped):
+    for f in (quality.validate_mark_prices,):
         assert {(r.symbol, r.ts): r.accepted for r in f(df).collect()} == want
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import scans, windows
+from tidemark.operators import folds, quality, scans, windows
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -126,3 +126,58 @@ def test_distribution_is_exact(spark):
             v = [x for _, _, x in own(rows, r.symbol) if x is not None]
             want = [len(v), statistics.fmean(v), statistics.stdev(v), min(v), *np.quantile(v, (0.25, 0.5, 0.75)), max(v)]
             assert list(r)[1:] == pytest.approx(want, rel=1e-12 if exact else 5e-3)
+
+
+def prices_with_jumps(rng, n):
+    out, p = [], 100.0
+    for _ in range(n):
+        p *= math.exp(rng.gauss(0, 0.03))
+        u = rng.random()
+        if u < 0.05:
+            p *= rng.choice((0.5, 0.75, 0.85, 1.2, 1.25, 1.4, 2.0))
+        out.append(None if u > 0.97 else math.nan if u > 0.95 else 0.0 if u > 0.94 else math.inf if u > 0.93 else p * rng.choice((1.0, 1.0, 1.3, 0.7)) if u > 0.6 else p)
+    return out
+
+
+def is_sound(p):
+    return p is not None and p == p and 0 < p < math.inf
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_effects_compose_to_the_fold(seed):
+    """A day's effect, applied to any last price, is the fold from that price: for prices of other days, and for many made up."""
+    rng = random.Random(seed)
+    for _ in range(60):
+        prices = prices_with_jumps(rng, rng.randint(1, 60))
+        sound = [is_sound(p) for p in prices]
+        fresh, ranges = folds.effect(prices, sound, 0.2)
+        tries = [None, *(p * f for p in prices if is_sound(p) for f in (1.0, 0.8, 1.2, 1 / 1.2, 1.25, 0.9999, 1.0001)), *(math.exp(rng.uniform(0, 9)) for _ in range(60))]
+        for last in tries:
+            assert folds.apply_effect(last, fresh, ranges, 0.2) == folds.fold_from(last, prices, sound, 0.2)[0]
+
+
+def test_effect_of_a_quiet_day_is_one_range():
+    rng = random.Random(3)
+    prices = [100 * math.exp(0.05 * math.sin(i / 200) + rng.gauss(0, 0.001)) for i in range(1440)]
+    assert len(folds.effect(prices, [True] * 1440, 0.2)[1]) == 1
+
+
+@pytest.mark.parametrize("ms", [60_000, 1_800_000, 86_400_000])
+def test_validated_prices_are_the_plain_fold(spark, ms):
+    rng = random.Random(ms)
+    rows = [(s, T0 + dt.timedelta(seconds=40 * i), p) for s in "abc" for i, p in enumerate(prices_with_jumps(rng, 500))]
+    rows += [("a", T0, 99.0), ("a", None, 100.0), ("d", T0, None)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, mark_price double").repartition(6)
+    as_of = T0 + dt.timedelta(seconds=12_000)
+    for limit in (None, as_of):
+        want = []
+        for s in "abcd":
+            mine = sorted((r for r in rows if r[0] == s), key=lambda r: (r[1] is not None, r[1] or T0, math.inf if not is_sound(r[2]) else r[2]))
+            sound = [is_sound(p) and (limit is None or (t is not None and t <= limit + dt.timedelta(minutes=5))) for _, t, p in mine]
+            want += [(s, t, ok) for (_, t, _), ok in zip(mine, folds.fold_from(None, [p for _, _, p in mine], sound, 0.2)[1], strict=True)]
+        rule = quality.mark_price_sound(None if limit is None else F.lit(limit))
+        got = folds.fold_prices(df, rule, ms=ms).collect()
+        plain = lambda x: sorted(map(str, x))
+        assert plain((r.symbol, r.ts, r.accepted) for r in got) == plain(want)
+    none = folds.fold_prices(df.limit(0), quality.mark_price_sound())
+    assert none.collect() == [] and none.columns == ["symbol", "ts", "mark_price", "accepted"]

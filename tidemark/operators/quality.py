@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.detect import liq_sum_window
+from tidemark.operators.folds import fold_prices
 from tidemark.operators.scans import chunk_order, in_chunks, ntile_bands, percentiles
 from tidemark.operators.windows import asof_backward, asof_forward, distribution, floor_index, gap_islands, log_return, missing_minutes, moments, nearest_rank, ordered, positive_ratio_log
 
@@ -65,43 +66,18 @@ def open_interest_rule(as_of: Column) -> Column:
     return F.when(~finite(F.col("open_interest_usd")), "NOT_FINITE").when(F.col("open_interest_usd") < 0, "NEGATIVE").when(late, "FUTURE")
 
 
+def mark_price_sound(as_of: Column | None = None) -> Column:
+    """Finite, above zero and, with ``as_of``, no more than five minutes after it."""
+    sound = finite(F.col("mark_price")) & (F.col("mark_price") > 0)
+    return sound if as_of is None else sound & (F.unix_millis("ts") <= F.unix_millis(as_of) + 300_000)
+
+
 def validate_mark_prices(prices: DataFrame, as_of: Column | None = None, max_jump: float = 0.20) -> DataFrame:
-    """Adds ``accepted``: a price is compared with the last accepted one of its symbol, so this is a fold, not a lag.
+    """(symbol, ts, mark_price, accepted): a price is compared with the last accepted one of its symbol, so this is a fold, not a lag.
 
-    The fold runs inside the JVM over each symbol's ordered prices.
+    The fold runs by symbol and day in parallel (``folds.fold_prices``).
     """
-    sound = finite(F.col("mark_price")) & (F.col("mark_price") > 0)
-    if as_of is not None:
-        sound = sound & (F.unix_millis("ts") <= F.unix_millis(as_of) + 300_000)
-    listed = prices.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("ts", "mark_price", sound.alias("sound")))).alias("rows"))
-
-    def step(state, row):
-        last = state["last"]
-        ok = row["sound"] & (last.isNull() | (F.abs(row["mark_price"] - last) / last <= max_jump))
-        return F.struct(F.when(ok, row["mark_price"]).otherwise(last).alias("last"), F.concat(state["flags"], F.array(ok)).alias("flags"))
-
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<boolean>").alias("flags"))
-    flags = F.aggregate("rows", start, step, lambda s: s["flags"])
-    return listed.select("symbol", F.explode(F.arrays_zip("rows", flags.alias("ok"))).alias("x")).select("symbol", "x.rows.ts", "x.rows.mark_price", F.col("x.ok").alias("accepted"))
-
-
-def validate_mark_prices_grouped(prices: DataFrame, max_jump: float = 0.20) -> DataFrame:
-    """The same fold by symbol and time in Python, streaming over sorted rows: for series too long for one array."""
-
-    def kernel(batches):
-        symbol, last = None, None
-        for pdf in batches:
-            out = []
-            for s, p in zip(pdf["symbol"], pdf["mark_price"], strict=True):
-                if s != symbol:
-                    symbol, last = s, None
-                ok = p == p and p is not None and 0 < p < float("inf") and (last is None or abs(p - last) / last <= max_jump)
-                last = p if ok else last
-                out.append(ok)
-            yield pdf.assign(accepted=out)
-
-    base = prices.select("symbol", "ts", "mark_price")
-    return base.repartition("symbol").sortWithinPartitions("symbol", "ts", "mark_price").mapInPandas(kernel, "symbol string, ts timestamp, mark_price double, accepted boolean")
+    return fold_prices(prices, mark_price_sound(as_of), max_jump)
 
 
 def table_stats(df: DataFrame, ts: str, *keys: str) -> DataFrame:

@@ -59,9 +59,10 @@ def with_views(sql: str) -> str:
     """The statement with its views as common table expressions."""
     parts = [f"{n} as ({VIEWS[n]})" for n in needed(sql)]
     body = sql.strip()
-    if body.lower().startswith("with "):
-        parts.append(body[5:].lstrip())
-        return "with " + ",\n".join(parts)
+    for head in ("with recursive ", "with "):
+        if body.lower().startswith(head):
+            parts.append(body[len(head) :].lstrip())
+            return head + ",\n".join(parts)
     return ("with " + ",\n".join(parts) + "\n" if parts else "") + body
 
 

@@ -163,10 +163,17 @@ def validate_open_interest(t):
     return x.select("symbol", F.unix_millis("ts").alias("ts_ms"), quality.open_interest_rule(as_of("2024-01-20")).alias("rule"))
 
 
-@query("mark_price")
+@query("mark_price", """with recursive p as (select symbol, ts, 100.0 + (mark_price - 100.0) * 20.0 as mark_price from ticks),
+s as (select *, mark_price > 0 and epoch_ms(ts) <= epoch_ms(timestamp '2024-01-25 12:00:00') + 300000 as sound, row_number() over (partition by symbol order by ts, mark_price) as n from p),
+f(symbol, n, last, accepted) as (
+  select distinct symbol, 0::bigint, null::double, false from s
+  union all
+  select s.symbol, s.n, case when sound and (last is null or abs(mark_price - last) / last <= 0.20) then mark_price else last end, sound and (last is null or abs(mark_price - last) / last <= 0.20)
+  from f join s on s.symbol = f.symbol and s.n = f.n + 1)
+select s.symbol, epoch_us(s.ts) as ts_us, s.mark_price, f.accepted from f join s using (symbol, n)""")
 def validate_mark_prices(t):
     x = t("ticks").select("symbol", "ts", (100.0 + (F.col("mark_price") - 100.0) * 20.0).alias("mark_price"))
-    return quality.validate_mark_prices_grouped(x).select("symbol", F.unix_micros("ts").alias("ts_us"), "mark_price", "accepted")
+    return quality.validate_mark_prices(x, F.lit("2024-01-25 12:00:00").cast("timestamp")).select("symbol", F.unix_micros("ts").alias("ts_us"), "mark_price", "accepted")
 
 
 @query("", "select count(*) filter (where open_interest_usd * 1e5 > 0 and open_interest_usd * 1e5 < 5e11) sane, count(*) n, symbol from ticks group by 3")
