@@ -23,6 +23,11 @@ def stress_score(series: DataFrame, value: str = "deviation", history: int = 43_
     v = prefix_stats(s, "zb", lookback, prefix="v", position="_p").select("symbol", "ts", "x", "_p", "rn", "zb", F.coalesce("v_std_pop", F.lit(0.0)).alias("vol_of_stress"))
     q = rolling_order_stats(v, "x", history, (0.9, 0.95, 0.99), chunk, rank=True, position="_p")
     q = rolling_order_stats(q, "zb", history, (0.33, 0.67), chunk, position="_p")
+    return scored_rows(q, history, warm, z_scale)
+
+
+def scored_rows(q: DataFrame, history: int, warm: int, z_scale: float) -> DataFrame:
+    """The score of rows that have their rolling statistics (x, rn, zb, vol_of_stress, quantiles and rank)."""
     nz = F.least(F.col("rn") - 1, F.lit(history))
     regime = F.when(nz < 60, "MEDIUM").when(F.col("vol_of_stress") < F.col("zb_q33"), "LOW").when(F.col("vol_of_stress") > F.col("zb_q67"), "HIGH").otherwise("MEDIUM")
     is_warm = F.col("rn") >= warm

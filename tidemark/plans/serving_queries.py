@@ -12,7 +12,7 @@ from tidemark.operators import merge, quality, serving, stress, windows
 from tidemark.plans.fixtures import frame
 from tidemark.plans.market import _HEURISTICS, ORACLES, QUERIES, as_of, query
 from tidemark.sources import tables, venues
-from tidemark.streaming import streams
+from tidemark.streaming import stateful, streams
 
 MS = "epoch_ms(batch_ts) batch_ms"
 
@@ -611,7 +611,8 @@ def _streamed(df: DataFrame, build, schema: str) -> DataFrame:
     base = _shared(spark)
     df.repartitionByRange(4, "ts").write.parquet(f"{base}/in")
     stream = spark.readStream.schema(df.schema).parquet(f"{base}/in")
-    streams.run_to_table(build(stream), f"{base}/out", f"{base}/checkpoint")
+    with stateful.state_store(spark):
+        streams.run_to_table(build(stream), f"{base}/out", f"{base}/checkpoint")
     return spark.read.schema(schema).parquet(f"{base}/out")
 
 
@@ -634,7 +635,7 @@ def stream_liquidations(t):
 @query("mark_price")
 def stream_mark_validated(t):
     x = t("ticks").select("symbol", "ts", (100.0 + (F.col("mark_price") - 100.0) * 20.0).alias("mark_price"))
-    return _streamed(x, streams.validated_marks, "symbol string, ts timestamp, mark_price double").select("symbol", F.unix_micros("ts").alias("ts_us"), "mark_price")
+    return _streamed(x, stateful.validated_marks, "symbol string, ts timestamp, mark_price double").select("symbol", F.unix_micros("ts").alias("ts_us"), "mark_price")
 
 
 @query("total_oi avg_funding avg_mark spread_pct", """with q as (select *, epoch_ms(ts) // 30000 * 30000 ts_ms from ticks where event_id % 20 <= 15 and abs(mark_price - index_price) / index_price <= 0.05), l as (select *, row_number() over (partition by symbol, ts_ms, exchange order by ts desc, event_id desc) n from q),
@@ -650,13 +651,31 @@ def stream_snapshot(t):
 def stream_stress(t):
     x = t("ticks").groupBy("symbol", F.date_trunc("hour", "ts").alias("ts")).agg(((F.max("mark_price") - 100.0) / 2.5).alias("deviation"))
     base = _shared(x.sparkSession)
-    for part in (F.col("ts") < as_of("2024-01-12"), (F.col("ts") >= as_of("2024-01-12")) & (F.col("ts") < as_of("2024-01-20")), F.col("ts") >= as_of("2024-01-20")):
+    for part in _PARTS:
         x.filter(part).write.mode("append").parquet(f"{base}/in")
         stream = x.sparkSession.readStream.schema(x.schema).parquet(f"{base}/in")
-        streams.stress_to_table(stream, base, f"{base}/checkpoint", history=120, warm=60, lookback=48, chunk=120)
+        stateful.stress_to_table(stream, f"{base}/scores", f"{base}/checkpoint", history=120, warm=60, lookback=48)
     schema = "symbol string, ts timestamp, x double, z double, regime string, warm boolean, vol_of_stress double, level string, score int, confidence double, pct_rank double, critical_at double"
-    out = x.sparkSession.read.schema(schema).parquet(f"{base}/scores").select(*[c.split()[0] for c in schema.split(", ")])
-    return out.drop("x").withColumn("ts", F.unix_millis("ts"))
+    return x.sparkSession.read.schema(schema).parquet(f"{base}/scores").drop("x").withColumn("ts", F.unix_millis("ts"))
+
+
+_PARTS = ("ts < '2024-01-12'", "ts >= '2024-01-12' and ts < '2024-01-20'", "ts >= '2024-01-20'")
+
+
+@query("", """with p as (select symbol, epoch_ms(ts) ms, least(2, case when ts < '2024-01-12' then 0 when ts < '2024-01-20' then 1 else 2 end + case when event_id % 10 = 0 then 1 else 0 end) part from ticks),
+m as (select a.symbol, a.part, max(b.ms) newest from (select distinct symbol, part from p) a left join p b on b.symbol = a.symbol and b.part < a.part group by 1, 2)
+select p.symbol, case when ms < newest - 86400000 then 'late' else 'taken' end as arrival, count(*) n from p join m using (symbol, part) group by 1, 2""")
+def stream_late_rows(t):
+    """Ticks in three parts, a tenth of them a part too late: how many of each symbol were taken and how many were late by over a day."""
+    x = t("ticks").select("event_id", "symbol", "ts", "mark_price")
+    part = F.when(F.expr(_PARTS[0]), 0).when(F.expr(_PARTS[1]), 1).otherwise(2)
+    x = x.withColumn("part", F.least(F.lit(2), part + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)))
+    spark, base = x.sparkSession, _shared(x.sparkSession)
+    for i in range(3):
+        x.filter(F.col("part") == i).write.mode("append").parquet(f"{base}/in")
+        stateful.arrivals_to_tables(spark.readStream.schema(x.schema).parquet(f"{base}/in"), base, f"{base}/checkpoint", delay_ms=86_400_000)
+    counts = spark.read.schema("symbol string, arrival string, n long").parquet(f"{base}/counts")
+    return counts.groupBy("symbol", "arrival").agg(F.sum("n").alias("n"))
 
 
 @query("", "with w as (select epoch_ms(date_trunc('minute', ts)) ts_ms, count(*) ticks, count(*) filter (where mark_price - 100.5 <= 0) rejected from ticks group by 1) select * from w where ts_ms + 180000 <= (select epoch_ms(max(ts)) from ticks)")
@@ -675,26 +694,44 @@ def stream_funding(t):
 
 @query("open_interest_usd", "with f as (select *, row_number() over (partition by symbol, date_trunc('minute', ts) order by ts, event_id) n from ticks) select f.symbol, epoch_ms(m.ts) minute_ms, f.open_interest_usd / 1000 * m.mark_price open_interest_usd from f join mark_prices m on m.symbol = f.symbol and m.ts = date_trunc('minute', f.ts) where n = 1")
 def stream_open_interest(t):
-    """Contracts in US dollars by the price of their minute, the first report of each minute."""
-    prices = t("mark_prices").select("symbol", F.col("ts").alias("minute"), "mark_price")
+    """Contracts in US dollars by the price of their minute, the first report of each minute; reports and prices are streams."""
     first = F.row_number().over(Window.partitionBy("symbol", F.date_trunc("minute", "ts")).orderBy("ts", "event_id"))
-    x = t("ticks").withColumn("n", first).select("symbol", "ts", F.date_trunc("minute", "ts").alias("minute"), (F.col("open_interest_usd") / 1000.0).alias("contracts"), "n")
-    reports = x.filter("n = 1").drop("n")
+    x = t("ticks").withColumn("n", first).filter("n = 1").select("symbol", "ts", (F.col("open_interest_usd") / 1000.0).alias("contracts"))
+    prices = t("mark_prices")
+    spark, base = x.sparkSession, _shared(x.sparkSession)
+    prices.write.parquet(f"{base}/prices")
 
     def build(s):
-        usd = s.join(prices, ["symbol", "minute"]).withColumn("open_interest_usd", F.col("contracts") * F.col("mark_price")).filter("open_interest_usd >= 0")
-        return streams.first_per_key(usd, ["symbol", "minute"])
+        return streams.open_interest_usd(s, spark.readStream.schema(prices.schema).parquet(f"{base}/prices"))
 
     # Every report twice: the second is dropped as a duplicate.
-    y = _streamed(reports.unionByName(reports), build, "symbol string, minute timestamp, ts timestamp, contracts double, mark_price double, open_interest_usd double")
+    y = _streamed(x.unionByName(x), build, "symbol string, minute timestamp, ts timestamp, contracts double, mark_price double, open_interest_usd double")
     return y.select("symbol", F.unix_millis("minute").alias("minute_ms"), "open_interest_usd")
 
 
+def _alerted(t) -> tuple[SparkSession, str]:
+    """The folder of a run over two batches of scores."""
+    x, subs = t("risk_scores").select("symbol", "time", "risk_score"), t("subscriptions")
+    spark, base = x.sparkSession, _shared(x.sparkSession)
+    subs.write.parquet(f"{base}/subscriptions")
+    for part in (F.col("time") < "2024-01-16", F.col("time") >= "2024-01-16"):
+        x.filter(part).write.mode("append").parquet(f"{base}/in")
+        streams.alerts_to_tables(spark.readStream.schema(x.schema).parquet(f"{base}/in"), lambda s: s.read.schema(subs.schema).parquet(f"{base}/subscriptions"), base, f"{base}/checkpoint")
+    return spark, base
+
+
 @query("", f"with l as (select symbol, time, {LEVEL} as severity from risk_scores) select symbol, epoch_ms(time) time_ms, severity from l where severity in ('critical', 'high')")
 def stream_alerts(t):
-    x = t("risk_scores").withColumn("ts", F.col("time"))
-    y = _streamed(x, serving.alerts, "symbol string, time timestamp, alert_type string, severity string, message string, data string")
-    return y.select("symbol", F.unix_millis("time").alias("time_ms"), "severity")
+    spark, base = _alerted(t)
+    return spark.read.schema("symbol string, time timestamp, severity string").parquet(f"{base}/alerts").select("symbol", F.unix_millis("time").alias("time_ms"), "severity")
+
+
+@query("", f"""with l as (select symbol, time, risk_score, {LEVEL} as level, case when risk_score >= 80 then 4 else 3 end ord from risk_scores where risk_score >= 60)
+select subscription_id, l.symbol, epoch_ms(time) time_ms, level, risk_score from subscriptions s join l on enabled and list_contains(string_split(events_csv, ','), 'alert') and (symbols_csv = '' or list_contains(string_split(symbols_csv, ','), l.symbol)) and ord >= min_level_ord""")
+def stream_alert_deliveries(t):
+    spark, base = _alerted(t)
+    x = spark.read.schema("subscription_id long, symbol string, level string, risk_score int, time timestamp").parquet(f"{base}/deliveries")
+    return x.select("subscription_id", "symbol", F.unix_millis("time").alias("time_ms"), "level", "risk_score")
 
 
 __all__ = ["ORACLES", "QUERIES", "frame", "stress", "windows"]

@@ -1,19 +1,16 @@
-"""Structured Streaming forms: minute roll-up, liquidation feed, validated marks, snapshots and alerts."""
+"""Structured Streaming forms: minute roll-up, liquidation feed, open interest, snapshots and alerts (stateful.py: validated marks, scores, late rows)."""
 
 from __future__ import annotations
 
-import bisect
-import math
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.merge import sane_funding, sane_oi
 from tidemark.operators.quality import quote_rule
-from tidemark.operators.stress import stress_score
+from tidemark.operators.serving import alerts, subscription_match, with_level
 from tidemark.operators.windows import floor_index
 
 
@@ -49,38 +46,6 @@ def not_ahead(rows: DataFrame, ts: str = "ts", minutes: int = 5) -> DataFrame:
     return rows.filter(F.unix_millis(ts) <= F.unix_millis(F.current_timestamp()) + minutes * 60_000)
 
 
-def validated_marks(minutes: DataFrame, max_jump: float = 0.20, watermark: str = "2 minutes") -> DataFrame:
-    """Prices within ``max_jump`` of the last accepted price of their symbol, folded in the order of event time.
-
-    State is that price and the rows the watermark has not passed yet: they wait, sorted, until nothing older can come.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, times, prices = state.get if state.exists else (None, [], [])
-        held = list(zip(times, prices, strict=True))
-        for pdf in batches:
-            held.extend(zip(pdf["us"].tolist(), pdf["mark_price"].tolist(), strict=True))
-        held.sort(key=lambda x: (x[0], math.inf if x[1] is None or x[1] != x[1] else x[1]))
-        mark = state.getCurrentWatermarkMs()
-        ready = bisect.bisect_left(held, mark * 1000, key=lambda x: x[0])
-        kept = []
-        for t, p in held[:ready]:
-            if p is not None and 0 < p < math.inf and (last is None or abs(p - last) / last <= max_jump):
-                last = p
-                kept.append((key[0], t, p))
-        waiting = held[ready:]
-        if waiting or last is not None:
-            state.update((last, [t for t, _ in waiting], [p for _, p in waiting]))
-            if waiting:
-                state.setTimeoutTimestamp(max(mark, waiting[0][0] // 1000) + 1)
-        yield pd.DataFrame(kept, columns=["symbol", "us", "mark_price"])
-
-    rows = not_ahead(minutes).withWatermark("ts", watermark).select("symbol", "ts", F.unix_micros("ts").alias("us"), "mark_price")
-    state = "last double, times array<bigint>, prices array<double>"
-    out = rows.groupBy("symbol").applyInPandasWithState(step, "symbol string, us long, mark_price double", state, "append", GroupStateTimeout.EventTimeTimeout)
-    return out.select("symbol", F.timestamp_micros("us").alias("ts"), "mark_price")
-
-
 def snapshots(quotes: DataFrame, every: str = "30 seconds", watermark: str = "1 minute", max_stale_ms: int = 15_000) -> DataFrame:
     """Snapshot of each symbol per tumbling window: sound quotes, the latest of each venue, outliers out, totals, averages and signals.
 
@@ -104,26 +69,37 @@ def snapshots(quotes: DataFrame, every: str = "30 seconds", watermark: str = "1
     return out.withColumn("spread_pct", F.when(spread > 50, 0.0).otherwise(spread)).withColumn("funding_signal", severity).drop("_r")
 
 
-def stress_to_table(deviations: DataFrame, base: str, checkpoint: str, history: int = 43_200, **how) -> None:
-    """Score a stream of (symbol, ts, deviation) by micro-batch into ``base``/scores, a folder a batch.
+def open_interest_usd(reports: DataFrame, prices: DataFrame, watermark: str = "5 minutes") -> DataFrame:
+    """(symbol, minute, ts, contracts, mark_price, open_interest_usd): the first report of each symbol and minute by the price of its minute.
 
-    What came before lies in ``base``/history, a folder a batch; of it each symbol's last 2 x history rows are read again, as a
-    score needs ``history`` z-scores that look back ``history`` rows themselves. A batch that is run again replaces its folders.
+    Both sides are streams, so a price that comes after the report joins it when it comes, and either side waits in state until the watermark
+    (``watermark`` behind the slower of the two) has passed its minute. ``reports`` has symbol, ts, contracts; ``prices`` symbol, ts, mark_price.
     """
+    minute = F.date_trunc("minute", "ts").alias("minute")
+    left = not_ahead(reports).select("symbol", minute, "ts", "contracts").withWatermark("minute", watermark).dropDuplicatesWithinWatermark(["symbol", "minute"])
+    right = not_ahead(prices).filter("mark_price > 0").select("symbol", minute, "mark_price").withWatermark("minute", watermark).dropDuplicatesWithinWatermark(["symbol", "minute"])
+    usd = left.join(right, ["symbol", "minute"])
+    return usd.select("symbol", "minute", "ts", "contracts", "mark_price", (F.col("contracts") * F.col("mark_price")).alias("open_interest_usd")).filter("open_interest_usd >= 0")
 
-    def score(batch: DataFrame, number: int) -> None:
+
+def alerts_to_tables(scores: DataFrame, subscriptions: Callable[[SparkSession], DataFrame], base: str, checkpoint: str) -> StreamingQuery:
+    """Work off a stream of scores (symbol, time, risk_score) into ``base``/alerts and ``base``/deliveries, a folder a batch.
+
+    ``subscriptions`` is read afresh for every batch, so a change counts from the next batch on. A batch that is run again, as after a failure,
+    replaces its folders, so each alert and each delivery is there once.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.select("symbol", "ts", "deviation").write.mode("overwrite").parquet(f"{base}/history/batch={number}")
-        kept = spark.read.schema("symbol string, ts timestamp, deviation double, batch long").parquet(f"{base}/history").filter(F.col("batch") <= number)
-        newest = Window.partitionBy("symbol").orderBy(F.desc("ts"))
-        fresh = F.count_if(F.col("batch") == number).over(Window.partitionBy("symbol"))
-        recent = kept.withColumn("_n", F.row_number().over(newest)).withColumn("_fresh", fresh).filter((F.col("_fresh") > 0) & (F.col("_n") <= F.col("_fresh") + 2 * history))
-        scored = stress_score(recent.select("symbol", "ts", "deviation"), history=history, **how)
-        own = kept.filter(F.col("batch") == number).select("symbol", "ts")
-        scored.join(own, ["symbol", "ts"], "left_semi").write.mode("overwrite").parquet(f"{base}/scores/batch={number}")
-
-    q = deviations.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch.persist()
+        alerts(batch).write.mode("overwrite").parquet(f"{base}/alerts/batch={number}")
+        upper = with_level(batch).filter(F.col("level").isin("critical", "high"))
+        subscription_match(upper, subscriptions(spark), "alert", keep=("time",)).write.mode("overwrite").parquet(f"{base}/deliveries/batch={number}")
+        batch.unpersist()
+
+    q = scores.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+    return q
 
 
 def sliding_liquidations(liqs: DataFrame, size: str = "5 minutes", step: str = "1 minute", watermark: str = "10 minutes") -> DataFrame:
@@ -142,7 +118,8 @@ def quality_counters(ticks: DataFrame, watermark: str = "2 minutes") -> DataFram
     return w.agg(F.count(F.lit(1)).alias("ticks"), F.count_if(bad).alias("rejected")).select(F.col("window.start").alias("ts"), "ticks", "rejected")
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Work off what is there and stop; the files are exactly-once by the checkpoint."""
     q = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+    return q
