@@ -147,3 +147,49 @@ def test_alerts_once_and_subscriptions_afresh(spark, folder):
             os.remove(f"{folder}/checkpoint/commits/{f}")
     run()
     assert state() == want
+
+
+def test_landed_pages(spark, folder):
+    """A stream over a folder in which files keep arriving gives what a table of it gives, and reads nothing twice."""
+    import json
+
+    from tidemark.sources import landed
+
+    def page(venue, endpoint, symbol, payload, minute):
+        return json.dumps({"venue": venue, "endpoint": endpoint, "symbol": symbol, "payload": payload if isinstance(payload, str) else json.dumps(payload), "ts": f"2024-01-01T00:{minute:02d}:00Z"})
+
+    def binance(symbol, minute, mark="100", index="101"):
+        return page("binance", "premiumIndex", symbol, {"markPrice": mark, "indexPrice": index, "lastFundingRate": "0.0001", "nextFundingTime": 1}, minute)
+
+    oi = lambda symbol, minute: page("binance", "openInterest", symbol, {"openInterest": "5"}, minute)
+    kraken = page("kraken", "tickers", None, {"tickers": [{"symbol": "PF", "openInterest": "2", "markPrice": "50", "indexPrice": "50", "fundingRate": "0.001", "fundingRatePrediction": "0"}]}, 3)
+    files = [
+        [binance("A", 0), "{not json", page("nowhere", "x", "A", {}, 0), kraken],
+        [oi("A", 0), binance("B", 1), page("okx", "mark-price", None, {}, 1), page("okx", "mark-price", "C", "no payload", 1)],  # the other endpoint of the fetch at 0
+        [oi("B", 1), binance("D", 2, mark="bad"), oi("D", 2), json.dumps({"venue": "okx", "endpoint": "mark-price", "symbol": "C", "payload": "{}"})],
+        [binance("E", 59), oi("E", 59)],
+    ]
+    listings = spark.createDataFrame([("kraken", "PF", "K")], "venue string, listed string, symbol string")
+    os.makedirs(f"{folder}/in")
+    for i, lines in enumerate(files):
+        with open(f"{folder}/in/part{i}.json", "w") as f:
+            f.write("\n".join(lines))
+        landed.land(spark, f"{folder}/in", listings, folder)
+    landed.land(spark, f"{folder}/in", listings, folder)  # nothing new
+    names = ["exchange", "symbol", "ts", "mark_price", "index_price", "open_interest", "open_interest_usd", "funding_rate"]
+    table = landed.read_pages(spark, f"{folder}/in")
+    quotes = sorted(map(str, landed.landed_quotes(table, listings).select(names).collect()))
+    assert len(quotes) == 4
+    stream = sorted(map(str, spark.read.parquet(f"{folder}/quotes").select(names).collect()))
+    assert stream == [q for q in quotes if "symbol='E'" not in q]  # the watermark has not passed the last fetch
+    faults = lambda df: sorted((r.file, r.fault, r.line) for r in df.collect())
+    rejected = faults(spark.read.parquet(f"{folder}/rejected"))
+    assert rejected == faults(landed.rejected_pages(table))
+    assert [(f, x) for f, x, _ in rejected] == [("part0.json", "NOT_JSON"), ("part0.json", "UNKNOWN_VENUE"), ("part1.json", "NO_SYMBOL"), ("part1.json", "PAYLOAD_NOT_JSON"), ("part2.json", "NO_TIME")]
+
+
+def test_upsert_needs_its_partition_as_a_key(spark, folder):
+    from tidemark.sources import tables
+
+    with pytest.raises(ValueError, match="day"):
+        tables.upsert_partitions(spark.range(1).withColumn("day", F.lit(1)), folder, ["id"], "id", "day")

@@ -11,7 +11,7 @@ from tidemark.functions import scalars as sc
 from tidemark.operators import merge, quality, serving, stress, windows
 from tidemark.plans.fixtures import frame
 from tidemark.plans.market import _HEURISTICS, ORACLES, QUERIES, as_of, query
-from tidemark.sources import tables, venues
+from tidemark.sources import landed, tables, venues
 from tidemark.streaming import stateful, streams
 
 MS = "epoch_ms(batch_ts) batch_ms"
@@ -535,6 +535,21 @@ def normalize_venue_pages(t):
     return out.select(F.substring_index("symbol", "#", -1).cast("long").alias("event_id"), F.substring_index("symbol", "#", 1).alias("symbol"), "mark_price", "index_price", "funding_rate", "open_interest", "open_interest_usd")
 
 
+@query("mark_price index_price funding_rate open_interest open_interest_usd", f"""with {_RAW}, e as (select event_id, v, case when v < 7 then epoch_ms(ts) else epoch_ms(date_trunc('day', ts)) end ms from raw), w as (select max(ms) - 60000 mark from e)
+select event_id, symbol, mark_price, index_price, funding_rate, open_interest, open_interest_usd from q join e using (event_id) cross join w where event_id % 50 <> 0 and ms <= mark""", digits=7)
+def landed_quotes(t):
+    """Pages landed as files, in two runs of a stream with lines that are no pages among them; quotes that the watermark has passed."""
+    pages, listings = venue_pages(t("ticks"))
+    spark, base = pages.sparkSession, _shared(pages.sparkSession)
+    pages.write.json(f"{base}/in")
+    pages.limit(3).select(F.lit("{broken").alias("value")).write.mode("append").text(f"{base}/in")
+    for _ in range(2):
+        landed.land(spark, f"{base}/in", listings, base, watermark="1 minute")
+    schema = "symbol string, mark_price double, index_price double, funding_rate double, open_interest double, open_interest_usd double"
+    out = spark.read.schema(schema).parquet(f"{base}/quotes")
+    return out.select(F.substring_index("symbol", "#", -1).cast("long").alias("event_id"), F.substring_index("symbol", "#", 1).alias("symbol"), "mark_price", "index_price", "funding_rate", "open_interest", "open_interest_usd")
+
+
 def _venue_query(number: int, venue: str) -> None:
     @query("mark_price index_price funding_rate open_interest open_interest_usd", f"with {_RAW} select event_id, mark_price, index_price, funding_rate, open_interest, open_interest_usd from q where v = {number} and event_id % 50 <> 0", digits=7)
     def rule(t):

@@ -81,7 +81,12 @@ def migrate_alerts(legacy: DataFrame) -> DataFrame:
 
 
 def upsert_partitions(batch: DataFrame, path: str, keys: list[str], order: str, partition: str) -> None:
-    """Upsert into a Parquet table partitioned by ``partition``: only the partitions that the batch touches are written anew."""
+    """Upsert into a Parquet table partitioned by ``partition``: only the partitions that the batch touches are written anew.
+
+    ``partition`` must be one of the keys: a key that moved to another partition would leave its old row where nothing looks for it.
+    """
+    if partition not in keys:
+        raise ValueError(f"{partition} must be one of the keys")
     spark = batch.sparkSession
     try:
         target = spark.read.parquet(path)
