@@ -118,34 +118,37 @@ def order_statistics(df: DataFrame, value: str, keys: list[str], ranks: Callable
     place = lambda r, by: (r / F.greatest(F.col("n") - 1, F.lit(1)) * GRID + by).cast("int")
     low = lambda r: F.get("_grid", F.greatest(F.lit(0), F.floor(place(r, -2.0)).cast("int")))
     high = lambda r: F.get("_grid", F.least(F.lit(GRID), F.ceil(place(r + 1, 3.0)).cast("int")))
-    brackets = [F.struct(F.when(place(r, -2.0) > 0, low(r)).alias("lo"), F.when(place(r + 1, 3.0) < GRID, high(r)).alias("hi"), r.alias("r")) for r in wanted]
-    stats = stats.select(*[c for c in stats.columns if c != "_grid"], F.array(*brackets).alias("_w"))
+    brackets = [
+        c for i, r in enumerate(wanted) for c in (F.when(place(r, -2.0) > 0, low(r)).alias(f"_lo{i}"), F.when(place(r + 1, 3.0) < GRID, high(r)).alias(f"_hi{i}"), r.alias(f"_r{i}"))
+    ]
+    kept = [c for c in stats.columns if c not in (*by, "_grid")]
+    stats = stats.select(*by, *kept, *brackets)
+    bounds = [f"_{c}{i}" for i in range(k) for c in ("lo", "hi", "r")]
     v = F.col(value)
-    inside = lambda i: F.coalesce(v >= F.col("_w")[i]["lo"], F.lit(True)) & F.coalesce(v <= F.col("_w")[i]["hi"], F.lit(True))
+    inside = lambda i, x: (F.col(f"_lo{i}").isNull() | (x >= F.col(f"_lo{i}"))) & (F.col(f"_hi{i}").isNull() | (x <= F.col(f"_hi{i}")))
+    marked = rows.select(*by, v.alias("_value")).join(stats, by)  # with all that is known of a key, so that it is computed once
+    v = F.col("_value")
     any_inside = F.lit(False)
     for i in range(k):
-        any_inside = any_inside | inside(i)
-    marked = rows.filter(v.isNotNull()).select(*by, value).join(stats.select(*by, "_w"), by)
-    below = [F.count_if(v < F.col("_w")[i]["lo"]).alias(f"_b{i}") for i in range(k)]
-    small = marked.groupBy(*by, F.when(any_inside, v).alias("_v")).agg(F.first("_w").alias("_w"), F.count(F.lit(1)).alias("_c"), *below)
+        any_inside = any_inside | inside(i, v)
+    below = [F.count_if(v < F.col(f"_lo{i}")).alias(f"_b{i}") for i in range(k)]
+    small = marked.groupBy(*by, *kept, *bounds, F.when(any_inside, v).alias("_v")).agg(F.count(F.lit(1)).alias("_c"), *below)
     points = F.array(*[
-        F.struct(F.lit(i).alias("_i"), F.when(F.coalesce(F.col("_v") >= F.col("_w")[i]["lo"], F.lit(True)) & F.coalesce(F.col("_v") <= F.col("_w")[i]["hi"], F.lit(True)), F.col("_v")).alias("_x"), F.col(f"_b{i}").alias("_b"), F.col("_w")[i]["r"].alias("_r"))
+        F.struct(F.lit(i).alias("_i"), F.when(inside(i, F.col("_v")), F.col("_v")).alias("_x"), F.when(inside(i, F.col("_v")), F.col("_c")).otherwise(0).alias("_c"), F.col(f"_b{i}").alias("_b"), F.col(f"_r{i}").alias("_r"))
         for i in range(k)
     ])
-    each = small.select(*by, "_c", F.explode(points).alias("_p")).select(*by, "_c", "_p.*")
-    each = each.groupBy(*by, "_i", "_r", "_x").agg(F.sum("_c").alias("_c"), F.sum("_b").alias("_b"))  # what lies outside a bracket is one row of it
+    each = small.select(*by, *kept, F.explode(points).alias("_p")).select(*by, *kept, "_p.*").filter("_x is not null or _b > 0 or n = 0")
     whole = Window.partitionBy(*by, "_i")
-    upto = F.sum(F.when(F.col("_x").isNotNull(), F.col("_c")).otherwise(0)).over(whole.orderBy(F.col("_x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    counted = each.withColumn("_upto", upto).withColumn("_below", F.sum("_b").over(whole)).withColumn("_to", F.col("_upto") + F.col("_below")).filter("_x is not null")
+    upto = F.sum("_c").over(whole.orderBy(F.col("_x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    counted = each.withColumn("_upto", upto).withColumn("_below", F.sum("_b").over(whole)).withColumn("_to", F.col("_upto") + F.col("_below")).filter("_x is not null or n = 0")
     at = lambda i, r, out: F.min(F.when((F.col("_i") == i) & (F.col("_to") > r), out))
-    found = counted.groupBy(*by).agg(*[
+    found = counted.groupBy(*by, *kept).agg(*[
         c for i in range(k) for c in (
             at(i, F.col("_r"), F.struct(F.col("_x").alias("v"), (F.col("_to") - F.col("_c")).alias("less"))).alias(f"_a{i}"),
             at(i, F.col("_r") + 1, F.col("_x")).alias(f"_n{i}"),
         )
     ])
-    found = found.select(*by, *[c for i in range(k) for c in (F.col(f"_a{i}.v").alias(f"at_{i}"), F.coalesce(f"_n{i}", f"_a{i}.v").alias(f"next_{i}"), F.col(f"_a{i}.less").alias(f"less_{i}"))])
-    out = stats.drop("_w").join(found, by, "left")
+    out = found.select(*by, *kept, *[c for i in range(k) for c in (F.col(f"_a{i}.v").alias(f"at_{i}"), F.coalesce(f"_n{i}", f"_a{i}.v").alias(f"next_{i}"), F.col(f"_a{i}.less").alias(f"less_{i}"))])
     return out if keys else out.drop("_all")
 
 
@@ -197,8 +200,8 @@ def ntile_bands(df: DataFrame, value: str, tiles: int, tie: str = "ts", key: str
     ends = ends.select(key, *[F.struct(F.col(f"at_{i}").alias("v"), (end(F.col("n"), i) - 1 - F.col(f"less_{i}")).alias("r")).alias(f"_e{i}") for i in range(tiles - 1)])
     tied = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_e{i}.v").alias("v"), F.col(f"_e{i}.r").alias("r")) for i in range(tiles - 1)])
     same = rows.join(ends, key).select(key, F.unix_micros(tie).alias("_t"), F.explode(F.filter(tied, lambda e: e["v"] == F.col(value))).alias("e")).select(key, "_t", "e.i", "e.r")
-    cuts = order_statistics(same, "_t", [key, "i"], lambda n: [F.col("_r")], (F.first("r").alias("_r"),))
-    cuts = cuts.groupBy(key).agg(*[F.max(F.when((F.col("i") == i) & (F.col("_r") >= 0), F.col("at_0"))).alias(f"_t{i}") for i in range(tiles - 1)])
+    cuts = order_statistics(same, "_t", [key, "i"], lambda n: [F.col("_want")], (F.first("r").alias("_want"),))
+    cuts = cuts.groupBy(key).agg(*[F.max(F.when((F.col("i") == i) & (F.col("_want") >= 0), F.col("at_0"))).alias(f"_t{i}") for i in range(tiles - 1)])
     j = rows.join(ends, key).join(cuts, key, "left")
     out = F.lit(tiles)
     for i in reversed(range(tiles - 1)):
