@@ -1,19 +1,19 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text. The ordinary one is what zstandard's trainer
-picks from windows of ordinary text. The toxic one has the same content followed by what the trainer
-picks from toxic text, where it is shown the stems of words which toxic text has at least RATIO times as
-often as ordinary text (the ordinary dictionary has as many bytes of filler there). Every text is cut into
-windows of WINDOW words, and each window is compressed with either dictionary. Shared content sits at
-equal distances in both, so the lengths differ only where toxic content matches: the bytes saved are
-the window's evidence. A document's evidence (the largest, the sum and the rate over its windows) is
-turned into a probability by a logistic curve that is calibrated on labelled documents which had no
-part in the dictionaries.
-
-Training takes at most ROWS labelled documents of either class, drawn by hash of their ids. A quarter
-of them, of any length, is measured in Spark for the calibration; of the others, those of at most
-TRAIN_BYTES reach the dictionary trainer, with all their windows. Scoring covers all windows of all
-documents.
+Two zstandard dictionaries are made from labelled text. Both hold the same ordinary text; after it, the toxic one has what zstandard's
+trainer picks from toxic text, and the ordinary one as many bytes of filler. The trainer is shown the stems of words which toxic text has at
+least RATIO times as often as ordinary text: without that contrast the trained dictionaries differ by common words, and far fewer toxic
+documents are found. Every text is cut into windows of WINDOW words, and each window is compressed with either dictionary.
+Shared content sits at equal distances in both, so the lengths differ only where toxic content matches. A window that has not LEAST_MATCH bytes
+in common with the toxic dictionary cannot gain from it and counts as no difference.
+
+What a difference of so many bytes means is calibrated on labelled documents whose texts had no part in the dictionaries: each difference has
+the logarithm of how much more often toxic documents show it, and a logistic curve turns the sum and the mean over a document's windows into
+a probability.
+
+Fitting takes at most ROWS labelled documents of either class, drawn by hash of their ids; a quarter of their texts, by hash of the text,
+calibrates, and of the others at most TRAINING windows of either class, drawn by hash of the window, reach the trainer. Scoring covers all
+windows of all documents.
 
 Defined cases: null and empty texts have no window and get the score of no evidence; without labels
 of both classes every score is 0; null labels are no labels; repeated rows score alike.
@@ -33,10 +33,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import WORD_TABLE, crc_of_id, text_of
 
-WINDOW = 8
+WINDOW = 4
 ROWS = 3000
-TRAIN_BYTES = 16 << 10
-ORDINARY_BYTES = 16 << 10
+#: Windows whose stems are one sample for the trainer, as a document of usual length has them.
+SAMPLE = 16
+#: Words of a window for the trainer, and how many windows of a class it may have.
+SPAN, TRAINING = 32, 40_000
+ORDINARY_BYTES = 512 << 10
 TOXIC_BYTES = 8 << 10
 #: How many times as often as ordinary text toxic text has the stems that its dictionary is trained on, in how many
 #: surroundings at least, and their number times the logarithm of how many times as often.
@@ -44,11 +47,13 @@ RATIO = 8.0
 LEAST_SEEN = 4
 EVIDENCE = 32.0
 #: Bytes of a segment and of its parts, for the trainer of the toxic dictionary.
-SEGMENT, PART = 24, 6
+SEGMENT, PART = 40, 8
 #: One document in so many of the drawn ones calibrates.
 CALIBRATE = 4
 LEVEL = 19
 THRESHOLD = 0.7
+#: Differences outside count as the ends.
+LEAST, MOST = -3, 8
 #: Matches shorter than this are not looked for, so a segment must have as many bytes.
 LEAST_MATCH = 6
 #: Starts every window and stands in both dictionaries: a window then never falls back to being stored raw.
@@ -59,6 +64,10 @@ CARRIER = bytes(range(1, 9)) * 2 + bytes(range(14, 31)) * 2
 class ToxicityModel:
     ordinary: bytes
     toxic: bytes
+    #: What the toxic dictionary has besides the ordinary text.
+    added: bytes
+    #: Of each difference from LEAST to MOST the logarithm of how much more often toxic documents show it.
+    ratios: tuple[float, ...]
     weights: tuple[float, ...]
 
 
@@ -75,29 +84,54 @@ class Compressors:
 
         def made(content: bytes):
             d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
-            p = z.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, format=z.FORMAT_ZSTD1_MAGICLESS, window_log=17, strategy=z.STRATEGY_LAZY2, min_match=LEAST_MATCH, target_length=16, search_log=4, hash_log=15, chain_log=15)
+            p = z.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, format=z.FORMAT_ZSTD1_MAGICLESS, window_log=20, strategy=z.STRATEGY_BTOPT, min_match=LEAST_MATCH, target_length=64, search_log=5, hash_log=18, chain_log=18)
             d.precompute_compress(compression_params=p)
             return z.ZstdCompressor(dict_data=d, compression_params=p).compress
 
         self.ordinary, self.toxic = made(model.ordinary), made(model.toxic)
+        added = model.added + CARRIER
+        self.shared = {added[i : i + LEAST_MATCH] for i in range(len(model.added))}
+
+    def saved(self, window: bytes) -> int:
+        """Bytes that the toxic dictionary saves against the ordinary one."""
+        own = window[len(CARRIER) :]
+        if self.shared.isdisjoint([own[i : i + LEAST_MATCH] for i in range(len(own) - LEAST_MATCH + 1)]):
+            return 0
+        return len(self.ordinary(window)) - len(self.toxic(window))
 
-    def features(self, text: bytes) -> tuple[float, float, float]:
-        """Largest saving, log of the summed savings, savings a window."""
-        best = total = 0
-        windows = windows_of(text)
-        for w in windows:
-            saved = len(self.ordinary(w)) - len(self.toxic(w))
-            if saved > 0:
-                total += saved
-                best = max(best, saved)
-        return float(best), math.log1p(total), total / max(1, len(windows))
+    def differences(self, text: bytes) -> list[int]:
+        """How many windows save LEAST to MOST bytes."""
+        out = [0] * (MOST - LEAST + 1)
+        for w in windows_of(text):
+            out[min(MOST, max(LEAST, self.saved(w))) - LEAST] += 1
+        return out
 
 
-def _score(weights: tuple[float, ...], x: tuple[float, ...]) -> float:
-    z = weights[0] + sum(w * v for w, v in zip(weights[1:], x, strict=True))
+def evidence(ratios: tuple[float, ...], counts: list[int]) -> tuple[float, float, float]:
+    """The summed ratios over the root of the number of windows, over that number, and by themselves."""
+    n, total = sum(counts), math.fsum(c * r for c, r in zip(counts, ratios, strict=True))
+    return (total / math.sqrt(n), 10 * total / n, max(-5.0, min(5.0, total / 3))) if n else (0.0, 0.0, 0.0)
+
+
+def _score(model: ToxicityModel, counts: list[int]) -> float:
+    z = model.weights[0] + sum(w * v for w, v in zip(model.weights[1:], evidence(model.ratios, counts), strict=True))
     return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def calibrated(rows: list[tuple[list[int], int]]) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """Ratios and weights from the differences and labels of documents. A document counts by the root of its windows, so no long one rules."""
+    shares = {0: [0.0] * (MOST - LEAST + 1), 1: [0.0] * (MOST - LEAST + 1)}
+    for counts, toxic in rows:
+        if n := sum(counts):
+            shares[toxic] = [x + c / math.sqrt(n) for x, c in zip(shares[toxic], counts, strict=True)]
+    total = {y: sum(v) or 1.0 for y, v in shares.items()}
+    pooled = [(a / total[0] + b / total[1]) / 2 for a, b in zip(shares[0], shares[1], strict=True)]
+    prior = max(1.0, 0.02 * min(total.values()))
+    part = lambda y: [(x + prior * q + 1e-6) / (total[y] + prior) for x, q in zip(shares[y], pooled, strict=True)]
+    ratios = tuple(math.log(b / a) for a, b in zip(part(0), part(1), strict=True))
+    return ratios, _logistic([(evidence(ratios, counts), toxic) for counts, toxic in rows])
+
+
 def _spread(texts: list[bytes]) -> tuple[Counter, int]:
     """In how many different surroundings (word before, word after) each stem stands, and all surroundings.
 
@@ -128,8 +162,8 @@ def _contrasts(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     odds = {s: (c / n) / ((b[s] + 0.5) / m) for s, c in a.items() if c >= LEAST_SEEN}
     marked = {s for s, o in odds.items() if o >= RATIO and a[s] * math.log(o) >= EVIDENCE}
     of = lru_cache(None)(lambda word: next((s for s in reversed(_stems(word)) if s in marked), b""))
-    samples = (b"".join(map(of, t.translate(WORD_TABLE).split())) for t in toxic)
-    return [s + b" " for s in samples if s]
+    found = [s for t in toxic if (s := b"".join(map(of, t.translate(WORD_TABLE).split())))]
+    return [b"".join(found[i : i + SAMPLE]) + b" " for i in range(0, len(found), SAMPLE)]
 
 
 def _trained(size: int, samples: list[bytes], **how) -> bytes:
@@ -170,52 +204,63 @@ def held_out(name: str = "doc_id") -> Column:
 
 
 def draw_labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """(doc_id, toxic, calibrates) of at most ``rows`` documents of either label that are not held out, drawn by a hash of the id.
+    """(doc_id, toxic) of at most ``rows`` documents of either label that are not held out, drawn by a hash of the id.
 
     Identifiers are drawn from all documents; no text moves.
     """
     there = docs.filter(~held_out() & (F.octet_length(text_of()) > 0)).select("doc_id")
     marked = there.join(labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1)), "doc_id").distinct()
     chosen = [tuple(r) for y in (0, 1) for r in marked.filter(F.col("toxic") == y).orderBy(F.xxhash64(F.lit("draw"), F.col("doc_id")), "doc_id").limit(rows).collect()]
-    drawn = docs.sparkSession.createDataFrame(chosen, marked.select("doc_id", "toxic").schema)
-    return drawn.withColumn("calibrates", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(CALIBRATE)) == 0)
+    return docs.sparkSession.createDataFrame(chosen, marked.select("doc_id", "toxic").schema)
 
 
-def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    """The ordinary and the toxic dictionary."""
-    content = _trained(ORDINARY_BYTES, [w for t in ordinary for w in windows_of(t)]) or b" "
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes, bytes]:
+    """The ordinary and the toxic dictionary, and what is in the toxic one alone, from windows of either class."""
+    content = b" ".join(b" ".join(w.translate(WORD_TABLE).split()) for w in ordinary)[-ORDINARY_BYTES:] or b" "
     more = _trained(TOXIC_BYTES, _contrasts(toxic, ordinary), k=SEGMENT, d=PART)
-    return content + _filler(len(more)) + CARRIER, content + more + CARRIER
+    return content + _filler(len(more)) + CARRIER, content + more + CARRIER, more
+
+
+def spans_udf():
+    """Column function: binary text -> its windows of SPAN words."""
+
+    @F.arrow_udf("array<binary>")
+    def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            words = (t.as_py().translate(WORD_TABLE).split() for t in texts)
+            yield pa.array([[b" ".join(w[i : i + SPAN]) for i in range(0, len(w), SPAN)] for w in words], pa.list_(pa.binary()))
+
+    return spans
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> ToxicityModel:
     """Fit on a bounded sample of the labelled documents that may be learned from."""
     drawn = F.broadcast(draw_labelled(docs, labels, rows))
-    texts = docs.select("doc_id", text_of().cast("binary").alias("text"))
-    short = texts.filter(F.octet_length("text") <= TRAIN_BYTES).join(drawn.filter("not calibrates"), "doc_id").select("toxic", "text").distinct()
-    sample: dict[int, list[bytes]] = {0: [], 1: []}
-    for toxic, text in sorted((r[0], bytes(r[1])) for r in short.toLocalIterator()):
-        sample[toxic].append(text)
-    ordinary, toxic = dictionaries(sample[1], sample[0])
-    measured = texts.join(drawn, "doc_id").select("toxic", "calibrates", F.xxhash64("text").alias("h"), features_udf(ordinary, toxic)("text").alias("x")).dropDuplicates(["toxic", "h"])
-    found = sorted((r[1], r[2], r[0], tuple(r[3])) for r in measured.select("toxic", "calibrates", "h", "x").collect())
+    texts = docs.select("doc_id", text_of().cast("binary").alias("text")).join(drawn, "doc_id").select("toxic", "text")
+    calibrates = F.pmod(F.xxhash64(F.lit("part"), "text"), F.lit(CALIBRATE)) == 0
+    spans = texts.filter(~calibrates).select("toxic", F.explode(spans_udf()("text")).alias("w")).distinct()
+    sample = {y: [bytes(r[0]) for r in spans.filter(F.col("toxic") == y).select("w").orderBy(F.xxhash64("w"), "w").limit(TRAINING).collect()] for y in (0, 1)}
+    ordinary, toxic, added = dictionaries(sample[1], sample[0])
+    fresh = ToxicityModel(ordinary, toxic, added, (), ())
+    measured = texts.select("toxic", calibrates.alias("calibrates"), F.xxhash64("text").alias("h"), differences_udf(fresh)("text").alias("x")).dropDuplicates(["toxic", "h"])
+    found = sorted((r[1], r[2], r[0], list(r[3])) for r in measured.select("toxic", "calibrates", "h", "x").collect())
     for chosen in ([f for f in found if f[0]], found):
         points = [(x, y) for _, _, y, x in chosen]
         if {y for _, y in points} == {0, 1}:
-            return ToxicityModel(ordinary, toxic, _logistic(points))
-    return ToxicityModel(b" ", b" ", (-30.0, 0.0, 0.0, 0.0))
+            return ToxicityModel(ordinary, toxic, added, *calibrated(points))
+    return ToxicityModel(b" ", b" ", b"", (0.0,) * (MOST - LEAST + 1), (-30.0, 0.0, 0.0, 0.0))
 
 
-def features_udf(ordinary: bytes, toxic: bytes):
-    """Column function: binary text -> its three features."""
+def differences_udf(model: ToxicityModel):
+    """Column function: binary text -> how many windows save LEAST to MOST bytes."""
 
-    @F.arrow_udf("array<double>")
-    def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        measure = Compressors(ToxicityModel(ordinary, toxic, ())).features
+    @F.arrow_udf("array<long>")
+    def differences(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        measure = Compressors(model).differences
         for texts in batches:
-            yield pa.array([measure(t.as_py()) for t in texts], pa.list_(pa.float64()))
+            yield pa.array([measure(t.as_py()) for t in texts], pa.list_(pa.int64()))
 
-    return features
+    return differences
 
 
 def score_udf(model: ToxicityModel):
@@ -223,9 +268,9 @@ def score_udf(model: ToxicityModel):
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        measure = Compressors(model).features
+        measure = Compressors(model).differences
         for texts in batches:
-            yield pa.array([_score(model.weights, measure(t.as_py())) for t in texts], pa.float64())
+            yield pa.array([_score(model, measure(t.as_py())) for t in texts], pa.float64())
 
     return score
 
