@@ -147,11 +147,13 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     """``docs`` with mix_source_share, mix_block, mix_slot and mix_position; sort by mix_position to read the mixture.
 
     ``weights`` are targets by source; by default they go with the square root of a source's documents. The number of cells
-    goes with the documents, so that a cell of one source never outgrows a task.
+    goes with the documents, so that a cell of one source never outgrows a task. Columns of ``docs`` that are called as the new ones are replaced,
+    all others stay.
     """
     spark = docs.sparkSession
-    names = [c for c in docs.columns if not c.startswith("mix_")]
-    base = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64("doc_id", text_of()).alias("mix_hash"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("mix_key"))
+    names = [c for c in docs.columns if c.lower() not in ("mix_source_share", "mix_block", "mix_slot", "mix_position")]
+    own = {c: f"u{i}" for i, c in enumerate(names)}  # so that no column of docs is called as one of those below
+    base = docs.select(*[F.col(f"`{c}`").alias(u) for c, u in own.items()], F.xxhash64("doc_id", text_of()).alias("mix_hash"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("mix_key"))
     cells = cells or max(CELLS, docs.count() // CELL)
     base = base.withColumn("mix_cell", F.pmod("mix_hash", F.lit(cells)).cast("int"))
     sizes = base.groupBy("mix_key", "mix_cell").agg(F.count(F.lit(1)).alias("mix_n"))
@@ -165,13 +167,13 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     first, last = F.floor(F.col("mix_before") / F.lit(block)), F.floor((F.col("mix_before") + F.col("mix_n") - 1) / F.lit(block))
     cut = offsets.select("mix_key", "mix_cell", "mix_before", F.explode(F.sequence(first, last)).alias("mix_k")).join(slots, ["mix_key", "mix_k"])
     cut = cut.groupBy("mix_key", "mix_cell", "mix_before").agg(F.array_sort(F.collect_list(F.struct("mix_k", "mix_at"))).alias("mix_slots")).join(shared, "mix_key")
-    ranked = base.withColumn("mix_rank", F.row_number().over(Window.partitionBy("mix_key", "mix_cell").orderBy("mix_hash", "doc_id")) - 1)
+    ranked = base.withColumn("mix_rank", F.row_number().over(Window.partitionBy("mix_key", "mix_cell").orderBy("mix_hash", own["doc_id"])) - 1)
     joined = ranked.join(cut, ["mix_key", "mix_cell"])
     number = F.col("mix_before") + F.col("mix_rank")
     k = F.floor(number / F.lit(block))
     slot = F.col("mix_slots")[(k - F.floor(F.col("mix_before") / F.lit(block))).cast("int")]["mix_at"]
     return joined.select(
-        *[F.col(f"`{c}`") for c in names],
+        *[F.col(u).alias(c) for c, u in own.items()],
         F.col("mix_share").alias("mix_source_share"),
         k.cast("long").alias("mix_block"),
         slot.cast("long").alias("mix_slot"),
