@@ -46,8 +46,10 @@ def anomaly_events(validated: DataFrame) -> DataFrame:
     return validated.filter("rule is not null").withColumn("detail", detail)
 
 
-def drop_empty_venues(quotes: DataFrame, clean: DataFrame) -> DataFrame:
-    return quotes.join(clean.select("exchange").distinct(), "exchange", "left_semi")
+def drop_empty_venues(quotes: DataFrame, clean: DataFrame, *keys: str) -> DataFrame:
+    """Quotes of the venues that have any clean quote, or any in the same ``keys`` (such as the batch)."""
+    on = [*keys, "exchange"]
+    return quotes.join(clean.select(*on).distinct(), on, "left_semi")
 
 
 def liquidation_rule(as_of: Column) -> Column:

@@ -683,6 +683,31 @@ def stress_predictions(t):
     return p.select("symbol", F.unix_millis("ts").alias("ts_ms"), "z", "score", "funding_rate", "open_interest_usd", "index_price", "prediction.direction", "prediction.probability", "prediction.estimated_impact", "prediction.time_window", "prediction.trigger_price")
 
 
+_STRESS = """h as (select symbol, date_trunc('hour', ts) ts, (max(mark_price) - 100.0) / 2.5 x from ticks group by 1, 2),
+b as (select *, case when row_number() over (partition by symbol order by ts) > 1 then coalesce((x - avg(x) over w) / nullif(stddev_pop(x) over w, 0), 0) end zb, list(x) over w l from h window w as (partition by symbol order by ts rows between 119 preceding and current row)),
+v as (select *, coalesce(stddev_pop(zb) over (partition by symbol order by ts rows between 47 preceding and current row), 0) vol from b)"""
+
+
+def _rolling_stress(t):
+    x = t("ticks").groupBy("symbol", F.date_trunc("hour", "ts").alias("ts")).agg(((F.max("mark_price") - 100.0) / 2.5).alias("deviation"))
+    return stress.stress_score(x, history=120, warm=60, lookback=48, chunk=500)
+
+
+@query("z", f"with {_STRESS} select symbol, epoch_ms(ts) ts_ms, coalesce(zb, 0) z from v")
+def stress_zscore(t):
+    return _rolling_stress(t).select("symbol", F.unix_millis("ts").alias("ts_ms"), "z")
+
+
+@query("vol_of_stress", f"with {_STRESS} select symbol, epoch_ms(ts) ts_ms, vol as vol_of_stress from v")
+def vol_of_stress(t):
+    return _rolling_stress(t).select("symbol", F.unix_millis("ts").alias("ts_ms"), "vol_of_stress")
+
+
+@query("pct_rank", f"with {_STRESS} select symbol, epoch_ms(ts) ts_ms, len(list_filter(l, lambda y: y <= x)) / len(l) * 100 pct_rank from v")
+def percentile_rank(t):
+    return _rolling_stress(t).select("symbol", F.unix_millis("ts").alias("ts_ms"), "pct_rank")
+
+
 @query("", "with x as (select symbol, ts, row_number() over (partition by symbol order by ts) n from ticks) select symbol, count(*) n, max(n) last from x group by 1")
 def stress_series(t):
     x = t("ticks").withColumn("n", F.row_number().over(windows.ordered()))

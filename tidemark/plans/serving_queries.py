@@ -126,11 +126,10 @@ def anomaly_events(t):
     return quality.anomaly_events(validated(t)).groupBy("rule", "symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("", f"with {RULE}, c as (select distinct exchange from r where rule is null and symbol = 'click' and batch_ts < timestamp '2024-01-03') select exchange, count(*) n from quotes where exchange in (select exchange from c) group by 1")
+@query("", f"with {RULE}, c as (select distinct batch_ts, symbol, exchange from r where rule is null) select exchange, symbol, count(*) n from r semi join c using (batch_ts, symbol, exchange) group by 1, 2")
 def drop_empty_venues(t):
     v = validated(t)
-    clean = v.filter("rule is null and symbol = 'click'").filter(F.col("batch_ts") < as_of("2024-01-03"))
-    return quality.drop_empty_venues(v, clean).groupBy("exchange").agg(F.count(F.lit(1)).alias("n"))
+    return quality.drop_empty_venues(v, v.filter("rule is null"), "batch_ts", "symbol").groupBy("exchange", "symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("", "select event_id from ticks where not (mark_price > 0 and index_price > 0 and abs(mark_price - index_price) / index_price > 0.0015)")
