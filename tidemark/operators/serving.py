@@ -42,17 +42,23 @@ def filter_by_plan(df: DataFrame, plans: DataFrame, plan: str) -> DataFrame:
     return df.join(plans.filter(F.col("plan") == plan).select("symbol"), "symbol", "left_semi")
 
 
-def subscription_match(risks: DataFrame, subscriptions: DataFrame, event: str = "risk", keep: tuple[str, ...] = ()) -> DataFrame:
+def subscription_match(risks: DataFrame, subscriptions: DataFrame, event: str = "risk", keep: tuple[str, ...] = (), parts: int = 1) -> DataFrame:
     """(subscription_id, symbol, level, risk_score, and columns of ``risks`` to ``keep``) of enabled subscriptions to ``event``: no symbols means all, the level must reach the minimum.
 
-    Equi joins alone: listed symbols are exploded and joined by symbol, subscriptions to all symbols join risks by minimum level.
+    Equi joins alone: listed symbols are exploded and joined by symbol, subscriptions to all symbols join risks by minimum level. Symbols and levels
+    are few, so with ``parts`` above 1 the risks are dealt to so many tasks, and the subscriptions go to each.
     """
     on = subscriptions.filter(F.col("enabled") & F.array_contains(F.split("events_csv", ","), event))
     rated = risks.withColumn("ord", level_ordinal(F.col("level"))).select("symbol", "level", "risk_score", "ord", *keep)
-    listed = on.filter("symbols_csv <> ''").select("subscription_id", "min_level_ord", F.explode(F.split("symbols_csv", ",")).alias("symbol"))
-    by_symbol = listed.join(rated, "symbol").filter(F.col("ord") >= F.col("min_level_ord"))
+    share = []
+    if parts > 1:
+        share = ["_part"]
+        rated = rated.withColumn("_part", F.pmod(F.xxhash64("symbol", "risk_score", *keep), F.lit(parts)).cast("int")).repartition(parts, "_part")
+        on = on.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    listed = on.filter("symbols_csv <> ''").select("subscription_id", "min_level_ord", F.explode(F.split("symbols_csv", ",")).alias("symbol"), *share)
+    by_symbol = listed.join(rated, ["symbol", *share]).filter(F.col("ord") >= F.col("min_level_ord"))
     reached = rated.withColumn("min_level_ord", F.explode(F.sequence(F.lit(0), F.col("ord"))))
-    every = on.filter("symbols_csv = ''").select("subscription_id", F.col("min_level_ord").cast("int").alias("min_level_ord")).join(reached, "min_level_ord")
+    every = on.filter("symbols_csv = ''").select("subscription_id", F.col("min_level_ord").cast("int").alias("min_level_ord"), *share).join(reached, ["min_level_ord", *share])
     names = ("subscription_id", "symbol", "level", "risk_score", *keep)
     return by_symbol.select(*names).unionByName(every.select(*names))
 

@@ -82,19 +82,24 @@ def open_interest_usd(reports: DataFrame, prices: DataFrame, watermark: str = "5
     return usd.select("symbol", "minute", "ts", "contracts", "mark_price", (F.col("contracts") * F.col("mark_price")).alias("open_interest_usd")).filter("open_interest_usd >= 0")
 
 
-def alerts_to_tables(scores: DataFrame, subscriptions: Callable[[SparkSession], DataFrame], base: str, checkpoint: str) -> StreamingQuery:
+#: Tasks over which a batch's deliveries are spread: as many rows as subscriptions times alerts, of few symbols and levels.
+DELIVERY_PARTS = 48
+
+
+def alerts_to_tables(scores: DataFrame, subscriptions: Callable[[SparkSession], DataFrame] | None, base: str, checkpoint: str) -> StreamingQuery:
     """Work off a stream of scores (symbol, time, risk_score) into ``base``/alerts and ``base``/deliveries, a folder a batch.
 
-    ``subscriptions`` is read afresh for every batch, so a change counts from the next batch on. A batch that is run again, as after a failure,
-    replaces its folders, so each alert and each delivery is there once.
+    ``subscriptions`` is read afresh for every batch, so a change counts from the next batch on; without it there are no deliveries. A batch that is
+    run again, as after a failure, replaces its folders, so each alert and each delivery is there once.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch.persist()
         alerts(batch).write.mode("overwrite").parquet(f"{base}/alerts/batch={number}")
-        upper = with_level(batch).filter(F.col("level").isin("critical", "high"))
-        subscription_match(upper, subscriptions(spark), "alert", keep=("time",)).write.mode("overwrite").parquet(f"{base}/deliveries/batch={number}")
+        if subscriptions:
+            upper = with_level(batch).filter(F.col("level").isin("critical", "high"))
+            subscription_match(upper, subscriptions(spark), "alert", keep=("time",), parts=DELIVERY_PARTS).write.mode("overwrite").parquet(f"{base}/deliveries/batch={number}")
         batch.unpersist()
 
     q = scores.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
