@@ -36,3 +36,17 @@ def test_alerts_alone(spark):
     streams.alerts_to_tables(stream, None, folder, f"{folder}/checkpoint")
     assert spark.read.parquet(f"{folder}/alerts").count() == 300
     assert not os.path.exists(f"{folder}/deliveries")
+
+
+def test_one_timer_and_entries_by_the_hour(spark):
+    """A symbol's state is an entry for each waiting hour, not for each row, and a batch of many rows is worked off."""
+    from tidemark.streaming import stateful
+
+    folder, schema = tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "symbol string, ts timestamp, mark_price double"
+    rows = [("a", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=7 * i), 100.0 + i % 5) for i in range(2000)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/in")
+    with stateful.state_store(spark):
+        q = streams.run_to_table(stateful.validated_marks(spark.readStream.schema(schema).parquet(f"{folder}/in")), f"{folder}/out", f"{folder}/checkpoint")
+    have = sorted((r.symbol, r.ts, r.mark_price) for r in spark.read.parquet(f"{folder}/out").collect())
+    assert have == [r for r in rows if r[1] < rows[-1][1] - dt.timedelta(minutes=2)]
+    assert max(p.stateOperators[0].numRowsUpdated for p in q.recentProgress if p.stateOperators) < 100

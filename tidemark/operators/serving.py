@@ -53,12 +53,14 @@ def subscription_match(risks: DataFrame, subscriptions: DataFrame, event: str =
     share = []
     if parts > 1:
         share = ["_part"]
-        rated = rated.withColumn("_part", F.pmod(F.xxhash64("symbol", "risk_score", *keep), F.lit(parts)).cast("int")).repartition(parts, "_part")
+        rated = rated.withColumn("_part", F.pmod(F.xxhash64("symbol", "risk_score", *keep), F.lit(parts)).cast("int"))
         on = on.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = lambda df, *by: df.repartition(parts, *by) if share else df
     listed = on.filter("symbols_csv <> ''").select("subscription_id", "min_level_ord", F.explode(F.split("symbols_csv", ",")).alias("symbol"), *share)
-    by_symbol = listed.join(rated, ["symbol", *share]).filter(F.col("ord") >= F.col("min_level_ord"))
+    by_symbol = dealt(listed, "symbol", *share).join(dealt(rated, "symbol", *share), ["symbol", *share]).filter(F.col("ord") >= F.col("min_level_ord"))
     reached = rated.withColumn("min_level_ord", F.explode(F.sequence(F.lit(0), F.col("ord"))))
-    every = on.filter("symbols_csv = ''").select("subscription_id", F.col("min_level_ord").cast("int").alias("min_level_ord"), *share).join(reached, ["min_level_ord", *share])
+    open_ended = on.filter("symbols_csv = ''").select("subscription_id", F.col("min_level_ord").cast("int").alias("min_level_ord"), *share)
+    every = dealt(open_ended, "min_level_ord", *share).join(dealt(reached, "min_level_ord", *share), ["min_level_ord", *share])
     names = ("subscription_id", "symbol", "level", "risk_score", *keep)
     return by_symbol.select(*names).unionByName(every.select(*names))
 
