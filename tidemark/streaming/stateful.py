@@ -93,7 +93,14 @@ def arrivals_to_tables(rows: DataFrame, base: str, checkpoint: str, key: str = "
 
 
 class MarkFold(StatefulProcessor):
-    """The fold of accepted prices: rows wait, by their time, until the watermark has passed them."""
+    """The fold of accepted prices: rows wait, by their time, until the watermark has passed them.
+
+    Waiting rows lie in entries of an hour each, and one timer a symbol, at its earliest waiting row, releases all that is due.
+    """
+
+    HOUR_US = 3_600_000_000
+    #: Rows that are taken in before they are written to their entries.
+    HELD = 200_000
 
     def __init__(self, max_jump: float) -> None:
         self.max_jump = max_jump
@@ -101,36 +108,82 @@ class MarkFold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "price double")
-        self.waiting = handle.getMapState("waiting", "us long", "prices array<double>")
+        self.alarm = handle.getValueState("alarm", "ms long")
+        self.waiting = handle.getMapState("waiting", "hour long", "us array<long>, prices array<double>")
+
+    def _keep(self, us: np.ndarray, prices: np.ndarray) -> None:
+        """Add rows to their hours' entries."""
+        hours = us // self.HOUR_US
+        order = np.argsort(hours, kind="stable")
+        found, starts = np.unique(hours[order], return_index=True)
+        for hour, own in zip(found.tolist(), np.split(order, starts[1:]), strict=True):
+            at, p = us[own].tolist(), prices[own].tolist()
+            if self.waiting.containsKey((hour,)):
+                before = self.waiting.getValue((hour,))
+                at, p = [*before[0], *at], [*before[1], *p]
+            self.waiting.updateValue((hour,), (at, p))
+
+    def _wake(self, us: int) -> None:
+        """One timer, just past the earliest waiting row."""
+        due = us // 1000 + 1
+        if self.alarm.exists():
+            if self.alarm.get()[0] <= due:
+                return
+            self.handle.deleteTimer(self.alarm.get()[0])
+        self.handle.registerTimer(due)
+        self.alarm.update((due,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fresh: dict[int, list[float]] = {}
+        held, n, first = [], 0, None
         for pdf in rows:
-            for us, p in zip(pdf["us"].tolist(), pdf["mark_price"].tolist(), strict=True):
-                fresh.setdefault(us, []).append(math.nan if p is None else p)
-        for us, prices in fresh.items():
-            if self.waiting.containsKey((us,)):
-                prices = [*self.waiting.getValue((us,))[0], *prices]
-            else:
-                self.handle.registerTimer(us // 1000 + 1)
-            self.waiting.updateValue((us,), (prices,))
+            us, prices = pdf["us"].to_numpy(np.int64), pdf["mark_price"].to_numpy(float, na_value=np.nan)
+            if not len(us):
+                continue
+            held.append((us, prices))
+            n += len(us)
+            first = int(us.min()) if first is None else min(first, int(us.min()))
+            if n >= self.HELD:
+                self._keep(*map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
+        if held:
+            self._keep(*map(np.concatenate, zip(*held, strict=True)))
+        if first is not None:
+            self._wake(first)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """All that is due, in order of time: later timers of the same batch then find nothing."""
-        mark = timerValues.getCurrentWatermarkInMs()
-        due = sorted(k[0] for k in self.waiting.keys() if k[0] < mark * 1000)
-        last = self.last.get()[0] if self.last.exists() else None
-        kept = []
-        for us in due:
-            for p in sorted(self.waiting.getValue((us,))[0], key=lambda p: math.inf if p != p else p):
+        """All that is due, in order of time, an hour at a time."""
+        limit = timerValues.getCurrentWatermarkInMs() * 1000
+        self.alarm.clear()
+        last, rest = self.last.get()[0] if self.last.exists() else None, None
+        hours = sorted(k[0] for k in self.waiting.keys())
+        for hour in hours:
+            if hour * self.HOUR_US >= limit:
+                rest = min(self.waiting.getValue((hour,))[0])
+                break
+            entry = self.waiting.getValue((hour,))
+            us, prices = np.array(entry[0], np.int64), np.array(entry[1], float)
+            due = us < limit
+            if due.all():
+                self.waiting.removeKey((hour,))
+            else:
+                self.waiting.updateValue((hour,), (us[~due].tolist(), prices[~due].tolist()))
+                rest = int(us[~due].min())
+            us, prices = us[due], prices[due]
+            kept = []
+            for i in np.lexsort((prices, us)).tolist():
+                p = float(prices[i])
                 if 0 < p < math.inf and accepts(last, p, self.max_jump):
                     last = p
-                    kept.append((us, p))
-            self.waiting.removeKey((us,))
-        if kept:
+                    kept.append(i)
+            if kept:
+                yield pd.DataFrame({"symbol": pd.Series([key[0]] * len(kept), dtype=object), "us": us[kept], "mark_price": prices[kept]})
+            if rest is not None:
+                break
+        if last is not None:
             self.last.update((last,))
-            yield pd.DataFrame({"symbol": pd.Series([key[0]] * len(kept), dtype=object), "us": [k[0] for k in kept], "mark_price": [k[1] for k in kept]})
+        if rest is not None:
+            self._wake(int(rest))
 
     def close(self) -> None:
         pass
@@ -139,8 +192,8 @@ class MarkFold(StatefulProcessor):
 def validated_marks(minutes: DataFrame, max_jump: float = MAX_JUMP, watermark: str = "2 minutes") -> DataFrame:
     """Prices within ``max_jump`` of the last accepted price of their symbol, folded in the order of event time.
 
-    State of a symbol is that price and one entry for each time that the watermark has not passed; a batch writes the entries it adds to, and a
-    timer of the entry releases it.
+    State of a symbol is that price and one entry for each hour that the watermark has not passed; a batch writes the entries it adds to, and a
+    timer of the symbol releases what is due.
     """
     rows = minutes.filter(F.unix_millis("ts") <= F.unix_millis(F.current_timestamp()) + 300_000).withWatermark("ts", watermark)
     rows = rows.select("symbol", "ts", F.unix_micros("ts").alias("us"), "mark_price")
