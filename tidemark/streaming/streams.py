@@ -46,12 +46,12 @@ def not_ahead(rows: DataFrame, ts: str = "ts", minutes: int = 5) -> DataFrame:
     return rows.filter(F.unix_millis(ts) <= F.unix_millis(F.current_timestamp()) + minutes * 60_000)
 
 
-def snapshots(quotes: DataFrame, every: str = "30 seconds", watermark: str = "1 minute", max_stale_ms: int = 15_000) -> DataFrame:
+def snapshots(quotes: DataFrame, every: str = "30 seconds", watermark: str = "1 minute", max_stale_ms: int = 15_000, **bounds) -> DataFrame:
     """Snapshot of each symbol per tumbling window: sound quotes, the latest of each venue, outliers out, totals, averages and signals.
 
-    ``quotes`` has ts (arrival), quote_ts (the quote's own time) and event_id.
+    ``quotes`` has ts (arrival), quote_ts (the quote's own time) and event_id; ``bounds`` go to ``quality.quote_rule``.
     """
-    sound = not_ahead(quotes).withWatermark("ts", watermark).filter(quote_rule(F.col("ts"), max_stale_ms=max_stale_ms).isNull())
+    sound = not_ahead(quotes).withWatermark("ts", watermark).filter(quote_rule(F.col("ts"), max_stale_ms=max_stale_ms, **bounds).isNull())
     values = F.struct("exchange", "mark_price", "funding_rate", "open_interest_usd")
     latest = sound.groupBy(F.window("ts", every), "symbol", "exchange").agg(F.max_by(values, F.struct("ts", "event_id")).alias("q"))
     v = latest.groupBy("window", "symbol").agg(F.array_sort(F.collect_list("q")).alias("q"))
