@@ -97,11 +97,18 @@ def merge_candidates(candidates: DataFrame, gap_ms: int = 0) -> DataFrame:
 
 
 def liq_sum_window(spans: DataFrame, liqs: DataFrame, a: str = "start_ms", b: str = "end_ms") -> DataFrame:
-    """``spans`` with usd, the liquidations in [a, b): a difference of running sums, read as of the two ends."""
-    w = Window.partitionBy("symbol").orderBy("ms").rangeBetween(Window.unboundedPreceding, 0)
-    run = _ms(liqs).groupBy("symbol", "ms").agg(F.sum("usd_value").alias("v")).withColumn("total", F.sum("v").over(w)).select("symbol", (F.col("ms") + 1).alias("ms"), "total")
-    j = asof_backward(spans, run, "total", left_ts=a, right_ts="ms", name="_before")
-    j = asof_backward(j, run, "total", left_ts=b, right_ts="ms", name="_until")
+    """``spans`` with usd, the liquidations in [a, b): a difference of running sums, read as of the two ends.
+
+    Ends are milliseconds, or timestamps, which are compared to the microsecond.
+    """
+    exact = dict(spans.dtypes)[a] == "timestamp"
+    at = F.unix_micros("ts") if exact else F.unix_millis("ts")
+    w = Window.partitionBy("symbol").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    run = liqs.groupBy("symbol", at.alias("_at")).agg(F.sum("usd_value").alias("v")).withColumn("total", F.sum("v").over(w))
+    after = F.timestamp_micros(F.col("_at") + 1) if exact else F.col("_at") + 1
+    run = run.select("symbol", after.alias("_at"), "total")
+    j = asof_backward(spans, run, "total", left_ts=a, right_ts="_at", name="_before")
+    j = asof_backward(j, run, "total", left_ts=b, right_ts="_at", name="_until")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return j.withColumn("usd", zero("_until") - zero("_before")).drop("_before", "_until")
 
