@@ -151,7 +151,8 @@ def lead_time(scores: DataFrame, starts: DataFrame, score_at: int = 60, minutes:
     s = starts.select("symbol", F.col("start_time"), (F.col("start_time") - F.expr("interval 1 second")).alias("_until"))
     j = asof_backward(s, alerts, "_v", left_ts="_until", right_ts="_t", name="alert")
     lead = (F.unix_millis("start_time") - F.unix_millis("alert")) / 60_000.0
-    return j.withColumn("lead", F.when(lead <= minutes, lead)).groupBy("symbol").agg(F.count("lead").alias("alerted"), F.avg("lead").alias("mean"), F.median("lead").alias("median"))
+    near = F.unix_micros("start_time") - F.unix_micros("alert") <= minutes * 60_000_000
+    return j.withColumn("lead", F.when(near, lead)).groupBy("symbol").agg(F.count("lead").alias("alerted"), F.avg("lead").alias("mean"), F.median("lead").alias("median"))
 
 
 def calibration_bins(labelled: DataFrame, *keys: str, width: int = 1) -> DataFrame:
