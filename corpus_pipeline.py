@@ -1,7 +1,7 @@
 """A corpus pipeline: toxic documents go, copies and near copies go, benchmark leaks go, sources are mixed.
 
 Every stage reads what the stage before wrote. Filtering stages return the columns of documents.
-Near copies have 0.8 or more of their five-word shingles in common (near_copies.py).
+Near copies are linked by the SimHash operator, or have 0.8 or more of their five-word shingles in common (near_copies.py).
 A document is a pair of doc_id and text: the rows that go are named by both, so that others of the same or no doc_id stay.
 """
 
@@ -15,6 +15,7 @@ from tidemark.llm.exact_dedup import exact_dedup, normalised_sha256
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.near_copies import near_copies
 from tidemark.llm.shared import discard, free_name, staged, text_of
+from tidemark.llm.simhash import RADIUS
 from tidemark.llm.toxicity import THRESHOLD, score_udf, train_toxicity
 
 NEAR_SHINGLE = 5
@@ -37,7 +38,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_copies(docs, NEAR_SHINGLE, NEAR_SIMILARITY).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_text")).distinct()
+    gone = near_copies(docs, NEAR_SHINGLE, NEAR_SIMILARITY, radius=RADIUS).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_text")).distinct()
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["gone_text"]), "left_anti")
 
 

@@ -717,3 +717,37 @@ def test_pipeline(spark, sf):
     for name, stage in cp.STAGES[:-1]:
         assert stage(spark, odd, sf).columns == odd.columns, name
         assert stage(spark, odd, sf).count() <= len(ODD)
+
+
+def test_pipeline_near_copies_by_simhash(spark, sf):
+    """Texts that the SimHash operator links go, however few shingles they share, and its links join those of similar texts."""
+    import random
+
+    import corpus_pipeline as cp
+
+    rng = random.Random(3)
+    word = lambda: "w%d" % rng.randrange(10**6)
+    sets = lambda a, b: shingle_sets([(0, a), (1, b)], cp.NEAR_SHINGLE)
+    bits = lambda a, b: (simhash.fingerprint(a.encode(), 4) ^ simhash.fingerprint(b.encode(), 4)).bit_count()
+
+    def changed(base, every, ok):
+        while True:
+            words = [word() if rng.randrange(every) == 0 else w for w in base.split()]
+            s = sets(base, " ".join(words))
+            if ok(jaccard(s[0], s[1]), bits(base, " ".join(words))):
+                return " ".join(words)
+
+    rows = []
+    for g in range(4):
+        a = " ".join(word() for _ in range(300))
+        b = changed(a, 30, lambda s, d: s < 0.8 and d <= simhash.RADIUS)
+        c = changed(b, 60, lambda s, d: s >= 0.82 and d > simhash.RADIUS)
+        rows += [(10 * g, a), (10 * g + 1, b), (10 * g + 2, c), (10 * g + 3, changed(a, 8, lambda s, d: s < 0.6 and d > 8))]
+    group = near_groups(rows)
+    for i, a in rows:
+        for j, b in rows:
+            if i < j and group[i] != group[j] and bits(a, b) <= simhash.RADIUS:
+                low, high = sorted((group[i], group[j]))
+                group = {x: low if v == high else v for x, v in group.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in cp.drop_near_copies(spark, docs, sf).collect()) == sorted(set(group.values())) == [0, 3, 10, 13, 20, 23, 30, 33]

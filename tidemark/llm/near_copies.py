@@ -1,7 +1,11 @@
-"""Near copies by shingle similarity: candidates by min-hash bands, each link checked on the exact shingle sets.
+"""Near copies by SimHash (simhash.py), and by shingle similarity where fingerprints lie too far apart.
 
-Two texts are near copies if their sets of word shingles (by XXH64) have a Jaccard similarity of
-SIMILARITY or more. Each text gets BANDS x ROWS minima of its distinct shingle hashes under as many
+Two texts are near copies if the SimHash operator links their fingerprints, or if their sets of word
+shingles (by XXH64) have a Jaccard similarity of SIMILARITY or more. The operator runs as it is: tiles,
+population counts, components. Its 64 bits bound no similarity (of the 48 pairs at 0.8 or more at sf0.1, 4
+lie within its 4 bits), so the similar pairs are found as well; the links of both make one graph.
+
+For the second kind each text gets BANDS x ROWS minima of its distinct shingle hashes under as many
 orders. A band of ROWS minima names a bucket, so only texts that are alike meet and the work grows
 with the documents, not with their square; buckets of equal members are compared once. A bucket is
 compared in tiles ordered by set size: tile pairs whose sizes are too far apart are skipped,
@@ -28,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import staged, text_of, with_hot_keys_salted
-from tidemark.llm.simhash import BUCKET, TILE, components, shingle_hashes
+from tidemark.llm.simhash import BUCKET, TILE, component_ids, components, fingerprint, shingle_hashes
+from tidemark.llm.simhash import SHINGLE as PRINT_SHINGLE
 
 SIMILARITY = 0.8
 SHINGLE = 5
@@ -64,20 +69,25 @@ def signature(text: bytes, k: int, factors) -> tuple[int, bytes, list[int]]:
     return xxhash.xxh64_intdigest(held, 42), held, bands
 
 
-def signature_udf(k: int = SHINGLE):
-    """Column function: binary text -> struct(node, shingles, bands)."""
+def signature_udf(k: int = SHINGLE, prints: int = 0):
+    """Column function: binary text -> struct(node, shingles, bands, fp); fp is the fingerprint over shingles of ``prints`` words, 0 without."""
 
-    @F.arrow_udf("struct<node:bigint,shingles:binary,bands:array<bigint>>")
+    @F.arrow_udf("struct<node:bigint,shingles:binary,bands:array<bigint>,fp:bigint>")
     def signatures(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import numpy as np
 
         factors = _multipliers()
         for texts in batches:
-            made = [signature(t.as_py(), k, factors) for t in texts]
+            made, found = [], []
+            for t in texts:
+                text = t.as_py()
+                made.append(signature(text, k, factors))
+                found.append(fingerprint(text, prints) if prints else 0)
             nodes = pa.array(np.array([m[0] for m in made], np.uint64).view(np.int64))
             bands = pa.array(np.array([b for m in made for b in m[2]], np.uint64).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(made) + 1) * BANDS, BANDS, dtype=np.int32)), bands)
-            yield pa.StructArray.from_arrays([nodes, pa.array([m[1] for m in made], pa.binary()), lists], names=["node", "shingles", "bands"])
+            fps = pa.array(np.array(found, np.uint64).view(np.int64))
+            yield pa.StructArray.from_arrays([nodes, pa.array([m[1] for m in made], pa.binary()), lists, fps], names=["node", "shingles", "bands", "fp"])
 
     return signatures
 
@@ -210,16 +220,26 @@ def links(classes: DataFrame, signed: DataFrame, similarity: float, bucket: int)
     return full.repartition("task").sortWithinPartitions("task").mapInArrow(_compare(similarity), "a long, b long")
 
 
-def near_copies(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+def print_links(signed: DataFrame, radius: int, bucket: int, rows: int) -> DataFrame:
+    """Edges (a, b) from each node of ``signed(node, fp)`` to the smallest node of its fingerprint's component, by the SimHash operator."""
+    prints = signed.select("node", "fp")
+    ids = component_ids(prints.select(F.col("node").alias("doc_id"), "fp"), radius, bucket)
+    met = with_hot_keys_salted(prints, ids, "fp", rows)
+    return staged(met.select(F.col("node").alias("a"), F.col("component_id").alias("b")).filter("a <> b").distinct(), "print-links")
+
+
+def near_copies(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY, bucket: int = BUCKET, radius: int | None = None) -> DataFrame:
     """doc_id, text_hash (of the text as it is), component_id (the smallest doc_id its near copies reach) and kept for every row.
 
-    ``kept`` holds for one document (doc_id, text) of each component, one with the smallest doc_id.
+    ``kept`` holds for one document (doc_id, text) of each component, one with the smallest doc_id. With a ``radius`` fingerprints
+    within so many bits link as well.
     """
-    made = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), signature_udf(k)(text_of().cast("binary")).alias("s"))
+    made = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), signature_udf(k, 0 if radius is None else PRINT_SHINGLE)(text_of().cast("binary")).alias("s"))
     signed = staged(made.select("doc_id", "text_hash", "s.*", (F.octet_length("s.shingles") / 8).cast("long").alias("n")), "signatures")
-    roots = components(links(signed.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands")), signed, similarity, bucket))
-    document = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     rows = signed.count()
+    edges = links(signed.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands")), signed, similarity, bucket)
+    roots = components(edges if radius is None else print_links(signed, radius, bucket, rows).unionAll(edges))
+    document = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     members = signed.groupBy("node").agg(F.min(document).alias("own"))
     linked = members.join(roots, "node").select("node", "own", "root")
     smallest = linked.groupBy("root").agg(F.min("own").alias("smallest"))
