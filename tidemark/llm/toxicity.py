@@ -22,6 +22,7 @@ of both classes every score is 0; null labels are no labels; repeated rows score
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -137,15 +138,21 @@ def _spread(texts: list[bytes]) -> tuple[Counter, int]:
 
     So a passage that many near copies share counts once.
     """
-    seen = set()
+    import numpy as np
+
+    number: dict[bytes, int] = {}
+    places, around = array("q"), array("q")  # not a set of pairs, which takes ten times the driver's memory
     for t in texts:
         words = [b"", *t.translate(WORD_TABLE).split(), b""]
-        seen.update(zip(words[1:-1], map(hash, zip(words, words[2:], strict=False)), strict=False))
+        places.extend(number.setdefault(w, len(number)) for w in words[1:-1])
+        around.extend(map(hash, zip(words, words[2:], strict=False)))
+    seen = np.unique(np.array([places, around], np.int64), axis=1)
+    counts = np.bincount(seen[0], minlength=len(number)).tolist()
     out: Counter = Counter()
-    for w, c in Counter(w for w, _ in seen).items():
+    for w, c in zip(number, counts, strict=True):
         for stem in _stems(w):
             out[stem] += c
-    return out, len(seen)
+    return out, seen.shape[1]
 
 
 def _stems(word: bytes) -> list[bytes]:
