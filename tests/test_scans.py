@@ -181,3 +181,36 @@ def test_validated_prices_are_the_plain_fold(spark, ms):
         assert plain((r.symbol, r.ts, r.accepted) for r in got) == plain(want)
     none = folds.fold_prices(df.limit(0), quality.mark_price_sound())
     assert none.collect() == [] and none.columns == ["symbol", "ts", "mark_price", "accepted"]
+
+
+def test_running_totals_and_previous_over_days(spark):
+    """Sums and the row before, carried over days, gaps of days and null values."""
+    import random
+
+    rng = random.Random(7)
+    rows = [(s, t, rng.choice([None, 0.0, rng.random()])) for s in "ab" for t in sorted(rng.sample(range(12 * 86_400_000), 60))]
+    rows = [(s, t, v) for s, t, v in rows if not 3 * 86_400_000 <= t < 6 * 86_400_000]
+    df = spark.createDataFrame(rows, "symbol string, ms long, v double").repartition(3)
+    have = {(r.symbol, r.ms): r for r in scans.with_previous(df, "v", "last", ts="ms").collect()}
+    totals = {(r.symbol, r.ms): r.t for r in scans.running_totals(df.fillna(0.0), {"t": "v"}).collect()}
+    assert len(have) == len(totals) == len(rows)
+    for s in "ab":
+        last, total = None, 0.0
+        for _, t, v in [r for r in rows if r[0] == s]:
+            total += v or 0.0
+            assert have[s, t].v == v and have[s, t].last == last and totals[s, t] == pytest.approx(total, rel=1e-12)
+            last = v
+
+
+def test_asof_spreads_sides_that_lie_by_key(spark):
+    """A series whose two sides are already dealt by symbol is still worked on by several tasks."""
+    from tidemark.operators.windows import asof_backward
+
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(conf, "false")
+    try:
+        side = lambda name: spark.range(400).select(F.lit("a").alias("symbol"), (F.col("id") * 3_600_000).alias("ms"), F.col("id").alias(name)).repartition(4, "symbol")
+        out = asof_backward(side("n"), side("v"), "v", left_ts="ms", right_ts="ms").select("n", "v", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.unset(conf)
+    assert all(r.n == r.v for r in out) and len(out) == 400 and len({r.p for r in out}) > 1

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.scans import percentiles
-from tidemark.operators.windows import asof_around, asof_backward, ordered, positive_ratio_log, rolling_order_stats
+from tidemark.operators.scans import DAY_MS, percentiles, running_totals, with_previous
+from tidemark.operators.windows import asof_around, asof_backward, positive_ratio_log, rolling_order_stats
 
 MINUTE = 60_000
 
@@ -27,12 +27,11 @@ def interpolate_prices(points: DataFrame, prices: DataFrame, at: str = "ms", nam
 def trailing_annual_vol(points: DataFrame, prices: DataFrame, at: str = "ms", minutes: int = 1440, least: int = 30) -> DataFrame:
     """sigma: sqrt(mean r^2) x sqrt(525960) of the log returns with time in [t - minutes, t]; 0 under ``least`` returns.
 
-    Running sums of r^2 and their number, read as of t and before t - minutes.
+    Running sums of r^2 and their number, read as of t and before t - minutes; both lags and sums are spread over tasks by day.
     """
-    w = Window.partitionBy("symbol").orderBy("ms").rangeBetween(Window.unboundedPreceding, 0)
-    r = _ms(prices).withColumn("_r", positive_ratio_log(F.col("mark_price"), F.lag("mark_price").over(ordered()))).filter("_r is not null")
+    r = _ms(with_previous(prices.select("symbol", "ts", "mark_price"), "mark_price", "_last")).withColumn("_r", positive_ratio_log(F.col("mark_price"), F.col("_last"))).filter("_r is not null")
     per = r.groupBy("symbol", "ms").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_r") * F.col("_r")).alias("q"))
-    run = per.select("symbol", "ms", F.struct(F.sum("n").over(w).alias("n"), F.sum("q").over(w).alias("q")).alias("run"))
+    run = running_totals(per, {"n": "n", "q": "q"}).select("symbol", "ms", F.struct("n", "q").alias("run"))
     j = asof_backward(points, run, "run", left_ts=at, right_ts="ms", name="_until")
     j = j.withColumn("_from", F.col(at) - minutes * MINUTE - 1)
     j = asof_backward(j, run, "run", left_ts="_from", right_ts="ms", name="_before")
@@ -103,8 +102,7 @@ def liq_sum_window(spans: DataFrame, liqs: DataFrame, a: str = "start_ms", b: st
     """
     exact = dict(spans.dtypes)[a] == "timestamp"
     at = F.unix_micros("ts") if exact else F.unix_millis("ts")
-    w = Window.partitionBy("symbol").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
-    run = liqs.groupBy("symbol", at.alias("_at")).agg(F.sum("usd_value").alias("v")).withColumn("total", F.sum("v").over(w))
+    run = running_totals(liqs.groupBy("symbol", at.alias("_at")).agg(F.sum("usd_value").alias("v")), {"total": "v"}, at="_at", width=DAY_MS * (1000 if exact else 1))
     after = F.timestamp_micros(F.col("_at") + 1) if exact else F.col("_at") + 1
     run = run.select("symbol", after.alias("_at"), "total")
     j = asof_backward(spans, run, "total", left_ts=a, right_ts="_at", name="_before")

@@ -46,7 +46,7 @@ def _asof(left: DataFrame, right: DataFrame, value: str, left_ts: str, right_ts:
     values = right.select(F.col(key), F.col(right_ts).alias("_t"), F.struct(F.col(value).alias("v")).alias("_v"))
     both = left.withColumn("_t", F.col(left_ts)).withColumn("_left", F.lit(True)).unionByName(values, allowMissingColumns=True)
     day = span_of("_t", dict(both.dtypes)["_t"])
-    found = both.withColumn("_day", day)
+    found = both.withColumn("_day", day).repartition(key, "_day")  # sides that lie together by key would stay so, a series a task
     for name, toward in ((before, F.asc), (after, F.desc)):
         if name:  # at equal times a right row comes first in either direction
             own = Window.partitionBy(key, "_day").orderBy(toward("_t"), F.col("_left").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
