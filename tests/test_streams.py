@@ -193,3 +193,26 @@ def test_upsert_needs_its_partition_as_a_key(spark, folder):
 
     with pytest.raises(ValueError, match="day"):
         tables.upsert_partitions(spark.range(1).withColumn("day", F.lit(1)), folder, ["id"], "id", "day")
+
+
+def test_waiting_fetches_lie_in_rocksdb_as_numbers(spark, folder):
+    from tidemark.sources import landed, venues
+
+    spark.createDataFrame([("gateio", "contract", "A", '{"mark_price": "100", "index_price": "101"}', 0)], "venue string, endpoint string, symbol string, payload string, s int").selectExpr(
+        "venue", "endpoint", "symbol", "payload", "timestamp_seconds(s) as ts"
+    ).write.json(f"{folder}/in")
+    listings = spark.createDataFrame([("kraken", "PF", "K")], "venue string, listed string, symbol string")
+    landed.land(spark, f"{folder}/in", listings, folder)
+    held = [f for _, _, names in os.walk(f"{folder}/checkpoint-quotes/state") for f in names]
+    assert any(f.endswith((".changelog", ".zip")) for f in held) and not any(f.endswith(".delta") for f in held)
+    fields = venues.fields_of_pages(landed.read_pages(spark, f"{folder}/in"), listings)
+    assert {x.dataType.simpleString() for x in fields.schema["p"].dataType} == {"double"}
+
+
+def test_listing_pages_do_not_grow_with_the_table(spark):
+    from tidemark.plans.serving_queries import made_pages
+
+    ticks = spark.range(0, 400_000, 100).selectExpr("id * 11 + 7 as event_id", "timestamp'2024-01-01' as ts", "'s' as symbol", "1.0D as open_interest_usd", "1.0D as mark_price", "1.0D as index_price", "0.0D as funding_rate")
+    pages, listings = made_pages(ticks)
+    sizes = [r[0] for r in pages.select(F.size(F.from_json("payload", "struct<tickers:array<string>>")["tickers"])).collect()]
+    assert len(sizes) == 44 and max(sizes) < 100 and sum(sizes) == listings.count() == 4000

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.venues import PATHS, normalize_venue_pages
+from tidemark.streaming.stateful import MANY_KEYS, state_store
 
 PAGE = "venue string, endpoint string, symbol string, payload string, ts timestamp"
 #: Venues whose pages list many instruments.
@@ -41,10 +42,6 @@ def page_fault() -> Column:
     )
 
 
-def sound_pages(lines: DataFrame) -> DataFrame:
-    return lines.filter(page_fault().isNull()).select("venue", "endpoint", "symbol", "payload", "ts")
-
-
 def rejected_pages(lines: DataFrame) -> DataFrame:
     return lines.withColumn("fault", page_fault()).filter("fault is not null")
 
@@ -55,13 +52,16 @@ def landed_quotes(lines: DataFrame, listings: DataFrame, guard: float = 0.10, wa
     The endpoints of a fetch (venue, symbol and time) may lie in different files: a stream holds a fetch until the watermark has passed
     its time.
     """
-    pages = sound_pages(lines)
-    return normalize_venue_pages(pages.withWatermark("ts", watermark) if lines.isStreaming else pages, listings, guard)
+    return normalize_venue_pages(lines.withWatermark("ts", watermark) if lines.isStreaming else lines, listings, guard, page_fault().isNull())
 
 
 def land(spark: SparkSession, folder: str, listings: DataFrame, base: str, **how) -> None:
-    """Work off what has landed in ``folder`` since the last run into ``base``/quotes and ``base``/rejected, each exactly once by its checkpoint."""
+    """Work off what has landed in ``folder`` since the last run into ``base``/quotes and ``base``/rejected, each exactly once by its checkpoint.
+
+    Fetches that wait for the watermark lie in RocksDB, so their number is not bounded by an executor's memory.
+    """
     lines = stream_pages(spark, folder)
     for name, rows in (("quotes", landed_quotes(lines, listings, **how)), ("rejected", rejected_pages(lines))):
-        q = rows.writeStream.format("parquet").option("path", f"{base}/{name}").option("checkpointLocation", f"{base}/checkpoint-{name}").trigger(availableNow=True).start()
+        with state_store(spark, MANY_KEYS):
+            q = rows.writeStream.format("parquet").option("path", f"{base}/{name}").option("checkpointLocation", f"{base}/checkpoint-{name}").trigger(availableNow=True).start()
         q.awaitTermination()

@@ -47,16 +47,24 @@ def _kraken_rate(name: str) -> Column:
     return F.when(F.abs(r) > 0.01, r / 100.0).otherwise(r) * 2.0
 
 
-def _exploded(pages: DataFrame, venue: str, endpoint: str, rows: Column, listed: Column, fields: dict[str, Column]) -> DataFrame:
-    """(venue, listed, ts, fields) of a page that lists many instruments as ``rows``, an array column."""
-    own = pages.filter((F.col("venue") == venue) & (F.col("endpoint") == endpoint))
-    return own.select("venue", "ts", F.explode(rows).alias("r")).select("venue", "ts", listed.alias("listed"), *[c.alias(n) for n, c in fields.items()])
+def _listed(rows: Column, **fields: str) -> Column:
+    """An array of (listed, the numbers of NAMES) from ``rows``, the array of a page that lists many instruments; ``fields``: where each is."""
 
+    def at(r: Column, path: str) -> Column:
+        for step in path.split("."):
+            r = r[step]
+        return r
 
-def fields_of_pages(pages: DataFrame, listings: DataFrame) -> DataFrame:
-    """(venue, symbol, ts, p) with the fields of PAYLOAD, all endpoints of a fetch together.
+    return F.transform(rows, lambda r: F.struct(at(r, fields["listed"]).alias("listed"), *[(at(r, fields[n]).try_cast("double") if n in fields else F.lit(None).cast("double")).alias(n) for n in NAMES]))
 
-    ``listings`` (venue, listed, symbol) names the instruments of venues whose pages list many of them.
+
+def fields_of_pages(pages: DataFrame, listings: DataFrame, sound: Column | None = None) -> DataFrame:
+    """(venue, symbol, ts, p) with the fields of PAYLOAD as numbers (null where a text is none), all endpoints of a fetch together.
+
+    Texts become numbers before pages are brought together: what a stream holds of a fetch is then of fixed size, and no text is parsed twice.
+    Of a page that landed twice with different numbers the greater one counts.
+    ``listings`` (venue, listed, symbol) names the instruments of venues whose pages list many of them. Only ``sound`` pages count, a condition
+    tested after the venue, as it may parse the payload.
     """
     paths = [(v, e, n, path) for v, by in PATHS.items() for e, found in by.items() for n, path in found.items()]
 
@@ -65,10 +73,10 @@ def fields_of_pages(pages: DataFrame, listings: DataFrame) -> DataFrame:
         for v, e, n, path in paths:
             if n == name:
                 out = F.when((F.col("venue") == v) & (F.col("endpoint") == e), F.get_json_object("payload", path)).otherwise(out)
-        return out.alias(name)
+        return out.try_cast("double").alias(name)
 
-    single = pages.filter(F.col("venue").isin(*PATHS)).select("venue", "symbol", "ts", *[field(n) for n in NAMES])
-    r = lambda n: F.col(f"r.{n}")
+    sound = F.lit(True) if sound is None else sound
+    single = pages.filter(F.col("venue").isin(*PATHS)).filter(sound).select("venue", "symbol", "ts", *[field(n) for n in NAMES])
     kraken = F.from_json(F.get_json_object("payload", "$.tickers"), "array<struct<symbol:string,openInterest:string,markPrice:string,indexPrice:string,fundingRate:string,fundingRatePrediction:string>>")
     dydx = F.map_entries(F.from_json(F.get_json_object("payload", "$.markets"), "map<string,struct<openInterest:string,oraclePrice:string,nextFundingRate:string>>"))
     universe = F.from_json(F.get_json_object("payload", "$[0].universe"), "array<struct<name:string>>")
@@ -78,23 +86,26 @@ def fields_of_pages(pages: DataFrame, listings: DataFrame) -> DataFrame:
         "array<struct<marketToken:string,longInterestUsd:string,shortInterestUsd:string,indexTokenPrice:struct<max:string>,borrowingFactorPerSecondForLongs:string,borrowingFactorPerSecondForShorts:string>>",
     )
     prices = F.map_entries(F.from_json("payload", "map<string,struct<maxPrice:string>>"))
-    listed = [
-        _exploded(pages, "kraken", "tickers", kraken, r("symbol"), {"open_interest": r("openInterest"), "mark": r("markPrice"), "index": r("indexPrice"), "funding": r("fundingRate"), "predicted": r("fundingRatePrediction")}),
-        _exploded(pages, "dydx", "perpetualMarkets", dydx, r("key"), {"open_interest": r("value.openInterest"), "oracle": r("value.oraclePrice"), "funding": r("value.nextFundingRate")}),
-        _exploded(pages, "hyperliquid", "metaAndAssetCtxs", F.arrays_zip(universe.alias("u"), contexts.alias("c")), r("u.name"), {"open_interest": r("c.openInterest"), "mark": r("c.markPx"), "oracle": r("c.oraclePx"), "funding": r("c.funding")}),
-        _exploded(pages, "gmx", "markets", markets, r("marketToken"), {"long_oi": r("longInterestUsd"), "short_oi": r("shortInterestUsd"), "token": r("indexTokenPrice.max"), "borrow_long": r("borrowingFactorPerSecondForLongs"), "borrow_short": r("borrowingFactorPerSecondForShorts")}),
-        _exploded(pages, "gmx", "tickers", prices, r("key"), {"mark": r("value.maxPrice")}),
-    ]
-    every = single
-    for part in listed:
-        every = every.unionByName(part.join(listings, ["venue", "listed"]).drop("listed"), allowMissingColumns=True)
+    shapes = {
+        ("kraken", "tickers"): _listed(kraken, listed="symbol", open_interest="openInterest", mark="markPrice", index="indexPrice", funding="fundingRate", predicted="fundingRatePrediction"),
+        ("dydx", "perpetualMarkets"): _listed(dydx, listed="key", open_interest="value.openInterest", oracle="value.oraclePrice", funding="value.nextFundingRate"),
+        ("hyperliquid", "metaAndAssetCtxs"): _listed(F.arrays_zip(universe.alias("u"), contexts.alias("c")), listed="u.name", open_interest="c.openInterest", mark="c.markPx", oracle="c.oraclePx", funding="c.funding"),
+        ("gmx", "markets"): _listed(markets, listed="marketToken", long_oi="longInterestUsd", short_oi="shortInterestUsd", token="indexTokenPrice.max", borrow_long="borrowingFactorPerSecondForLongs", borrow_short="borrowingFactorPerSecondForShorts"),
+        ("gmx", "tickers"): _listed(prices, listed="key", mark="value.maxPrice"),
+    }
+    rows = None
+    for (v, e), made in shapes.items():
+        own = (F.col("venue") == v) & (F.col("endpoint") == e)
+        rows = F.when(own, made) if rows is None else rows.when(own, made)
+    many = pages.filter(F.col("venue").isin(*sorted({v for v, _ in shapes}))).filter(sound).select("venue", "ts", F.explode(rows).alias("r")).select("venue", "ts", "r.*")
+    every = single.unionByName(many.join(listings, ["venue", "listed"]).drop("listed"))
     merged = every.groupBy("venue", "symbol", "ts").agg(*[F.max(n).alias(n) for n in NAMES])
     return merged.select("venue", "symbol", "ts", F.struct(*NAMES).alias("p"))
 
 
-def normalize_venue_pages(pages: DataFrame, listings: DataFrame, guard: float = 0.10) -> DataFrame:
-    """Canonical quotes from landed pages."""
-    return _normalized(fields_of_pages(pages, listings), guard)
+def normalize_venue_pages(pages: DataFrame, listings: DataFrame, guard: float = 0.10, sound: Column | None = None) -> DataFrame:
+    """Canonical quotes from landed pages, the ``sound`` ones if that is given."""
+    return _normalized(fields_of_pages(pages, listings, sound), guard)
 
 
 def normalize_venue_quotes(raw: DataFrame, guard: float = 0.10) -> DataFrame:

@@ -20,18 +20,22 @@ from tidemark.operators.folds import MAX_JUMP, accepts
 from tidemark.operators.stress import scored_rows
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: For states of many keys: no key is looked up before each write only to count the keys, and a commit writes the changes alone.
+MANY_KEYS = {"rocksdb.trackTotalNumberOfRows": "false", "rocksdb.changelogCheckpointing.enabled": "true"}
 
 
 @contextmanager
-def state_store(spark: SparkSession) -> Iterator[None]:
-    """Queries started within keep their state in RocksDB."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, PROVIDER)
+def state_store(spark: SparkSession, settings: dict[str, str] | None = None) -> Iterator[None]:
+    """Queries started within keep their state in RocksDB, with ``settings`` of the store if given."""
+    names = {f"spark.sql.streaming.stateStore.{k}": v for k, v in {"providerClass": PROVIDER, **(settings or {})}.items()}
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 class Arrivals(StatefulProcessor):
