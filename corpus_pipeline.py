@@ -1,6 +1,7 @@
 """A corpus pipeline: toxic documents go, copies and near copies go, benchmark leaks go, sources are mixed.
 
-Every stage reads what the stage before wrote. Filtering stages return the columns of documents.
+Every stage reads what the stage before wrote. The session keeps to small Arrow batches from the first stage on.
+Stages run in the same executors, whose Python workers and buffers keep what their largest batch took. Filtering stages return the columns of documents.
 Near copies are linked by the SimHash operator, or have 0.8 or more of their five-word shingles in common (near_copies.py).
 A document is a pair of doc_id and text: the rows that go are named by both, so that others of the same or no doc_id stay.
 """
@@ -14,7 +15,7 @@ from tidemark.llm.decontaminate import with_hits
 from tidemark.llm.exact_dedup import exact_dedup, normalised_sha256
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.near_copies import near_copies
-from tidemark.llm.shared import discard, free_name, staged, text_of
+from tidemark.llm.shared import discard, free_name, keep_batches_small, staged, text_of
 from tidemark.llm.simhash import RADIUS
 from tidemark.llm.toxicity import THRESHOLD, score_udf, train_toxicity
 
@@ -27,12 +28,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    keep_batches_small(spark)
     model = train_toxicity(docs, _table(spark, sf_dir, "labels"))
     score = free_name(docs, "toxic_score")
     return docs.withColumn(score, score_udf(model)(text_of().cast("binary"))).filter(F.col(score) < THRESHOLD).drop(score)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    keep_batches_small(spark)
     gone = exact_dedup(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_text")).distinct()
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (normalised_sha256(docs["text"]) == gone["gone_text"]), "left_anti")
 
@@ -43,6 +46,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    keep_batches_small(spark)
     found = free_name(docs, "found")
     return with_hits(docs, _table(spark, sf_dir, "benchmark"), into=found).filter(F.size(f"{found}.runs") == 0).drop(found)
 

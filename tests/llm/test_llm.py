@@ -751,3 +751,18 @@ def test_pipeline_near_copies_by_simhash(spark, sf):
                 group = {x: low if v == high else v for x, v in group.items()}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in cp.drop_near_copies(spark, docs, sf).collect()) == sorted(set(group.values())) == [0, 3, 10, 13, 20, 23, 30, 33]
+
+
+def test_pipeline_stages_hand_on_small_batches(spark, sf):
+    import corpus_pipeline
+    from tidemark.llm.shared import BATCH_BYTES, BATCH_SETTING
+
+    before = spark.conf.get(BATCH_SETTING)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    try:
+        for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_leaks):
+            spark.conf.set(BATCH_SETTING, 1 << 28)
+            stage(spark, docs, sf)
+            assert int(spark.conf.get(BATCH_SETTING)) == BATCH_BYTES
+    finally:
+        spark.conf.set(BATCH_SETTING, before)

@@ -47,16 +47,23 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{workspace(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def keep_batches_small(spark: SparkSession) -> None:
+    """The same as small_batches for the rest of the session: for results that run when their caller writes them."""
+    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Jobs started within pass at most BATCH_BYTES of rows at once to Python, however long the texts are."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, BATCH_BYTES)
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(BATCH_SETTING, before)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
