@@ -272,6 +272,39 @@ def test_toxic_dictionary_is_trained_on_toxic_text():
     assert all(above(t, 1) for t in toxic if re.search(b"vilest|rotten|wretched", t)) and not any(above(t, 3) for t in ordinary)
 
 
+def test_toxic_dictionaries_by_spark_as_from_lists(spark, monkeypatch):
+    """Stems counted by Spark give what the plain counts over lists give: cut classes, words of other scripts, ordinary windows of one letter, an empty class."""
+    import random
+
+    monkeypatch.setattr(toxicity, "TRAINING", 150)
+    monkeypatch.setattr(toxicity, "ORDINARY_BYTES", 2000)
+    rng = random.Random(3)
+    plain, vile = ["plain%d" % i for i in range(60)] + ["a", "of", "über", "naïveté"], ["vilest", "rottenly", "gräßlichst", "wretchednessbeyond"]
+    window = lambda extra, n: " ".join(rng.choice(extra) if extra and rng.random() < 0.2 else rng.choice(plain) for _ in range(n)).encode()
+    rows = [(1, window(vile, 32)) for _ in range(200)] + [(0, window([], 32)) for _ in range(100)] + [(0, bytes([c])) for c in range(ord("a"), ord("z"))] + [(0, b"\xff\xfe \xff torn"), (1, b"\xfe torn \xff"), (1, b"x")]
+    for kept in (rows, [r for r in rows if r[0]], [r for r in rows if not r[0]], []):
+        spans = spark.createDataFrame(kept, "toxic int, w binary").distinct()
+        lists = [[bytes(r.w) for r in spans.filter(F.col("toxic") == y).orderBy(F.xxhash64("w"), "w").limit(150).collect()] for y in (1, 0)]
+        found = toxicity.sample_dictionaries(spans)
+        assert found == toxicity.dictionaries(*lists)
+        assert (b"vilest" in found[2]) == (kept is rows)
+
+
+def test_toxicity_training_leaves_windows_to_spark(spark):
+    """The driver's Python stays small however many different words the drawn windows have."""
+    import tracemalloc
+
+    docs = spark.range(1200).selectExpr("id doc_id", "array_join(transform(sequence(1, 320), i -> concat('w', hex(xxhash64(id, i)))), ' ') text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) toxic")
+    tracemalloc.start()
+    try:
+        toxicity.train_toxicity(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 20e6, peak
+
+
 @pytest.mark.parametrize("size, found, flagged", [("0.01", 0.6, 0.02), ("0.1", 0.5, 0.015)])
 def test_toxicity(spark, sf, odd, none, size, found, flagged):
     docs, labels = (spark.read.parquet(f"{sf.replace('0.001', size)}/{t}.parquet") for t in ("documents", "labels"))

@@ -13,7 +13,8 @@ a probability.
 
 Fitting takes at most ROWS labelled documents of either class, drawn by hash of their ids; a quarter of their texts, by hash of the text,
 calibrates, and of the others at most TRAINING windows of either class, drawn by hash of the window, reach the trainer. Scoring covers all
-windows of all documents.
+windows of all documents. Spark counts the stems of these windows; the driver gets the marked stems, those of each toxic window and
+ORDINARY_BYTES of ordinary text.
 
 Defined cases: null and empty texts have no window and get the score of no evidence; without labels
 of both classes every score is 0; null labels are no labels; repeated rows score alike.
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import WORD_TABLE, crc_of_id, text_of
+from tidemark.llm.shared import WORD_TABLE, crc_of_id, discard, staged, text_of
 
 WINDOW = 4
 ROWS = 3000
@@ -47,6 +48,8 @@ TOXIC_BYTES = 8 << 10
 RATIO = 8.0
 LEAST_SEEN = 4
 EVIDENCE = 32.0
+#: Bytes of the longest stem.
+LONGEST = 14
 #: Bytes of a segment and of its parts, for the trainer of the toxic dictionary.
 SEGMENT, PART = 40, 8
 #: One document in so many of the drawn ones calibrates.
@@ -158,19 +161,23 @@ def _spread(texts: list[bytes]) -> tuple[Counter, int]:
 def _stems(word: bytes) -> list[bytes]:
     """The word's beginnings that a match can stand for, the space before it included."""
     word = b" " + word + b" "
-    return [word[:k] for k in range(LEAST_MATCH, min(len(word), 14) + 1)]
+    return [word[:k] for k in range(LEAST_MATCH, min(len(word), LONGEST) + 1)]
 
 
 def _contrasts(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Of every toxic text the stems that toxic text has far more often, the longest of each word."""
+    """The marked stems of every toxic text."""
     (a, n), (b, m) = _spread(toxic), _spread(ordinary)
     if not n or not m:
         return []
     odds = {s: (c / n) / ((b[s] + 0.5) / m) for s, c in a.items() if c >= LEAST_SEEN}
-    marked = {s for s, o in odds.items() if o >= RATIO and a[s] * math.log(o) >= EVIDENCE}
-    of = lru_cache(None)(lambda word: next((s for s in reversed(_stems(word)) if s in marked), b""))
-    found = [s for t in toxic if (s := b"".join(map(of, t.translate(WORD_TABLE).split())))]
-    return [b"".join(found[i : i + SAMPLE]) + b" " for i in range(0, len(found), SAMPLE)]
+    marks = _marks({s for s, o in odds.items() if o >= RATIO and a[s] * math.log(o) >= EVIDENCE})
+    return [s for t in toxic if (s := marks(t))]
+
+
+def _marks(marked: set[bytes]):
+    """Function: text -> of each word the longest of its stems that is marked, one after the other."""
+    of = lru_cache(1 << 16)(lambda word: next((s for s in reversed(_stems(word)) if s in marked), b""))
+    return lambda text: b"".join(map(of, text.translate(WORD_TABLE).split()))
 
 
 def _trained(size: int, samples: list[bytes], **how) -> bytes:
@@ -217,17 +224,73 @@ def draw_labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """
     there = docs.filter(~held_out() & (F.octet_length(text_of()) > 0)).select("doc_id")
     marked = there.join(labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1)), "doc_id").distinct()
-    chosen = [tuple(r) for y in (0, 1) for r in marked.filter(F.col("toxic") == y).orderBy(F.xxhash64(F.lit("draw"), F.col("doc_id")), "doc_id").limit(rows).collect()]
-    return docs.sparkSession.createDataFrame(chosen, marked.select("doc_id", "toxic").schema)
+    chosen = [marked.filter(F.col("toxic") == y).orderBy(F.xxhash64(F.lit("draw"), F.col("doc_id")), "doc_id").limit(rows) for y in (0, 1)]
+    return staged(chosen[0].union(chosen[1]), "toxic-drawn")
 
 
 def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes, bytes]:
-    """The ordinary and the toxic dictionary, and what is in the toxic one alone, from windows of either class."""
-    content = b" ".join(b" ".join(w.translate(WORD_TABLE).split()) for w in ordinary)[-ORDINARY_BYTES:] or b" "
-    more = _trained(TOXIC_BYTES, _contrasts(toxic, ordinary), k=SEGMENT, d=PART)
+    """The ordinary and the toxic dictionary, and what is in the toxic one alone, from windows of either class held as lists."""
+    return _assembled(_contrasts(toxic, ordinary), b" ".join(b" ".join(w.translate(WORD_TABLE).split()) for w in ordinary))
+
+
+def _assembled(found: list[bytes], ordinary: bytes) -> tuple[bytes, bytes, bytes]:
+    """The dictionaries from the marked stems of toxic windows and from ordinary text."""
+    content = ordinary[-ORDINARY_BYTES:] or b" "
+    samples = [b"".join(found[i : i + SAMPLE]) + b" " for i in range(0, len(found), SAMPLE)]
+    more = _trained(TOXIC_BYTES, samples, k=SEGMENT, d=PART)
     return content + _filler(len(more)) + CARRIER, content + more + CARRIER, more
 
 
+def _drawn_windows(spans: DataFrame) -> DataFrame:
+    """(toxic, w) of at most TRAINING windows of either class, drawn by a hash of the window."""
+    first = [spans.filter(F.col("toxic") == y).orderBy(F.xxhash64("w"), "w").limit(TRAINING) for y in (0, 1)]
+    return first[0].union(first[1]).repartition(16, "w")
+
+
+def _stem_counts(windows: DataFrame) -> DataFrame:
+    """stem, a, b: in how many different surroundings (word before, word after) it stands in toxic and in ordinary windows; the empty stem has all."""
+    none = F.lit(b"")
+    padded = windows.select("toxic", F.concat(F.array(none), words_udf()("w"), F.array(none)).alias("p"))
+    place = F.transform(F.sequence(F.lit(1), F.size("p") - 2), lambda i: F.struct(F.get("p", i).alias("word"), F.xxhash64(F.get("p", i - 1), F.get("p", i + 1)).alias("around")))
+    places = padded.select("toxic", F.explode(place).alias("at")).select("toxic", "at.word", "at.around").distinct()
+    words = places.groupBy("toxic", "word").count()
+    length = F.least(F.octet_length("word") + 2, F.lit(LONGEST))
+    spaced = F.concat(F.lit(b" "), F.col("word"), F.lit(b" "))
+    stems = F.when(length >= LEAST_MATCH, F.transform(F.sequence(F.lit(LEAST_MATCH), F.greatest(length, F.lit(LEAST_MATCH))), lambda k: F.substring(spaced, 1, k))).otherwise(F.array().cast("array<binary>"))
+    of = lambda y: F.sum(F.when(F.col("toxic") == y, F.col("count")).otherwise(0))
+    return words.select("toxic", "count", F.explode(F.concat(F.array(none), stems)).alias("stem")).groupBy("stem").agg(of(1).alias("a"), of(0).alias("b"))
+
+
+def _marked_stems(counts: DataFrame) -> set[bytes]:
+    """The stems that toxic windows have far more often."""
+    total = counts.filter((F.col("stem") == F.lit(b"")) & (F.col("a") > 0) & (F.col("b") > 0)).select(F.col("a").alias("n"), F.col("b").alias("m"))
+    seen = counts.filter((F.col("stem") != F.lit(b"")) & (F.col("a") >= LEAST_SEEN)).crossJoin(F.broadcast(total))
+    odds = seen.withColumn("odds", (F.col("a") / F.col("n")) / ((F.col("b") + F.lit(0.5)) / F.col("m")))
+    return {bytes(r[0]) for r in odds.filter((F.col("odds") >= RATIO) & (F.col("a") * F.log("odds") >= EVIDENCE)).select("stem").collect()}
+
+
+def _last_bytes(windows: DataFrame, size: int) -> bytes:
+    """The end of the windows in their order, ``size`` bytes of it."""
+    n = max(1, size >> 7)
+    while True:
+        last = [bytes(r[0]) for r in windows.orderBy(F.desc(F.xxhash64("w")), F.desc("w")).limit(n).select("w").collect()]
+        text = b" ".join(reversed(last))
+        if len(last) < n or len(text) >= size:
+            return text[-size:]
+        n *= 2
+
+
+def sample_dictionaries(spans: DataFrame) -> tuple[bytes, bytes, bytes]:
+    """What ``dictionaries`` gives for the drawn windows of (toxic, w). No list of windows reaches the driver."""
+    windows = staged(_drawn_windows(spans), "toxic-windows")
+    counts = staged(_stem_counts(windows), "toxic-stems")
+    marked = _marked_stems(counts)
+    found = windows.filter("toxic = 1").select("w", marks_udf(marked)("w").alias("s")).filter(F.octet_length("s") > 0).orderBy(F.xxhash64("w"), "w").select("s")
+    out = _assembled([bytes(r[0]) for r in found.collect()] if marked else [], _last_bytes(windows.filter("toxic = 0"), ORDINARY_BYTES))
+    discard(windows, counts)
+    return out
+
+
 def spans_udf():
     """Column function: binary text -> its windows of SPAN words."""
 
@@ -240,17 +303,40 @@ def spans_udf():
     return spans
 
 
+def words_udf():
+    """Column function: binary window -> its words."""
+
+    @F.arrow_udf("array<binary>")
+    def words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for windows in batches:
+            yield pa.array([w.as_py().split() for w in windows], pa.list_(pa.binary()))
+
+    return words
+
+
+def marks_udf(marked: set[bytes]):
+    """Column function: binary window -> the marked stems of its words."""
+
+    @F.arrow_udf("binary")
+    def marks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        of = _marks(marked)
+        for windows in batches:
+            yield pa.array([of(w.as_py()) for w in windows], pa.binary())
+
+    return marks
+
+
 def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> ToxicityModel:
     """Fit on a bounded sample of the labelled documents that may be learned from."""
-    drawn = F.broadcast(draw_labelled(docs, labels, rows))
-    texts = docs.select("doc_id", text_of().cast("binary").alias("text")).join(drawn, "doc_id").select("toxic", "text")
+    drawn = draw_labelled(docs, labels, rows)
+    texts = docs.select("doc_id", text_of().cast("binary").alias("text")).join(F.broadcast(drawn), "doc_id").select("toxic", "text")
     calibrates = F.pmod(F.xxhash64(F.lit("part"), "text"), F.lit(CALIBRATE)) == 0
     spans = texts.filter(~calibrates).select("toxic", F.explode(spans_udf()("text")).alias("w")).distinct()
-    sample = {y: [bytes(r[0]) for r in spans.filter(F.col("toxic") == y).select("w").orderBy(F.xxhash64("w"), "w").limit(TRAINING).collect()] for y in (0, 1)}
-    ordinary, toxic, added = dictionaries(sample[1], sample[0])
+    ordinary, toxic, added = sample_dictionaries(spans)
     fresh = ToxicityModel(ordinary, toxic, added, (), ())
     measured = texts.select("toxic", calibrates.alias("calibrates"), F.xxhash64("text").alias("h"), differences_udf(fresh)("text").alias("x")).dropDuplicates(["toxic", "h"])
     found = sorted((r[1], r[2], r[0], list(r[3])) for r in measured.select("toxic", "calibrates", "h", "x").collect())
+    discard(drawn)
     for chosen in ([f for f in found if f[0]], found):
         points = [(x, y) for _, _, y, x in chosen]
         if {y for _, y in points} == {0, 1}:
