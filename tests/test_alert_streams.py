@@ -7,7 +7,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from tidemark.operators.serving import subscription_match, with_level
+from tidemark.operators.serving import audiences, subscription_match, with_level
 from tidemark.streaming import streams
 
 SCORES, SUBS = "symbol string, time timestamp, risk_score int", "subscription_id long, enabled boolean, events_csv string, symbols_csv string, min_level_ord int"
@@ -31,6 +31,27 @@ def test_deliveries_of_one_symbol_are_spread(spark):
     assert len(glob.glob(f"{folder}/deliveries/batch=0/*.parquet")) > 20
 
 
+def test_deliveries_by_lists(spark):
+    """A row for each alert and list of subscriptions, from which come all deliveries, also those of a subscription that is there twice."""
+    folder, subs, stream = landed(spark)
+    subs = subs.unionByName(subs.filter("subscription_id % 7 = 1")).unionByName(spark.createDataFrame([(100, True, "alert", None, 0), (101, True, "alert", "a", None)], SUBS))
+    streams.alerts_to_tables(stream, lambda s: subs, folder, f"{folder}/checkpoint", lists=True)
+    have = streams.deliveries(spark, folder)
+    upper = with_level(spark.read.parquet(f"{folder}/in")).filter(F.col("level").isin("critical", "high"))
+    want = subscription_match(upper, subs, "alert", keep=("time",)).select(have.columns)
+    want = sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, have.collect())) == want
+    written = spark.read.parquet(f"{folder}/deliveries").count()
+    assert len(want) > 2.5 * written
+
+
+def test_lists_of_bounded_size(spark):
+    subs = spark.range(1000).selectExpr("id as subscription_id", "true as enabled", "'alert' as events_csv", "'a' as symbols_csv", "0 as min_level_ord")
+    lists = audiences(subs, "alert", size=100).collect()
+    assert sorted(i for r in lists for i in r.subscription_ids) == list(range(1000))
+    assert len({r.audience for r in lists}) == len(lists) == 10 and max(len(r.subscription_ids) for r in lists) < 150
+
+
 def test_alerts_alone(spark):
     folder, _, stream = landed(spark)
     streams.alerts_to_tables(stream, None, folder, f"{folder}/checkpoint")

@@ -65,6 +65,34 @@ def subscription_match(risks: DataFrame, subscriptions: DataFrame, event: str =
     return by_symbol.select(*names).unionByName(every.select(*names))
 
 
+def audiences(subscriptions: DataFrame, event: str, size: int = 16_384) -> DataFrame:
+    """(audience, symbols_csv, min_level_ord, subscription_ids): enabled subscriptions to ``event`` with equal wishes, in lists of about ``size`` at most.
+
+    What matches one member of a list matches all, so a list can stand for its members.
+    """
+    on = subscriptions.filter(F.col("enabled") & F.array_contains(F.split("events_csv", ","), event))
+    on = on.select(F.col("subscription_id").cast("long").alias("subscription_id"), "symbols_csv", F.col("min_level_ord").cast("int").alias("min_level_ord"))
+    part = F.pmod(F.xxhash64("subscription_id"), F.lit(-(-on.count() // size) or 1)).alias("_part")
+    lists = on.groupBy("symbols_csv", "min_level_ord", part).agg(F.collect_list("subscription_id").alias("subscription_ids"))
+    return lists.select(F.concat_ws("|", "symbols_csv", "min_level_ord", "_part").alias("audience"), "symbols_csv", "min_level_ord", "subscription_ids")
+
+
+def audience_match(risks: DataFrame, lists: DataFrame, keep: tuple[str, ...] = (), parts: int = 1) -> DataFrame:
+    """(audience, symbol, level, risk_score, and ``keep``): ``subscription_match`` with lists of ``audiences`` in the place of subscriptions."""
+    subs = lists.select(F.col("audience").alias("subscription_id"), F.lit(True).alias("enabled"), F.lit("any").alias("events_csv"), "symbols_csv", "min_level_ord")
+    return subscription_match(risks, subs, "any", keep, parts).withColumnRenamed("subscription_id", "audience")
+
+
+def audience_members(matched: DataFrame, lists: DataFrame, *keys: str, salts: int = 16, parts: int = 192) -> DataFrame:
+    """``matched`` with a row for each member of its audience. ``keys`` tell the lists apart, ``salts`` shares deal one list's rows to as many tasks."""
+    names = [c for c in matched.columns if c not in keys]
+    on = [*keys, "_salt"]
+    rows = matched.withColumn("_salt", F.pmod(F.xxhash64(*names), F.lit(salts)).cast("int"))
+    lists = lists.select(*keys, "subscription_ids", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    j = rows.repartition(parts, *on).join(lists.repartition(parts, *on), on)
+    return j.select(F.explode("subscription_ids").alias("subscription_id"), *names)
+
+
 def risk_payloads(risks: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """(subscription_id, type, payload): to each subscription of 'risk' its matching risks as one JSON list, highest score first."""
     one = F.struct((-F.col("risk_score")).alias("at"), F.col("symbol"), F.col("risk_score").alias("riskScore"), F.col("level").alias("riskLevel"))

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.merge import sane_funding, sane_oi
 from tidemark.operators.quality import quote_rule
-from tidemark.operators.serving import alerts, subscription_match, with_level
+from tidemark.operators.serving import alerts, audience_match, audience_members, audiences, subscription_match, with_level
 from tidemark.operators.windows import floor_index
 
 
@@ -85,19 +85,27 @@ def open_interest_usd(reports: DataFrame, prices: DataFrame, watermark: str = "5
 #: Tasks over which a batch's deliveries are spread: as many rows as subscriptions times alerts, of few symbols and levels.
 DELIVERY_PARTS = 48
 
+AUDIENCE = "audience string, symbols_csv string, min_level_ord int, subscription_ids array<long>"
 
-def alerts_to_tables(scores: DataFrame, subscriptions: Callable[[SparkSession], DataFrame] | None, base: str, checkpoint: str) -> StreamingQuery:
+
+def alerts_to_tables(scores: DataFrame, subscriptions: Callable[[SparkSession], DataFrame] | None, base: str, checkpoint: str, lists: bool = False) -> StreamingQuery:
     """Work off a stream of scores (symbol, time, risk_score) into ``base``/alerts and ``base``/deliveries, a folder a batch.
 
     ``subscriptions`` is read afresh for every batch, so a change counts from the next batch on; without it there are no deliveries. A batch that is
-    run again, as after a failure, replaces its folders, so each alert and each delivery is there once.
+    run again, as after a failure, replaces its folders, so each alert and each delivery is there once. Deliveries are a row each, or with ``lists``
+    a row for each alert and list of subscriptions it goes to; the lists, as they are for the batch, are in ``base``/audiences, and ``deliveries`` gives the single rows.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch.persist()
         alerts(batch).write.mode("overwrite").parquet(f"{base}/alerts/batch={number}")
-        if subscriptions:
+        if subscriptions and lists:
+            upper = with_level(batch).filter(F.col("level").isin("critical", "high"))
+            audiences(subscriptions(spark), "alert").write.mode("overwrite").parquet(f"{base}/audiences/batch={number}")
+            to = spark.read.schema(AUDIENCE).parquet(f"{base}/audiences/batch={number}")
+            audience_match(upper, to, keep=("time",), parts=DELIVERY_PARTS).write.mode("overwrite").parquet(f"{base}/deliveries/batch={number}")
+        elif subscriptions:
             upper = with_level(batch).filter(F.col("level").isin("critical", "high"))
             subscription_match(upper, subscriptions(spark), "alert", keep=("time",), parts=DELIVERY_PARTS).write.mode("overwrite").parquet(f"{base}/deliveries/batch={number}")
         batch.unpersist()
@@ -107,6 +115,13 @@ def alerts_to_tables(scores: DataFrame, subscriptions: Callable[[SparkSession],
     return q
 
 
+def deliveries(spark: SparkSession, base: str) -> DataFrame:
+    """(subscription_id, symbol, level, risk_score, time): each delivery of the tables that ``alerts_to_tables`` wrote by lists."""
+    matched = spark.read.schema("audience string, symbol string, level string, risk_score int, time timestamp, batch long").parquet(f"{base}/deliveries")
+    lists = spark.read.schema(f"{AUDIENCE}, batch long").parquet(f"{base}/audiences")
+    return audience_members(matched, lists, "batch", "audience")
+
+
 def sliding_liquidations(liqs: DataFrame, size: str = "5 minutes", step: str = "1 minute", watermark: str = "10 minutes") -> DataFrame:
     w = liqs.withWatermark("ts", watermark).groupBy("symbol", F.window("ts", size, step))
     return w.agg(F.sum("usd_value").alias("usd"), F.count(F.lit(1)).alias("n")).select("symbol", F.col("window.start").alias("ts"), "usd", "n")
