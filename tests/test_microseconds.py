@@ -72,6 +72,22 @@ def test_cascade_in_horizon_to_the_microsecond(spark, over):
     check(spark, [(1, us(5), 1, "click", 5.0), (2, us(over, minutes=10), 1, "click", 90.0)], "cascade_in_horizon")
 
 
+def test_interpolation_at_a_half(spark):
+    """A price of 101.2039215, whose double lies a little below."""
+    rows = [(1, us(0), 1, "a", 10.0), (2, us(0, milliseconds=3_600_000 - 849), 1, "a", 14.68), (3, us(0, milliseconds=3_600_000 + 1151), 1, "a", 36.82)]
+    check(spark, rows, "interpolate_price")
+
+
+def test_interpolation_between_rows_of_one_millisecond(spark):
+    """The last of several before a point, the first of several after it, in whatever order and files they come."""
+    before = [(10 + i, us(100 * i, minutes=59), 1, "a", 20.0 + i) for i in range(9)]
+    after = [(30 + i, us(100 * i, minutes=61), 1, "a", 60.0 + i) for i in range(9)]
+    rows = [(1, us(0), 1, "a", 10.0), *before, *after]
+    for mixed in (rows, rows[::-1], rows[::2] + rows[1::2]):
+        got = sorted(tuple(r) for r in QUERIES["interpolate_price"](spark, tables(spark, mixed)[0]).collect())
+        assert [r[2] for r in got] == [100.5, 102.2]
+
+
 def test_snapshot_with_a_high_rate(spark):
     rows = [(20 * i, us(0, seconds=5 * i), i, "a", 540.0 if i % 7 == 3 else 40.0 + i) for i in range(100)]
     assert check(spark, rows, "stream_snapshot")

@@ -16,9 +16,12 @@ def _ms(df: DataFrame) -> DataFrame:
 
 
 def interpolate_prices(points: DataFrame, prices: DataFrame, at: str = "ms", name: str = "price") -> DataFrame:
-    """``points(symbol, at)`` with the price interpolated linearly between the observations around it, clamped at the ends."""
-    p = _ms(prices).select("symbol", "ms", F.struct("ms", F.col("mark_price").alias("p")).alias("obs"))
-    j = asof_around(points, p, "obs", "_a", "_b", left_ts=at, right_ts="ms")
+    """``points(symbol, at)`` with the price interpolated linearly between the observations around it, clamped at the ends.
+
+    Of observations in one millisecond the last counts before a point and the first after it (of equal times, by price).
+    """
+    p = _ms(prices).select("symbol", "ms", F.struct("ts", "mark_price").alias("tie"), F.struct("ms", F.col("mark_price").alias("p")).alias("obs"))
+    j = asof_around(points, p, "obs", "_a", "_b", left_ts=at, right_ts="ms", tie="tie")
     a, b = F.col("_a"), F.col("_b")
     between = a["p"] + (b["p"] - a["p"]) * (F.col(at) - a["ms"]) / F.when(b["ms"] > a["ms"], b["ms"] - a["ms"])
     return j.withColumn(name, F.coalesce(F.when(a.isNull(), b["p"]).when(b.isNull() | (a["ms"] == b["ms"]), a["p"]).otherwise(between))).drop("_a", "_b")

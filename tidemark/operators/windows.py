@@ -36,27 +36,29 @@ def prefix_stats(df: DataFrame, value: str, rows: int, include_current: bool = T
 DAYS, REACH = 64, 36_500
 
 
-def _asof(left: DataFrame, right: DataFrame, value: str, left_ts: str, right_ts: str, key: str, before: str | None, after: str | None) -> DataFrame:
+def _asof(left: DataFrame, right: DataFrame, value: str, left_ts: str, right_ts: str, key: str, before: str | None, after: str | None, tie: str | None = None) -> DataFrame:
     """``left`` with the value ``before`` and the value ``after`` each row, in one stream per key and day.
 
+    Of right rows at equal times the one with the largest ``tie`` counts before a row, that with the smallest after it; without ``tie`` any.
+
     What a day lacks comes from the nearest day of the right side that has it: that day's value holds for all days up to the
     next one, at most REACH. Such spans of days are few, and meet rows by bucket.
     """
     names = left.columns
-    values = right.select(F.col(key), F.col(right_ts).alias("_t"), F.struct(F.col(value).alias("v")).alias("_v"))
+    values = right.select(F.col(key), F.col(right_ts).alias("_t"), *([F.col(tie).alias("_tie")] if tie else []), F.struct(F.col(value).alias("v")).alias("_v"))
     both = left.withColumn("_t", F.col(left_ts)).withColumn("_left", F.lit(True)).unionByName(values, allowMissingColumns=True)
     day = span_of("_t", dict(both.dtypes)["_t"])
     found = both.withColumn("_day", day).repartition(key, "_day")  # sides that lie together by key would stay so, a series a task
     for name, toward in ((before, F.asc), (after, F.desc)):
         if name:  # at equal times a right row comes first in either direction
-            own = Window.partitionBy(key, "_day").orderBy(toward("_t"), F.col("_left").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+            own = Window.partitionBy(key, "_day").orderBy(toward("_t"), F.col("_left").asc_nulls_first(), *([toward("_tie")] if tie else [])).rowsBetween(Window.unboundedPreceding, 0)
             found = found.withColumn(f"_o_{name}", F.last("_v", ignorenulls=True).over(own))
     found = found.filter("_left").withColumn("_bucket", F.floor(F.col("_day") / DAYS))
     out, kept = found, {n: found[n] for n in names}
     for name, nearest, toward, back in ((before, F.max_by, F.asc, True), (after, F.min_by, F.desc, False)):
         if not name:
             continue
-        days = values.withColumn("_day", day).groupBy(F.col(key).alias("_k"), "_day").agg(nearest("_v", "_t").alias("_c"))
+        days = values.withColumn("_day", day).groupBy(F.col(key).alias("_k"), "_day").agg(nearest("_v", F.struct("_t", "_tie") if tie else "_t").alias("_c"))
         following = F.lead("_day").over(Window.partitionBy("_k").orderBy(toward("_day")))
         lo, hi = (F.col("_day") + 1, F.coalesce(following, F.col("_day") + REACH)) if back else (F.coalesce(following, F.col("_day") - REACH), F.col("_day") - 1)
         spans = days.select("_k", "_c", lo.alias("_lo"), hi.alias("_hi")).select("*", F.explode(F.sequence(F.floor(F.col("_lo") / DAYS), F.floor(F.col("_hi") / DAYS))).alias("_kb"))
@@ -76,9 +78,9 @@ def asof_forward(left: DataFrame, right: DataFrame, value: str, left_ts: str = T
     return _asof(left, right, value, left_ts, right_ts, key, None, name or value)
 
 
-def asof_around(left: DataFrame, right: DataFrame, value: str, before: str, after: str, left_ts: str = TS, right_ts: str = TS, key: str = KEY) -> DataFrame:
-    """Both of them, in one stream."""
-    return _asof(left, right, value, left_ts, right_ts, key, before, after)
+def asof_around(left: DataFrame, right: DataFrame, value: str, before: str, after: str, left_ts: str = TS, right_ts: str = TS, key: str = KEY, tie: str | None = None) -> DataFrame:
+    """Both of them, in one stream. Right rows at equal times go by ``tie``."""
+    return _asof(left, right, value, left_ts, right_ts, key, before, after, tie)
 
 
 def minute_grid(df: DataFrame, key: str = KEY, ts: str = TS) -> DataFrame:
