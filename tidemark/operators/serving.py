@@ -84,12 +84,15 @@ def audience_match(risks: DataFrame, lists: DataFrame, keep: tuple[str, ...] = (
 
 
 def audience_members(matched: DataFrame, lists: DataFrame, *keys: str, salts: int = 16, parts: int = 192) -> DataFrame:
-    """``matched`` with a row for each member of its audience. ``keys`` tell the lists apart, ``salts`` shares deal one list's rows to as many tasks."""
+    """``matched`` with a row for each member of its audience. ``keys`` tell the lists apart, ``salts`` shares deal one list's rows to as many tasks.
+
+    A hash join by shuffle: as a broadcast, all copies of the lists would pass through the driver.
+    """
     names = [c for c in matched.columns if c not in keys]
     on = [*keys, "_salt"]
     rows = matched.withColumn("_salt", F.pmod(F.xxhash64(*names), F.lit(salts)).cast("int"))
     lists = lists.select(*keys, "subscription_ids", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    j = rows.repartition(parts, *on).join(lists.repartition(parts, *on), on)
+    j = rows.repartition(parts, *on).join(lists.repartition(parts, *on).hint("shuffle_hash"), on)
     return j.select(F.explode("subscription_ids").alias("subscription_id"), *names)
 
 
